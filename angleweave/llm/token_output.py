@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import fresh_path, small_batches
 
 END_ID = 2
-MOST_RUNS = 600_000
+#: Runs of one generation, of which a worker holds two; at about 200 bytes each this is bounded by 480 MB.
+MOST_RUNS = 1_200_000
 TOGETHER = 16
 ORC = {
     "compression": "zlib",
@@ -47,6 +48,7 @@ class RunCache:
         self.library = Tokenizer.from_file(path)
         self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         self.kept: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
@@ -59,9 +61,14 @@ class RunCache:
         split = [t.split() for t in texts]
         new = {w for words in split for w in words if w not in kept}
         if new:
-            if len(kept) + len(new) > MOST_RUNS:
-                kept.clear()
+            if len(kept) + len(new) > MOST_RUNS:  # runs that are met again come back from the generation before
+                self.before, self.kept = kept, {}
+                kept = self.kept
                 new = {w for words in split for w in words}
+            known = [w for w in new if w in self.before]
+            if known:
+                kept.update((w, self.before[w]) for w in known)
+                new.difference_update(known)
             # A full stop or comma behind an ASCII letter is always a token of its own.
             ends = [w for w in new if w[-1] in b".," and w[-2:-1].isalpha()]
             self._encode([w for w in {*new.difference(ends), *(w[:-1] for w in ends), b".", b","} if w not in kept])
