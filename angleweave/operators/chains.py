@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from ..functions.angles import wrap
 from ..functions.basins import basin
 
-ORDER = Window.partitionBy("chain_id").orderBy("pos")
+
+def order():
+    """A chain in its sequence. Made on call, as a window needs a session."""
+    return Window.partitionBy("chain_id").orderBy("pos")
+
+
 ORGANISMS = ("ecoli", "human", "yeast", "arabidopsis", "malaria")
 
 
@@ -30,8 +35,8 @@ def bind_events(events: DataFrame) -> DataFrame:
 
 def stepped(res: DataFrame) -> DataFrame:
     """Adds dphi, dpsi (wrapped) and, where w is there, dw to the step from the residue before. One window for all."""
-    out = res.withColumn("dphi", wrap(F.col("phi") - F.lag("phi").over(ORDER))).withColumn("dpsi", wrap(F.col("psi") - F.lag("psi").over(ORDER)))
-    return out.withColumn("dw", F.col("w") - F.lag("w").over(ORDER)) if "w" in res.columns else out
+    out = res.withColumn("dphi", wrap(F.col("phi") - F.lag("phi").over(order()))).withColumn("dpsi", wrap(F.col("psi") - F.lag("psi").over(order())))
+    return out.withColumn("dw", F.col("w") - F.lag("w").over(order())) if "w" in res.columns else out
 
 
 def roughness(steps: DataFrame) -> DataFrame:
@@ -52,31 +57,31 @@ def roughness(steps: DataFrame) -> DataFrame:
 
 def segments(res: DataFrame, label: str = "basin") -> DataFrame:
     """Runs of equal labels; seg, start, end (inclusive), length."""
-    change = F.when(F.lag(label).over(ORDER) == F.col(label), 0).otherwise(1)
-    marked = res.withColumn("__new", change).withColumn("seg", F.sum("__new").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    change = F.when(F.lag(label).over(order()) == F.col(label), 0).otherwise(1)
+    marked = res.withColumn("__new", change).withColumn("seg", F.sum("__new").over(order().rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy("chain_id", "seg", F.col(label).alias("label")).agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count(F.lit(1)).alias("length"))
 
 
 def helix_sheet_transitions(res: DataFrame) -> DataFrame:
     """Changes between alpha and beta once all else is left out."""
-    kept = res.where(F.col("basin").isin("alpha", "beta")).withColumn("changed", (F.lag("basin").over(ORDER) != F.col("basin")).cast("int"))
+    kept = res.where(F.col("basin").isin("alpha", "beta")).withColumn("changed", (F.lag("basin").over(order()) != F.col("basin")).cast("int"))
     return kept.groupBy("chain_id").agg(F.coalesce(F.sum("changed"), F.lit(0)).alias("n_transitions"))
 
 
 def transition_counts(res: DataFrame, label: str = "basin") -> DataFrame:
     """Counts and row-normalised shares of steps between labels."""
-    pairs = res.select(F.lag(label).over(ORDER).alias("source"), F.col(label).alias("target")).where("source is not null").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
+    pairs = res.select(F.lag(label).over(order()).alias("source"), F.col(label).alias("target")).where("source is not null").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
     return pairs.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("source")))
 
 
 def trigram_counts(res: DataFrame, label: str = "basin") -> DataFrame:
     """Order-2 counts."""
-    return res.select(F.lag(label, 2).over(ORDER).alias("a"), F.lag(label).over(ORDER).alias("b"), F.col(label).alias("c")).where("a is not null").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
+    return res.select(F.lag(label, 2).over(order()).alias("a"), F.lag(label).over(order()).alias("b"), F.col(label).alias("c")).where("a is not null").groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"))
 
 
 def successor_pairs(res: DataFrame) -> DataFrame:
     """N17."""
-    return res.select("chain_id", "organism", "pos", "phi", "psi", F.lead("phi").over(ORDER).alias("next_phi"), F.lead("psi").over(ORDER).alias("next_psi")).where("next_phi is not null and next_psi is not null and phi is not null and psi is not null")
+    return res.select("chain_id", "organism", "pos", "phi", "psi", F.lead("phi").over(order()).alias("next_phi"), F.lead("psi").over(order()).alias("next_psi")).where("next_phi is not null and next_psi is not null and phi is not null and psi is not null")
 
 
 def kinks_simple(steps: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import dihedral
 from ..functions.geometry import build, place, superposed_rmsd  # noqa: F401
-from .chains import ORDER
+from .chains import order
 
 def reconstructed(res: DataFrame) -> DataFrame:
     """chain_id, pos, nx .. cz."""
@@ -25,7 +25,7 @@ def reconstructed(res: DataFrame) -> DataFrame:
 
 def angles(atoms: DataFrame, sign: int = -1) -> DataFrame:
     """Phi and psi over present residues, from nx .. cz; sign -1 gives IUPAC."""
-    at = lambda a, f=None: tuple((F.col(a + d) if f is None else f(a + d).over(ORDER)) for d in "xyz")
+    at = lambda a, f=None: tuple((F.col(a + d) if f is None else f(a + d).over(order())) for d in "xyz")
     phi = dihedral([at("c", F.lag), at("n"), at("ca"), at("c")], sign)
     psi = dihedral([at("n"), at("ca"), at("c"), at("n", F.lead)], sign)
     return atoms.withColumn("phi", phi).withColumn("psi", psi)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import wrap
-from .chains import ORDER, segments
+from .chains import order, segments
 
 
 def stratum(length: Column) -> Column:
@@ -25,7 +25,7 @@ def extract(res: DataFrame, least_run: int = 2, most: int = 20) -> DataFrame:
     gaps = runs.select("chain_id", "label", F.col("end").alias("before"), F.lead("label").over(by).alias("next_label"), F.lead("start").over(by).alias("after"))
     gaps = gaps.where((F.col("label") != F.col("next_label")) & (F.col("after") - F.col("before") - 1).between(1, most))
     gaps = gaps.select("chain_id", (F.col("before") + 1).alias("start"), (F.col("after") - 1).alias("end"), F.concat("label", F.lit("->"), "next_label").alias("direction"))
-    steps = res.select("chain_id", "pos", "resname", "phi", "psi", "w", F.sqrt(F.pow(wrap(F.col("phi") - F.lag("phi").over(ORDER)), 2) + F.pow(wrap(F.col("psi") - F.lag("psi").over(ORDER)), 2)).alias("step"))
+    steps = res.select("chain_id", "pos", "resname", "phi", "psi", "w", F.sqrt(F.pow(wrap(F.col("phi") - F.lag("phi").over(order())), 2) + F.pow(wrap(F.col("psi") - F.lag("psi").over(order())), 2)).alias("step"))
     # A loop and its flanks: an equi-join by chain with a range of positions; a chain has few loops.
     hit = steps.alias("r").join(gaps.alias("g"), (F.col("r.chain_id") == F.col("g.chain_id")) & F.col("r.pos").between(F.col("g.start") - 1, F.col("g.end") + 1)).select("g.*", "pos", "resname", "phi", "psi", "w", "step")
     inside = F.col("pos").between(F.col("start"), F.col("end"))

@@ -102,7 +102,7 @@ def c05_c07_folds(spark, d):
 
 @query(f"WITH {RES}, h AS (SELECT chain_id, avg(CASE WHEN basin = 'alpha' THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN basin = 'beta' THEN 1.0 ELSE 0 END) AS b, count(*) FILTER (WHERE basin <> before AND basin <> 'other' AND before <> 'other') / nullif(count(*) FILTER (WHERE basin <> 'other'), 0) AS den FROM dif GROUP BY 1) SELECT chain_id, CASE WHEN a >= 0.15 AND b >= 0.15 THEN CASE WHEN den > 0.05 THEN 'alpha/beta' ELSE 'alpha+beta' END WHEN a >= 0.15 THEN 'all-alpha' WHEN b >= 0.15 THEN 'all-beta' ELSE 'other' END AS fold FROM h")
 def c06_presence_folds(spark, d):
-    r = residues(spark, d).withColumn("before", F.lag("basin").over(chains.ORDER))
+    r = residues(spark, d).withColumn("before", F.lag("basin").over(chains.order()))
     ss = F.col("basin") != "other"
     out = r.groupBy("chain_id").agg(F.avg((F.col("basin") == "alpha").cast("double")).alias("a"), F.avg((F.col("basin") == "beta").cast("double")).alias("b"), F.count_if(ss & (F.col("before") != "other") & (F.col("basin") != F.col("before"))).alias("x"), F.count_if(ss).alias("y"))
     return out.select("chain_id", basins.fold(F.col("a"), F.col("b"), "presence", F.col("x") / F.nullif(F.col("y"), F.lit(0))).alias("fold"))
