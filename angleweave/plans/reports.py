@@ -32,7 +32,7 @@ REPORTS = {
     "g07_plddt_correlation": f"SELECT organism, {_corr('plddt_mean', 'bps_norm')} AS r FROM $P GROUP BY organism",
     "g08_fold_overlap": "SELECT count(CASE WHEN pct_helix > 20 THEN 1 END) AS n_alpha, round(avg(CASE WHEN pct_helix > 20 THEN bps_norm END), 6) AS alpha, count(CASE WHEN pct_sheet > 10 THEN 1 END) AS n_beta, round(avg(CASE WHEN pct_sheet > 10 THEN bps_norm END), 6) AS beta, count(CASE WHEN pct_helix > 15 AND pct_sheet > 10 THEN 1 END) AS n_mixed FROM $P",
     "g09_contact_order": f"SELECT organism, {_corr('contact_order', 'bps_norm')} AS r_co, {_corr('rg', 'bps_norm')} AS r_rg, {_corr('rg / sqrt(length)', 'bps_norm')} AS r_rg_norm FROM $P GROUP BY organism",
-    "g12_histogram": "SELECT b.bin, round(100.0 * count(*) / max(t.n), 6) AS pct FROM (SELECT CASE WHEN bps_norm = 0.35 THEN 11 ELSE floor((bps_norm - 0.05) / 0.025) END AS bin FROM $P WHERE bps_norm >= 0.05 AND bps_norm <= 0.35) b CROSS JOIN (SELECT count(*) AS n FROM $P) t GROUP BY b.bin",
+    "g12_histogram": "SELECT b.bin, round(100.0 * count(*) / max(t.n), 6) AS pct FROM (SELECT CASE WHEN bps_norm = 0.35 THEN 11 ELSE cast(floor((bps_norm - 0.05) / 0.025) AS int) END AS bin FROM $P WHERE bps_norm >= 0.05 AND bps_norm <= 0.35) b CROSS JOIN (SELECT count(*) AS n FROM $P) t GROUP BY b.bin",
     "g13_correlations": "SELECT " + ", ".join(f"{_corr(a, b)} AS r_{i}_{j}" for i, a in enumerate(_PAIR) for j, b in enumerate(_PAIR) if i < j) + " FROM $P",
     "g15_versions": "SELECT organism, count(CASE WHEN af_version = 3 THEN 1 END) AS v3, count(CASE WHEN af_version = 4 THEN 1 END) AS v4, count(DISTINCT af_version) > 1 AS mixed FROM $P GROUP BY organism",
     "g16_integrity": "SELECT 'null_rg' AS item, count(CASE WHEN rg IS NULL THEN 1 END) AS bad FROM $P UNION ALL SELECT 'ss_sum', count(CASE WHEN NOT (pct_helix + pct_sheet + pct_coil > 99 AND pct_helix + pct_sheet + pct_coil < 101) THEN 1 END) FROM $P UNION ALL SELECT 'short', count(CASE WHEN length < 30 THEN 1 END) FROM $P UNION ALL SELECT 'range', count(CASE WHEN bps_norm < 0 OR bps_norm > 5 THEN 1 END) FROM $P",
