@@ -15,6 +15,7 @@ rows of equal doc_id are ordered by their text's ids; an empty table gives empty
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -27,7 +28,11 @@ from .common import fresh_path, small_batches
 END_ID = 2
 #: Runs of one generation, of which a worker holds two; at about 200 bytes each this is bounded by 480 MB.
 MOST_RUNS = 1_200_000
-TOGETHER = 16
+TOGETHER = 64
+#: Runs that are encoded as one text.
+JOINED = 512
+#: The suffix of tokens that close a word.
+WORD_END = "</w>"
 ORC = {
     "compression": "zlib",
     "orc.create.index": "true",
@@ -39,44 +44,88 @@ ORC = {
 }
 
 
+#: Runs of these characters split into a known number of tokenizer words: letters of ASCII and Latin-1, a digit, or other ASCII signs but ' and <.
+LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+SIGNS = rb"[!-&(-/:;=-@\[-`{-~]+"
+PLAIN = re.compile(rb"(?:%b|[0-9]|%b)+" % (LETTERS, SIGNS))
+PLAIN_WORDS = re.compile(rb"%b|[0-9]|%b" % (LETTERS, SIGNS))
+LETTERS_THEN_SIGNS = re.compile(rb"(%b)(%b)" % (LETTERS, SIGNS))
+
+
 class RunCache:
-    """The tokenizer of one file, with ids kept per run as little-endian 32-bit integers."""
+    """The tokenizer of one file, with ids kept per run as little-endian 32-bit integers.
+
+    New runs of plain characters are encoded many at a time, as one text with spaces
+    between them. Its ids are cut where a token closes a word, as every word of the
+    tokenizer has one such token, at its end. Other runs are encoded one by one.
+    """
 
     def __init__(self, path: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         self.kept: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith(WORD_END)]] = True
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for k in range(0, len(texts), TOGETHER):
-            out += self._some(texts[k : k + TOGETHER])
+            out += self._some([self._lowered(t) for t in texts[k : k + TOGETHER]])
         return out
 
+    @staticmethod
+    def _lowered(text: bytes) -> bytes:
+        """A-Z in lower case, as the tokenizer has it; not where a mark could join a letter (lead byte CC) or a special token could arise."""
+        return text if b"\xcc" in text or b"<|" in text else text.lower()
+
     def _some(self, texts: list[bytes]) -> list[bytes]:
         kept = self.kept
         split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in kept}
+        runs = set().union(*split)
+        new = runs.difference(kept)
         if new:
             if len(kept) + len(new) > MOST_RUNS:  # runs that are met again come back from the generation before
                 self.before, self.kept = kept, {}
                 kept = self.kept
-                new = {w for words in split for w in words}
-            known = [w for w in new if w in self.before]
-            if known:
-                kept.update((w, self.before[w]) for w in known)
-                new.difference_update(known)
-            # A full stop or comma behind an ASCII letter is always a token of its own.
-            ends = [w for w in new if w[-1] in b".," and w[-2:-1].isalpha()]
-            self._encode([w for w in {*new.difference(ends), *(w[:-1] for w in ends), b".", b","} if w not in kept])
-            for w in ends:
-                kept[w] = kept[w[:-1]] + kept[w[-1:]]
+                new = runs
+            self._learn(new)
         get = kept.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
+    def _learn(self, new: set[bytes]) -> None:
+        kept, before = self.kept, self.before
+        if before:
+            kept.update((w, before[w]) for w in new if w in before)
+            new = new.difference(kept)
+        # Signs behind letters are always words of their own.
+        ends = [(w, m[1], m[2]) for w in new if (m := LETTERS_THEN_SIGNS.fullmatch(w))]
+        whole = new.difference(w for w, _, _ in ends)
+        whole.update(x for _, a, b in ends for x in (a, b) if x not in kept)
+        plain = [w for w in whole if PLAIN.fullmatch(w)]
+        for k in range(0, len(plain), JOINED):
+            self._encode_joined(plain[k : k + JOINED])
+        self._encode([w for w in whole if w not in kept])
+        for w, a, b in ends:
+            kept[w] = kept[a] + kept[b]
+
+    def _encode_joined(self, runs: list[bytes]) -> None:
+        import numpy as np
+
+        ids = np.array(self.batch([b" ".join(runs).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        last = np.cumsum([1 if w.isalpha() else len(PLAIN_WORDS.findall(w)) for w in runs])
+        if last[-1] != len(ends) or ends[-1] != len(ids):
+            return  # no clear cut: these are encoded one by one
+        data, cuts, start = ids.tobytes(), (ends[last - 1] * 4).tolist(), 0
+        for w, cut in zip(runs, cuts):
+            self.kept[w] = data[start:cut]
+            start = cut
+
     def _encode(self, runs: list[bytes]) -> None:
         import numpy as np
 
