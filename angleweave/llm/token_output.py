@@ -28,9 +28,11 @@ from .common import fresh_path, small_batches
 END_ID = 2
 #: Runs of one generation, of which a worker holds two; at about 200 bytes each this is bounded by 480 MB.
 MOST_RUNS = 1_200_000
-TOGETHER = 64
+#: Texts whose new runs are encoded together: so many, or the first ones of so many bytes.
+TOGETHER = 256
+TOGETHER_BYTES = 4 << 20
 #: Runs that are encoded as one text.
-JOINED = 512
+JOINED = 4096
 #: The suffix of tokens that close a word.
 WORD_END = "</w>"
 ORC = {
@@ -45,11 +47,20 @@ ORC = {
 
 
 #: Runs of these characters split into a known number of tokenizer words: letters of ASCII and Latin-1, a digit, or other ASCII signs but ' and <.
-LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+LETTERS = rb"(?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 SIGNS = rb"[!-&(-/:;=-@\[-`{-~]+"
-PLAIN = re.compile(rb"(?:%b|[0-9]|%b)+" % (LETTERS, SIGNS))
+PLAIN = re.compile(rb"(?:%b|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+" % (b"[A-Za-z0-9" + SIGNS[1:-1]))
 PLAIN_WORDS = re.compile(rb"%b|[0-9]|%b" % (LETTERS, SIGNS))
-LETTERS_THEN_SIGNS = re.compile(rb"(%b)(%b)" % (LETTERS, SIGNS))
+LETTERS_THEN_SIGNS = re.compile(rb"(%b)(%b)?" % (LETTERS, SIGNS))
+
+
+class Kept(dict):
+    """Ids by run. A run that is not there reads as None and is noted."""
+
+    new: list[bytes]
+
+    def __missing__(self, run: bytes) -> None:
+        self.new.append(run)
 
 
 class RunCache:
@@ -66,17 +77,21 @@ class RunCache:
 
         self.library = Tokenizer.from_file(path)
         self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        self.kept: dict[bytes, bytes] = {}
+        self.kept = Kept()
         self.before: dict[bytes, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith(WORD_END)]] = True
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(texts), TOGETHER):
-            out += self._some([self._lowered(t) for t in texts[k : k + TOGETHER]])
-        return out
+        out, some, size = [], [], 0
+        for t in texts:
+            some.append(self._lowered(t))
+            size += len(t)
+            if len(some) >= TOGETHER or size >= TOGETHER_BYTES:
+                out += self._some(some)
+                some, size = [], 0
+        return out + self._some(some)
 
     @staticmethod
     def _lowered(text: bytes) -> bytes:
@@ -84,47 +99,63 @@ class RunCache:
         return text if b"\xcc" in text or b"<|" in text else text.lower()
 
     def _some(self, texts: list[bytes]) -> list[bytes]:
-        kept = self.kept
         split = [t.split() for t in texts]
-        runs = set().union(*split)
-        new = runs.difference(kept)
-        if new:
-            if len(kept) + len(new) > MOST_RUNS:  # runs that are met again come back from the generation before
-                self.before, self.kept = kept, {}
-                kept = self.kept
-                new = runs
-            self._learn(new)
-        get = kept.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        found, gaps = self._looked_up(split)
+        if any(gaps):
+            if len(self.kept) + sum(map(len, gaps)) > MOST_RUNS:  # runs that are met again come back from the generation before
+                self.before, self.kept = self.kept, Kept()
+                found, gaps = self._looked_up(split)
+            self._learn({w for gap in gaps for w in gap})
+            for row, words, gap in zip(found, split, gaps):
+                k = -1
+                for w in gap:
+                    k = row.index(None, k + 1)
+                    row[k] = self.kept[w]
+        return [b"".join(row) for row in found]
+
+    def _looked_up(self, split: list[list[bytes]]) -> tuple[list[list], list[list[bytes]]]:
+        """Ids of every run, None where they are new, and the new runs of every text in order."""
+        get, found, gaps = self.kept.__getitem__, [], []
+        for words in split:
+            self.kept.new = gap = []
+            found.append(list(map(get, words)))
+            gaps.append(gap)
+        return found, gaps
 
     def _learn(self, new: set[bytes]) -> None:
         kept, before = self.kept, self.before
         if before:
-            kept.update((w, before[w]) for w in new if w in before)
-            new = new.difference(kept)
-        # Signs behind letters are always words of their own.
-        ends = [(w, m[1], m[2]) for w in new if (m := LETTERS_THEN_SIGNS.fullmatch(w))]
-        whole = new.difference(w for w, _, _ in ends)
-        whole.update(x for _, a, b in ends for x in (a, b) if x not in kept)
-        plain = [w for w in whole if PLAIN.fullmatch(w)]
-        for k in range(0, len(plain), JOINED):
-            self._encode_joined(plain[k : k + JOINED])
-        self._encode([w for w in whole if w not in kept])
+            known = [w for w in new if w in before]
+            kept.update((w, before[w]) for w in known)
+            new = new.difference(known)
+        single, ends, rest = [], [], []
+        for w in new:
+            if w.isalpha():
+                single.append(w)
+            elif m := LETTERS_THEN_SIGNS.fullmatch(w):  # signs behind letters are always words of their own
+                ends.append((w, m[1], m[2])) if m[2] else single.append(w)
+            else:
+                rest.append(w)
+        single += {x for _, *pair in ends for x in pair if x not in new and x not in kept}
+        self._encode_joined(single, [1] * len(single))
+        plain = [w for w in rest if PLAIN.fullmatch(w)]
+        self._encode_joined(plain, [len(PLAIN_WORDS.findall(w)) for w in plain])
+        self._encode([w for w in (*single, *rest) if w not in kept])
         for w, a, b in ends:
             kept[w] = kept[a] + kept[b]
 
-    def _encode_joined(self, runs: list[bytes]) -> None:
+    def _encode_joined(self, runs: list[bytes], words: list[int]) -> None:
+        """Runs of which each splits into so many tokenizer words. Where the cut is not clear, nothing is kept."""
         import numpy as np
 
-        ids = np.array(self.batch([b" ".join(runs).decode()], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        last = np.cumsum([1 if w.isalpha() else len(PLAIN_WORDS.findall(w)) for w in runs])
-        if last[-1] != len(ends) or ends[-1] != len(ids):
-            return  # no clear cut: these are encoded one by one
-        data, cuts, start = ids.tobytes(), (ends[last - 1] * 4).tolist(), 0
-        for w, cut in zip(runs, cuts):
-            self.kept[w] = data[start:cut]
-            start = cut
+        for k in range(0, len(runs), JOINED):
+            some = runs[k : k + JOINED]
+            ids = np.array(self.batch([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            last = np.cumsum(words[k : k + JOINED])
+            if last[-1] == len(ends) and ends[-1] == len(ids):
+                data, cuts = ids.tobytes(), (ends[last - 1] * 4).tolist()
+                self.kept.update((w, data[a:b]) for w, a, b in zip(some, [0, *cuts], cuts))
 
     def _encode(self, runs: list[bytes]) -> None:
         import numpy as np
