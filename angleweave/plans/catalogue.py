@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles, basins, potential
@@ -303,6 +303,70 @@ def t13_t14_distances(spark, d):
     return stats.wasserstein(protein_table(spark, d), "bps_norm", "organism", "ecoli", "human")
 
 
+_SWEEP = (0.0, 25.0, 50.0, 75.0)
+
+
+@query(f"{FULL}, sw AS (SELECT t.least_plddt, chain_id, abs(w - lag(w) OVER (PARTITION BY t.least_plddt, chain_id ORDER BY pos)) AS a FROM wres JOIN (SELECT unnest({list(_SWEEP)}::DOUBLE[]) AS least_plddt) t ON plddt >= t.least_plddt), c AS (SELECT least_plddt, chain_id, coalesce(sum(a), 0) / count(*) AS b FROM sw GROUP BY 1, 2 HAVING count(*) >= 5) SELECT least_plddt, count(*) AS chains, round(avg(b), 6) AS mean, round(100 * stddev_pop(b) / avg(b), 6) AS cv_pct FROM c GROUP BY 1")
+def g21_plddt_sweep(spark, d):
+    """Residues are dropped before the steps between neighbours are taken."""
+    rows = scored(spark, d).withColumn("least_plddt", F.explode(F.array(*map(F.lit, _SWEEP)))).where("plddt >= least_plddt")
+    steps = rows.select("least_plddt", "chain_id", F.abs(F.col("w") - F.lag("w").over(Window.partitionBy("least_plddt", "chain_id").orderBy("pos"))).alias("a"))
+    per = steps.groupBy("least_plddt", "chain_id").agg((F.coalesce(F.sum("a"), F.lit(0.0)) / F.count(F.lit(1))).alias("b"), F.count(F.lit(1)).alias("n")).where("n >= 5")
+    return per.groupBy("least_plddt").agg(F.count(F.lit(1)).alias("chains"), F.avg("b").alias("mean"), (100 * F.stddev_pop("b") / F.avg("b")).alias("cv_pct"))
+
+
+@query(f"""WITH {RES}, {GRID}, {WRES}, {_LOOP} SELECT lp.direction, lp.length, CAST(wres.pos - lp.start AS INT) AS at, count(*) AS n, round(cos(atan2(avg(sin(phi)), avg(cos(phi)))), 6) AS cos_phi, round(atan2(avg(sin(psi)), avg(cos(psi))), 6) AS psi FROM lp JOIN wres ON wres.chain_id = lp.chain_id AND pos BETWEEN lp.start AND lp."end" GROUP BY 1, 2, 3""")
+def g34_circular_centroids(spark, d):
+    """Mean angles of every place of the loops of one direction and length."""
+    found, rows = loops.extract(scored(spark, d)).select("chain_id", "start", "end", "direction", "length"), residues(spark, d).select("chain_id", "pos", "phi", "psi")
+    placed = found.withColumn("pos", F.explode(F.sequence("start", "end"))).join(rows, ["chain_id", "pos"])
+    mean = lambda a: F.atan2(F.avg(F.sin(a)), F.avg(F.cos(a)))
+    return placed.groupBy("direction", "length", (F.col("pos") - F.col("start")).cast("int").alias("at")).agg(F.count(F.lit(1)).alias("n"), F.cos(mean("phi")).alias("cos_phi"), mean("psi").alias("psi"))
+
+
+@query(f"WITH {RES}, {GRID}, {WRES}, {_LOOP}, f AS (SELECT direction, length, count(*) AS n FROM lp GROUP BY 1, 2) SELECT direction, count(*) AS families, CAST(max(n) AS BIGINT) AS largest, round(100.0 * sum(CASE WHEN n >= 2 THEN n ELSE 0 END) / sum(n), 6) AS pct_in_2, round(100.0 * sum(CASE WHEN n >= 3 THEN n ELSE 0 END) / sum(n), 6) AS pct_in_3, quantile_cont(n, 0.5) AS median FROM f GROUP BY 1")
+def g36_family_coverage(spark, d):
+    """Families are the loops of one direction and length."""
+    f = loops.extract(scored(spark, d)).groupBy("direction", "length").agg(F.count(F.lit(1)).alias("n"))
+    share = lambda k: 100.0 * F.sum(F.when(F.col("n") >= k, F.col("n")).otherwise(0)) / F.sum("n")
+    return f.groupBy("direction").agg(F.count(F.lit(1)).alias("families"), F.max("n").alias("largest"), share(2).alias("pct_in_2"), share(3).alias("pct_in_3"), F.percentile("n", 0.5).alias("median"))
+
+
+def _mean_step(rows: DataFrame) -> DataFrame:
+    """The mean over chains of the mean step on the torus (sum of both turns)."""
+    w = Window.partitionBy("chain_id").orderBy("pos")
+    turn = lambda a: F.abs(F.atan2(F.sin(F.col(a) - F.lag(a).over(w)), F.cos(F.col(a) - F.lag(a).over(w))))
+    steps = rows.select("chain_id", (turn("phi") + turn("psi")).alias("step"))
+    return steps.groupBy("chain_id").agg(F.avg("step").alias("step")).agg(F.avg("step").alias("step"))
+
+
+def _steps_by_model(spark: SparkSession, d: str, models: dict) -> DataFrame:
+    found = None
+    for name, f in models.items():
+        one = _mean_step(f(residues(spark, d))).select(F.lit(name).alias("model"), "step")
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy().agg(*[F.max(F.when(F.col("model") == m, F.col("step"))).alias(m) for m in models])
+
+
+_SHUFFLE = _PERM.format(g="chain_id", m="M01", t="res", j="a.chain_id = b.chain_id")
+_SEGMENT = _PERM.format(g="chain_id, seg", m="M03", t="sg", j="a.chain_id = b.chain_id AND a.seg = b.seg").replace("sh ", "zh ").replace("pm AS", "zm AS")
+_STEP = "(SELECT avg(s) AS step FROM (SELECT chain_id, avg(abs(a) + abs(b)) AS s FROM (SELECT chain_id, atan2(sin(phi - lag(phi) OVER w), cos(phi - lag(phi) OVER w)) AS a, atan2(sin(psi - lag(psi) OVER w), cos(psi - lag(psi) OVER w)) AS b FROM {t} WINDOW w AS (PARTITION BY chain_id ORDER BY pos)) GROUP BY 1))"
+
+
+@query(f"WITH {RES}, {_SEG}, {_SHUFFLE}, {_SEGMENT} SELECT round(r.step, 6) AS real, round(s.step, 6) AS shuffled, round(g.step, 6) AS within_segments, round(s.step / r.step, 6) AS shuffled_ratio, round(g.step / r.step, 6) AS segment_ratio, round(100 * (s.step / r.step - 1), 6) AS gap_pct, round(100 * (s.step - g.step) / r.step, 6) AS between_pct FROM {_STEP.format(t='res')} r, {_STEP.format(t='pm')} s, {_STEP.format(t='zm')} g")
+def t20_gap_chain(spark, d):
+    """Ratios of means; the gap to the shuffled chains splits into a part within segments and one between them."""
+    row = _steps_by_model(spark, d, {"real": lambda r: r, "shuffled": nulls.shuffled, "within_segments": nulls.segment_shuffled})
+    return row.select("*", F.expr("shuffled / real AS shuffled_ratio"), F.expr("within_segments / real AS segment_ratio"), F.expr("100 * (shuffled / real - 1) AS gap_pct"), F.expr("100 * (shuffled - within_segments) / real AS between_pct"))
+
+
+@query()
+def t21_interaction(spark, d):
+    """(S / R) over the product of (Seg / R) and (S / M1)."""
+    row = _steps_by_model(spark, d, {"real": lambda r: r, "shuffled": nulls.shuffled, "within_segments": nulls.segment_shuffled, "markov": lambda r: nulls.markov(r, 1, 1)})
+    return row.select("*", F.expr("(shuffled / real) / ((within_segments / real) * (shuffled / markov)) AS interaction"))
+
+
 def _report(name: str, text: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: rounded(spark.sql(text.replace("$P", "{proteins}"), proteins=protein_table(spark, sf_dir)))
     SQL[name] = f"{FULL} {reports.other_dialect(text)}"

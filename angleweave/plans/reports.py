@@ -65,3 +65,28 @@ REPORTS = {
     "t22_weighted_gap": "SELECT round(sum(n * gap) / sum(n), 6) AS gap FROM (SELECT organism, count(*) AS n, avg(torus_l1) - avg(torus_l2) AS gap FROM $P GROUP BY organism) q",
     "t23_empirical_p": "SELECT round(avg(CASE WHEN torus_l1 >= t.m THEN 1.0 ELSE 0.0 END), 6) AS p FROM $P CROSS JOIN (SELECT avg(torus_l1) AS m FROM $P) t",
 }
+
+_NAMES = "(SELECT DISTINCT organism FROM $P)"
+_DUOS = f"(SELECT a.organism AS org_a, b.organism AS org_b FROM {_NAMES} a JOIN {_NAMES} b ON a.organism < b.organism)"
+_SIDES = f"(SELECT org_a, org_b, org_a AS member, 1.0 AS ia, 0.0 AS ib FROM {_DUOS} d1 UNION ALL SELECT org_a, org_b, org_b AS member, 0.0 AS ia, 1.0 AS ib FROM {_DUOS} d2)"
+_MASSES = f"(SELECT s.org_a, s.org_b, p.bps_norm AS x, sum(s.ia) AS ca, sum(s.ib) AS cb FROM $P p JOIN {_SIDES} s ON p.organism = s.member GROUP BY s.org_a, s.org_b, p.bps_norm)"
+_UP = "(PARTITION BY org_a, org_b ORDER BY x)"
+_ALL = "(PARTITION BY org_a, org_b)"
+_GAPS = f"(SELECT org_a, org_b, abs(sum(ca) OVER {_UP} / sum(ca) OVER {_ALL} - sum(cb) OVER {_UP} / sum(cb) OVER {_ALL}) AS gap, lead(x) OVER {_UP} - x AS width FROM {_MASSES} m)"
+_BACT = "CASE WHEN p.organism IN " + BACTERIA + " THEN p.bps_norm END"
+_REST = "CASE WHEN p.organism NOT IN " + BACTERIA + " THEN p.bps_norm END"
+_MEANS = "(SELECT organism, count(*) AS n, avg(bps_norm) AS m FROM $P GROUP BY organism)"
+_R2 = "(SELECT count(*) AS n, var_pop(bps_norm) AS v, corr(bps_norm, length) AS a, corr(bps_norm, pct_helix) AS b, corr(length, pct_helix) AS c FROM $P)"
+
+REPORTS |= {
+    "g10_distribution_distances": f"SELECT org_a, org_b, round(distance, 6) AS distance, near_rank, far_rank FROM (SELECT *, row_number() OVER (ORDER BY distance, org_a, org_b) AS near_rank, row_number() OVER (ORDER BY distance DESC, org_a, org_b) AS far_rank FROM (SELECT org_a, org_b, sum(gap * width) AS distance FROM {_GAPS} g GROUP BY org_a, org_b) w) r WHERE near_rank <= 15 OR far_rank <= 15",
+    "g11_failures": "SELECT o.organism, coalesce(f.n, 0) AS failed, coalesce(f.short_chains, 0) AS short_chains, coalesce(f.uncertain, 0) AS uncertain, coalesce(d.n, 0) AS done, round(100.0 * coalesce(f.n, 0) / nullif(coalesce(f.n, 0) + coalesce(d.n, 0), 0), 6) AS pct FROM (SELECT organism FROM $P WHERE length < 60 OR plddt_mean < 47 UNION SELECT organism FROM $P WHERE length >= 60 AND plddt_mean >= 47) o LEFT JOIN (SELECT organism, count(*) AS n, count(CASE WHEN length < 60 THEN 1 END) AS short_chains, count(CASE WHEN length >= 60 THEN 1 END) AS uncertain FROM $P WHERE length < 60 OR plddt_mean < 47 GROUP BY organism) f ON f.organism = o.organism LEFT JOIN (SELECT organism, count(*) AS n FROM $P WHERE length >= 60 AND plddt_mean >= 47 GROUP BY organism) d ON d.organism = o.organism",
+    "g14_confident_separation": f"SELECT least_plddt, n, round(bacteria, 6) AS bacteria, round(others, 6) AS others, round(bacteria - others, 6) AS gap, abs(bacteria - others) > abs(first_value(bacteria - others) OVER (ORDER BY least_plddt)) AS wider FROM (SELECT t.least_plddt, count(*) AS n, avg({_BACT}) AS bacteria, avg({_REST}) AS others FROM $P p JOIN (SELECT 0 AS least_plddt UNION ALL SELECT 48 UNION ALL SELECT 50 UNION ALL SELECT 52) t ON p.plddt_mean >= t.least_plddt GROUP BY t.least_plddt) q",
+    "g17_quick_answers": f"SELECT 'organisms' AS item, cast(count(*) AS double) AS answer FROM {_MEANS} a UNION ALL SELECT 'cv_pct', round(100 * stddev_pop(m) / avg(m), 6) FROM {_MEANS} b UNION ALL SELECT 'range_ratio', round(max(m) / min(m), 6) FROM {_MEANS} c UNION ALL SELECT 'grand_mean', round(avg(bps_norm), 6) FROM $P UNION ALL SELECT 'mean_of_means', round(avg(m), 6) FROM {_MEANS} d UNION ALL SELECT 'within_cv_pct', round(100 * avg(s / m), 6) FROM (SELECT organism, avg(bps_norm) AS m, stddev_pop(bps_norm) AS s FROM $P GROUP BY organism) e",
+    "g26_tiers": "SELECT t.tier, count(*) AS n, round(avg(p.bps_norm), 6) AS mean, round(stddev_pop(p.bps_norm), 6) AS sd FROM $P p JOIN (SELECT 'to 48' AS tier, 0 AS lo, 48 AS hi UNION ALL SELECT 'to 50', 0, 50 UNION ALL SELECT 'to 100', 0, 100 UNION ALL SELECT '48 to 50', 48, 50 UNION ALL SELECT '50 to 52', 50, 52) t ON p.plddt_mean > t.lo AND p.plddt_mean <= t.hi GROUP BY t.tier",
+    "g29_completeness": "SELECT r.organism, r.advertised, coalesce(s.ids, 0) AS ids, coalesce(s.done, 0) AS done, coalesce(s.ids - s.done, 0) AS failed, round(100.0 * coalesce(s.done, 0) / r.advertised, 6) AS pct, CASE WHEN coalesce(s.ids, 0) = 0 THEN 'absent' WHEN s.done >= r.advertised THEN 'complete' ELSE 'partial' END AS status FROM (SELECT 'ecoli' AS organism, 30 AS advertised UNION ALL SELECT 'human', 40 UNION ALL SELECT 'yeast', 20 UNION ALL SELECT 'mouse', 10) r LEFT JOIN (SELECT organism, count(*) AS ids, count(CASE WHEN length >= 60 THEN 1 END) AS done FROM $P GROUP BY organism) s ON s.organism = r.organism",
+    "g30_organism_summary": "SELECT organism, count(*) AS n, round(avg(bps_norm), 6) AS mean, round(percentile(bps_norm, 0.5), 6) AS median, round(percentile(bps_norm, 0.05), 6) AS p5, round(percentile(bps_norm, 0.95), 6) AS p95, round(100 * stddev_pop(bps_norm) / nullif(avg(bps_norm), 0), 6) AS cv, round(avg(pct_helix), 6) AS helix, round(avg(pct_sheet), 6) AS sheet, min(length) AS shortest, max(length) AS longest FROM $P GROUP BY organism",
+    "g31_by_count": "SELECT organism, n, rank() OVER (ORDER BY n DESC) AS place FROM (SELECT organism, count(*) AS n FROM $P GROUP BY organism) q ORDER BY n DESC, organism",
+    "t17_model_comparison": f"SELECT model, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - k - 1), 6) AS adj_r2, round(sqrt(v * (1 - r2)), 6) AS rmse FROM (SELECT 'length' AS model, 1 AS k, n, v, a * a AS r2 FROM {_R2} q1 UNION ALL SELECT 'helix', 1, n, v, b * b FROM {_R2} q2 UNION ALL SELECT 'length + helix', 2, n, v, (a * a + b * b - 2 * a * b * c) / (1 - c * c) FROM {_R2} q3) m",
+    "t18_leave_one_out": "SELECT count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - sum(e * e) / nullif(sum((y - my) * (y - my)), 0), 6) AS r2_cv FROM (SELECT p.bps_norm AS y, f.my, (p.bps_norm - f.my - f.b * (p.length - f.mx)) / (1 - 1.0 / f.n - (p.length - f.mx) * (p.length - f.mx) / f.sxx) AS e FROM $P p CROSS JOIN (SELECT count(*) AS n, avg(bps_norm) AS my, avg(length) AS mx, var_pop(length) * count(*) AS sxx, covar_pop(length, bps_norm) / var_pop(length) AS b FROM $P) f) q",
+}
