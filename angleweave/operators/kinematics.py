@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.angles import dihedral
 from ..functions.geometry import build, place, superposed_rmsd  # noqa: F401
 from .chains import order
+from .loops import path_distance, resampled
+
 
 def reconstructed(res: DataFrame) -> DataFrame:
     """chain_id, pos, nx .. cz."""
@@ -45,3 +47,66 @@ def contact_order(atoms: DataFrame, cutoff: float = 8.0, least: int = 4) -> Data
     found = pairs.groupBy(F.col("a.chain_id").alias("chain_id")).agg(F.sum(F.col("b.pos") - F.col("a.pos")).alias("sep"), F.count(F.lit(1)).alias("contacts"))
     n = atoms.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
     return n.join(found, "chain_id", "left").select("chain_id", F.when(F.col("n") >= 5, F.col("sep") / (F.col("n") * F.col("contacts"))).alias("contact_order"))
+
+
+#: Angles (degrees) that stand for a basin in canonical reconstruction.
+CENTRES = {"alpha": (-63.0, -43.0), "beta": (-120.0, 130.0), "ppII": (-75.0, 150.0), "alphaL": (57.0, 47.0)}
+#: Families are compared with every loop, so their table is broadcast; more than this many are refused.
+MOST_FAMILIES = 100_000
+
+
+def clashes(atoms: DataFrame, lookback: int = 6, radius: float = 2.0, bonded: bool = False) -> DataFrame:
+    """chain_id, clashing (residues with an atom nearer than radius to one of the lookback residues before). bonded=True also
+    counts the bond between neighbours, which is always shorter than the radius."""
+    a, b = atoms.alias("a"), atoms.alias("b")
+    kinds = ("n", "ca", "c")
+    gap = lambda p, q: sum((F.pow(F.col(f"a.{p}{d}") - F.col(f"b.{q}{d}"), 2) for d in "xyz"), F.lit(0.0))
+    bond = F.col("b.pos") - F.col("a.pos") == 1
+    close = [gap(p, q) if bonded or (p, q) != ("c", "n") else F.when(~bond, gap(p, q)) for p in kinds for q in kinds]
+    pairs = a.join(b, (F.col("a.chain_id") == F.col("b.chain_id")) & (F.col("b.pos") - F.col("a.pos")).between(1, lookback))
+    hit = pairs.where(F.least(*close) < radius * radius).groupBy(F.col("b.chain_id").alias("chain_id")).agg(F.count_distinct("b.pos").alias("clashing"))
+    return atoms.select("chain_id").distinct().join(hit, "chain_id", "left").select("chain_id", F.coalesce("clashing", F.lit(0)).alias("clashing"))
+
+
+def canonical(res: DataFrame, loops: DataFrame, families: DataFrame) -> DataFrame:
+    """Residues of a loop take the nearest family's centroid at the loop's length, other residues their basin's centre; the rest stay.
+
+    res carries basin; loops has chain_id, start, length, pts; families has centroid. Adds kind: loop, basin or kept.
+    """
+    n = families.count()
+    if n > MOST_FAMILIES:
+        raise ValueError(f"{n} families, more than {MOST_FAMILIES}")
+    library = families.select(F.concat_ws("|", "g", F.col("cluster").cast("string")).alias("family"), "centroid")
+    pairs = loops.select("chain_id", "start", "length", "pts").crossJoin(F.broadcast(library))
+    nearest = pairs.groupBy("chain_id", "start", "length").agg(F.min_by("centroid", F.struct(path_distance(F.col("pts"), F.col("centroid")), F.col("family"))).alias("centroid"))
+    points = nearest.select("chain_id", "start", F.posexplode(resampled(F.col("centroid"), F.col("length").cast("int"))).alias("k", "p"))
+    # Where loops overlap, the later one is written last.
+    new = points.select("chain_id", (F.col("start") + F.col("k")).cast("int").alias("pos"), "start", "p").groupBy("chain_id", "pos").agg(F.max_by("p", "start").alias("p"))
+    rows = res.join(new, ["chain_id", "pos"], "left")
+    centre = lambda i: F.coalesce(*[F.when(F.col("basin") == b, F.lit(v[i])) for b, v in CENTRES.items()])
+    kind = F.when(F.col("p").isNotNull(), "loop").when(F.col("basin").isin(*CENTRES), "basin").otherwise("kept")
+    pick = lambda c, i: F.coalesce(F.col("p")[c], F.radians(centre(i)), F.col(c))
+    return rows.withColumn("kind", kind).withColumn("new_phi", pick("phi", 0)).withColumn("new_psi", pick("psi", 1)).drop("p", "phi", "psi").withColumnsRenamed({"new_phi": "phi", "new_psi": "psi"})
+
+
+def deviations(a: DataFrame, b: DataFrame, most: float = 0.5) -> DataFrame:
+    """chain_id, n, rmsd of the CA atoms that both tables have, passed (below `most`). A chain is one Arrow group."""
+
+    def run(pdf):
+        import pandas as pd
+
+        from angleweave.functions.geometry import superposed_rmsd
+
+        x = pdf.sort_values("pos")
+        r = superposed_rmsd(x[["ax", "ay", "az"]].to_numpy(), x[["bx", "by", "bz"]].to_numpy()) if len(x) >= 3 else None
+        return pd.DataFrame({"chain_id": [x["chain_id"].iloc[0]], "n": [len(x)], "rmsd": [r]})
+
+    one = lambda df, k: df.select("chain_id", "pos", *[F.col(f"ca{d}").alias(f"{k}{d}") for d in "xyz"])
+    out = one(a, "a").join(one(b, "b"), ["chain_id", "pos"]).groupBy("chain_id").applyInPandas(run, "chain_id bigint, n bigint, rmsd double")
+    return out.withColumn("passed", F.col("rmsd") < most)
+
+
+def compared(truth: DataFrame, observed: DataFrame, replaced: DataFrame) -> DataFrame:
+    """chain_id, rmsd of the rebuilt chain from observed angles, of the one from canonical angles, and their difference."""
+    of = lambda df, name: deviations(truth, df).select("chain_id", F.col("rmsd").alias(name))
+    return of(observed, "observed").join(of(replaced, "canonical"), "chain_id").withColumn("delta", F.col("canonical") - F.col("observed"))

@@ -115,3 +115,56 @@ def bootstrap_mean(df: DataFrame, group: str, value: str, rounds: int = 10_000,
         return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(x)], "mean": [x.mean() if len(x) else None], "lo": [np.percentile(means, 2.5)], "hi": [np.percentile(means, 97.5)]})
 
     return df.select(group, value).groupBy(group).applyInPandas(run, f"{group} string, n bigint, mean double, lo double, hi double")
+
+
+def principal(df: DataFrame, columns: list[str]) -> dict:
+    """Eigenvalues (largest first) and loadings of standardised columns; spread by n, covariance by n - 1. One aggregation."""
+    import numpy as np
+
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = d.agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    k, n = len(columns), row["n"]
+    m = np.zeros((k, k))
+    for i, j in pairs:
+        m[i, j] = m[j, i] = row[f"c{i}_{j}"] or 0.0
+    sd = np.sqrt(np.maximum(np.diag(m) * (n - 1) / max(n, 1), 0))
+    sd[sd < 1e-12] = 1.0
+    values, vectors = np.linalg.eigh(m / np.outer(sd, sd))
+    vectors = vectors[:, ::-1].T
+    signs = np.sign(vectors[np.arange(k), np.abs(vectors).argmax(axis=1)])
+    return {"eigenvalues": values[::-1], "loadings": vectors * np.where(signs == 0, 1, signs)[:, None]}
+
+
+def bootstrap_ratio(df: DataFrame, kind: str, value: str, rounds: int = 1000, seed: int = 99, cells: int = 2000) -> DataFrame:
+    """Interval of mean(null) / mean(real), both sides resampled independently. A resample of many values is drawn as counts of
+    equal-frequency cells' rows, so what reaches the driver are at most 2 * cells sums whatever the data."""
+    import numpy as np
+
+    rows = df.where(F.col(value).isNotNull()).select(kind, value)
+    limits = rows.groupBy(kind).agg(F.percentile_approx(value, [k / cells for k in range(1, cells)], 10 * cells).alias("limits"), F.count(F.lit(1)).alias("n"))
+    # At most two rows of limits: a constant-size side.
+    cell = F.size(F.filter("limits", lambda x: x < F.col(value)))
+    parts = rows.join(F.broadcast(limits), kind).groupBy(kind, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var")).orderBy(kind, "cell").toPandas()
+    rng, drawn, means = np.random.default_rng(seed), {}, {}
+    for name in ("real", "null"):
+        x = parts[parts[kind] == name]
+        n, mean, var = x["n"].to_numpy(), x["mean"].to_numpy(), x["var"].to_numpy()
+        total = n.sum()
+        times = rng.multinomial(total, n / total, rounds)
+        noise = rng.normal(size=(rounds, len(n))) * np.sqrt(np.maximum(times * var, 0))
+        drawn[name], means[name] = ((times * mean + noise).sum(axis=1)) / total, (n * mean).sum() / total
+    ratio = drawn["null"] / drawn["real"]
+    return df.sparkSession.createDataFrame([(float(means["null"] / means["real"]), float(np.percentile(ratio, 2.5)), float(np.percentile(ratio, 97.5)))], "ratio double, lo double, hi double")
+
+
+def sweep_variation(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Number, mean, coefficient of variation and range of a value over the settings of a sweep."""
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("settings"), F.avg(value).alias("mean"), (100 * F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0.0))).alias("cv_pct"), (F.max(value) - F.min(value)).alias("spread"))
+
+
+def rejections(log: DataFrame) -> DataFrame:
+    """By position, the share of rejected attempts overall and in the first and second half of the chain."""
+    rows = log.withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("chain_id")))
+    early = 2 * F.col("pos") <= F.col("len")
+    return rows.groupBy("pos").agg(F.count(F.lit(1)).alias("attempts"), F.avg("rejected").alias("rate"), F.avg(F.when(early, F.col("rejected"))).alias("early"), F.avg(F.when(~early, F.col("rejected"))).alias("late"))

@@ -377,8 +377,12 @@ for _name, _text in reports.REPORTS.items():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import extended  # noqa: F401 - registers its own; it imports this module
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import extended  # noqa: F401
+
     return dict(SQL)
