@@ -1,15 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
 Every document gets a few shares (symbols, repeated words, repeated lines, capitals,
-long words ...). A rule rejects a document whose share is above a cutoff. Cutoffs are chosen per stratum
-(language) on labelled documents: for a rule the fixed list of cutoffs is tested from
-the loosest to the strictest, each by an exact binomial test of "this cutoff rejects
-RISK or more of the good documents", and testing stops at the first cutoff that is not
-certified (fixed-sequence testing, which needs no correction within a rule). The error
-level CONFIDENCE is divided by strata times rules (Bonferroni). The strictest certified
-cutoff is used; without one the rule rejects nothing in that stratum. RISK is
-divided by the number of rules, so all rules together reject a good document with
-probability below RISK.
+long words ...). A rule rejects a document whose share is above a cutoff. The rules are
+certified together: a sequence of joint rule sets, each tightening one rule by one
+cutoff, is tested per stratum (language) on its good labelled documents from the loosest
+set on, each by an exact binomial test of "this set rejects the risk or more of the good
+documents", until the first set that is not certified (fixed-sequence testing, which needs
+no correction within a stratum). CONFIDENCE is divided by the strata tested, the only
+correction. The order of the sequence comes from the documents labelled bad, which
+the tests do not use: what rejects most of them a step comes first.
+
+The risk is RISK; a stratum whose labels are too few to certify that is tested at the
+least risk they can certify without a rejection, which follows from their number alone. Beyond
+MOST_RISK nothing is certified.
 
 Defined cases: null text has no words and fails the base rules; a null language is a
 stratum of its own; a stratum without labels certifies nothing; repeated rows are
@@ -33,6 +36,7 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20
 
 RISK = 0.01
+MOST_RISK = 0.05
 CONFIDENCE = 0.05
 #: Shares and their cutoffs from the loosest to the strictest.
 CUTOFFS = {
@@ -127,35 +131,49 @@ def upper_bound(k: int, n: int, level: float) -> float:
 
 
 def certified(rejected: list[int], n: int, risk: float, level: float) -> int | None:
-    """Of counts of rejected good documents from the loosest cutoff on: the place of the strictest certified one."""
+    """Of counts of rejected good documents from the loosest set on: the place of the strictest certified one."""
     last = None
     for place, k in enumerate(rejected):
-        # Binomial cdf at the risk below the level: the exact upper bound is below the risk.
+        # Binomial cdf at the risk at most the level: the exact upper bound is not above the risk.
         if n == 0 or k > risk * n or binomial_cdf(k, n, risk) > level:
             break
         last = place
     return last
 
 
-def choose(rows: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> list[tuple[str, str, float, int, int]]:
-    """(stratum, rule, cutoff, rejected, n) of the certified cutoffs. One aggregation over the labelled rows."""
-    good = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select(F.col("doc_id").alias("__aw_id")).distinct()
-    held = rows.filter(~base_failed()).join(good, F.col("doc_id") == F.col("__aw_id"), "left_semi")
+def sequence(caught: dict[str, list[int]]) -> list[tuple[str, int]]:
+    """(rule, place) of every cutoff, a rule's from loose to strict: the run of steps that newly rejects most bad documents a step comes next."""
+    at, out = {r: 0 for r in caught}, []
+    while open_ := [r for r in caught if at[r] < len(caught[r])]:
+        before = {r: caught[r][at[r] - 1] if at[r] else 0 for r in open_}
+        runs = [((caught[r][k] - before[r]) / (k + 1 - at[r]), -(k + 1) / len(caught[r]), r, k) for r in open_ for k in range(at[r], len(caught[r]))]
+        _, _, r, k = max(runs)
+        out += [(r, j) for j in range(at[r], k + 1)]
+        at[r] = k + 1
+    return out
+
+
+def choose(rows: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> list[tuple[str, dict[str, float], int, int, float]]:
+    """(stratum, cutoffs by rule, rejected, n, risk) of the certified joint sets. Two aggregations over the labelled rows."""
+    label = labels.filter("quality is not null and toxic = 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__aw_id")).agg(F.max("quality").alias("best"))
+    held = stored(rows.filter(~base_failed()).join(label, F.col("doc_id") == F.col("__aw_id")), "rules-labelled")
     values = shares()
-    counts = [F.sum((values[r] > c).cast("bigint")).alias(f"{r}_{k}") for r, cs in CUTOFFS.items() for k, c in enumerate(cs)]
-    found = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
-    # A stratum of fewer rows cannot certify anything, even without a rejection: at most n / least strata come back.
-    rules = len(CUTOFFS)
-    each = risk / rules
-    least = math.log(confidence / rules) / math.log1p(-each)
-    strata = found.filter(F.col("n") >= least).collect()
-    level = confidence / max(1, len(strata) * rules)
+    counts = [F.count_if(values[r] > c).alias(f"{r}_{k}") for r, cs in CUTOFFS.items() for k, c in enumerate(cs)]
+    bad = held.filter("best = 0").agg(*counts).first()
+    order = sequence({r: [bad[f"{r}_{k}"] for k in range(len(cs))] for r, cs in CUTOFFS.items()})
+    # The first set of the sequence that rejects a row; a least over all steps, as sets only get stricter.
+    first = F.coalesce(*[F.when(values[r] > CUTOFFS[r][k], F.lit(i)) for i, (r, k) in enumerate(order)], F.lit(len(order)))
+    good = held.filter("best = 1").select("stratum", first.alias("first")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("first") <= i).alias(f"s{i}") for i in range(len(order))])
+    # A stratum of fewer rows cannot certify even MOST_RISK: at most n / least strata come back.
+    strata = good.filter(F.col("n") >= math.log(confidence) / math.log1p(-max(risk, MOST_RISK))).collect()
+    level = confidence / max(1, len(strata))
     out = []
     for s in strata:
-        for rule, cutoffs in CUTOFFS.items():
-            place = certified([s[f"{rule}_{k}"] for k in range(len(cutoffs))], s["n"], each, level)
-            if place is not None:
-                out.append((s["stratum"], rule, cutoffs[place], s[f"{rule}_{place}"], s["n"]))
+        # A hair above the least certifiable risk, against rounding.
+        own = max(risk, (1 - level ** (1 / s["n"])) * (1 + 1e-9))
+        place = certified([s[f"s{i}"] for i in range(len(order))], s["n"], own, level) if own <= max(risk, MOST_RISK) else None
+        if place is not None:
+            out.append((s["stratum"], {r: CUTOFFS[r][k] for r, k in order[: place + 1]}, s[f"s{place}"], s["n"], own))
     return out
 
 
@@ -165,9 +183,10 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: f
     chosen = choose(rows, labels, risk, confidence)
     values = shares()
     rejects = {}
-    for stratum, rule, cutoff, _, _ in chosen:
-        hit = (F.col("stratum") == stratum) & (values[rule] > F.lit(cutoff))
-        rejects[rule] = rejects[rule] | hit if rule in rejects else hit
+    for stratum, cutoffs, _, _, _ in chosen:
+        for rule, cutoff in cutoffs.items():
+            hit = (F.col("stratum") == stratum) & (values[rule] > F.lit(cutoff))
+            rejects[rule] = rejects[rule] | hit if rule in rejects else hit
     names = F.filter(F.array(*[F.when(hit, F.lit(rule)) for rule, hit in sorted(rejects.items())]).cast("array<string>"), lambda x: x.isNotNull())
     rows = rows.withColumn("base_failed", base_failed()).withColumn("failed_rules", names)
     return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
