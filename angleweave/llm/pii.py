@@ -7,14 +7,14 @@ change a match here and keep long runs from recursing; where a run of one class
 entered at every character, a look-behind lets it be entered at its start or at the end of
 the match before only.
 
-The method then protects the values found. A term beside a value reveals it by their
+The method then protects the values found. A term in the text of a value reveals it by their
 pointwise mutual information over the corpus, PMI = log2(N n(t,e) / (n(t) n(e))), counted in
 documents. Its share of the value's whole information -log2(n(e) / N) is the disclosure:
 at REMOVE or above the term is removed, at GENERALISE or above it is replaced by a class
 word. A pair must occur in LEAST documents, as one meeting is no evidence. n(t), n(e), n(t,e) and N
-count all documents. Only documents that hold the value are changed.
-
-Terms stand within REACH code points of a value, which a reader links to it; n(t) is over whole texts.
+count all documents over whole texts. Every occurrence of the term is changed, in the documents
+that hold the value only. Pairs are built for values of LEAST documents or more. Values are masked before
+words are taken, so a word that a base span touches is no term.
 
 Defined cases: null text is empty; texts without values have no spans; an empty list
 digests the empty string; a null doc_id is carried; repeated rows count as documents.
@@ -22,7 +22,7 @@ digests the empty string; a null doc_id is carried; repeated rows count as docum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, WORD, broadcast_if_small, stored, text_of
@@ -38,7 +38,6 @@ PATTERNS = {
 GUARDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 CLASS_WORDS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
-REACH = 120
 LEAST = 3
 GENERALISE = 0.5
 REMOVE = 0.8
@@ -103,43 +102,46 @@ def term_of(word: str) -> str:
     return f"lower(trim(both '{edge}' from {word}))"
 
 
-def _contexts(rows: DataFrame) -> DataFrame:
-    """Adds near, array<struct<entity, term, start, end>>: the words beside each value that no base span touches."""
-    before = f"substring(__text, greatest(0, s.start - {REACH}) + 1, least(s.start, {REACH}))"
-    after = f"substring(__text, s.end + 1, {REACH})"
-    windows = f"flatten(transform(spans, s -> array(named_struct('entity', s.value, 'at', greatest(0, s.start - {REACH}), 'part', {before}, 'cut', s.start > {REACH}, 'cut_end', false), named_struct('entity', s.value, 'at', s.end, 'part', {after}, 'cut', false, 'cut_end', char_length({after}) = {REACH}))))"
-    rows = rows.withColumn("__w", F.expr(f"if(size(spans) > 0, {windows}, null)"))
-    words = f"regexp_extract_all(w.part, {_sql('(' + WORD + ')')}, 1)"
-    placed = _placed("w.part", WORD, "w.words")
-    rows = rows.withColumn("__w", F.expr(f"transform(__w, w -> named_struct('entity', w.entity, 'at', w.at, 'part', w.part, 'cut', w.cut, 'cut_end', w.cut_end, 'words', {words}))"))
-    # A word that the window cuts in two is left out.
-    whole = "not (w.cut and x.start = 0) and not (w.cut_end and x.end = char_length(w.part))"
-    near = f"flatten(transform(filter(__w, w -> size(w.words) > 0), w -> transform(filter({placed}, x -> {whole}), x -> named_struct('entity', w.entity, 'term', {term_of('x.value')}, 'start', x.start + w.at, 'end', x.end + w.at))))"
-    rows = rows.withColumn("near", F.expr(near))
-    rows = rows.withColumn("near", F.expr("array_distinct(filter(near, n -> char_length(n.term) >= 3 and not exists(spans, s -> s.start < n.end and n.start < s.end)))"))
-    return rows.drop("__w")
+#: Stands for a character of a base span; a noncharacter, as long as what it replaces.
+MASK = "\uffff"
+
+
+def _masked(rows: DataFrame) -> DataFrame:
+    """Adds masked, the text with its base spans masked character by character; null without spans."""
+    step = f"if(x.end <= s.at, s, named_struct('at', x.end, 'out', concat(s.out, substring(__text, s.at + 1, x.start - s.at), repeat('{MASK}', x.end - greatest(x.start, s.at)))))"
+    masked = f"aggregate(spans, named_struct('at', 0, 'out', ''), (s, x) -> {step}, s -> concat(s.out, substring(__text, s.at + 1)))"
+    return rows.withColumn("masked", F.expr(f"if(size(spans) > 0, {masked}, null)"))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """One narrow row per document, written: rid, doc_id, spans, near."""
+    """One row per document, written: rid, doc_id, spans, masked."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of().alias("__text"))
-    return stored(_contexts(base_spans(rows)).drop("__text"), "pii-found")
+    return stored(_masked(base_spans(rows)).drop("__text"), "pii-found")
+
+
+def _terms(text: str) -> str:
+    return f"array_distinct(transform(split({text}, {_sql(SPACE_CLASS)}), w -> {term_of('w')}))"
+
+
+def held_values(rows: DataFrame) -> DataFrame:
+    """rid, entity, n_entity of the values that LEAST documents or more hold, written."""
+    held = rows.filter("size(spans) > 0").select("rid", F.explode(F.expr("array_distinct(transform(spans, s -> s.value))")).alias("entity"))
+    often = stored(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= LEAST), "pii-values")
+    return stored(held.join(broadcast_if_small(often, often.count()), "entity").select("rid", "entity", "n_entity"), "pii-held")
 
 
-def disclosures(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def disclosures(rows: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
     """entity, term, disclosure of the pairs at or above GENERALISE, from all documents."""
-    pairs = rows.filter("size(near) > 0").select(F.explode(F.expr("array_distinct(transform(near, n -> named_struct('entity', n.entity, 'term', n.term)))")).alias("p"))
-    pairs = pairs.groupBy("p.entity", "p.term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= LEAST)
+    values = held.groupBy("rid").agg(F.collect_list(F.struct("entity", "n_entity")).alias("es"))
+    pairs = rows.filter("masked is not null").join(values, "rid").select("es", F.explode(F.expr(f"filter({_terms('masked')}, t -> char_length(t) >= 3 and not contains(t, '{MASK}'))")).alias("term"))
+    pairs = pairs.select("term", F.explode("es").alias("e")).groupBy("e.entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("e.n_entity").alias("n_entity")).filter(F.col("n_both") >= LEAST)
     pairs = stored(pairs, "pii-pairs")
-    terms = stored(pairs.select("term").distinct(), "pii-terms")
-    n_terms = terms.count()
-    entities = rows.filter("size(spans) > 0").select(F.explode(F.expr("array_distinct(transform(spans, s -> s.value))")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= LEAST)
-    if n_terms == 0:
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
+    if pairs.isEmpty():
+        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     total = rows.count()
-    words = docs.select(F.explode(F.expr(f"array_distinct(transform(split(coalesce(text, ''), {_sql(SPACE_CLASS)}), w -> {term_of('w')}))")).alias("term"))
-    counts = words.join(broadcast_if_small(terms, n_terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    rated = pairs.join(counts, "term").join(entities, "entity")
+    # Counted before they are joined: a term of many documents is one row a task.
+    counts = docs.select(F.explode(F.expr(_terms("coalesce(text, '')"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter(F.col("n_term") >= LEAST)
+    rated = pairs.join(counts, "term")
     pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     whole = -F.log2(F.col("n_entity") / F.lit(float(total)))
     rated = rated.withColumn("disclosure", F.when(whole > 0, pmi / F.when(whole > 0, whole)).otherwise(F.lit(0.0)))
@@ -148,13 +150,19 @@ def disclosures(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def revealing_terms(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rid and terms, array<struct<start, rank, end, removed>>: the spans that the method adds."""
-    rated = stored(disclosures(rows, docs), "pii-disclosures")
-    near = rows.filter("size(near) > 0").select("rid", F.explode("near").alias("n")).select("rid", "n.*")
-    hits = near.join(broadcast_if_small(rated, rated.count()), ["entity", "term"])
-    # A word beside several values is one span; what it discloses most decides.
-    hits = hits.groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    held = held_values(rows)
+    rated = stored(disclosures(rows, held, docs), "pii-disclosures")
+    # What a term discloses most in a document decides.
+    hits = held.join(broadcast_if_small(rated, rated.count()), "entity").groupBy("rid", "term").agg(F.max("disclosure").alias("disclosure"))
+    hits = stored(hits, "pii-hits")
+    texts = rows.join(hits.select("rid").distinct(), "rid", "left_semi").select("rid", "masked")
+    # Words and the gaps before them: a word starts after all earlier pieces.
+    texts = texts.select("rid", F.expr(f"regexp_extract_all(masked, {_sql('(' + WORD + ')')}, 1)").alias("words"), F.expr(f"split(masked, {_sql(WORD)}, -1)").alias("gaps"))
+    words = texts.select("rid", F.posexplode(F.expr("transform(words, (w, i) -> named_struct('word', w, 'gap', char_length(get(gaps, i))))")).alias("i", "w")).select("rid", "i", "w.word", (F.col("w.gap") + F.char_length("w.word")).alias("size"))
+    words = words.withColumn("end", F.sum("size").over(Window.partitionBy("rid").orderBy("i")).cast("int")).withColumn("start", F.col("end") - F.char_length("word"))
+    at = words.filter(~F.contains("word", F.lit(MASK))).select("rid", "start", "end", F.expr(term_of("word")).alias("term")).join(hits, ["rid", "term"])
     one = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", (F.col("disclosure") >= REMOVE).alias("removed"))
-    return hits.groupBy("rid").agg(F.array_sort(F.collect_list(one)).alias("terms"))
+    return at.groupBy("rid").agg(F.array_sort(F.collect_list(one)).alias("terms"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Places where operators once did less than the whole job."""
 
-from angleweave.llm import quality_rules
+from angleweave.llm import pii, quality_rules
 
 
 def test_op10_small_languages_get_rules(spark):
@@ -19,3 +19,17 @@ def test_op10_false_rejection_stays_below_the_risk():
     assert sorted(order) == sorted((r, k) for r, c in quality_rules.CUTOFFS.items() for k in range(len(c)))
     assert all(order.index((r, k)) < order.index((r, k + 1)) for r, k in order if (r, k + 1) in order)
     assert quality_rules.certified([0, 0, 4, 4], 437, 0.01, 0.0125) == 1
+
+
+def test_op4_terms_anywhere_in_the_text(spark):
+    """A holder's name far from the value is rated and every occurrence of it is a span, in the documents of the value only."""
+    far = " ".join(f"filler{k}" for k in range(60))
+    texts = [f"Zelenka, wrote {far} mail a.b@c.de {far} as ZELENKA said" for _ in range(4)] + [f"{far} plain text {k}" for k in range(60)] + ["Zelenka alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    spans = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    t, at = texts[0], texts[0].index("ZELENKA")
+    for k in range(4):
+        assert {"term:0:8", f"term:{at}:{at + 7}"} <= set(spans[k].split(",")) and f"email:{t.index('a.b@')}:{t.index('a.b@') + 8}" in spans[k]
+    assert all(not spans[k] for k in range(4, len(texts)))
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert "elenka" not in clean[0].lower() and "filler59" in clean[0] and clean[64] == "Zelenka alone"
