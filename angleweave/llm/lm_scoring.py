@@ -5,10 +5,12 @@ documents) share one vocabulary, one support of bigrams, one discount and one
 smoothing; only their counts differ. A document's score is the mean over its words of
 loss under the target minus loss under the background: below zero it is closer to the target.
 
-Counts cover all documents. The vocabulary holds the words that make up VOCABULARY or
-more of all words, so at most 1 / VOCABULARY words at any size of the corpus; other words
-share one id. A bigram is in the models if it makes up BIGRAMS or more of all words;
-the rest of a context's mass goes to unigrams. These two bounds are the proven bounds of what is broadcast.
+Counts cover all documents. The vocabulary holds every word that occurs LEAST times or more in them,
+the support every bigram that does, whatever the size of the corpus; other words share one unknown word, and
+the rest of a context's mass goes to unigrams. Nothing of the model is broadcast or gathered. Documents are
+taken in chunks of CHUNK bytes, as the scan gives them; a chunk asks for its distinct words and bigrams,
+which are counted and looked up in a join sharded by their hash, so that a common one is one row a chunk,
+and the answers meet the chunk's documents. Words and bigrams are told apart by 64-bit hashes.
 
 Defined cases: null and empty texts have no words, losses and score 0; documents without
 a label are background; without labelled documents the target is uniform over the
@@ -17,16 +19,17 @@ vocabulary; repeated rows count as often as they occur; very long texts are coun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import small_batches, stored, utf8
 
-VOCABULARY = 1e-5
-BIGRAMS = 1e-6
+LEAST = 2
 DISCOUNT = 0.6
-#: Words that a task gathers before it hands on their counts.
-FLUSH = 2_000_000
+#: Bytes of text that share one lookup.
+CHUNK = 24 << 20
+#: Rows that are not words: the start of a text, as a word and a context, and the sum of all words.
+START, TOTAL = 1, 2
 #: Labels up to this many rows are broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -41,135 +44,174 @@ def _flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if good.count() <= BROADCAST_IDS:
         good = F.broadcast(good)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(good, F.col("doc_id") == F.col("__aw_id"), "left")
-    return rows.select("text", F.col("__aw_id").isNotNull().cast("int").alias("target"))
+    return rows.select("doc_id", "text", F.col("__aw_id").isNotNull().cast("int").alias("target"))
 
 
-def _unigrams(batches):
-    from collections import Counter
+def _chunked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """chunk, doc_id, text, target, written: each chunk holds the documents of one task in their order, up to CHUNK bytes."""
 
-    import pyarrow as pa
-
-    def rows():
-        words = [*{*both[0], *both[1]}]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([both[0][w] + both[1][w] for w in words], pa.int64()), pa.array([both[1][w] for w in words], pa.int64())], names=["word", "n", "target"])
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-    both = Counter(), Counter()
-    for batch in batches:
-        for text, target in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-            both[target].update(_words(text))
-        if len(both[0]) + len(both[1]) > FLUSH // 8:
-            yield rows()
-            both[0].clear(), both[1].clear()
-    yield rows()
+        at, size = TaskContext.get().partitionId() << 24, 0
+        for batch in batches:
+            chunks = []
+            for n in batch.column(1).cast(pa.binary()):
+                size += len(n.as_py() or b"")
+                chunks.append(at)
+                if size > CHUNK:
+                    at, size = at + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), *batch.columns], names=["chunk", *batch.schema.names])
 
+    return stored(_flagged(docs, labels).mapInArrow(run, "chunk bigint, doc_id bigint, text string, target int"), "lm-docs")
 
-def _bigrams(shared):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        vocabulary = shared.value
-        unknown, width = len(vocabulary), len(vocabulary) + 2
+def _hashed(words):
+    """64-bit hashes of words; the first word is the start."""
+    import hashlib
 
-        def rows():
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes >> 1), pa.array(n, pa.int64()), pa.array(n * (codes & 1), pa.int64())], names=["code", "n", "target"])
+    import numpy as np
 
-        held, words = [], 0
-        for batch in batches:
-            for text, target in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-                found = _words(text)
-                if found:
-                    ids = np.fromiter((vocabulary.get(w, unknown) for w in found), np.int64, len(found))
-                    held.append((np.concatenate([[unknown + 1], ids[:-1]]) * width + ids) * 2 + target)
-                    words += len(found)
-            if words > FLUSH:
-                yield rows()
-                held, words = [], 0
-        if held:
-            yield rows()
+    out = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), "<i8").copy()
+    out[(out >= 0) & (out <= TOTAL)] += TOTAL + 1
+    out[0] = START
+    return out
 
-    return run
 
+def _pair(before, word):
+    """The hash of a bigram from those of its words."""
+    import numpy as np
 
-class Models:
-    """Losses of both models over the shared vocabulary."""
+    x = before.view("u8") * np.uint64(0x9E3779B97F4A7C15) + word.view("u8")
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    x = (x ^ (x >> np.uint64(31))).view("i8")
+    return np.where((x >= 0) & (x <= TOTAL), x + TOTAL + 1, x)
 
-    def __init__(self, vocabulary: dict[bytes, int], unigrams, codes, bigrams):
-        """unigrams: (2, words + 2), background and target, the last two unknown and start; bigrams: (2, codes)."""
-        import numpy as np
 
-        self.vocabulary, self.codes, self.width = vocabulary, codes, len(vocabulary) + 2
-        before = codes // self.width
-        self.unigram, self.backoff, self.bigram = [], [], []
-        for c1, c2 in zip(unigrams, bigrams):
-            words = c1.copy()
-            words[-1] = 0  # the start is never predicted
-            p1 = (words + 1.0) / (words.sum() + len(words))
-            own = np.maximum(c2 - DISCOUNT, 0) / np.maximum(c1[before], 1)
-            rest = np.maximum(1 - np.bincount(before, own, self.width), 1e-9)
-            self.unigram.append(-np.log(p1))
-            self.backoff.append(-np.log(rest))
-            self.bigram.append((-np.log(own + rest[before] * p1[codes % self.width])).astype("f4"))
-
-    def losses(self, text: bytes) -> tuple[int, float, float]:
-        """Words, mean background loss, mean target loss."""
-        import numpy as np
+def _ids(texts, local):
+    """Ids of every text's words in local, which grows; 0 is the start."""
+    import numpy as np
 
+    for text in texts:
         found = _words(text)
-        if not found:
-            return 0, 0.0, 0.0
-        unknown = len(self.vocabulary)
-        ids = np.fromiter((self.vocabulary.get(w, unknown) for w in found), np.int64, len(found))
-        before = np.concatenate([[unknown + 1], ids[:-1]])
-        code = before * self.width + ids
-        at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
-        hit = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
-        out = [float(np.where(hit, b[at] if len(b) else 0.0, o[before] + u[ids]).sum(dtype="f8") / len(found)) for u, o, b in zip(self.unigram, self.backoff, self.bigram)]
-        return len(found), *out
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Models:
+        yield np.fromiter((local.setdefault(w, len(local)) for w in found), np.int64, len(found))
+
+
+def _before(ids):
     import numpy as np
 
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = _flagged(docs, labels)
-    counted = rows.mapInArrow(_unigrams, "word binary, n bigint, target bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
-    from .common import stored
-
-    counted = stored(counted, "lm-words")
-    total, good = counted.agg(F.sum("n"), F.sum("target")).first()
-    total, good = total or 0, good or 0
-    # At most 1 / VOCABULARY rows.
-    common = counted.filter((F.col("n") >= F.lit(max(1.0, VOCABULARY * total))) & (F.length("word") <= 256)).orderBy("word").collect()
-    vocabulary = {bytes(r.word): k for k, r in enumerate(common)}
-    sizes = rows.agg(F.count(F.lit(1)), F.sum("target")).first()
-    starts = sizes[0] or 0, sizes[1] or 0
-    unigrams = [np.array([*known, all_ - sum(known), start], float) for known, all_, start in (([r.n for r in common], total, starts[0]), ([r.target for r in common], good, starts[1]))]
-    shared = spark.sparkContext.broadcast(vocabulary)
-    pairs = rows.mapInArrow(_bigrams(shared), "code bigint, n bigint, target bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
-    # At most 1 / BIGRAMS rows.
-    kept = pairs.filter(F.col("n") >= F.lit(max(2.0, BIGRAMS * total))).toArrow().sort_by("code")
-    codes = kept.column("code").to_numpy()
-    return Models(vocabulary, unigrams, codes, [kept.column(c).to_numpy().astype(float) for c in ("n", "target")])
-
-
-def _scorer(shared):
-    def run(batches):
+    return np.concatenate([[0], ids[:-1]])
+
+
+def _asked(batches):
+    """code, context, chunk, n, target: a chunk's distinct words (context 0) and bigrams with their counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    local, chunk, held, marks = {b"": 0}, None, [], []
+
+    def rows():
+        hashes = _hashed(local)
+        at = np.repeat(np.array(marks, np.int64), [len(i) for i in held])
+        ids, before = np.concatenate(held), np.concatenate([_before(i) for i in held])
+        codes, n = np.unique((before << 32 | ids << 1) | at, return_counts=True)
+        first = np.flatnonzero(np.diff(codes >> 1, prepend=-1))
+        t, n, codes = np.add.reduceat(n * (codes & 1), first), np.add.reduceat(n, first), codes[first] >> 1
+        context = hashes[codes >> 31]
+        words, good = np.bincount(ids, minlength=len(local)), np.bincount(ids, at, len(local)).astype(np.int64)
+        words[0], good[0] = len(held), sum(marks)
+        code = np.concatenate([hashes, [TOTAL], _pair(context, hashes[codes & (1 << 31) - 1])])
+        out = [code, np.concatenate([np.zeros(len(hashes) + 1, np.int64), context]), np.full(len(code), chunk), np.concatenate([words, [len(ids)], n]), np.concatenate([good, [at.sum()], t])]
+        for k in range(0, len(code), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)].astype(np.int64)) for c in out], names=["code", "context", "chunk", "n", "target"])
+
+    for batch in batches:
+        for c, text, target in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+            if c != chunk:
+                if held:
+                    yield from rows()
+                local, chunk, held, marks = {b"": 0}, c, [], []
+            ids = next(_ids([text], local))
+            if len(ids):
+                held.append(ids)
+                marks.append(target)
+    if held:
+        yield from rows()
+
+
+def _looked_up(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of _asked of LEAST or more with the counts over all documents, and the mass of every context's bigrams."""
+    asked = rows.select("chunk", "text", "target").mapInArrow(_asked, "code bigint, context bigint, chunk bigint, n bigint, target bigint")
+    same = Window.partitionBy("code", "context")
+    asked = asked.select("code", "context", "chunk", F.sum("n").over(same).alias("n"), F.sum("target").over(same).alias("target"), F.min("chunk").over(same).alias("__first"))
+    asked = asked.filter((F.col("n") >= LEAST) | F.col("code").between(START, TOTAL))
+    # The context is needed once a word or bigram, for the sums below.
+    known = stored(asked.select("chunk", "code", "n", "target", (F.col("context") == 0).alias("is_word"), F.when(F.col("chunk") == F.col("__first"), F.col("context")).alias("context")), "lm-counts")
+    # The counting's shuffle files are not needed any more; Spark drops them when the driver's objects are collected.
+    rows.sparkSession.sparkContext._jvm.System.gc()
+    mass = lambda c: F.sum(F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0)))
+    contexts = known.filter("context != 0").groupBy(F.col("context").alias("code")).agg(mass("n").alias("mass"), mass("target").alias("target_mass"))
+    return known, contexts
+
+
+def _scorer(vocabulary: int, totals, unknown):
+    def run(docs, answers):
+        import numpy as np
         import pyarrow as pa
 
-        models = shared.value
-        for batch in batches:
-            found = [models.losses(x) for x in utf8(batch.column(1))]
-            n, background, target = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(background, pa.float64()), pa.array(target, pa.float64())], names=["doc_id", "n_words", "background_loss", "target_loss"])
+        code, n, target, mass, target_mass, is_word = (answers.column(c).to_numpy() for c in ("code", "n", "target", "mass", "target_mass", "is_word"))
+        is_word, local = is_word.astype(bool), {b"": 0}
+        texts = utf8(docs.column("text").combine_chunks())
+        held = [*_ids(texts, local)]
+        hashes = _hashed(local)
+
+        def table(keep, *columns):
+            order = np.argsort(code[keep])
+            return [c[keep][order] for c in (code, *columns)]
+
+        def at(keys, asked):
+            place = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+            return place, keys[place] == asked if len(keys) else np.zeros(len(asked), bool)
+
+        keys, *values = table(is_word, n, target, mass, target_mass)
+        place, hit = at(keys, hashes)
+        values = [np.where(hit, np.nan_to_num(v[place].astype(float)) if len(v) else 0.0, 0.0) for v in values]
+        lost = []
+        for c, total, rest in zip(values[:2], totals, unknown):
+            lost.append((np.where(hit, c, rest) + 1.0) / (total + vocabulary + 1))
+        rests = [np.maximum(1 - m / np.maximum(c, 1), 1e-9) for c, m in zip(values[:2], values[2:])]
+        keys, *pairs = table(~is_word, n, target)
+        sizes, out = [len(i) for i in held], []
+        ids = np.concatenate([np.zeros(0, np.int64), *held])
+        before = np.concatenate([np.zeros(0, np.int64), *[_before(i) for i in held if len(i)]])
+        distinct, back = np.unique(before << 31 | ids, return_inverse=True)
+        h, w = distinct >> 31, distinct & (1 << 31) - 1
+        place, hit = at(keys, _pair(hashes[h], hashes[w]))
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        for c1, c2, p1, rest in zip(values[:2], pairs, lost, rests):
+            own = np.where(hit, np.maximum(c2[place] - DISCOUNT, 0) if len(c2) else 0.0, 0.0) / np.maximum(c1[h], 1)
+            loss = -np.log(own + rest[h] * p1[w])
+            out.append(np.bincount(doc, loss[back], len(sizes)) / np.maximum(sizes, 1))
+        return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(sizes, pa.int64()), "background_loss": pa.array(out[0]), "target_loss": pa.array(out[1])})
 
     return run
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, background_loss, target_loss, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_scorer(shared), "doc_id bigint, n_words bigint, background_loss double, target_loss double")
-    return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    small_batches(docs.sparkSession)
+    rows = _chunked(docs, labels)
+    known, contexts = _looked_up(rows)
+    # One row a distinct word: the first chunk's.
+    words = known.filter("context = 0")
+    count = lambda c, which: F.coalesce(F.sum(F.when(which, F.col(c))), F.lit(0))
+    total, word = F.col("code") == TOTAL, ~F.col("code").between(START, TOTAL)
+    n, all_, good, kept, kept_good = words.agg(F.count_if(word), count("n", total), count("target", total), count("n", word), count("target", word)).first()
+    answers = known.filter("is_word").join(contexts, "code", "left").select("chunk", "code", "n", "target", "mass", "target_mass", "is_word")
+    none = F.lit(None).cast("double")
+    answers = answers.unionByName(known.filter("not is_word").select("chunk", "code", "n", "target", none.alias("mass"), none.alias("target_mass"), "is_word"))
+    run = _scorer(n, (all_, good), (all_ - kept, good - kept_good))
+    out = rows.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "doc_id bigint, n_words bigint, background_loss double, target_loss double")
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

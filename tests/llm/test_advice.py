@@ -1,6 +1,12 @@
 """Places where operators once did less than the whole job."""
 
-from angleweave.llm import pii, quality_rules
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from angleweave.llm import lm_scoring, pii, quality_rules
 
 
 def test_op10_small_languages_get_rules(spark):
@@ -33,3 +39,32 @@ def test_op4_terms_anywhere_in_the_text(spark):
     assert all(not spans[k] for k in range(4, len(texts)))
     clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
     assert "elenka" not in clean[0].lower() and "filler59" in clean[0] and clean[64] == "Zelenka alone"
+
+
+def test_op2_rare_words_stay_in_the_models(spark, monkeypatch):
+    """Against counts by hand: every word and bigram of two occurrences is known, also those below 1e-5 of all words."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice([f"common{rng.randrange(30)}", f"rare{rng.randrange(4000)}"]) for _ in range(rng.randrange(60))) for _ in range(400)] + ["alpha beta gamma"] * 2 + [None, "", "the " * 120_000]
+    good = {k for k in range(len(texts)) if k % 3 == 0}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(k, 1, 0) for k in good], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(lm_scoring, "CHUNK", 3000)
+    have = {r.doc_id: r for r in lm_scoring.scored(docs, labels).collect()}
+    words = [(t or "").lower().split() for t in texts]
+    both = []
+    for chosen in (range(len(texts)), good):
+        c1, c2 = Counter(w for k in chosen for w in words[k]), Counter(p for k in chosen for p in zip(["<s>", *words[k]], words[k]))
+        both.append((c1, c2, sum(c1.values()), sum(bool(words[k]) for k in chosen)))
+    vocabulary, support = {w for w, n in both[0][0].items() if n >= 2}, {p for p, n in both[0][1].items() if n >= 2}
+    assert have.keys() == {*range(len(texts))} and "alpha" in vocabulary
+    for place, (c1, c2, total, starts) in enumerate(both):
+        unknown, mass = total - sum(c1[w] for w in vocabulary), Counter()
+        for p in support:
+            mass[p[0]] += max(c2[p] - 0.6, 0)
+        for k in range(len(texts)):
+            loss = 0.0
+            for h, w in zip(["<s>", *words[k]], words[k]):
+                n = starts if h == "<s>" else c1[h] if h in vocabulary else 0
+                own = max(c2[h, w] - 0.6, 0) / max(n, 1) if (h, w) in support else 0.0
+                loss -= math.log(own + max(1 - mass[h] / max(n, 1), 1e-9) * ((c1[w] if w in vocabulary else unknown) + 1) / (total + len(vocabulary) + 1))
+            assert have[k].n_words == len(words[k]) and have[k][2 + place] == pytest.approx(loss / max(len(words[k]), 1), abs=1e-9)
