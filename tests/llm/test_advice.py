@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from angleweave.llm import lm_scoring, pii, quality_rules
+from angleweave.llm import lm_scoring, pii, quality_classifier, quality_rules
 
 
 def test_op10_small_languages_get_rules(spark):
@@ -68,3 +68,16 @@ def test_op2_rare_words_stay_in_the_models(spark, monkeypatch):
                 own = max(c2[h, w] - 0.6, 0) / max(n, 1) if (h, w) in support else 0.0
                 loss -= math.log(own + max(1 - mass[h] / max(n, 1), 1e-9) * ((c1[w] if w in vocabulary else unknown) + 1) / (total + len(vocabulary) + 1))
             assert have[k].n_words == len(words[k]) and have[k][2 + place] == pytest.approx(loss / max(len(words[k]), 1), abs=1e-9)
+
+
+def test_op5_thresholds_cover_all_trusted_documents(spark, monkeypatch):
+    """All trusted documents outside the fit set the thresholds; a small bound of the fit takes none away."""
+    rng = random.Random(2)
+    rows = [(k, ["en", "xx"][k % 50 == 0], " ".join(rng.choice(["some", "plain", "words", "here"]) for _ in range(12))) for k in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k, _, _ in rows], "doc_id bigint, quality int, toxic int")
+    shared, losses, limits, other = quality_classifier.fit(docs, labels, train_docs=200)
+    # 240 documents of xx, all but a few held out: a language of 2% has a threshold of its own.
+    assert limits.keys() == {"en", "xx"}
+    loss = sorted(r.loss for r in losses.filter("lang = 'en'").collect())
+    assert abs(sum(x > limits["en"] for x in loss) - 0.002 * len(loss)) <= 6
