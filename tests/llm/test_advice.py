@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from angleweave.llm import lm_scoring, pii, quality_classifier, quality_rules
@@ -81,3 +82,27 @@ def test_op5_thresholds_cover_all_trusted_documents(spark, monkeypatch):
     assert limits.keys() == {"en", "xx"}
     loss = sorted(r.loss for r in losses.filter("lang = 'en'").collect())
     assert abs(sum(x > limits["en"] for x in loss) - 0.002 * len(loss)) <= 6
+
+
+def test_op5_tells_minority_scripts_from_junk(spark):
+    """A script of a few documents keeps its letters apart: shuffled letters of it lose more than its text."""
+    rng = random.Random(3)
+    latin, greek = ["plain", "words", "quick", "jumpy", "vexing", "azure", "ABCDEFG", "HIJKLMN", "OPQRSTU", "VWXYZ", "0123456789"], ["λόγος", "ἄνθρωπος", "θάλασσα", "κόσμος", "ψυχή"]
+    rows = [(k, "el" if k % 50 == 0 else "en", " ".join(rng.choice(greek if k % 50 == 0 else latin) for _ in range(60))) for k in range(3000)]
+    letters = "".join(greek)
+    odd = "".join(rng.choice(letters + " ") for _ in range(400))
+    rows.append((9999, "el", odd))
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k, _, _ in rows[:-1]], "doc_id bigint, quality int, toxic int")
+    found = {r.doc_id: r for r in quality_classifier.classified(docs, labels).collect()}
+    good = max(found[k].perplexity for k in range(0, 3000, 50))
+    assert found[9999].perplexity > 3 * good and not found[9999].kept
+
+
+def test_op5_probabilities_sum_to_one():
+    rng = np.random.default_rng(4)
+    s = rng.integers(1, 6, 400)
+    codes, n = np.unique(((s[:-3] << 15 | s[1:-2]) << 15 | s[2:-1]) << 15 | s[3:], return_counts=True)
+    model = quality_classifier.KneserNey(codes, n, 8)
+    for context in [*(codes[:5] >> 15), 7 << 30 | 7 << 15 | 7, 7 << 30 | 2 << 15 | 3]:
+        assert np.exp(-model((context << 15) + np.arange(8))).sum() == pytest.approx(1.0)
