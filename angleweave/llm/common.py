@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of one Arrow batch: at 1 MB a text a batch stays near 250 MB.
+#: Rows and bytes of one Arrow batch; a longer row has a batch of its own.
 ARROW_ROWS = 256
+ARROW_BYTES = 32 << 20
 
 #: A side of a join is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 100_000
@@ -29,14 +31,22 @@ def text_of(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="angleweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Removes the intermediate tables of all operators; to be called when no result is to be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/angleweave")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/angleweave/{name}-{uuid.uuid4().hex}"
 
@@ -55,6 +65,7 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

@@ -42,33 +42,45 @@ def test_op4_terms_anywhere_in_the_text(spark):
     assert "elenka" not in clean[0].lower() and "filler59" in clean[0] and clean[64] == "Zelenka alone"
 
 
-def test_op2_rare_words_stay_in_the_models(spark, monkeypatch):
-    """Against counts by hand: every word and bigram of two occurrences is known, also those below 1e-5 of all words."""
+def test_op2_by_hand(spark, monkeypatch):
+    """Against counts by hand: every word and bigram of all other documents counts, a document's own do not, in both models."""
     rng = random.Random(1)
     texts = [" ".join(rng.choice([f"common{rng.randrange(30)}", f"rare{rng.randrange(4000)}"]) for _ in range(rng.randrange(60))) for _ in range(400)] + ["alpha beta gamma"] * 2 + [None, "", "the " * 120_000]
     good = {k for k in range(len(texts)) if k % 3 == 0}
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
-    labels = spark.createDataFrame([(k, 1, 0) for k in good], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame([*enumerate(texts), (None, "alpha")], "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(k, 1, 0) for k in good] + [(0, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     monkeypatch.setattr(lm_scoring, "CHUNK", 3000)
+    monkeypatch.setattr(lm_scoring, "SHARD", 500)
     have = {r.doc_id: r for r in lm_scoring.scored(docs, labels).collect()}
+    texts.append("alpha")
     words = [(t or "").lower().split() for t in texts]
-    both = []
-    for chosen in (range(len(texts)), good):
-        c1, c2 = Counter(w for k in chosen for w in words[k]), Counter(p for k in chosen for p in zip(["<s>", *words[k]], words[k]))
-        both.append((c1, c2, sum(c1.values()), sum(bool(words[k]) for k in chosen)))
-    vocabulary, support = {w for w, n in both[0][0].items() if n >= 2}, {p for p, n in both[0][1].items() if n >= 2}
-    assert have.keys() == {*range(len(texts))} and "alpha" in vocabulary
-    for place, (c1, c2, total, starts) in enumerate(both):
-        unknown, mass = total - sum(c1[w] for w in vocabulary), Counter()
-        for p in support:
-            mass[p[0]] += max(c2[p] - 0.6, 0)
-        for k in range(len(texts)):
+    vocabulary = len({w for ws in words for w in ws}) + 1
+    assert have.keys() == {*range(len(texts) - 1), None}
+    for place, chosen in enumerate(({*range(len(texts))}, good)):
+        one, two = Counter(), Counter()
+        for k in chosen:
+            one.update(words[k])
+            two.update(zip(["<s>", *words[k]], words[k]))
+            one["<s>"] += bool(words[k])
+        total = sum(n for w, n in one.items() if w != "<s>")
+        for k, ws in enumerate(words):
+            own1, own2 = (Counter(ws), Counter(zip(["<s>", *ws], ws))) if k in chosen else (Counter(), Counter())
+            own1["<s>"] = int(k in chosen)
             loss = 0.0
-            for h, w in zip(["<s>", *words[k]], words[k]):
-                n = starts if h == "<s>" else c1[h] if h in vocabulary else 0
-                own = max(c2[h, w] - 0.6, 0) / max(n, 1) if (h, w) in support else 0.0
-                loss -= math.log(own + max(1 - mass[h] / max(n, 1), 1e-9) * ((c1[w] if w in vocabulary else unknown) + 1) / (total + len(vocabulary) + 1))
-            assert have[k].n_words == len(words[k]) and have[k][2 + place] == pytest.approx(loss / max(len(words[k]), 1), abs=1e-9)
+            for h, w in zip(["<s>", *ws], ws):
+                p1 = (one[w] - own1[w] + 1) / (total - (len(ws) if k in chosen else 0) + vocabulary)
+                loss -= math.log((two[h, w] - own2[h, w] + 20 * p1) / (one[h] - own1[h] + 20))
+            r = have[k if k < len(texts) - 1 else None]
+            assert r.n_words == len(ws) and r[2 + place] == pytest.approx(loss / max(len(ws), 1), abs=1e-9)
+    # Copies meet each other: their loss under the corpus is far below that of lone documents.
+    assert have[400].background_loss < min(r.background_loss for k, r in have.items() if k is not None and k < 400 and r.n_words > 3)
+
+
+def test_op2_without_target(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a c")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    for r in lm_scoring.scored(docs, labels).collect():
+        assert r.target_loss == pytest.approx(math.log(4))
 
 
 def test_op5_thresholds_cover_all_trusted_documents(spark, monkeypatch):
