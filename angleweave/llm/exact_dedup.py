@@ -1,8 +1,9 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-First pass: every row's hash falls into one of M slots; slots are counted with
-map-side combining, and only slots met twice or more go into a Bloom filter of
-bounded size. Second pass: a row whose slot the filter does not hold is unique and
+First pass: every row's hash falls into one of M slots, a counting Bloom filter of one
+hash that is kept sparse and sharded, as rows of a slot and its count (a dense filter of every task would
+send ten bits for every row of the corpus, task by task); slots met twice or more go into Bloom filters whose size and
+number follow these slots. Second pass: a row whose slot the filter does not hold is unique and
 passes straight through; only the others are shuffled by their full SHA-256.
 
 A group of copies that holds a large share of all rows is joined by broadcast: there
@@ -23,8 +24,11 @@ from pyspark.sql.internal import InternalFunction
 
 from .common import SPACE_CLASS, stored, text_of
 
-#: Upper bound of the filter: 2^26 bits, 8 MB. Beyond it more unique rows are shuffled; results stay exact.
+#: A filter has 2^26 bits (8 MB) at most, as many shards as the repeated slots need, and MOST_SHARDS (256 MB in all, 200 million repeated slots).
+#: Beyond that more unique rows are shuffled; results stay exact.
 MOST_BITS = 1 << 26
+MOST_SHARDS = 32
+BITS_A_SLOT = 10
 LEAST_BITS = 1 << 16
 SLOTS = 1 << 40
 SHARES = 10_000
@@ -38,47 +42,57 @@ def _slot(sha: Column) -> Column:
     return F.pmod(F.xxhash64(sha), F.lit(SLOTS).cast("bigint"))
 
 
-def repeated_slots_filter(slots: DataFrame, rows: int) -> DataFrame:
-    """One row, one binary: the Bloom filter of the slots (column slot) that were met at least twice."""
-    bits = LEAST_BITS
-    while bits < min(MOST_BITS, 10 * rows):
-        bits *= 2
-    again = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    internal = InternalFunction._invoke_internal_function_over_columns
-    return stored(again.agg(internal("bloom_filter_agg", F.xxhash64("slot"), F.lit(max(1, bits // 10)).cast("bigint"), F.lit(bits).cast("bigint")).alias("bloom")), "exact-bloom")
-
-
-def _maybe_repeated(slot: Column, bloom: DataFrame) -> Column:
-    """True where the filter may hold the slot; an empty filter (no repeats) holds none."""
-    # Spark runs this expression for its own run-time filters but gives it no name in SQL.
-    jvm = bloom.sparkSession._jvm
-    utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    probe = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(utils.expression(bloom.scalar()._jc), utils.expression(F.xxhash64(slot)._jc))
-    return F.coalesce(ClassicColumn(utils.column(probe)), F.lit(False))
+class Filters:
+    """Bloom filters of the slots that were met at least twice, one a shard of slots."""
+
+    def __init__(self, slots: DataFrame):
+        again = stored(slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("slot"), "exact-again")
+        repeats = again.count()
+        self.shards = max(1, min(MOST_SHARDS, -(-BITS_A_SLOT * repeats // MOST_BITS)))
+        bits = LEAST_BITS
+        while bits < min(MOST_BITS, BITS_A_SLOT * repeats // self.shards):
+            bits *= 2
+        internal = InternalFunction._invoke_internal_function_over_columns
+        bloom = internal("bloom_filter_agg", F.xxhash64("slot"), F.lit(max(1, bits // BITS_A_SLOT)).cast("bigint"), F.lit(bits).cast("bigint"))
+        self.table = stored(again.groupBy(self._shard(F.col("slot")).alias("shard")).agg(bloom.alias("bloom")), "exact-bloom")
+
+    def _shard(self, slot: Column) -> Column:
+        return F.pmod(slot, F.lit(self.shards).cast("bigint"))
+
+    def maybe_repeated(self, slot: Column) -> Column:
+        """True where the slot's filter may hold it; an empty filter (no repeats) holds none."""
+        # Spark runs this expression for its own run-time filters but gives it no name in SQL.
+        jvm = self.table.sparkSession._jvm
+        utils, probe = jvm.org.apache.spark.sql.classic.ExpressionUtils, jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain
+        out = F.lit(False)
+        for k in range(self.shards):
+            bloom = self.table.filter(F.col("shard") == k).select("bloom").scalar()
+            held = F.coalesce(ClassicColumn(utils.column(probe(utils.expression(bloom._jc), utils.expression(F.xxhash64(slot)._jc)))), F.lit(False))
+            out = F.when(self._shard(slot) == k, held).otherwise(out) if self.shards > 1 else held
+        return out
 
 
 def _order(doc_id: str, rid: str) -> Column:
     return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(rid).alias("rid"))
 
 
-def duplicate_groups(keyed: DataFrame, bloom: DataFrame) -> DataFrame:
+def duplicate_groups(keyed: DataFrame, filters: Filters) -> DataFrame:
     """sha, first (the row that stays), group_size of all texts that occur more than once."""
-    candidates = keyed.filter(_maybe_repeated(F.col("slot"), bloom))
+    candidates = keyed.filter(filters.maybe_repeated(F.col("slot")))
     return candidates.groupBy("sha").agg(F.min(_order("doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
 
 
-def _keyed(docs: DataFrame, rid: Column) -> DataFrame:
-    rows = docs.select("doc_id", F.unhex(F.sha2(F.encode(normalised(), "UTF-8"), 256)).alias("sha"), rid.alias("rid"))
-    return rows.withColumn("slot", _slot(F.col("sha")))
+def _sha() -> Column:
+    return F.unhex(F.sha2(F.encode(normalised(), "UTF-8"), 256))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    keyed = stored(_keyed(docs, F.monotonically_increasing_id()), "exact-keys")
+    keyed = stored(docs.select("doc_id", _sha().alias("sha"), F.monotonically_increasing_id().alias("rid")).withColumn("slot", _slot(F.col("sha"))), "exact-keys")
     rows = keyed.count()
-    bloom = repeated_slots_filter(keyed.select("slot"), rows)
-    groups = stored(duplicate_groups(keyed, bloom), "exact-groups")
-    hit = _maybe_repeated(F.col("slot"), bloom)
+    filters = Filters(keyed.select("slot"))
+    groups = stored(duplicate_groups(keyed, filters), "exact-groups")
+    hit = filters.maybe_repeated(F.col("slot"))
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     one = F.lit(1).cast("bigint").alias("group_size")
     straight = keyed.filter(~hit).select("doc_id", F.col("doc_id").alias("keep_id"), one, F.lit(True).alias("kept"), sha)
@@ -95,32 +109,24 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns. Unique rows are not shuffled; of the rest only candidates move."""
+    """The documents that stay, with their columns: of equal texts the row with the smallest doc_id, a null one last.
+
+    Texts are hashed once, into a written table whose row numbers carry the decisions, so rows of one id are
+    told apart. Unique rows are not shuffled; of the rest only candidates move. Null texts are equal to empty ones.
+    """
     columns = docs.columns
-    keyed = stored(_keyed(docs, F.lit(0).cast("bigint")), "exact-keys")
+    marked = stored(docs.select("*", _sha().alias("__aw_sha"), F.monotonically_increasing_id().alias("__aw_rid")), "exact-rows")
+    slot = _slot(F.col("__aw_sha"))
+    keyed = marked.select("doc_id", F.col("__aw_sha").alias("sha"), F.col("__aw_rid").alias("rid"), slot.alias("slot"))
     rows = keyed.count()
-    bloom = repeated_slots_filter(keyed.select("slot"), rows)
-    candidates = keyed.filter(_maybe_repeated(F.col("slot"), bloom))
-    groups = candidates.groupBy("sha").agg(F.min(_order("doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
-    groups = stored(groups.select(F.col("sha").alias("__aw_sha"), F.col("first.id").alias("__aw_keep"), F.col("group_size").alias("__aw_size")), "exact-groups")
-    # Ids that repeat inside their own group: there one row of several equal ones must be chosen.
-    tied = keyed.join(groups, (F.col("sha") == F.col("__aw_sha")) & F.col("doc_id").eqNullSafe(F.col("__aw_keep"))).groupBy("sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    tied = stored(tied.select(F.col("sha").alias("__aw_tied")), "exact-tied")
-    sha = F.unhex(F.sha2(F.encode(normalised(), "UTF-8"), 256))
-    marked = docs.withColumn("__aw_h", sha)
-    hit = _maybe_repeated(_slot(F.col("__aw_h")), bloom)
-    straight = marked.filter(~hit).select(*columns)
+    filters = Filters(keyed.select("slot"))
+    groups = duplicate_groups(keyed, filters).select(F.col("sha").alias("__aw_same"), F.col("first.rid").alias("__aw_first"), F.col("group_size").alias("__aw_size"))
+    groups = stored(groups, "exact-groups")
+    hit = filters.maybe_repeated(slot)
     maybe = marked.filter(hit)
     large = F.col("__aw_size") * SHARES >= rows
     hot = F.broadcast(groups.filter(large))
-    first = F.col("__aw_keep").eqNullSafe(F.col("doc_id"))
-    kept = maybe.join(hot, F.col("__aw_h") == F.col("__aw_sha")).filter(first).select(*columns, "__aw_h")
-    others = maybe.join(hot.select("__aw_sha"), F.col("__aw_h") == F.col("__aw_sha"), "left_anti")
-    others = others.join(groups.filter(~large), F.col("__aw_h") == F.col("__aw_sha"), "left").filter(F.col("__aw_size").isNull() | first).select(*columns, "__aw_h")
-    kept = kept.unionByName(others)
-    if tied.isEmpty():
-        return straight.unionByName(kept.select(*columns))
-    tied_join = F.col("__aw_h") == F.col("__aw_tied")
-    single = kept.join(tied, tied_join, "left_anti").select(*columns)
-    chosen = kept.join(tied, tied_join, "left_semi").dropDuplicates(["__aw_h"]).select(*columns)
-    return straight.unionByName(single).unionByName(chosen)
+    same, first = F.col("__aw_sha") == F.col("__aw_same"), F.col("__aw_rid") == F.col("__aw_first")
+    kept = maybe.join(hot, same).filter(first).select(*columns)
+    others = maybe.join(hot, same, "left_anti").join(groups.filter(~large), same, "left").filter(F.col("__aw_size").isNull() | first).select(*columns)
+    return marked.filter(~hit).select(*columns).unionByName(kept).unionByName(others)
