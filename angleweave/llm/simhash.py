@@ -27,6 +27,7 @@ from itertools import accumulate, combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches, stored, utf8
 from .graph import components
@@ -143,29 +144,49 @@ def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return components(links.unionByName(last), "fp", "other")
 
 
+def _components(rows: DataFrame, distance: int) -> DataFrame:
+    """fp, component, first of the distinct fingerprints; first is the component's least row. rows: fp, doc_id, rid."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("rid").alias("rid"))
+    distinct = stored(rows.groupBy("fp").agg(F.min(order).alias("least")), "simhash-distinct")
+    labels = linked(distinct.select("fp"), distance).select(F.col("node").alias("fp"), "component")
+    own = stored(distinct.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-own")
+    # Written before it is joined: the join then reads two plain shuffles, of which Spark splits a giant component.
+    least = stored(own.groupBy("component").agg(F.min("least").alias("first")), "simhash-least")
+    return stored(own.join(least, "component").select("fp", "component", "first"), "simhash-components")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     rows = stored(fingerprints(docs), "simhash-fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    labels = linked(distinct.select("fp"), distance).select(F.col("node").alias("fp"), "component")
-    own = distinct.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = stored(own.join(least, "component").select("fp", "component_id"), "simhash-ids")
+    ids = _components(rows.withColumn("rid", F.lit(0).cast("bigint")), distance).select("fp", F.col("first.id").alias("component_id"))
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _marked(at: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = np.array([simhash(t) for t in utf8(batch.column(at))], "u8").view("i8")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "__aw_fp"])
+
+    return run
+
+
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents with one of each group: the one with the smallest doc_id.
+    """The documents with one row of each group, with their columns: that of the smallest doc_id, a null one last.
 
-    Only ids are joined in a shuffle, and only those of dropped documents. A document of
-    several equal rows is dropped as a whole or reduced to one row.
+    Decisions are made by row, so rows of one id or without an id are told apart; of equal rows one stays. Rows
+    and fingerprints are written once; only row numbers are shuffled, and texts where dropped rows are many.
     """
-    groups = near_duplicates(docs, distance)
-    dropped = stored(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__aw_id")).distinct(), "simhash-dropped")
-    again = stored(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__aw_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__aw_id"), "simhash-again")
-    same = F.col("doc_id").eqNullSafe(F.col("__aw_id"))
+    small_batches(docs.sparkSession)
+    columns = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("__aw_fp", T.LongType())])
+    marked = stored(docs.mapInArrow(_marked(columns.index("text")), schema).withColumn("__aw_rid", F.monotonically_increasing_id()), "simhash-rows")
+    rows = marked.select(F.col("__aw_fp").alias("fp"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__aw_rid").alias("rid"))
+    first = _components(rows, distance).select("fp", F.col("first.rid").alias("first"))
+    dropped = stored(rows.join(first, "fp").filter(F.col("rid") != F.col("first")).select(F.col("rid").alias("__aw_rid")), "simhash-dropped")
+    # 8 bytes a row: a million rows are 8 MB.
     n = dropped.count()
-    kept = docs.join(F.broadcast(dropped) if n <= 1_000_000 else dropped, same, "left_anti")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    return marked.join(F.broadcast(dropped) if n <= 1_000_000 else dropped, "__aw_rid", "left_anti").select(*columns)
