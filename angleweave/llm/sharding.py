@@ -96,7 +96,11 @@ def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", limit: int = 1 << 20) -> DataFrame:
-    """Writes the rows into one folder per shard and returns the assignment. The key must be unique here."""
+    """Writes the rows into one folder per shard (__shard=b<bits>) and returns the assignment.
+
+    The key must be unique here; rows without one are not written. A user column named shard is kept.
+    """
     placed = assign_shards(df, key, limit=limit)
-    df.join(placed.select(key, "shard"), key).repartition("shard").write.partitionBy("shard").parquet(path)
+    to = placed.select(F.col(key).alias("__aw_key"), F.concat(F.lit("b"), F.col("shard")).alias("__shard"))
+    df.join(to, F.col(key) == F.col("__aw_key")).drop("__aw_key").repartition("__shard").write.partitionBy("__shard").parquet(path)
     return placed
