@@ -26,6 +26,7 @@ carried and has no label; labels that repeat an id count once; very long texts a
 
 from __future__ import annotations
 
+import gc
 import math
 
 from pyspark.sql import DataFrame
@@ -242,6 +243,11 @@ def _scorer(word_bits: int, pair_bits: int, vocabulary: int, totals: tuple[int,
     return run
 
 
+def _answers(chunks: DataFrame, word_bits: int, pair_bits: int) -> DataFrame:
+    asked = chunks.select("chunk", "packed").mapInArrow(_asker(word_bits, pair_bits), "shard bigint, chunk bigint, hashes binary, counts binary")
+    return stored(asked.groupBy("shard").applyInArrow(_answered, "chunk bigint, shard bigint, counts binary, distinct bigint, n bigint, target bigint"), "lm-answers")
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, background_loss, target_loss, score."""
     small_batches(docs.sparkSession)
@@ -250,9 +256,9 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # Nearly every word makes a new bigram in its chunk; distinct words are fewer by a magnitude.
     pair_bits = math.ceil(math.log2(max(LEAST_SHARDS, words / SHARD)))
     word_bits = max(0, pair_bits - 3)
-    asked = chunks.select("chunk", "packed").mapInArrow(_asker(word_bits, pair_bits), "shard bigint, chunk bigint, hashes binary, counts binary")
-    answers = stored(asked.groupBy("shard").applyInArrow(_answered, "chunk bigint, shard bigint, counts binary, distinct bigint, n bigint, target bigint"), "lm-answers")
-    # The questions' shuffle files are not needed any more; Spark drops them when the driver's objects are collected.
+    answers = _answers(chunks, word_bits, pair_bits)
+    # The questions' shuffle files are not needed any more; Spark drops them when the driver's objects, Python's first, are collected.
+    gc.collect()
     docs.sparkSession.sparkContext._jvm.System.gc()
     # One row a shard, summed; the start is among the words and stands for the end in the vocabulary.
     of_words = answers.filter(F.col("shard") < 1 << word_bits).groupBy("shard").agg(*[F.max(c).alias(c) for c in ("distinct", "n", "target")])
