@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 256
 ARROW_BYTES = 32 << 20
 
+#: Spark's setting by which an execution's shuffle files are removed when it ends.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: A side of a join is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 100_000
 
@@ -52,10 +55,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes a table to the shared folder and reads it back: cuts the lineage and survives lost executors. The write's shuffle files go when it ends."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    was = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
