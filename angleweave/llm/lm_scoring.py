@@ -35,9 +35,9 @@ from .common import small_batches, stored, utf8
 
 MU = 20.0
 #: Bytes of text of a chunk; a longer text has a chunk of its own.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Entries of a shard, about: 8 bytes each.
-SHARD = 1 << 21
+SHARD = 1 << 19
 LEAST_SHARDS = 64
 START = 1
 #: Labels up to this many rows are broadcast (8 bytes each); beyond it the join shuffles.
