@@ -7,17 +7,18 @@ change a match here and keep long runs from recursing; where a run of one class
 entered at every character, a look-behind lets it be entered at its start or at the end of
 the match before only.
 
-The method then protects the values found. A term in the text of a value reveals it by their
-pointwise mutual information over the corpus, PMI = log2(N n(t,e) / (n(t) n(e))), counted in
-documents. Its share of the value's whole information -log2(n(e) / N) is the disclosure:
-at REMOVE or above the term is removed, at GENERALISE or above it is replaced by a class
-word. A pair must occur in LEAST documents, as one meeting is no evidence. n(t), n(e), n(t,e) and N
-count all documents over whole texts. Every occurrence of the term is changed, in the documents
-that hold the value only. Pairs are built for values of LEAST documents or more. Values are masked before
-words are taken, so a word that a base span touches is no term.
+The method then protects the values found, and declared entities (patterns; strings like keys by default), whose spans are
+added as terms of full disclosure. A term in the text of a value reveals it by their pointwise mutual information over
+the corpus, counted in documents: log2(p(e|t) / p(e)), where p(e) = n(e) / N and p(e|t) = (n(t,e) + EVIDENCE p(e)) /
+(n(t) + EVIDENCE), so that few meetings are drawn towards chance but none is passed over. Its share of the value's whole
+information -log2 p(e) is the disclosure: at REMOVE or above the term is removed, at GENERALISE or above it is replaced by a
+class word. n(t), n(e), n(t,e) and N count all documents over whole texts, and every value counts. Every occurrence of the
+term is changed, in the documents that hold the value only. Values that the same documents hold are rated once, so that a list
+of values makes no pairs of its own. Values are masked before words are taken, so a word that a span touches is no term.
 
 Defined cases: null text is empty; texts without values have no spans; an empty list
-digests the empty string; a null doc_id is carried; repeated rows count as documents.
+digests the empty string; a null doc_id is carried; repeated rows count as documents; a value that all documents hold
+tells nothing and has disclosure 0; very long texts are read whole; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -38,9 +39,13 @@ PATTERNS = {
 GUARDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 CLASS_WORDS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
-LEAST = 3
-GENERALISE = 0.5
-REMOVE = 0.8
+#: Pseudo-documents by which a term's meetings with an entity are drawn towards chance.
+EVIDENCE = 1.0
+GENERALISE = 0.75
+REMOVE = 0.9
+#: Declared entities: a guard, the pattern, and what must hold of a match x. The default takes opaque strings such as keys and tokens.
+_SECRET = r"[A-Za-z0-9_+=]"
+DECLARED = ((rf"{_SECRET}{{20}}", rf"(?<!{_SECRET}){_SECRET}{{20,}}+", "x.value rlike '[0-9].*[0-9]' and x.value rlike '[A-Za-z].*[A-Za-z]'"),)
 EDGE = ".,;:!?()[]{}\"'*#$%&|<>"
 
 
@@ -102,21 +107,32 @@ def term_of(word: str) -> str:
     return f"lower(trim(both '{edge}' from {word}))"
 
 
-#: Stands for a character of a base span; a noncharacter, as long as what it replaces.
+#: Stands for a character of a span; a noncharacter, as long as what it replaces.
 MASK = "\uffff"
 
 
+def _declared(rows: DataFrame, declared: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """Adds declared, the spans of the declared entities that touch no base span."""
+    parts = []
+    for k, (guard, pattern, valid) in enumerate(declared):
+        rows = rows.withColumn(f"__d_{k}", F.expr(f"if(__text rlike {_sql(guard)}, regexp_extract_all(__text, {_sql(pattern)}, 0), cast(array() as array<string>))"))
+        placed = f"transform(filter({_placed('__text', pattern, f'__d_{k}')}, x -> ({valid}) and not exists(spans, s -> s.start < x.end and x.start < s.end)), x -> named_struct('start', x.start, 'rank', {len(KINDS)}, 'end', x.end, 'value', x.value))"
+        rows = rows.withColumn(f"__p_{k}", F.expr(f"if(size(__d_{k}) > 0, {placed}, {EMPTY})")).drop(f"__d_{k}")
+        parts.append(f"__p_{k}")
+    return rows.withColumn("declared", F.array_sort(F.array_distinct(F.concat(F.expr(EMPTY), *parts)))).drop(*parts)
+
+
 def _masked(rows: DataFrame) -> DataFrame:
-    """Adds masked, the text with its base spans masked character by character; null without spans."""
+    """Adds masked, the text with its spans masked character by character; null without spans."""
     step = f"if(x.end <= s.at, s, named_struct('at', x.end, 'out', concat(s.out, substring(__text, s.at + 1, x.start - s.at), repeat('{MASK}', x.end - greatest(x.start, s.at)))))"
-    masked = f"aggregate(spans, named_struct('at', 0, 'out', ''), (s, x) -> {step}, s -> concat(s.out, substring(__text, s.at + 1)))"
-    return rows.withColumn("masked", F.expr(f"if(size(spans) > 0, {masked}, null)"))
+    masked = f"aggregate(array_sort(concat(spans, declared)), named_struct('at', 0, 'out', ''), (s, x) -> {step}, s -> concat(s.out, substring(__text, s.at + 1)))"
+    return rows.withColumn("masked", F.expr(f"if(size(spans) + size(declared) > 0, {masked}, null)"))
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """One row per document, written: rid, doc_id, spans, masked."""
+def found(docs: DataFrame, declared: tuple[tuple[str, str, str], ...] = DECLARED) -> DataFrame:
+    """One row per document, written: rid, doc_id, spans, declared, masked."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of().alias("__text"))
-    return stored(_masked(base_spans(rows)).drop("__text"), "pii-found")
+    return stored(_masked(_declared(base_spans(rows), declared)).drop("__text"), "pii-found")
 
 
 def _terms(text: str) -> str:
@@ -124,32 +140,35 @@ def _terms(text: str) -> str:
 
 
 def held_values(rows: DataFrame) -> DataFrame:
-    """rid, entity, n_entity of the values that LEAST documents or more hold, written."""
-    held = rows.filter("size(spans) > 0").select("rid", F.explode(F.expr("array_distinct(transform(spans, s -> s.value))")).alias("entity"))
-    often = stored(held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= LEAST), "pii-values")
-    return stored(held.join(broadcast_if_small(often, often.count()), "entity").select("rid", "entity", "n_entity"), "pii-held")
+    """rid, entity, n_entity, written. Values that the same documents hold are interchangeable here and count as one entity."""
+    held = rows.filter("masked is not null").select("rid", F.explode(F.expr("array_distinct(transform(concat(spans, declared), s -> s.value))")).alias("value"))
+    held = stored(held, "pii-values")
+    sets = held.groupBy("value").agg(F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("rid")).alias("a"), F.bit_xor(F.xxhash64(F.lit("b"), "rid")).alias("b"))
+    sets = stored(sets.select("value", "n_entity", F.xxhash64("n_entity", "a", "b").alias("entity")), "pii-sets")
+    return stored(held.join(broadcast_if_small(sets, sets.count()), "value").select("rid", "entity", "n_entity").distinct(), "pii-held")
 
 
 def disclosures(rows: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
     """entity, term, disclosure of the pairs at or above GENERALISE, from all documents."""
     values = held.groupBy("rid").agg(F.collect_list(F.struct("entity", "n_entity")).alias("es"))
     pairs = rows.filter("masked is not null").join(values, "rid").select("es", F.explode(F.expr(f"filter({_terms('masked')}, t -> char_length(t) >= 3 and not contains(t, '{MASK}'))")).alias("term"))
-    pairs = pairs.select("term", F.explode("es").alias("e")).groupBy("e.entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("e.n_entity").alias("n_entity")).filter(F.col("n_both") >= LEAST)
+    pairs = pairs.select("term", F.explode("es").alias("e")).groupBy("e.entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("e.n_entity").alias("n_entity"))
     pairs = stored(pairs, "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    total = rows.count()
+    total = float(rows.count())
     # Counted before they are joined: a term of many documents is one row a task.
-    counts = docs.select(F.explode(F.expr(_terms("coalesce(text, '')"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter(F.col("n_term") >= LEAST)
+    counts = docs.select(F.explode(F.expr(_terms("coalesce(text, '')"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     rated = pairs.join(counts, "term")
-    pmi = F.log2(F.lit(float(total)) * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    whole = -F.log2(F.col("n_entity") / F.lit(float(total)))
-    rated = rated.withColumn("disclosure", F.when(whole > 0, pmi / F.when(whole > 0, whole)).otherwise(F.lit(0.0)))
+    share = F.col("n_entity") / F.lit(total)
+    given = (F.col("n_both") + F.lit(EVIDENCE) * share) / (F.col("n_term") + F.lit(EVIDENCE))
+    whole = -F.log2(share)
+    rated = rated.withColumn("disclosure", F.when(whole > 0, F.log2(given / share) / F.when(whole > 0, whole)).otherwise(F.lit(0.0)))
     return rated.filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
 
 
 def revealing_terms(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rid and terms, array<struct<start, rank, end, removed>>: the spans that the method adds."""
+    """rid and terms, array<struct<start, rank, end, removed>>: the spans of revealing terms."""
     held = held_values(rows)
     rated = stored(disclosures(rows, held, docs), "pii-disclosures")
     # What a term discloses most in a document decides.
@@ -165,27 +184,37 @@ def revealing_terms(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return at.groupBy("rid").agg(F.array_sort(F.collect_list(one)).alias("terms"))
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
-    rows = found(docs)
+NO_SPANS = "cast(array() as array<struct<start:int,rank:int,end:int>>)"
+
+
+def _plain(spans: str) -> str:
+    return f"transform({spans}, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end))"
+
+
+def personal_data(docs: DataFrame, declared: tuple[tuple[str, str, str], ...] = DECLARED) -> DataFrame:
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms (declared entities and revealing terms)."""
+    rows = found(docs, declared)
     terms = stored(revealing_terms(rows, docs.select("text")), "pii-spans")
-    rows = rows.select("rid", "doc_id", "spans").join(terms, "rid", "left")
+    rows = rows.select("rid", "doc_id", "spans", "declared").join(terms, "rid", "left")
     counts = [F.expr(f"cast(size(filter(spans, s -> s.rank = {r})) as bigint)").alias(f"n_{k}") for r, k in enumerate(KINDS)]
-    every = F.expr("array_sort(concat(transform(spans, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end)), coalesce(transform(terms, t -> named_struct('start', t.start, 'rank', t.rank, 'end', t.end)), cast(array() as array<struct<start:int,rank:int,end:int>>))))")
-    rows = rows.select("doc_id", *counts, F.sha2(F.encode(_joined("spans"), "UTF-8"), 256).alias("base_sha256"), every.alias("__all"), F.coalesce(F.size("terms"), F.lit(0)).cast("bigint").alias("n_terms"))
-    return rows.withColumn("spans", _joined("__all")).select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", F.when(F.col("n_terms") > 0, F.col("n_terms")).otherwise(F.lit(0)).cast("bigint").alias("n_terms"))
+    every = F.expr(f"array_sort(concat({_plain('spans')}, {_plain('declared')}, coalesce({_plain('terms')}, {NO_SPANS})))")
+    n_terms = F.expr("cast(size(declared) + if(terms is null, 0, size(terms)) as bigint)")
+    rows = rows.select("doc_id", *counts, F.sha2(F.encode(_joined("spans"), "UTF-8"), 256).alias("base_sha256"), every.alias("__all"), n_terms.alias("n_terms"))
+    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", _joined("__all").alias("spans"), "n_terms")
 
 
-def sanitised(docs: DataFrame) -> DataFrame:
-    """doc_id and text, with values and revealing terms replaced by class words or removed. doc_id must be unique here."""
-    docs = docs.select("doc_id", "text")
-    rows = found(docs)
+def sanitised(docs: DataFrame, declared: tuple[tuple[str, str, str], ...] = DECLARED) -> DataFrame:
+    """doc_id and text, with values and revealing terms replaced by class words or removed, row by row; a null text stays null."""
+    docs = stored(docs.select("doc_id", F.col("text").cast("string"), F.monotonically_increasing_id().alias("__row")), "pii-docs")
+    rows = found(docs.select(F.col("__row").alias("doc_id"), "text"), declared)
     terms = revealing_terms(rows, docs.select("text"))
     marks = "array(" + ", ".join(f"'{CLASS_WORDS[k]}'" for k in (*KINDS, "term")) + ")"
-    cuts = rows.select("rid", "doc_id", "spans").join(terms, "rid", "left")
-    cuts = cuts.withColumn("cuts", F.expr(f"array_sort(concat(transform(spans, s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end, 'mark', get({marks}, s.rank))), coalesce(transform(terms, t -> named_struct('start', t.start, 'rank', t.rank, 'end', t.end, 'mark', if(t.removed, '', get({marks}, t.rank)))), cast(array() as array<struct<start:int,rank:int,end:int,mark:string>>))))"))
-    cuts = cuts.filter("size(cuts) > 0").select(F.col("doc_id").alias("__aw_id"), "cuts")
-    joined = docs.join(cuts, F.col("doc_id") == F.col("__aw_id"), "left").withColumn("__text", text_of())
+    cuts = rows.select("rid", F.col("doc_id").alias("__row"), "spans", "declared").join(terms, "rid", "left")
+    one = lambda x, mark: f"named_struct('start', {x}.start, 'rank', {x}.rank, 'end', {x}.end, 'mark', {mark})"
+    nothing = "cast(array() as array<struct<start:int,rank:int,end:int,mark:string>>)"
+    cuts = cuts.withColumn("cuts", F.expr(f"array_sort(concat(transform(spans, s -> {one('s', f'get({marks}, s.rank)')}), transform(declared, d -> {one('d', chr(39) * 2)}), coalesce(transform(terms, t -> {one('t', f'if(t.removed, {chr(39) * 2}, get({marks}, t.rank))')}), {nothing})))"))
+    cuts = cuts.filter("size(cuts) > 0").select("__row", "cuts")
+    joined = docs.join(cuts, "__row", "left").withColumn("__text", text_of())
     step = "named_struct('at', greatest(s.at, c.end), 'text', s.text, 'out', if(c.start >= s.at, concat(s.out, substring(s.text, s.at + 1, c.start - s.at), c.mark), s.out))"
     clean = f"aggregate(cuts, named_struct('at', 0, 'text', __text, 'out', ''), (s, c) -> {step}, s -> concat(s.out, substring(s.text, s.at + 1)))"
     return joined.select("doc_id", F.expr(f"if(cuts is null, text, {clean})").alias("text"))
