@@ -10,7 +10,8 @@ normalizer turns white space into a space, its pre-tokenizer drops it and never
 across it, so a text's ids are those of its runs in order.
 
 Defined cases: null is empty and gives only the end id; a null doc_id comes first;
-rows of equal doc_id are ordered by their text's ids; an empty table gives empty files.
+rows of equal doc_id stand in the order of their texts' hashes and each has a place of its own; they share one file, as ids
+are meant to be unique; an empty table gives empty files; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ TOGETHER_BYTES = 4 << 20
 JOINED = 4096
 #: The suffix of tokens that close a word.
 WORD_END = "</w>"
+#: Bytes of text of a file, about.
+FILE_BYTES = 256 << 20
 ORC = {
-    "compression": "zlib",
+    "compression": "zstd",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),
@@ -173,32 +176,45 @@ def _encoder(path: str, end_id: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
         from .common import utf8
 
-        t, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
+        t, end, part, before = tokenizer(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         for batch in batches:
             found = [x + end for x in t.encode(utf8(batch.column(1)))]
-            lengths = np.array([len(x) // 4 for x in found], np.int32)
+            lengths = np.array([len(x) // 4 for x in found], np.int64)
+            ends = np.cumsum(lengths)
             values = pa.Array.from_buffers(pa.int32(), int(lengths.sum()), [None, pa.py_buffer(b"".join(found))])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "n_tokens", "ids"])
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            columns = [batch.column(0), pa.array(np.full(len(found), part, np.int32)), pa.array(before + ends - lengths), pa.array(lengths.astype(np.int32)), pa.ListArray.from_arrays(offsets, values)]
+            before += int(lengths.sum())
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "before", "n_tokens", "ids"])
 
     return run
 
 
+#: part: the range of doc_id, in ascending order; before: ids of the part's earlier documents.
+SCHEMA = "doc_id bigint, part int, before bigint, n_tokens int, ids array<int>"
+
+
+def parts_of(docs: DataFrame) -> int:
+    """Files: one for FILE_BYTES of text, and no fewer than the session's shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:
-    """Writes doc_id, n_tokens, ids as ORC files in ascending doc_id order. Texts are shuffled once, before they are encoded."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.md5(F.coalesce("text", F.lit(""))))
-    rows.mapInArrow(_encoder(tokenizer_path, end_id), "doc_id bigint, n_tokens int, ids array<int>").write.options(**ORC).orc(path)
+    """Writes doc_id, part, before, n_tokens, ids as ORC files in ascending doc_id order. Texts are shuffled once, before they are encoded."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    rows = rows.repartitionByRange(parts_of(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows.mapInArrow(_encoder(tokenizer_path, end_id), SCHEMA).write.options(**ORC).orc(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, n_tokens, ids; a filter on doc_id is pushed to stripes and row groups."""
-    return spark.read.schema("doc_id bigint, n_tokens int, ids array<int>").orc(path)
+    return spark.read.schema(SCHEMA).orc(path).select("doc_id", "n_tokens", "ids")
 
 
 def _checksums(batches):
@@ -206,28 +222,25 @@ def _checksums(batches):
     import pyarrow as pa
 
     for batch in batches:
-        ids = batch.column(1)
+        ids = batch.column(3)
         data, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
         crc = [zlib.crc32(data[a:b]) for a, b in zip(at, at[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64()), batch.column(2)], names=["doc_id", "n_tokens", "ids_crc32", "file"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
 
 
 def starts_and_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, from the files. Offsets of files come from their n_tokens column alone."""
+    """doc_id, start, n_tokens, ids_crc32, from the files. A start is the sum of all earlier parts, from their n_tokens alone, and what the file has before the row."""
     small_batches(spark)
-    counts = spark.read.schema("doc_id bigint, n_tokens int").orc(path).groupBy(F.input_file_name().alias("file")).agg(F.sum("n_tokens").alias("tokens"), F.min("doc_id").alias("least"))
-    # One row per file; names carry the number of the writing task, which is the order of the ranges.
-    files = counts.withColumn("name", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
-    offsets = files.select(F.col("file").alias("of"), (F.sum("tokens").over(Window.orderBy("name", "file")) - F.col("tokens")).alias("offset"))
-    rows = read_ids(spark, path).select("doc_id", "ids", F.input_file_name().alias("file")).mapInArrow(_checksums, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file string")
-    rows = rows.withColumn("seq", F.monotonically_increasing_id())
-    inner = Window.partitionBy("file").orderBy("doc_id", "seq")
-    rows = rows.withColumn("inside", F.sum("n_tokens").over(inner) - F.col("n_tokens"))
-    return rows.join(F.broadcast(offsets), F.col("file") == F.col("of")).select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    files = spark.read.schema(SCHEMA).orc(path)
+    # One row a part: the window's single task has as many rows as there are files.
+    counts = files.groupBy(F.col("part").alias("of")).agg(F.sum("n_tokens").alias("tokens"))
+    offsets = counts.select("of", (F.sum("tokens").over(Window.orderBy("of")) - F.col("tokens")).alias("offset"))
+    rows = files.select("doc_id", "part", "before", "ids").mapInArrow(_checksums, "doc_id bigint, part int, before bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.join(F.broadcast(offsets), F.col("part") == F.col("of")).select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """The ids of some documents; stripes whose index or Bloom filter excludes the ids are not read."""
+    """The ids of some documents; stripes and row groups whose index or Bloom filter excludes the ids are not read."""
     return read_ids(spark, path).filter(F.col("doc_id").isin(doc_ids))
 
 
