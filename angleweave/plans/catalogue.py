@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import angles, basins, potential
 from ..operators import chains, loops, nulls, stats
-from . import reports
+from . import organism_reports, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -372,7 +372,7 @@ def _report(name: str, text: str) -> None:
     SQL[name] = f"{FULL} {reports.other_dialect(text)}"
 
 
-for _name, _text in reports.REPORTS.items():
+for _name, _text in (reports.REPORTS | organism_reports.every()).items():
     _report(_name, _text)
 
 

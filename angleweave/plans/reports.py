@@ -16,77 +16,49 @@ def _slope(y: str, x: str) -> str:
     return f"covar_pop({x}, {y}) / nullif(var_pop({x}), 0)"
 
 
-BACTERIA = "('ecoli', 'bacillus', 'tuberculosis', 'staph', 'pseudomonas', 'salmonella', 'campylobacter', 'helicobacter')"
-KINGDOM = "CASE WHEN organism IN ('ecoli') THEN 'Bacteria' WHEN organism IN ('human') THEN 'Metazoa' WHEN organism IN ('yeast') THEN 'Fungi' WHEN organism IN ('arabidopsis') THEN 'Plants' WHEN organism IN ('malaria') THEN 'Protists' ELSE '?' END"
 _PAIR = ("bps_norm", "length", "pct_helix", "pct_sheet", "pct_coil", "plddt_mean", "rg", "contact_order")
 _KS = "SELECT organism, bps_norm AS x FROM $P"
 
 REPORTS = {
     "g01_moments": "SELECT organism, count(*) AS n, round(avg(bps_norm), 6) AS mean, round(sqrt(greatest(avg(bps_norm * bps_norm) - avg(bps_norm) * avg(bps_norm), 0)), 6) AS sd FROM $P GROUP BY organism",
     "g02_overview": "SELECT count(*) AS n, count(DISTINCT organism) AS organisms, round(min(bps_norm), 6) AS lo, round(max(bps_norm), 6) AS hi, round(avg(bps_norm), 6) AS mean FROM $P",
-    "g03_fingerprints": "SELECT organism, count(*) AS n, round(avg(bps_norm), 6) AS bps, round(stddev_pop(bps_norm), 6) AS sd, round(avg(length), 6) AS len, round(avg(q_phi), 6) AS q_phi, round(avg(q_mag), 6) AS q_mag, round(avg(pct_helix), 6) AS helix, round(avg(pct_sheet), 6) AS sheet, round(avg(pct_coil), 6) AS coil, round(avg(rg), 6) AS rg, round(avg(contact_order), 6) AS co, round(avg(plddt_mean), 6) AS plddt, round(avg(n_transitions), 6) AS transitions FROM $P GROUP BY organism HAVING count(*) >= 3 ORDER BY bps DESC",
-    "g04_size_classes": "SELECT organism, count(CASE WHEN length < 60 THEN 1 END) AS n_s, round(avg(CASE WHEN length < 60 THEN bps_norm END), 6) AS small, count(CASE WHEN length >= 60 AND length < 70 THEN 1 END) AS n_m, round(avg(CASE WHEN length >= 60 AND length < 70 THEN bps_norm END), 6) AS mid, count(CASE WHEN length >= 70 THEN 1 END) AS n_l, round(avg(CASE WHEN length >= 70 THEN bps_norm END), 6) AS large FROM $P GROUP BY organism",
-    "g05_length_regression": f"SELECT organism, count(*) AS n, round({_slope('bps', 'length')}, 6) AS slope, round(avg(bps) - {_slope('bps', 'length')} * avg(length), 6) AS intercept, {_corr('length', 'bps')} AS r FROM $P GROUP BY organism HAVING count(*) >= 3",
-    "g06_kingdoms": f"SELECT kingdom, count(*) AS organisms, round(avg(m), 6) AS mean FROM (SELECT organism, {KINGDOM} AS kingdom, avg(bps_norm) AS m FROM $P GROUP BY organism) q GROUP BY kingdom",
-    "g07_plddt_tiers": "SELECT CASE WHEN plddt_mean < 48 THEN 'low' WHEN plddt_mean < 50 THEN 'fair' WHEN plddt_mean < 52 THEN 'good' ELSE 'high' END AS tier, count(*) AS n, round(avg(bps_norm), 6) AS mean FROM $P GROUP BY 1",
     "g07_plddt_correlation": f"SELECT organism, {_corr('plddt_mean', 'bps_norm')} AS r FROM $P GROUP BY organism",
-    "g08_fold_overlap": "SELECT count(CASE WHEN pct_helix > 20 THEN 1 END) AS n_alpha, round(avg(CASE WHEN pct_helix > 20 THEN bps_norm END), 6) AS alpha, count(CASE WHEN pct_sheet > 10 THEN 1 END) AS n_beta, round(avg(CASE WHEN pct_sheet > 10 THEN bps_norm END), 6) AS beta, count(CASE WHEN pct_helix > 15 AND pct_sheet > 10 THEN 1 END) AS n_mixed FROM $P",
-    "g09_contact_order": f"SELECT organism, {_corr('contact_order', 'bps_norm')} AS r_co, {_corr('rg', 'bps_norm')} AS r_rg, {_corr('rg / sqrt(length)', 'bps_norm')} AS r_rg_norm FROM $P GROUP BY organism",
     "g12_histogram": "SELECT b.bin, round(100.0 * count(*) / max(t.n), 6) AS pct FROM (SELECT CASE WHEN bps_norm = 0.35 THEN 11 ELSE cast(floor((bps_norm - 0.05) / 0.025) AS int) END AS bin FROM $P WHERE bps_norm >= 0.05 AND bps_norm <= 0.35) b CROSS JOIN (SELECT count(*) AS n FROM $P) t GROUP BY b.bin",
     "g13_correlations": "SELECT " + ", ".join(f"{_corr(a, b)} AS r_{i}_{j}" for i, a in enumerate(_PAIR) for j, b in enumerate(_PAIR) if i < j) + " FROM $P",
-    "g15_versions": "SELECT organism, count(CASE WHEN af_version = 3 THEN 1 END) AS v3, count(CASE WHEN af_version = 4 THEN 1 END) AS v4, count(DISTINCT af_version) > 1 AS mixed FROM $P GROUP BY organism",
-    "g16_integrity": "SELECT 'null_rg' AS item, count(CASE WHEN rg IS NULL THEN 1 END) AS bad FROM $P UNION ALL SELECT 'ss_sum', count(CASE WHEN NOT (pct_helix + pct_sheet + pct_coil > 99 AND pct_helix + pct_sheet + pct_coil < 101) THEN 1 END) FROM $P UNION ALL SELECT 'short', count(CASE WHEN length < 30 THEN 1 END) FROM $P UNION ALL SELECT 'range', count(CASE WHEN bps_norm < 0 OR bps_norm > 5 THEN 1 END) FROM $P",
-    "g19_fold_table": "SELECT fold, count(*) AS n, round(avg(bps_norm), 6) AS mean, round(stddev_pop(bps_norm), 6) AS sd, round(100 * stddev_pop(bps_norm) / nullif(avg(bps_norm), 0), 6) AS cv FROM (SELECT bps_norm, CASE WHEN pct_helix >= 20 THEN 'helical' WHEN pct_sheet >= 12 THEN 'sheet' ELSE 'other' END AS fold FROM $P) q GROUP BY fold",
-    "g20_within_fold_cv": "SELECT fold, count(*) AS organisms, round(100 * stddev_pop(m) / nullif(avg(m), 0), 6) AS cv, round(sum(s * n) / sum(n), 6) AS weighted_sd FROM (SELECT fold, organism, count(*) AS n, avg(bps_norm) AS m, stddev_pop(bps_norm) AS s FROM (SELECT organism, bps_norm, CASE WHEN pct_helix >= 20 THEN 'helical' ELSE 'other' END AS fold FROM $P) a GROUP BY fold, organism) b GROUP BY fold",
-    "g22_size_convergence": "SELECT t.target, count(*) AS n, round(avg(bps_norm), 6) AS mean FROM $P p JOIN (SELECT 55 AS target UNION ALL SELECT 65 UNION ALL SELECT 75 UNION ALL SELECT 85) t ON p.length BETWEEN t.target - 8 AND t.target + 8 GROUP BY t.target HAVING count(*) >= 5",
-    "g23_heat_map": "SELECT cast(floor(pct_helix / 5) AS int) AS hx, cast(floor(pct_sheet / 5) AS int) AS sx, count(*) AS n, round(avg(bps_norm), 6) AS mean FROM $P GROUP BY 1, 2 HAVING count(*) >= 2",
-    "g24_size_control": "SELECT count(*) AS n, round(avg(CASE WHEN pct_helix > 20 THEN bps_norm END), 6) AS alpha, round(avg(CASE WHEN pct_helix <= 20 THEN bps_norm END), 6) AS rest FROM $P WHERE length BETWEEN 55 AND 80",
-    "g25_length_bins": "SELECT CASE WHEN length < 60 THEN 'a' WHEN length < 70 THEN 'b' ELSE 'c' END AS bin, count(*) AS n, round(avg(torus_l1) / avg(torus_l2), 6) AS ratio FROM $P GROUP BY 1 HAVING count(*) >= 3",
     "g27_quartiles": "SELECT quartile, count(*) AS n, round(avg(bps_norm), 6) AS mean FROM (SELECT p.bps_norm, CASE WHEN p.pct_helix <= q.q1 THEN 1 WHEN p.pct_helix <= q.q2 THEN 2 WHEN p.pct_helix <= q.q3 THEN 3 ELSE 4 END AS quartile FROM $P p CROSS JOIN (SELECT percentile(pct_helix, 0.25) AS q1, percentile(pct_helix, 0.5) AS q2, percentile(pct_helix, 0.75) AS q3 FROM $P) q) z GROUP BY quartile",
-    "g28_other_warning": "SELECT round(100.0 * avg(CASE WHEN pct_helix < 35 AND pct_sheet < 25 THEN 1.0 ELSE 0.0 END), 6) AS pct_other, avg(CASE WHEN pct_helix < 35 AND pct_sheet < 25 THEN 1.0 ELSE 0.0 END) > 0.9 AS warn FROM $P",
-    "g33_outliers": "SELECT count(CASE WHEN NOT (bps_norm > 0.02 AND bps_norm < 0.5) THEN 1 END) AS outliers, round(avg(bps_norm), 6) AS with_all, round(avg(CASE WHEN bps_norm > 0.02 AND bps_norm < 0.5 THEN bps_norm END), 6) AS without FROM $P",
+    "g28_other_warning": "SELECT round(100.0 * avg(CASE WHEN pct_helix < 35 AND pct_sheet < 25 THEN 1 ELSE 0 END), 6) AS pct_other, avg(CASE WHEN pct_helix < 35 AND pct_sheet < 25 THEN 1 ELSE 0 END) > 0.9 AS warn FROM $P",
     "g35_error_bars": "SELECT organism, round(avg(bps_norm), 6) AS mean, round(1.96 * stddev_pop(bps_norm) / sqrt(count(*)), 6) AS bar FROM $P GROUP BY organism ORDER BY mean",
     "j04_organism_pairs": "SELECT a.organism AS org_a, b.organism AS org_b, round(abs(a.m - b.m), 6) AS gap FROM (SELECT organism, avg(bps_norm) AS m FROM $P GROUP BY organism) a JOIN (SELECT organism, avg(bps_norm) AS m FROM $P GROUP BY organism) b ON a.organism < b.organism",
-    "j05_interval_overlap": "SELECT a.organism AS org_a, b.organism AS org_b FROM (SELECT organism, avg(bps_norm) - stddev_pop(bps_norm) AS lo, avg(bps_norm) + stddev_pop(bps_norm) AS hi FROM $P GROUP BY organism) a JOIN (SELECT organism, avg(bps_norm) - stddev_pop(bps_norm) AS lo, avg(bps_norm) + stddev_pop(bps_norm) AS hi FROM $P GROUP BY organism) b ON a.organism < b.organism AND a.lo <= b.hi AND b.lo <= a.hi",
     "j03_o02_remaining": "SELECT p.chain_id, p.organism FROM $P p LEFT ANTI JOIN (SELECT chain_id FROM $P WHERE length >= 70 UNION SELECT chain_id FROM $P WHERE bps_norm > 0.5) s ON p.chain_id = s.chain_id",
     "o05_o07_samples": "SELECT organism, chain_id FROM (SELECT organism, chain_id, row_number() OVER (PARTITION BY organism ORDER BY md5(concat_ws('|', cast(chain_id AS string), '42'))) AS k FROM $P) q WHERE k <= 5",
     "o04_top_pairs": "SELECT chain_id, round(bps_norm, 6) AS bps_norm FROM $P ORDER BY bps_norm DESC, chain_id LIMIT 15",
     "o12_having": "SELECT count(*) AS n, round(avg(bps_norm), 6) AS mean FROM $P HAVING count(*) > 10",
     "t02_partial_correlation": "SELECT round((rxy - rxz * ryz) / nullif(sqrt((1 - rxz * rxz) * (1 - ryz * ryz)), 0), 6) AS r FROM (SELECT corr(bps_norm, pct_helix) AS rxy, corr(bps_norm, length) AS rxz, corr(pct_helix, length) AS ryz FROM $P) q",
-    "t05_variance_split": "SELECT round(sum(n * (m - g) * (m - g)), 6) AS between_ss, round(sum(ss), 6) AS within_ss, round((sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))), 4) AS f FROM (SELECT organism, count(*) AS n, avg(bps_norm) AS m, var_pop(bps_norm) * count(*) AS ss FROM $P GROUP BY organism) a CROSS JOIN (SELECT avg(bps_norm) AS g FROM $P) b",
-    "t08_plddt_bins": "SELECT organism, CASE WHEN plddt_mean < 47 THEN 0 WHEN plddt_mean < 50 THEN 1 WHEN plddt_mean < 53 THEN 2 ELSE 3 END AS bin, count(*) AS n FROM $P GROUP BY 1, 2",
     "t09_log_length_fit": f"SELECT round({_slope('torus_l1', 'log10(length)')}, 6) AS slope, round(avg(torus_l1) - {_slope('torus_l1', 'log10(length)')} * avg(log10(length)), 6) AS intercept FROM $P",
     "t10_two_sample_t": "SELECT round((m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 0), 6) AS t, n1 + n2 - 2 AS df FROM (SELECT count(CASE WHEN organism = 'ecoli' THEN 1 END) AS n1, count(CASE WHEN organism = 'human' THEN 1 END) AS n2, avg(CASE WHEN organism = 'ecoli' THEN bps_norm END) AS m1, avg(CASE WHEN organism = 'human' THEN bps_norm END) AS m2, var_samp(CASE WHEN organism = 'ecoli' THEN bps_norm END) AS v1, var_samp(CASE WHEN organism = 'human' THEN bps_norm END) AS v2 FROM $P) q",
     "t11_mann_whitney": "SELECT round(sum(CASE WHEN organism = 'ecoli' THEN rk ELSE 0 END) - count(CASE WHEN organism = 'ecoli' THEN 1 END) * (count(CASE WHEN organism = 'ecoli' THEN 1 END) + 1) / 2.0, 6) AS u FROM (SELECT organism, rank() OVER (ORDER BY length) + (count(*) OVER (PARTITION BY length) - 1) / 2.0 AS rk FROM $P WHERE organism IN ('ecoli', 'human')) q",
     "t12_wilcoxon": "SELECT round(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), 6) AS w_plus, round(sum(CASE WHEN d < 0 THEN rk ELSE 0 END), 6) AS w_minus FROM (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS rk FROM (SELECT round(q_phi - q_psi, 4) AS d FROM $P) a WHERE d <> 0) b",
-    "t15_cohens_d": "SELECT round((m1 - m2) / nullif(sqrt((s1 * s1 + s2 * s2) / 2), 0), 6) AS d FROM (SELECT avg(CASE WHEN organism = 'ecoli' THEN bps_norm END) AS m1, avg(CASE WHEN organism = 'human' THEN bps_norm END) AS m2, stddev_samp(CASE WHEN organism = 'ecoli' THEN bps_norm END) AS s1, stddev_samp(CASE WHEN organism = 'human' THEN bps_norm END) AS s2 FROM $P) q",
     "t16_spearman": "SELECT round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY length) + (count(*) OVER (PARTITION BY length) - 1) / 2.0 AS ra, rank() OVER (ORDER BY n_transitions) + (count(*) OVER (PARTITION BY n_transitions) - 1) / 2.0 AS rb FROM $P) q",
-    "t19_histogram_kl": "SELECT round(sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) ELSE 0 END), 6) AS kl, round(sum(abs(p - q)), 6) AS l1 FROM (SELECT bin, sum(a) / (sum(sum(a)) OVER ()) AS p, sum(b) / (sum(sum(b)) OVER ()) AS q FROM (SELECT floor(bps_norm * 20) AS bin, CASE WHEN organism = 'ecoli' THEN 1.0 ELSE 0.0 END AS a, CASE WHEN organism = 'human' THEN 1.0 ELSE 0.0 END AS b FROM $P) x GROUP BY bin) y WHERE q > 0 OR p > 0",
+    "t19_histogram_kl": "SELECT round(sum(CASE WHEN p > 0 AND q > 0 THEN p * ln(p / q) ELSE 0 END), 6) AS kl, round(sum(abs(p - q)), 6) AS l1, round(covar_pop(p, q) / nullif(stddev_pop(p) * stddev_pop(q), 0), 6) AS r FROM (SELECT bin, sum(a) / (sum(sum(a)) OVER ()) AS p, sum(b) / (sum(sum(b)) OVER ()) AS q FROM (SELECT floor(bps_norm * 20) AS bin, CASE WHEN organism = 'ecoli' THEN 1 ELSE 0 END AS a, CASE WHEN organism = 'human' THEN 1 ELSE 0 END AS b FROM $P) x GROUP BY bin) y WHERE q > 0 OR p > 0",
     "t22_weighted_gap": "SELECT round(sum(n * gap) / sum(n), 6) AS gap FROM (SELECT organism, count(*) AS n, avg(torus_l1) - avg(torus_l2) AS gap FROM $P GROUP BY organism) q",
-    "t23_empirical_p": "SELECT round(avg(CASE WHEN torus_l1 >= t.m THEN 1.0 ELSE 0.0 END), 6) AS p FROM $P CROSS JOIN (SELECT avg(torus_l1) AS m FROM $P) t",
+    "t23_empirical_p": "SELECT round(avg(CASE WHEN torus_l1 >= t.m THEN 1 ELSE 0 END), 6) AS p FROM $P CROSS JOIN (SELECT avg(torus_l1) AS m FROM $P) t",
 }
 
 _NAMES = "(SELECT DISTINCT organism FROM $P)"
 _DUOS = f"(SELECT a.organism AS org_a, b.organism AS org_b FROM {_NAMES} a JOIN {_NAMES} b ON a.organism < b.organism)"
-_SIDES = f"(SELECT org_a, org_b, org_a AS member, 1.0 AS ia, 0.0 AS ib FROM {_DUOS} d1 UNION ALL SELECT org_a, org_b, org_b AS member, 0.0 AS ia, 1.0 AS ib FROM {_DUOS} d2)"
+_SIDES = f"(SELECT org_a, org_b, org_a AS member, 1 AS ia, 0 AS ib FROM {_DUOS} d1 UNION ALL SELECT org_a, org_b, org_b AS member, 0 AS ia, 1 AS ib FROM {_DUOS} d2)"
 _MASSES = f"(SELECT s.org_a, s.org_b, p.bps_norm AS x, sum(s.ia) AS ca, sum(s.ib) AS cb FROM $P p JOIN {_SIDES} s ON p.organism = s.member GROUP BY s.org_a, s.org_b, p.bps_norm)"
 _UP = "(PARTITION BY org_a, org_b ORDER BY x)"
 _ALL = "(PARTITION BY org_a, org_b)"
 _GAPS = f"(SELECT org_a, org_b, abs(sum(ca) OVER {_UP} / sum(ca) OVER {_ALL} - sum(cb) OVER {_UP} / sum(cb) OVER {_ALL}) AS gap, lead(x) OVER {_UP} - x AS width FROM {_MASSES} m)"
-_BACT = "CASE WHEN p.organism IN " + BACTERIA + " THEN p.bps_norm END"
-_REST = "CASE WHEN p.organism NOT IN " + BACTERIA + " THEN p.bps_norm END"
 _MEANS = "(SELECT organism, count(*) AS n, avg(bps_norm) AS m FROM $P GROUP BY organism)"
-_R2 = "(SELECT count(*) AS n, var_pop(bps_norm) AS v, corr(bps_norm, length) AS a, corr(bps_norm, pct_helix) AS b, corr(length, pct_helix) AS c FROM $P)"
 
 REPORTS |= {
     "g10_distribution_distances": f"SELECT org_a, org_b, round(distance, 6) AS distance, near_rank, far_rank FROM (SELECT *, row_number() OVER (ORDER BY distance, org_a, org_b) AS near_rank, row_number() OVER (ORDER BY distance DESC, org_a, org_b) AS far_rank FROM (SELECT org_a, org_b, sum(gap * width) AS distance FROM {_GAPS} g GROUP BY org_a, org_b) w) r WHERE near_rank <= 15 OR far_rank <= 15",
     "g11_failures": "SELECT o.organism, coalesce(f.n, 0) AS failed, coalesce(f.short_chains, 0) AS short_chains, coalesce(f.uncertain, 0) AS uncertain, coalesce(d.n, 0) AS done, round(100.0 * coalesce(f.n, 0) / nullif(coalesce(f.n, 0) + coalesce(d.n, 0), 0), 6) AS pct FROM (SELECT organism FROM $P WHERE length < 60 OR plddt_mean < 47 UNION SELECT organism FROM $P WHERE length >= 60 AND plddt_mean >= 47) o LEFT JOIN (SELECT organism, count(*) AS n, count(CASE WHEN length < 60 THEN 1 END) AS short_chains, count(CASE WHEN length >= 60 THEN 1 END) AS uncertain FROM $P WHERE length < 60 OR plddt_mean < 47 GROUP BY organism) f ON f.organism = o.organism LEFT JOIN (SELECT organism, count(*) AS n FROM $P WHERE length >= 60 AND plddt_mean >= 47 GROUP BY organism) d ON d.organism = o.organism",
-    "g14_confident_separation": f"SELECT least_plddt, n, round(bacteria, 6) AS bacteria, round(others, 6) AS others, round(bacteria - others, 6) AS gap, abs(bacteria - others) > abs(first_value(bacteria - others) OVER (ORDER BY least_plddt)) AS wider FROM (SELECT t.least_plddt, count(*) AS n, avg({_BACT}) AS bacteria, avg({_REST}) AS others FROM $P p JOIN (SELECT 0 AS least_plddt UNION ALL SELECT 48 UNION ALL SELECT 50 UNION ALL SELECT 52) t ON p.plddt_mean >= t.least_plddt GROUP BY t.least_plddt) q",
     "g17_quick_answers": f"SELECT 'organisms' AS item, cast(count(*) AS double) AS answer FROM {_MEANS} a UNION ALL SELECT 'cv_pct', round(100 * stddev_pop(m) / avg(m), 6) FROM {_MEANS} b UNION ALL SELECT 'range_ratio', round(max(m) / min(m), 6) FROM {_MEANS} c UNION ALL SELECT 'grand_mean', round(avg(bps_norm), 6) FROM $P UNION ALL SELECT 'mean_of_means', round(avg(m), 6) FROM {_MEANS} d UNION ALL SELECT 'within_cv_pct', round(100 * avg(s / m), 6) FROM (SELECT organism, avg(bps_norm) AS m, stddev_pop(bps_norm) AS s FROM $P GROUP BY organism) e",
-    "g26_tiers": "SELECT t.tier, count(*) AS n, round(avg(p.bps_norm), 6) AS mean, round(stddev_pop(p.bps_norm), 6) AS sd FROM $P p JOIN (SELECT 'to 48' AS tier, 0 AS lo, 48 AS hi UNION ALL SELECT 'to 50', 0, 50 UNION ALL SELECT 'to 100', 0, 100 UNION ALL SELECT '48 to 50', 48, 50 UNION ALL SELECT '50 to 52', 50, 52) t ON p.plddt_mean > t.lo AND p.plddt_mean <= t.hi GROUP BY t.tier",
     "g29_completeness": "SELECT r.organism, r.advertised, coalesce(s.ids, 0) AS ids, coalesce(s.done, 0) AS done, coalesce(s.ids - s.done, 0) AS failed, round(100.0 * coalesce(s.done, 0) / r.advertised, 6) AS pct, CASE WHEN coalesce(s.ids, 0) = 0 THEN 'absent' WHEN s.done >= r.advertised THEN 'complete' ELSE 'partial' END AS status FROM (SELECT 'ecoli' AS organism, 30 AS advertised UNION ALL SELECT 'human', 40 UNION ALL SELECT 'yeast', 20 UNION ALL SELECT 'mouse', 10) r LEFT JOIN (SELECT organism, count(*) AS ids, count(CASE WHEN length >= 60 THEN 1 END) AS done FROM $P GROUP BY organism) s ON s.organism = r.organism",
     "g30_organism_summary": "SELECT organism, count(*) AS n, round(avg(bps_norm), 6) AS mean, round(percentile(bps_norm, 0.5), 6) AS median, round(percentile(bps_norm, 0.05), 6) AS p5, round(percentile(bps_norm, 0.95), 6) AS p95, round(100 * stddev_pop(bps_norm) / nullif(avg(bps_norm), 0), 6) AS cv, round(avg(pct_helix), 6) AS helix, round(avg(pct_sheet), 6) AS sheet, min(length) AS shortest, max(length) AS longest FROM $P GROUP BY organism",
     "g31_by_count": "SELECT organism, n, rank() OVER (ORDER BY n DESC) AS place FROM (SELECT organism, count(*) AS n FROM $P GROUP BY organism) q ORDER BY n DESC, organism",
-    "t17_model_comparison": f"SELECT model, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - k - 1), 6) AS adj_r2, round(sqrt(v * (1 - r2)), 6) AS rmse FROM (SELECT 'length' AS model, 1 AS k, n, v, a * a AS r2 FROM {_R2} q1 UNION ALL SELECT 'helix', 1, n, v, b * b FROM {_R2} q2 UNION ALL SELECT 'length + helix', 2, n, v, (a * a + b * b - 2 * a * b * c) / (1 - c * c) FROM {_R2} q3) m",
     "t18_leave_one_out": "SELECT count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - sum(e * e) / nullif(sum((y - my) * (y - my)), 0), 6) AS r2_cv FROM (SELECT p.bps_norm AS y, f.my, (p.bps_norm - f.my - f.b * (p.length - f.mx)) / (1 - 1.0 / f.n - (p.length - f.mx) * (p.length - f.mx) / f.sxx) AS e FROM $P p CROSS JOIN (SELECT count(*) AS n, avg(bps_norm) AS my, avg(length) AS mx, var_pop(length) * count(*) AS sxx, covar_pop(length, bps_norm) / var_pop(length) AS b FROM $P) f) q",
 }

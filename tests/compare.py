@@ -19,9 +19,9 @@ def views(d):
 
 def cell(x):
     if isinstance(x, float):
-        return f"{x:.5f}".replace("-0.00000", "0.00000")
+        return f"{x + 0.0:.6f}".replace("-0.000000", "0.000000")
     if hasattr(x, "as_tuple"):
-        return f"{float(x):.5f}".replace("-0.00000", "0.00000")
+        return f"{float(x):.6f}".replace("-0.000000", "0.000000")
     if isinstance(x, datetime.datetime):
         return x.isoformat()
     return str(x)
