@@ -163,18 +163,24 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 VECTOR = ("bps_mean", "bps_std", "norm_len", "sin_phi", "cos_phi", "sin_psi", "cos_psi", "w_range")
-#: The quadratic clustering runs on at most this many rows, drawn by hash: a documented bound of L08.
+#: The quadratic clustering runs on at most this many rows, drawn by hash: a documented bound of the fit in L08. All rows are labelled.
 SAMPLE = 4_000
 
 
 def density_clusters(features: DataFrame, rounds: int = 5, share: float = 0.8, least: int = 50, k: int = 10, sample: int = SAMPLE) -> DataFrame:
-    """chain_id, seg, round (0 is the whole sample), label of hdbscan on standardised vectors. A round is one task of bounded size."""
+    """chain_id, seg, round, label of hdbscan on standardised vectors; -1 is noise.
+
+    Round 0 labels every row: the drawn rows by the clustering, all others by the nearest drawn row if it is no farther than that
+    row's k-th neighbour, else as noise. The least size of a cluster shrinks with the drawn share. Further rounds cluster shares of the drawn rows.
+    """
+    spark = features.sparkSession
     spread = features.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{s}") for c in VECTOR for s, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     place = F.pmod(F.xxhash64(F.lit("L08"), "chain_id", "seg"), F.lit(1 << 40))
     # The drawn share aims twenty standard deviations below the bound.
-    keep = min(1.0, max(sample - 20 * math.sqrt(sample), 1) / max(spread["n"], 1))
-    scaled = features.where(place < int(keep * (1 << 40)) + 1).select("chain_id", "seg", *[((F.col(c) - F.lit(spread[f"{c}_m"])) / F.lit(spread[f"{c}_s"] or 1.0)).alias(c) for c in VECTOR])
-    turns = scaled.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
+    part = min(1.0, max(sample - 20 * math.sqrt(sample), 1) / max(spread["n"], 1))
+    smallest = max(2, min(least, math.ceil(least * part)))
+    scaled = kept(features.select("chain_id", "seg", (place < int(part * (1 << 40)) + 1).alias("drawn"), *[F.coalesce((F.col(c) - F.lit(spread[f"{c}_m"])) / F.lit(spread[f"{c}_s"] or 1.0), F.lit(0.0)).alias(c) for c in VECTOR]), "vectors")
+    turns = scaled.where("drawn").drop("drawn").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
     draw = F.pmod(F.xxhash64(F.lit("L09"), "round", "chain_id", "seg"), F.lit(1 << 20))
     turns = turns.where((F.col("round") == 0) | (draw < int(share * (1 << 20))))
 
@@ -182,9 +188,31 @@ def density_clusters(features: DataFrame, rounds: int = 5, share: float = 0.8, l
         from angleweave.functions.density import hdbscan
 
         pdf = pdf.sort_values(["chain_id", "seg"])
-        return pdf[["chain_id", "seg", "round"]].assign(label=hdbscan(pdf[list(VECTOR)].fillna(0.0).to_numpy(), least, k))
-
-    return turns.groupBy("round").applyInPandas(run, "chain_id bigint, seg bigint, round int, label int")
+        return pdf[["chain_id", "seg", "round"]].assign(label=hdbscan(pdf[list(VECTOR)].to_numpy(), smallest, k))
+
+    found = kept(turns.groupBy("round").applyInPandas(run, "chain_id bigint, seg bigint, round int, label int"), "density")
+    if part >= 1.0:
+        return found
+    # At most `sample` rows: a proven bound.
+    known = scaled.join(found.where("round = 0").select("chain_id", "seg", "label"), ["chain_id", "seg"]).orderBy("chain_id", "seg").select(*VECTOR, "label").toPandas()
+    shared = spark.sparkContext.broadcast((known[list(VECTOR)].to_numpy(), known["label"].to_numpy()))
+
+    def assign(batches):
+        import numpy as np
+
+        at, labels = shared.value
+        apart = lambda x: np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (at**2).sum(axis=1)[None, :] - 2 * x @ at.T, 0))
+        core = np.concatenate([np.sort(apart(at[j : j + 512]), axis=1)[:, min(k, len(at) - 1)] for j in range(0, len(at), 512)])
+        for b in batches:
+            out = []
+            for j in range(0, len(b), 512):
+                d = apart(b[list(VECTOR)].to_numpy()[j : j + 512])
+                near = d.argmin(axis=1)
+                out.append(np.where(d[np.arange(len(d)), near] <= core[near], labels[near], -1))
+            yield b[["chain_id", "seg"]].assign(round=np.int32(0), label=np.concatenate(out).astype("int32") if out else [])
+
+    rest = scaled.where("not drawn").drop("drawn").mapInPandas(assign, "chain_id bigint, seg bigint, round int, label int")
+    return found.unionByName(rest)
 
 
 def loop_features(members: DataFrame) -> DataFrame:

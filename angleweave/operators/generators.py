@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.angles import grid_index
 from .chains import successor_pairs, transition_counts
 from .nulls import draw
+from .shared import kept
 
 MOST_PAIRS = 20_000
 MOST_GROUPS = 500
@@ -110,31 +111,47 @@ def _pools(df: DataFrame, group: str, columns: list[str], order: list[str]) -> d
     return {k: x[columns].to_numpy() for k, x in rows.groupby(group)}
 
 
-def pooled_markov(res: DataFrame, chains: DataFrame) -> DataFrame:
-    """One Markov chain of basins for all, started from their occupancy; pairs come from pools of all chains. res carries basin."""
+def pooled_markov(res: DataFrame, chains: DataFrame, buckets: int = 256) -> DataFrame:
+    """One Markov chain of basins for all, started from their occupancy; pairs come from pools of all chains. res carries basin.
+
+    The walk over basins needs counts alone. A pool is numbered in buckets of its hash, whose counts are broadcast (buckets rows a
+    basin), so that a draw names a bucket and a place in it, and pairs come from the whole pool by an equi-join.
+    """
     whole = res.where("phi is not null and psi is not null")
-    pools = _pools(whole, "basin", ["phi", "psi"], ["chain_id", "pos"])
-    occupied = {r[0]: r[1] for r in whole.groupBy("basin").count().collect()}
+    bucket = F.pmod(F.xxhash64(F.lit("M08"), "chain_id", "pos"), F.lit(buckets)).cast("int")
+    pool = whole.select("basin", bucket.alias("bucket"), "chain_id", "pos", "phi", "psi")
+    pool = kept(pool.withColumn("at", F.row_number().over(Window.partitionBy("basin", "bucket").orderBy("chain_id", "pos")) - 1).select("basin", "bucket", "at", "phi", "psi"), "pool")
+    sizes: dict[str, dict[int, int]] = {}
+    for r in pool.groupBy("basin", "bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("basin", "bucket").collect():
+        sizes.setdefault(r.basin, {})[r.bucket] = r.n
     steps = {(r.source, r.target): r.n for r in transition_counts(whole).collect()}
-    shared = res.sparkSession.sparkContext.broadcast((pools, occupied, steps))
+    shared = res.sparkSession.sparkContext.broadcast((sizes, steps))
+
+    def run(batches):
+        import zlib
 
-    def one(row, rng):
         import numpy as np
+        import pandas as pd
 
-        pools, occupied, steps = shared.value
-        names = sorted(pools)
-        start = np.array([occupied[b] for b in names], float)
-        table = np.array([[steps.get((a, b), 0) for b in names] for a in names], float) + 0.0
+        sizes, steps = shared.value
+        names = sorted(sizes)
+        start = np.array([sum(sizes[b].values()) for b in names], float)
+        table = np.array([[steps.get((a, b), 0) for b in names] for a in names], float)
         table = np.where(table.sum(axis=1, keepdims=True) > 0, table, start)
-        edges, state = np.cumsum(table / table.sum(axis=1, keepdims=True), axis=1), int(rng.choice(len(names), p=start / start.sum()))
-        path = [state]
-        for u in rng.random(row.length - 1):
-            state = min(int(np.searchsorted(edges[state], u, side="right")), len(names) - 1)
-            path.append(state)
-        pairs = np.array([pools[names[s]][rng.integers(len(pools[names[s]]))] for s in path])
-        return pairs[:, 0], pairs[:, 1]
-
-    return _chains(chains, ["length"], one)
+        edges = np.cumsum(table / table.sum(axis=1, keepdims=True), axis=1)
+        places = [(np.array([*sizes[b]]), np.cumsum([*sizes[b].values()])) for b in names]
+        for rows in batches:
+            for row in rows.itertuples(index=False):
+                rng = np.random.default_rng([42, zlib.crc32(str(row.chain_id).encode())])
+                path = [int(rng.choice(len(names), p=start / start.sum()))]
+                for u in rng.random(row.length - 1):
+                    path.append(min(int(np.searchsorted(edges[path[-1]], u, side="right")), len(names) - 1))
+                at = [int(rng.integers(places[s][1][-1])) for s in path]
+                which = [int(np.searchsorted(places[s][1], a, side="right")) for s, a in zip(path, at)]
+                yield pd.DataFrame({"chain_id": row.chain_id, "pos": np.arange(1, len(path) + 1, dtype="int32"), "basin": [names[s] for s in path], "bucket": np.array([places[s][0][w] for s, w in zip(path, which)], "int32"), "at": np.array([a - (places[s][1][w - 1] if w else 0) for s, a, w in zip(path, at, which)], "int32")})
+
+    walk = chains.select("chain_id", "length").mapInPandas(run, "chain_id bigint, pos int, basin string, bucket int, at int")
+    return walk.join(pool, ["basin", "bucket", "at"]).select("chain_id", "pos", "phi", "psi")
 
 
 def neighbour_markov(res: DataFrame, chains: DataFrame, k: int = 50) -> DataFrame:
@@ -164,40 +181,35 @@ def neighbour_markov(res: DataFrame, chains: DataFrame, k: int = 50) -> DataFram
 def nearest(queries: DataFrame, index: DataFrame, k: int, group: str = "organism") -> DataFrame:
     """query_id, rank, distance, chain_id, pos of the k nearest index rows of the query's group in R4, exactly.
 
-    The index stays where it is, whatever its size: queries are broadcast in blocks of BLOCK, a task keeps its own k best a query, and
-    only those are shuffled and ranked.
+    Pairs meet in cells of a grid on the torus, by equi-joins of a query's cell and those around it. Rows outside differ by a cell's
+    width or more in one angle, so a query whose k-th neighbour is nearer than that is done; the others go on to cells
+    of twice the width, until four cells hold everything. The first grid has about one row a cell, so dense places end early.
     """
-    spark = queries.sparkSession
-    asked = queries.select("query_id", group, "phi", "psi")
-    blocks = max(1, math.ceil(asked.count() / BLOCK))
+    points = kept(index.where("phi is not null and psi is not null").select(group, "chain_id", "pos", "phi", "psi"), "points")
+    asked = kept(queries.where("phi is not null and psi is not null").select("query_id", group, F.col("phi").alias("f"), F.col("psi").alias("s")), "asked")
+    largest = points.groupBy(group).count().agg(F.max("count")).first()[0] or 1
     out = None
-    for part in range(blocks):
-        # Hash blocks are of BLOCK rows on average; a mean that is 1.2 times as large is still small.
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).toPandas()
-        shared = spark.sparkContext.broadcast({g: x for g, x in mine.groupby(group)})
-
-        def run(batches, shared=shared):
-            import numpy as np
-            import pandas as pd
-
-            four = lambda x: np.column_stack([np.cos(x["phi"]), np.sin(x["phi"]), np.cos(x["psi"]), np.sin(x["psi"])])
-            for b in batches:
-                for g, x in b.groupby(group):
-                    q = shared.value.get(g)
-                    if q is None:
-                        continue
-                    at, ids, where = four(x), x["chain_id"].to_numpy(), x["pos"].to_numpy()
-                    for s in range(0, len(q), 256):
-                        some = q.iloc[s : s + 256]
-                        d = ((four(some)[:, None, :] - at[None, :, :]) ** 2).sum(axis=2)
-                        for i, query in enumerate(some["query_id"].to_numpy()):
-                            best = np.lexsort((where, ids, d[i]))[:k]
-                            yield pd.DataFrame({"query_id": query, "distance": np.sqrt(d[i][best]), "chain_id": ids[best], "pos": where[best]})
-
-        found = index.where("phi is not null and psi is not null").select(group, "chain_id", "pos", "phi", "psi").mapInPandas(run, "query_id bigint, distance double, chain_id bigint, pos int")
-        out = found if out is None else out.unionByName(found)
-    by = Window.partitionBy("query_id").orderBy("distance", "chain_id", "pos")
-    return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    for level in range(max(1, math.ceil(math.log2(largest) / 2)), 0, -1):
+        n = 1 << level
+        cell = lambda c: F.pmod(F.floor((F.col(c) + math.pi) * (n / (2 * math.pi))), F.lit(n)).cast("int")  # noqa: B023, E731
+        steps = (0, 1) if n == 2 else (-1, 0, 1)
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in steps for j in steps])
+        left = asked.withColumn("o", F.explode(around)).select("query_id", group, "f", "s", F.pmod(cell("f") + F.col("o.i"), F.lit(n)).alias("x"), F.pmod(cell("s") + F.col("o.j"), F.lit(n)).alias("y"))
+        half = lambda a, b: F.sin((F.col(a) - F.col(b)) / 2)
+        met = left.join(points.withColumns({"x": cell("phi"), "y": cell("psi")}), [group, "x", "y"]).withColumn("distance", 2 * F.sqrt(half("phi", "f") * half("phi", "f") + half("psi", "s") * half("psi", "s")))
+        by = Window.partitionBy("query_id").orderBy("distance", "chain_id", "pos")
+        best = kept(met.select("query_id", "distance", "chain_id", "pos").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), "nearest")
+        if n > 2:
+            safe = 2 * math.sin(math.pi / n) * (1 - 1e-9)
+            ended = best.where((F.col("rank") == k) & (F.col("distance") <= safe)).select("query_id")
+            done = best.join(ended, "query_id", "left_semi")
+            asked = kept(asked.join(ended, "query_id", "left_anti"), "asked")
+        else:
+            done = best
+        out = done if out is None else out.unionByName(done)
+        if n > 2 and asked.isEmpty():
+            break
+    return out.select("query_id", "rank", "distance", "chain_id", "pos")
 
 
 def steric(chains: DataFrame, tries: int = 50, radius: float = 2.0, lookback: int = 6, bonded: bool = False) -> DataFrame:

@@ -242,7 +242,7 @@ def n13_loop_features(spark, d):
 
 @query()
 def n18_l02_loop_distances(spark, d):
-    return loops.distances(loops.extract(scored(spark, d)).where("length >= 5"))
+    return loops.distances(loops.extract(scored(spark, d)))
 
 
 _PERM = "sh AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY pos) AS slot, row_number() OVER (PARTITION BY {g} ORDER BY md5(concat_ws('|', '{m}', chain_id, 0, pos)), pos) AS rk FROM {t}), pm AS (SELECT a.chain_id, a.pos, b.phi, b.psi FROM sh a JOIN sh b ON {j} AND a.slot = b.rk)"
@@ -295,7 +295,7 @@ def t03_least_squares(spark, d):
 
 @query()
 def t06_bootstrap(spark, d):
-    return stats.bootstrap_mean(protein_table(spark, d), "organism", "bps_norm", 2000)
+    return stats.bootstrap_mean(protein_table(spark, d), "organism", "bps_norm")
 
 
 @query(f"{FULL}, x AS (SELECT bps_norm AS x, CASE WHEN organism = 'ecoli' THEN 1.0 ELSE 0.0 END AS a FROM proteins WHERE organism IN ('ecoli', 'human')), g AS (SELECT x, sum(a) AS ca, sum(1 - a) AS cb FROM x GROUP BY 1), s AS (SELECT x, abs(sum(ca) OVER (ORDER BY x) / sum(ca) OVER () - sum(cb) OVER (ORDER BY x) / sum(cb) OVER ()) AS gap, lead(x) OVER (ORDER BY x) - x AS width FROM g) SELECT round(sum(gap * width), 6) AS wasserstein, round(max(gap), 6) AS ks FROM s")

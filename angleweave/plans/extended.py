@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import basins, potential
-from ..operators import chains, families, generators, kinematics, loops, nulls, stats
+from ..operators import chains, families, generators, kinematics, loops, nulls, quality, significance, stats
 from ..operators.shared import kept
-from .catalogue import FULL, GRID, RES, WRES, query, protein_table, residues, scored
+from .catalogue import _SHUFFLE, FULL, GRID, RES, WRES, query, protein_table, residues, scored
 
 _NARROW = "CASE WHEN degrees(phi) > -100 AND degrees(phi) < -30 AND degrees(psi) > -67 AND degrees(psi) < -7 THEN 'alpha' WHEN degrees(phi) > -100 AND degrees(phi) < -50 AND degrees(psi) > 120 AND degrees(psi) < 180 THEN 'ppII' WHEN degrees(phi) > -170 AND degrees(phi) < -70 AND (degrees(psi) > 90 OR degrees(psi) < -120) THEN 'beta' WHEN degrees(phi) > 30 AND degrees(phi) < 90 AND degrees(psi) > 10 AND degrees(psi) < 70 THEN 'alphaL' ELSE 'other' END"
 _INCLUSIVE = "CASE WHEN degrees(phi) BETWEEN -100 AND -30 AND degrees(psi) BETWEEN -67 AND -7 THEN 'alpha' WHEN degrees(phi) BETWEEN -170 AND -70 AND (degrees(psi) BETWEEN 90 AND 180 OR degrees(psi) BETWEEN -180 AND -120) THEN 'beta' WHEN degrees(phi) BETWEEN -100 AND -50 AND degrees(psi) BETWEEN 120 AND 180 THEN 'ppII' WHEN degrees(phi) BETWEEN 30 AND 90 AND degrees(psi) BETWEEN 10 AND 70 THEN 'alphaL' ELSE 'other' END"
@@ -99,9 +100,12 @@ _HEX = "CAST('0x' || substr(md5(concat_ws('|', '{m}', chain_id, pos)), 1, 8) AS
 _CDF = "cd0 AS (SELECT gi, gj, sum(w * w) OVER (ORDER BY gi * 360 + gj) / sum(w * w) OVER () AS c FROM wg), cdf AS MATERIALIZED (SELECT gi, gj, CASE WHEN gi = 359 AND gj = 359 THEN 1.0 ELSE c END AS c FROM cd0)"
 
 
-@query(f"WITH {GRID}, {_CDF} SELECT gi::BIGINT AS gi, round(c, 6) AS cdf FROM cdf WHERE gj = 359")
+@query(f"WITH {GRID} SELECT gi::BIGINT AS gi, gj::BIGINT AS gj, round(1e6 * w * w / sum(w * w) OVER (), 3) AS share_ppm FROM wg")
 def w10_sampling_table(spark, d):
-    return generators.sampling_table(spark, potential.build()).where("gj = 359").select(F.col("gi").cast("bigint").alias("gi"), "cdf")
+    """All cells with their steps, as the running sums themselves are too close to each other to be compared by rounding."""
+    # n * n rows whatever the data.
+    step = F.col("cdf") - F.coalesce(F.lag("cdf").over(Window.orderBy("gi", "gj")), F.lit(0.0))
+    return generators.sampling_table(spark, potential.build()).select(F.col("gi").cast("bigint").alias("gi"), F.col("gj").cast("bigint").alias("gj"), F.round(1e6 * step, 3).alias("share_ppm"))
 
 
 @query(f"WITH {RES}, {GRID}, {_CDF}, u AS (SELECT chain_id, pos, {_HEX.format(m='M10')} / 4294967296.0::DOUBLE AS u, {_HEX.format(m='M10a')} / 4294967296.0::DOUBLE AS a, {_HEX.format(m='M10b')} / 4294967296.0::DOUBLE AS b FROM res) SELECT chain_id, pos, round(-pi() + (gi + a) * 2 * pi() / 360, 6) AS phi, round(-pi() + (gj + b) * 2 * pi() / 360, 6) AS psi FROM u ASOF JOIN cdf ON u.u <= cdf.c")
@@ -148,11 +152,11 @@ def m13_protein_like(spark, d):
 _FOUR = "cos({a}phi) AS {p}0, sin({a}phi) AS {p}1, cos({a}psi) AS {p}2, sin({a}psi) AS {p}3"
 
 
-@query(f"WITH {RES}, sp AS (SELECT chain_id, organism, pos, {_FOUR.format(a='', p='e')} FROM (SELECT *, lead(phi) OVER w AS np, lead(psi) OVER w AS ns FROM res WINDOW w AS (PARTITION BY chain_id ORDER BY pos)) WHERE phi IS NOT NULL AND psi IS NOT NULL AND np IS NOT NULL AND ns IS NOT NULL), qu AS (SELECT chain_id AS query_id, organism, {_FOUR.format(a='', p='q')} FROM res WHERE pos = 1), r AS (SELECT query_id, sqrt((q0 - e0) * (q0 - e0) + (q1 - e1) * (q1 - e1) + (q2 - e2) * (q2 - e2) + (q3 - e3) * (q3 - e3)) AS distance FROM qu JOIN sp USING (organism)), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance) AS rank FROM r) SELECT query_id, rank, round(distance, 6) AS distance FROM k WHERE rank <= 5")
+@query(f"WITH {RES}, sp AS (SELECT chain_id, organism, pos, {_FOUR.format(a='', p='e')} FROM (SELECT *, lead(phi) OVER w AS np, lead(psi) OVER w AS ns FROM res WINDOW w AS (PARTITION BY chain_id ORDER BY pos)) WHERE phi IS NOT NULL AND psi IS NOT NULL AND np IS NOT NULL AND ns IS NOT NULL), qu AS (SELECT chain_id * 100000 + pos AS query_id, organism, {_FOUR.format(a='', p='q')} FROM res), r AS (SELECT query_id, sqrt((q0 - e0) * (q0 - e0) + (q1 - e1) * (q1 - e1) + (q2 - e2) * (q2 - e2) + (q3 - e3) * (q3 - e3)) AS distance FROM qu JOIN sp USING (organism)), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance) AS rank FROM r) SELECT query_id, rank, round(distance, 6) AS distance FROM k WHERE rank <= 50")
 def j06_nearest_pairs(spark, d):
     r = residues(spark, d)
-    asked = r.where("pos = 1").select(F.col("chain_id").alias("query_id"), "organism", "phi", "psi")
-    return generators.nearest(asked, chains.successor_pairs(r), 5).select("query_id", "rank", "distance")
+    asked = r.select((F.col("chain_id") * 100_000 + F.col("pos")).cast("bigint").alias("query_id"), "organism", "phi", "psi")
+    return generators.nearest(asked, chains.successor_pairs(r), 50).select("query_id", "rank", "distance")
 
 
 @query(f"WITH {RES}, {GRID}, x AS (SELECT chain_id, pos, (phi + pi()) * 360 / (2 * pi()) AS x, (psi + pi()) * 360 / (2 * pi()) AS y FROM ev), c AS MATERIALIZED (SELECT chain_id, pos, CAST(least(greatest(floor(x), 0), 358) AS INT) AS i, CAST(least(greatest(floor(y), 0), 358) AS INT) AS j, x, y FROM x), l AS MATERIALIZED (SELECT list(w ORDER BY gi * 360 + gj) AS w FROM wg) SELECT chain_id, pos, round((1 - (x - i)) * (1 - (y - j)) * l.w[i * 360 + j + 1] + (x - i) * (1 - (y - j)) * l.w[i * 360 + j + 361] + (1 - (x - i)) * (y - j) * l.w[i * 360 + j + 2] + (x - i) * (y - j) * l.w[i * 360 + j + 362], 6) AS w FROM c, l")
@@ -238,3 +242,85 @@ def t24_sweep_variation(spark, d):
     """The four residues of the chain id stand for the settings of a sweep."""
     p = protein_table(spark, d).groupBy("organism", F.pmod("chain_id", F.lit(4)).alias("setting")).agg(F.avg("bps_norm").alias("m"))
     return stats.sweep_variation(p, "organism", "m")
+
+
+@query(f"WITH {RES}, f AS (SELECT DISTINCT chain_id FROM res ORDER BY 1 LIMIT 10), v AS (SELECT count(*) AS n, count(*) FILTER (WHERE degrees(phi) > -100 AND degrees(phi) < -20) AS plus, count(*) FILTER (WHERE -degrees(phi) > -100 AND -degrees(phi) < -20) AS minus FROM res JOIN f USING (chain_id)) SELECT n, plus, minus, CASE WHEN plus >= minus THEN 1 ELSE -1 END AS sign, round(greatest(plus, minus) / n, 6) AS share, greatest(plus, minus) >= 2 * least(plus, minus) AS clear, greatest(plus, minus) / n > 0.15 AS decided FROM v")
+def p03_sign_vote(spark, d):
+    return quality.sign_vote(residues(spark, d))
+
+
+@query(f"{FULL}, b AS (SELECT chain_id, plddt_mean * (1 + chain_id % 4) AS plddt_mean, rg * (chain_id % 5 - 1) * 20 AS rg, contact_order * (chain_id % 11) AS contact_order, pct_helix, pct_sheet, pct_coil + CASE WHEN chain_id % 6 = 0 THEN 2 ELSE 0 END AS pct_coil FROM proteins) SELECT chain_id, round(CASE WHEN plddt_mean BETWEEN 0 AND 100 THEN plddt_mean END, 6) AS plddt_mean, round(CASE WHEN rg > 0 AND rg <= 500 THEN rg END, 6) AS rg, round(CASE WHEN contact_order > 0 AND contact_order <= 1 THEN contact_order END, 6) AS contact_order FROM b WHERE pct_helix + pct_sheet + pct_coil > 99 AND pct_helix + pct_sheet + pct_coil < 101")
+def p13_sanity(spark, d):
+    """The view holds sane values only; some are put out of their limits first."""
+    c = F.col("chain_id")
+    bad = {"plddt_mean": F.col("plddt_mean") * (1 + c % 4), "rg": F.col("rg") * (c % 5 - 1) * 20, "contact_order": F.col("contact_order") * (c % 11), "pct_coil": F.col("pct_coil") + F.when(c % 6 == 0, 2).otherwise(0)}
+    return quality.sane(protein_table(spark, d).withColumns(bad)).select("chain_id", "plddt_mean", "rg", "contact_order")
+
+
+@query()
+def m04_two_level(spark, d):
+    return quality.two_level(residues(spark, d), potential.grid_table(spark, potential.build()))
+
+
+_SHARES = "SELECT '{r}' AS resname, quartile, count(*) AS n, round(avg(bps_norm), 6) AS mean, round(coalesce(stddev_samp(bps_norm), 0), 6) AS sd FROM (SELECT bps_norm, CASE WHEN pct <= q1 THEN 1 WHEN pct <= q2 THEN 2 WHEN pct <= q3 THEN 3 ELSE 4 END AS quartile FROM (SELECT chain_id, 100.0 * count(*) FILTER (WHERE resname = '{r}') / count(*) AS pct FROM res GROUP BY 1 HAVING count(*) >= 10) s JOIN proteins USING (chain_id), (SELECT quantile_cont(pct, 0.25) AS q1, quantile_cont(pct, 0.5) AS q2, quantile_cont(pct, 0.75) AS q3 FROM (SELECT 100.0 * count(*) FILTER (WHERE resname = '{r}') / count(*) AS pct FROM res GROUP BY chain_id HAVING count(*) >= 10)) l) GROUP BY 1, 2"
+
+
+@query(f"{FULL} {_SHARES.format(r='click')} UNION ALL {_SHARES.format(r='purchase')}")
+def g27_composition(spark, d):
+    """Two kinds of event stand for glycine and proline."""
+    rough, r = kept(protein_table(spark, d).select("chain_id", "bps_norm"), "rough"), residues(spark, d)
+    return quality.composition_quartiles(r, rough, "click").unionByName(quality.composition_quartiles(r, rough, "purchase"))
+
+
+_CHAIN_STEP = "(SELECT chain_id, avg(abs(a) + abs(b)) AS s FROM (SELECT chain_id, atan2(sin(phi - lag(phi) OVER w), cos(phi - lag(phi) OVER w)) AS a, atan2(sin(psi - lag(psi) OVER w), cos(psi - lag(psi) OVER w)) AS b FROM {t} WINDOW w AS (PARTITION BY chain_id ORDER BY pos)) GROUP BY 1)"
+
+
+@query(f"WITH {RES}, {_SHUFFLE} SELECT organism, count(*) AS n, round(avg(CASE WHEN n.s >= r.s THEN 1 ELSE 0 END), 6) AS p FROM {_CHAIN_STEP.format(t='res')} r JOIN {_CHAIN_STEP.format(t='pm')} n USING (chain_id) JOIN (SELECT DISTINCT chain_id, organism FROM res) o USING (chain_id) GROUP BY 1")
+def t23_null_against_real(spark, d):
+    """The share of chains whose shuffled copy is at least as rough as the chain, by organism."""
+    r = residues(spark, d)
+    w = Window.partitionBy("chain_id").orderBy("pos")
+    turn = lambda a: F.abs(F.atan2(F.sin(F.col(a) - F.lag(a).over(w)), F.cos(F.col(a) - F.lag(a).over(w))))
+    step = lambda rows, name: rows.select("chain_id", (turn("phi") + turn("psi")).alias("s")).groupBy("chain_id").agg(F.avg("s").alias(name))
+    both = step(r, "real").join(step(nulls.shuffled(r), "null"), "chain_id").join(r.select("chain_id", "organism").distinct(), "chain_id")
+    return both.groupBy("organism").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("null") >= F.col("real")).cast("double")).alias("p"))
+
+
+@query()
+def t_p_values(spark, d):
+    """Statistics and p-values of the tests, and a verdict by the size of the difference."""
+    p = kept(protein_table(spark, d), "proteins")
+    found = {
+        "pearson length bps": significance.pearson(p, "length", "bps"), "partial helix | length": significance.partial(p, "bps_norm", "pct_helix", "length"), "spearman length transitions": significance.spearman(p, "length", "n_transitions"),
+        "t ecoli human": significance.two_sample_t(p, "bps_norm", "organism", "ecoli", "human"), "mann-whitney ecoli human": significance.mann_whitney(p, "length", "organism", "ecoli", "human"), "wilcoxon windings": significance.wilcoxon(p, "q_phi", "q_psi"), "f organisms": significance.one_way_f(p, "bps_norm", "organism"),
+    }
+    size = p.where("organism in ('ecoli', 'human')").groupBy("organism").agg(F.avg("bps_norm").alias("m"), F.stddev_samp("bps_norm").alias("s")).orderBy("organism").collect()
+    cohen = (size[0].m - size[1].m) / ((size[0].s ** 2 + size[1].s ** 2) / 2) ** 0.5 if len(size) == 2 else 0.0
+    return spark.createDataFrame([(name, float(s), float(v), significance.verdict(v, cohen)) for name, (s, v) in found.items()], "test string, statistic double, p double, verdict string")
+
+
+@query()
+def t18_models(spark, d):
+    """Leave-one-out errors of the six predictor sets; a response of the view stands for the measured one."""
+    p = kept(protein_table(spark, d), "proteins")
+    sets = {"CO": ["contact_order"], "BPS": ["bps"], "BPS/res": ["bps_norm"], "CO + BPS": ["contact_order", "bps"], "CO + BPS/res": ["contact_order", "bps_norm"], "CO + BPS + L": ["contact_order", "bps", "length"]}
+    found = [(name, significance.leave_one_out(p, "plddt_mean", xs)) for name, xs in sets.items()]
+    return spark.createDataFrame([(name, x["n"], x["mae"], x["rmse"], x["r2_cv"]) for name, x in found], "model string, n bigint, mae double, rmse double, r2_cv double")
+
+
+_REGISTRY = "(" + " UNION ALL ".join(f"SELECT {k} AS chain_id, 'reference {k}' AS name" for k in range(1, 24)) + ")"
+
+
+@query(f"{FULL} SELECT chain_id, name, organism, round(bps_norm, 6) AS bps_norm FROM (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY organism) AS k FROM {_REGISTRY} JOIN proteins USING (chain_id)) WHERE k = 1")
+def j11_first_match(spark, d):
+    """The first row of every reference chain."""
+    registry = spark.range(1, 24).select(F.col("id").alias("chain_id"), F.format_string("reference %d", "id").alias("name"))
+    rows = F.broadcast(registry).join(protein_table(spark, d), "chain_id").withColumn("k", F.row_number().over(Window.partitionBy("chain_id").orderBy("organism")))
+    return rows.where("k = 1").select("chain_id", "name", "organism", "bps_norm")
+
+
+@query()
+def l08_noise_share(spark, d):
+    """One row: runs of other, labels, noise."""
+    found = families.density_clusters(loops.features(scored(spark, d)), rounds=0)
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"))
