@@ -111,22 +111,33 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns: of equal texts the row with the smallest doc_id, a null one last.
 
-    Texts are hashed once, into a written table whose row numbers carry the decisions, so rows of one id are
-    told apart. Unique rows are not shuffled; of the rest only candidates move. Null texts are equal to empty ones.
+    Decisions go by text and id together; of rows equal in both one stays. Texts are not copied to disk: they are hashed
+    where they lie, once for the table of hashes and once where they are read for the result. Unique rows are not shuffled; of the
+    rest only candidates move. Null texts are equal to empty ones.
     """
     columns = docs.columns
-    marked = stored(docs.select("*", _sha().alias("__aw_sha"), F.monotonically_increasing_id().alias("__aw_rid")), "exact-rows")
-    slot = _slot(F.col("__aw_sha"))
-    keyed = marked.select("doc_id", F.col("__aw_sha").alias("sha"), F.col("__aw_rid").alias("rid"), slot.alias("slot"))
+    keyed = stored(docs.select("doc_id", _sha().alias("sha"), F.lit(0).cast("bigint").alias("rid")).withColumn("slot", _slot(F.col("sha"))), "exact-keys")
     rows = keyed.count()
     filters = Filters(keyed.select("slot"))
-    groups = duplicate_groups(keyed, filters).select(F.col("sha").alias("__aw_same"), F.col("first.rid").alias("__aw_first"), F.col("group_size").alias("__aw_size"))
-    groups = stored(groups, "exact-groups")
-    hit = filters.maybe_repeated(slot)
+    groups = duplicate_groups(keyed, filters)
+    groups = stored(groups.select(F.col("sha").alias("__aw_sha"), F.col("first.id").alias("__aw_keep"), F.col("group_size").alias("__aw_size")), "exact-groups")
+    # Ids that repeat inside their own group: there one row of several equal ones must be chosen.
+    tied = keyed.join(groups, (F.col("sha") == F.col("__aw_sha")) & F.col("doc_id").eqNullSafe(F.col("__aw_keep"))).groupBy("sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    tied = stored(tied.select(F.col("sha").alias("__aw_tied")), "exact-tied")
+    marked = docs.withColumn("__aw_h", _sha())
+    hit = filters.maybe_repeated(_slot(F.col("__aw_h")))
+    straight = marked.filter(~hit).select(*columns)
     maybe = marked.filter(hit)
     large = F.col("__aw_size") * SHARES >= rows
     hot = F.broadcast(groups.filter(large))
-    same, first = F.col("__aw_sha") == F.col("__aw_same"), F.col("__aw_rid") == F.col("__aw_first")
-    kept = maybe.join(hot, same).filter(first).select(*columns)
-    others = maybe.join(hot, same, "left_anti").join(groups.filter(~large), same, "left").filter(F.col("__aw_size").isNull() | first).select(*columns)
-    return marked.filter(~hit).select(*columns).unionByName(kept).unionByName(others)
+    first = F.col("__aw_keep").eqNullSafe(F.col("doc_id"))
+    kept = maybe.join(hot, F.col("__aw_h") == F.col("__aw_sha")).filter(first).select(*columns, "__aw_h")
+    others = maybe.join(hot.select("__aw_sha"), F.col("__aw_h") == F.col("__aw_sha"), "left_anti")
+    others = others.join(groups.filter(~large), F.col("__aw_h") == F.col("__aw_sha"), "left").filter(F.col("__aw_size").isNull() | first).select(*columns, "__aw_h")
+    kept = kept.unionByName(others)
+    if tied.isEmpty():
+        return straight.unionByName(kept.select(*columns))
+    tied_join = F.col("__aw_h") == F.col("__aw_tied")
+    single = kept.join(tied, tied_join, "left_anti").select(*columns)
+    chosen = kept.join(tied, tied_join, "left_semi").dropDuplicates(["__aw_h"]).select(*columns)
+    return straight.unionByName(single).unionByName(chosen)
