@@ -177,16 +177,25 @@ def _marked(at: int):
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The documents with one row of each group, with their columns: that of the smallest doc_id, a null one last.
 
-    Decisions are made by row, so rows of one id or without an id are told apart; of equal rows one stays. Rows
-    and fingerprints are written once; only row numbers are shuffled, and texts where dropped rows are many.
+    Rows whose id is their own go or stay by it; only ids are joined. Rows without an id or with one that repeats, normally none, are told
+    apart by id and fingerprint, which is taken once more for them alone; of rows equal in both one stays.
     """
-    small_batches(docs.sparkSession)
     columns = docs.columns
+    rows = stored(fingerprints(docs), "simhash-fingerprints")
+    order = rows.withColumn("rid", F.lit(0).cast("bigint"))
+    first = _components(order, distance).select("fp", F.col("first.id").alias("first"), "component")
+    unclear = stored(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("doc_id is null or n > 1").select(F.col("doc_id").alias("__aw_id")), "simhash-unclear")
+    away = rows.filter("doc_id is not null").join(first, "fp").filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__aw_id")).distinct()
+    dropped = stored(away.unionByName(unclear.filter("__aw_id is not null")).distinct(), "simhash-dropped")
+    # 8 bytes an id: a million are 8 MB.
+    n, mine = dropped.count(), F.col("doc_id").cast("bigint")
+    kept = docs.filter(mine.isNotNull()).join(F.broadcast(dropped) if n <= 1_000_000 else dropped, mine == F.col("__aw_id"), "left_anti")
+    if unclear.isEmpty():
+        return kept
     schema = T.StructType([*docs.schema.fields, T.StructField("__aw_fp", T.LongType())])
-    marked = stored(docs.mapInArrow(_marked(columns.index("text")), schema).withColumn("__aw_rid", F.monotonically_increasing_id()), "simhash-rows")
-    rows = marked.select(F.col("__aw_fp").alias("fp"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("__aw_rid").alias("rid"))
-    first = _components(rows, distance).select("fp", F.col("first.rid").alias("first"))
-    dropped = stored(rows.join(first, "fp").filter(F.col("rid") != F.col("first")).select(F.col("rid").alias("__aw_rid")), "simhash-dropped")
-    # 8 bytes a row: a million rows are 8 MB.
-    n = dropped.count()
-    return marked.join(F.broadcast(dropped) if n <= 1_000_000 else dropped, "__aw_rid", "left_anti").select(*columns)
+    small_batches(docs.sparkSession)
+    again = docs.join(unclear, mine.eqNullSafe(F.col("__aw_id")), "left_semi").mapInArrow(_marked(columns.index("text")), schema)
+    # The row that stays is one of its component's whose id is the component's first; several of these are cut to one.
+    again = again.join(first.select(F.col("fp").alias("__aw_fp"), F.col("first").alias("__aw_first"), F.col("component").alias("__aw_component")), "__aw_fp")
+    again = again.filter(mine.eqNullSafe(F.col("__aw_first"))).dropDuplicates(["__aw_component"])
+    return kept.unionByName(again.select(*[F.col(f"`{c}`") for c in columns]))
