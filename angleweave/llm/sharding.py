@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import BROADCAST_ROWS, stored
 
 BITS = 60
 
@@ -67,11 +67,12 @@ def _round(rows: DataFrame, base: int, bits: int, limit: int) -> DataFrame:
     paths = cells.select("*", F.explode(F.sequence(F.lit(base), F.lit(deep))).alias("depth")).select("*", up1.alias("p1"), low2.alias("p2"))
     nodes = stored(paths.groupBy("depth", "p1", "p2").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_rows")), "sharding-nodes")
     inner = nodes.filter((F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)).select("depth", "p1", "p2")
-    split = paths.join(inner, ["depth", "p1", "p2"]).groupBy("c1", "c2").agg((F.max("depth") + 1).alias("leaf"))
-    leaves = cells.join(split, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("leaf", F.lit(base)).alias("depth"))
+    split = paths.join(inner.hint("merge"), ["depth", "p1", "p2"]).groupBy("c1", "c2").agg((F.max("depth") + 1).alias("leaf"))
+    leaves = cells.join(split.hint("merge"), ["c1", "c2"], "left").select("c1", "c2", F.coalesce("leaf", F.lit(base)).alias("depth"))
     leaves = leaves.withColumn("open", d > deep).withColumn("depth", F.least(d, F.lit(deep)))
     leaves = leaves.select("c1", "c2", "depth", "open", up1.alias("p1"), low2.alias("p2"))
-    return leaves.join(nodes, ["depth", "p1", "p2"])
+    # Cells and nodes grow with the shards; both sides of these joins are of their size, so neither is broadcast.
+    return leaves.join(nodes.hint("merge"), ["depth", "p1", "p2"])
 
 
 def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None, limit: int = 1 << 20) -> DataFrame:
@@ -84,7 +85,9 @@ def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None
         bits = min(bits, 2 * BITS - base)
         directory = stored(_round(rows, base, bits, limit), "sharding-directory")
         c1, c2 = _prefix(F.lit(base + bits))
-        placed = rows.select("*", c1.alias("c1"), c2.alias("c2")).join(directory, ["c1", "c2"])
+        # About 16 cells a shard: beyond the counted limit rows of a key, two hashes and a size are shuffled to them.
+        side = F.broadcast(directory) if directory.count() <= BROADCAST_ROWS else directory.hint("merge")
+        placed = rows.select("*", c1.alias("c1"), c2.alias("c2")).join(side, ["c1", "c2"])
         last = base + bits >= 2 * BITS or directory.filter("open").isEmpty()
         ended = placed if last else placed.filter(~F.col("open"))
         ended = ended.select("key", _name(F.col("depth"), F.col("p1"), F.col("p2")).alias("shard"), F.col("depth").cast("int").alias("depth"), "bytes", "shard_bytes", "shard_rows")

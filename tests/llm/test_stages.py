@@ -140,6 +140,26 @@ def test_write_shards(spark, tmp_path, docs):
     assert all(size <= 2000 or n == 1 for _, size, n in placed.values())
 
 
+def test_shards_without_a_broadcast(spark, docs, monkeypatch):
+    """A directory beyond the counted limit is joined by a shuffle, and no broadcast stays in the plan; the rows are the same."""
+
+    def shards(df):
+        return Counter((r.doc_id, r["shard"], r.depth, r.bytes, r.shard_bytes, r.shard_rows) for r in df.collect())
+
+    some = table(spark, [(k % 50, "word " * (k % 7)) for k in range(300)])
+    want = shards(sharding.assign_shards(some, limit=100))
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 0)
+    got = sharding.assign_shards(some, limit=100)
+    # Rows of one id are told apart by a number drawn a run: the shards of single ids do not depend on it.
+    assert Counter((d, b) for (d, _, _, b, _, _), n in shards(got).items() for _ in range(n)) == Counter((d, b) for (d, _, _, b, _, _), n in want.items() for _ in range(n))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    alone = table(spark, [(k, "word " * (k % 7)) for k in range(300)])
+    got = shards(sharding.assign_shards(alone, limit=100))
+    monkeypatch.undo()
+    assert got == shards(sharding.assign_shards(alone, limit=100))
+    assert all(size <= 100 or n == 1 for _, _, _, _, size, n in got)
+
+
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages_on_odd_and_empty_tables(spark, tmp_path, docs, name, stage):
     spark.createDataFrame([(k, 1, 0) for k in range(15)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
