@@ -11,6 +11,8 @@ adds them up for every shorter prefix, and reads all splits from these sums: a
 bucket ends at the first prefix that fits. Only the rows of cells that are still
 too large enter another round, eight bits deeper.
 
+The directory is counted; only up to BROADCAST_ROWS cells are broadcast to the rows.
+
 Defined cases: a null key hashes as the string "null"; a null text has 0 bytes; an
 empty table gives no rows; repeated rows share a bucket until it is too large and
 are then told apart by the second 60 bits; one row above the limit gets a shard of
