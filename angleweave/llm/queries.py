@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash, token_output
+from . import bpe_codec, exact_dedup, lm_scoring, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash, token_output
 from .common import read_table
 
 SHARD_BYTES = 1 << 20
@@ -63,8 +63,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_simhash, op4_pii, op5_quality_classifier, op6_mixing, op7_sentencepiece, op8_token_output, op9_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_simhash, op4_pii, op5_quality_classifier, op6_mixing, op7_sentencepiece, op8_token_output, op9_exact_dedup, op10_quality_rules, op12_bpe)}
 
 
 OP1_SQL = f"""
