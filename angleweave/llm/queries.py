@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, lm_scoring, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash, token_output
+from . import bpe_codec, centroid_clustering, exact_dedup, lm_scoring, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash, token_output, vector_codes
 from .common import read_table
 
 SHARD_BYTES = 1 << 20
@@ -63,12 +63,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.clustered(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_simhash, op4_pii, op5_quality_classifier, op6_mixing, op7_sentencepiece, op8_token_output, op9_exact_dedup, op10_quality_rules, op12_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_lm_scoring, op3_simhash, op4_pii, op5_quality_classifier, op6_mixing, op7_sentencepiece, op8_token_output, op9_exact_dedup, op10_quality_rules, op11_centroids, op12_bpe, op13_vector_codes)}
 
 
 OP1_SQL = f"""
@@ -96,5 +104,42 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 """
 
 
+#: floor(s / n) in integers.
+_FLOOR_MEAN = "(s - ((s % n) + n) % n) // n"
+_WHOLE = "embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def op11_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Each round in a table of its own: distances of all vectors to all centroids, the nearest one, and the floors of the means."""
+    steps = [
+        f"""k AS MATERIALIZED (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings WHERE len(embedding) = 64 AND {_WHOLE})""",
+        "e AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS p, unnest(v) AS x FROM k)",
+        f"""c0 AS MATERIALIZED (SELECT CAST(r AS INTEGER) AS cluster, p, x FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) - 1 AS r FROM k QUALIFY r < {clusters}) JOIN e USING (vec_id))""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, min(ROW(distance, cluster)) AS best FROM (SELECT vec_id, cluster, CAST(sum((e.x - c.x) * (e.x - c.x)) AS BIGINT) AS distance FROM e JOIN c{r} c USING (p) GROUP BY ALL) GROUP BY vec_id)")
+        if r < rounds:
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, c.p, coalesce({_FLOOR_MEAN}, c.x) AS x FROM c{r} c LEFT JOIN (SELECT best[2] AS cluster, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e JOIN a{r} USING (vec_id) GROUP BY ALL) m ON m.cluster = c.cluster AND m.p = c.p)")
+    steps.append(f"h AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)")
+    steps.append(f"f AS (SELECT vec_id, best[2] AS cluster, best[1] AS distance FROM a{rounds})")
+    return "WITH " + ", ".join(steps) + " SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM f JOIN h USING (cluster)"
+
+
+def op13_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """As op11_sql, for every part position."""
+    width = 64 // parts
+    steps = [
+        f"""k AS MATERIALIZED (SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings WHERE len(embedding) = 64 AND {_WHOLE})""",
+        f"e AS MATERIALIZED (SELECT vec_id, part, j, v[part * {width} + j + 1] AS x FROM k, range({parts}) t(part), range({width}) u(j))",
+        f"c0 AS MATERIALIZED (SELECT part, CAST(r AS INTEGER) AS entry, j, x FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM k QUALIFY r < {entries}) JOIN e USING (vec_id))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, part, min(ROW(d, entry)) AS best FROM (SELECT vec_id, part, entry, CAST(sum((e.x - c.x) * (e.x - c.x)) AS BIGINT) AS d FROM e JOIN c{r} c USING (part, j) GROUP BY ALL) GROUP BY ALL)")
+        if r < rounds:
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, c.j, coalesce({_FLOOR_MEAN}, c.x) AS x FROM c{r} c LEFT JOIN (SELECT part, best[2] AS entry, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e JOIN a{r} USING (vec_id, part) GROUP BY ALL) m ON m.part = c.part AND m.entry = c.entry AND m.j = c.j)")
+    steps.append(f"f AS (SELECT vec_id, string_agg(lpad(lower(to_hex(best[2])), 2, '0'), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)")
+    return "WITH " + ", ".join(steps) + f" SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, j)) FROM c{rounds}) AS codebooks_sha256 FROM f JOIN k USING (vec_id)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": OP1_SQL, "op6_mixing": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_sharding": OP1_SQL, "op6_mixing": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op11_centroids": op11_sql(), "op13_vector_codes": op13_sql()}
