@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is a map-side combined minimum per node and an equi-join back, so no
-task needs a node's whole neighbourhood; AQE splits the join of a hub. Each round is
+task needs a node's whole neighbourhood. The minima are written before they are joined: counted as few they are broadcast, else the join
+reads two plain shuffles, of which Spark splits a hub's. Each round is
 written to the shared folder, which cuts the lineage. Rounds grow with the logarithm
 of the longest path.
 """
@@ -11,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import broadcast_if_small, stored
 
 MOST_ROUNDS = 60
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """From directed (u, v): u and the least of u and its neighbours."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m"))
+def _with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Directed (u, v) with m, the least of u and its neighbours; and the table (node, m) itself."""
+    m = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m")), "cc-least")
+    return pairs.join(broadcast_if_small(m, m.count()), F.col("u") == F.col("node")), m
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -28,13 +30,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         # Large star: hang every larger neighbour on the least neighbour.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = _least(both)
-        large = both.join(m, F.col("u") == F.col("node")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _with_least(both)[0].filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = stored(large, "cc-large")
         # Small star: hang every smaller neighbour, and the node, on the least of them.
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        m = _least(down)
-        joined = down.join(m, F.col("u") == F.col("node"))
+        joined, m = _with_least(down)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select(F.col("node").alias("u"), F.col("m").alias("v")))
         now = stored(small.filter("u <> v").distinct(), "cc-small")
         # Settled when a round leaves the same set of edges.

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored, utf8
+from .common import broadcast_if_small, small_batches, stored, utf8
 from .graph import components
 
 WORDS = 4
@@ -110,9 +110,30 @@ def _near(a: str, b: str, distance: int) -> Column:
 
 def _labelled(keyed: DataFrame, labels: DataFrame) -> DataFrame:
     """Keys with each fingerprint's component, without the keys that hold a single component."""
-    rows = keyed.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rows = stored(_relabelled(keyed, labels), "simhash-labelled")
     mixed = rows.groupBy("t", "k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("t", "k")
-    return stored(rows.join(mixed, ["t", "k"]), "simhash-mixed")
+    return stored(_joined(rows, mixed, ["t", "k"], "simhash-mixed-keys"), "simhash-mixed")
+
+
+def _joined(rows: DataFrame, made: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Joins an aggregate of the rows themselves: written first and counted, it is broadcast if small; else Spark splits the join of a hot key."""
+    made = stored(made, name)
+    return rows.join(broadcast_if_small(made, made.count()), on)
+
+
+def _relabelled(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with their fingerprint's component, itself where it has none."""
+    names = labels.select(F.col("node").alias("fp"), "component")
+    return keyed.join(broadcast_if_small(names, labels.count()), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links (a, b) between them: only the components that the links name are worked on again."""
+    new = stored(components(links, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("now")), "simhash-merges")
+    named = labels.join(broadcast_if_small(new, new.count()), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    # A fingerprint that had no link so far is a component of itself.
+    fresh = new.select(F.col("component").alias("node"), F.col("now").alias("component")).join(labels.select("node"), "node", "left_anti")
+    return stored(named.unionByName(fresh), "simhash-labels")
 
 
 def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -122,26 +143,25 @@ def linked(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     every = F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.col("fp").bitwiseAND(F.lit(x)).alias("k")) for t, x in enumerate(keys)])
     keyed = distinct.select("fp", F.explode(every).alias("key")).select("fp", "key.t", "key.k")
     shared = keyed.groupBy("t", "k").agg(F.min("fp").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keyed = stored(keyed.join(shared, ["t", "k"]), "simhash-keys")
-    links = stored(keyed.filter((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", distance)).select("fp", F.col("pivot").alias("other")).distinct(), "simhash-links")
-    keyed = keyed.select("fp", "t", "k")
+    keyed = stored(_joined(keyed, shared, ["t", "k"], "simhash-pivots"), "simhash-keys")
+    links = keyed.filter((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", distance)).select("fp", F.col("pivot").alias("other"))
+    labels = stored(components(links, "fp", "other"), "simhash-labels")
     for k in range(PIVOT_ROUNDS):
-        labels = stored(components(links, "fp", "other"), "simhash-labels")
         keyed = _labelled(keyed.select("fp", "t", "k"), labels)
         sizes = keyed.groupBy("t", "k", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("t", "k").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
         rows, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
-        if not rows or pairs <= PAIRS_A_ROW * rows:
+        if not rows:
+            return labels
+        if pairs <= PAIRS_A_ROW * rows or k == PIVOT_ROUNDS - 1:
             break
-        pivot = keyed.groupBy("t", "k").agg(F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias("pivot"))
-        more = keyed.join(pivot, ["t", "k"]).filter((F.col("fp") != F.col("pivot")) & _near("fp", "pivot", distance)).select("fp", F.col("pivot").alias("other"))
-        links = stored(links.unionByName(more).distinct(), "simhash-links")
+        pivot = keyed.groupBy("t", "k").agg(F.min_by(F.struct("fp", "component"), F.xxhash64("fp", F.lit(k))).alias("pivot"))
+        met = _joined(keyed, pivot, ["t", "k"], "simhash-pivots").select("component", "fp", F.col("pivot.fp").alias("other"), F.col("pivot.component").alias("to"))
+        labels = _merged(labels, met.filter((F.col("component") != F.col("to")) & _near("fp", "other", distance)).select(F.col("component").alias("a"), F.col("to").alias("b")))
     left = keyed.select("t", "k", "fp", F.col("component").alias("c1"))
     right = keyed.select("t", "k", F.col("fp").alias("other"), F.col("component").alias("c2"))
-    last = left.join(right, ["t", "k"]).filter((F.col("c1") < F.col("c2")) & _near("fp", "other", distance)).select("fp", "other")
+    last = left.join(right, ["t", "k"]).filter((F.col("c1") < F.col("c2")) & _near("fp", "other", distance)).select(F.col("c1").alias("a"), F.col("c2").alias("b"))
     last = stored(last.distinct(), "simhash-last")
-    if last.isEmpty():
-        return labels
-    return components(links.unionByName(last), "fp", "other")
+    return labels if last.isEmpty() else _merged(labels, last)
 
 
 def _components(rows: DataFrame, distance: int) -> DataFrame:
