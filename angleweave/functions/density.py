@@ -1,23 +1,30 @@
-"""Hierarchical density clustering of one bounded sample, in numpy alone."""
+"""Hierarchical density clustering of a few rows in numpy alone; what the distributed clusters are held against."""
 
 from __future__ import annotations
 
 
 def spanning_tree(x, core):
-    """Edges (weight, a, b) of a least spanning tree of mutual reachability, lightest first."""
+    """Edges (weight, a, b), a < b, of the least spanning tree of mutual reachability, lightest first; equal weights go by ids."""
     import numpy as np
 
-    n = len(x)
-    best, source, used = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        used[at] = True
-        reach = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), core), core[at])
-        closer = ~used & (reach < best)
-        best[closer], source[closer] = reach[closer], at
-        at = int(np.where(used, np.inf, best).argmin())
-        edges.append((float(best[at]), int(source[at]), at))
-    return sorted(edges)
+    a, b = np.triu_indices(len(x), 1)
+    w = np.maximum(np.sqrt(((x[a] - x[b]) ** 2).sum(axis=1)), np.maximum(core[a], core[b]))
+    top, edges = list(range(len(x))), []
+
+    def find(i):
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for k in np.lexsort((b, a, w)):
+        i, j = find(a[k]), find(b[k])
+        if i != j:
+            top[j] = i
+            edges.append((float(w[k]), int(a[k]), int(b[k])))
+            if len(edges) == len(x) - 1:
+                break
+    return edges
 
 
 def core_distances(x, k: int):

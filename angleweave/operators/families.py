@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from . import density
 from .loops import path_distance, resampled, stratum
 from .shared import kept
 
@@ -150,69 +151,77 @@ def control(members: DataFrame) -> DataFrame:
     return out
 
 
-def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Adjusted Rand index and the Jaccard index of pairs that share a label, exact from the contingency table."""
-    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    two = lambda c: F.sum(c * (c - 1) / 2)
-    rows = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(two(F.col("n")).alias("ra"), F.sum("n").alias("total"))
-    columns = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(two(F.col("n")).alias("rb"))
-    one = cells.agg(two(F.col("n")).alias("both")).crossJoin(rows).crossJoin(columns)
+def agreement(df: DataFrame, a: str, b: str, by: tuple[str, ...] = (), noise: int | None = None) -> DataFrame:
+    """Adjusted Rand index and the Jaccard index of pairs that share a label, exact from the contingency table, for every value of `by`.
+
+    Pairs within the label `noise` count as equal for the Rand index, as any label does, and as unequal for the Jaccard index.
+    """
+    by, noted = by or ("__all",), lambda c: F.lit(True) if noise is None else F.col(c) != noise
+    cells = df.withColumn("__all", F.lit(0)).groupBy(*by, a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    two = F.col("n") * (F.col("n") - 1) / 2
+    sums = lambda name, same: (F.sum(two).alias(name), F.coalesce(F.sum(F.when(same, two)), F.lit(0.0)).alias(f"{name}_same"))
+    margin = lambda c, name: cells.groupBy(*by, c).agg(F.sum("n").alias("n")).groupBy(*by).agg(*sums(name, noted(c)))
+    one = cells.groupBy(*by).agg(*sums("both", noted(a) & noted(b)), F.sum("n").alias("total")).join(margin(a, "ra"), [*by]).join(margin(b, "rb"), [*by])
     expected = F.col("ra") * F.col("rb") / F.nullif(F.col("total") * (F.col("total") - 1) / 2, F.lit(0.0))
     ari = (F.col("both") - expected) / F.nullif((F.col("ra") + F.col("rb")) / 2 - expected, F.lit(0.0))
-    return one.select(F.coalesce(ari, F.lit(1.0)).alias("ari"), (F.col("both") / F.nullif(F.col("ra") + F.col("rb") - F.col("both"), F.lit(0.0))).alias("jaccard"))
+    jaccard = F.col("both_same") / F.nullif(F.col("ra_same") + F.col("rb_same") - F.col("both_same"), F.lit(0.0))
+    shared = [F.col(c) for c in by] + [F.col("total").cast("bigint").alias("shared")] if by != ("__all",) else []
+    return one.select(*shared, F.coalesce(ari, F.lit(1.0)).alias("ari"), jaccard.alias("jaccard"))
+
+
+def sampled_jaccard(df: DataFrame, key: str, a: str, b: str, pairs: int = 500_000, noise: int = -1, buckets: int = 256) -> DataFrame:
+    """The Jaccard index from uniformly drawn pairs of rows; two rows of `noise` share no label. key: unique, bigint.
+
+    Rows are numbered bucket by bucket of a hash, whose sizes are `buckets` numbers; drawn numbers are joined with them.
+    """
+    bucket = F.pmod(F.xxhash64(F.lit("L09"), key), F.lit(buckets)).cast("int")
+    rows = kept(df.select(F.col(key).alias("k"), F.col(a).alias("a"), F.col(b).alias("b"), bucket.alias("bucket")), "pair-rows")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("bucket").collect()
+    n, starts = 0, []
+    for r in sizes:
+        starts.append((r.bucket, n))
+        n += r.n
+    if n < 2:
+        return rows.limit(0).select(F.lit(0).cast("bigint").alias("both"), F.lit(0).cast("bigint").alias("either"), F.lit(None).cast("double").alias("jaccard"))
+    offset = rows.sparkSession.createDataFrame(starts, "bucket int, start bigint")
+    by = Window.partitionBy("bucket").orderBy("k")
+    numbered = kept(rows.join(F.broadcast(offset), "bucket").select((F.col("start") + F.row_number().over(by) - 1).alias("at"), "a", "b"), "pair-numbers")
+    drawn = lambda name, most: F.pmod(F.xxhash64(F.lit(name), "id"), F.lit(most))
+    asked = rows.sparkSession.range(min(pairs, n * (n - 1) // 2)).select("id", drawn("i", n).alias("i"), drawn("j", n - 1).alias("j"))
+    asked = asked.select("i", F.when(F.col("j") >= F.col("i"), F.col("j") + 1).otherwise(F.col("j")).alias("j"))
+    side = lambda c: numbered.select(F.col("at").alias(c), F.col("a").alias(f"a{c}"), F.col("b").alias(f"b{c}"))
+    met = asked.join(side("i"), "i").join(side("j"), "j")
+    same = lambda c: (F.col(f"{c}i") == F.col(f"{c}j")) & (F.col(f"{c}i") != noise)
+    found = met.agg(F.count_if(same("a") & same("b")).alias("both"), F.count_if(same("a") | same("b")).alias("either"))
+    return found.withColumn("jaccard", F.col("both") / F.nullif(F.col("either"), F.lit(0)))
 
 
 VECTOR = ("bps_mean", "bps_std", "norm_len", "sin_phi", "cos_phi", "sin_psi", "cos_psi", "w_range")
-#: The quadratic clustering runs on at most this many rows, drawn by hash: a documented bound of the fit in L08. All rows are labelled.
-SAMPLE = 4_000
+#: Segments of a chain have numbers below this.
+SEGMENTS_A_CHAIN = 1_000_000
 
 
-def density_clusters(features: DataFrame, rounds: int = 5, share: float = 0.8, least: int = 50, k: int = 10, sample: int = SAMPLE) -> DataFrame:
-    """chain_id, seg, round, label of hdbscan on standardised vectors; -1 is noise.
+def density_clusters(features: DataFrame, rounds: int = 5, share: float = 0.8, least: int = 50, k: int = 10) -> DataFrame:
+    """chain_id, seg, round, label of density clusters on standardised vectors; -1 is noise. Every row is clustered.
 
-    Round 0 labels every row: the drawn rows by the clustering, all others by the nearest drawn row if it is no farther than that
-    row's k-th neighbour, else as noise. The least size of a cluster shrinks with the drawn share. Further rounds cluster shares of the drawn rows.
+    Round 0 takes the whole table, each further round a share of it, drawn by hash. All rounds run side by side.
     """
-    spark = features.sparkSession
-    spread = features.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{s}") for c in VECTOR for s, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    place = F.pmod(F.xxhash64(F.lit("L08"), "chain_id", "seg"), F.lit(1 << 40))
-    # The drawn share aims twenty standard deviations below the bound.
-    part = min(1.0, max(sample - 20 * math.sqrt(sample), 1) / max(spread["n"], 1))
-    smallest = max(2, min(least, math.ceil(least * part)))
-    scaled = kept(features.select("chain_id", "seg", (place < int(part * (1 << 40)) + 1).alias("drawn"), *[F.coalesce((F.col(c) - F.lit(spread[f"{c}_m"])) / F.lit(spread[f"{c}_s"] or 1.0), F.lit(0.0)).alias(c) for c in VECTOR]), "vectors")
-    turns = scaled.where("drawn").drop("drawn").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    draw = F.pmod(F.xxhash64(F.lit("L09"), "round", "chain_id", "seg"), F.lit(1 << 20))
-    turns = turns.where((F.col("round") == 0) | (draw < int(share * (1 << 20))))
-
-    def run(pdf):
-        from angleweave.functions.density import hdbscan
-
-        pdf = pdf.sort_values(["chain_id", "seg"])
-        return pdf[["chain_id", "seg", "round"]].assign(label=hdbscan(pdf[list(VECTOR)].to_numpy(), smallest, k))
-
-    found = kept(turns.groupBy("round").applyInPandas(run, "chain_id bigint, seg bigint, round int, label int"), "density")
-    if part >= 1.0:
-        return found
-    # At most `sample` rows: a proven bound.
-    known = scaled.join(found.where("round = 0").select("chain_id", "seg", "label"), ["chain_id", "seg"]).orderBy("chain_id", "seg").select(*VECTOR, "label").toPandas()
-    shared = spark.sparkContext.broadcast((known[list(VECTOR)].to_numpy(), known["label"].to_numpy()))
-
-    def assign(batches):
-        import numpy as np
-
-        at, labels = shared.value
-        apart = lambda x: np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (at**2).sum(axis=1)[None, :] - 2 * x @ at.T, 0))
-        core = np.concatenate([np.sort(apart(at[j : j + 512]), axis=1)[:, min(k, len(at) - 1)] for j in range(0, len(at), 512)])
-        for b in batches:
-            out = []
-            for j in range(0, len(b), 512):
-                d = apart(b[list(VECTOR)].to_numpy()[j : j + 512])
-                near = d.argmin(axis=1)
-                out.append(np.where(d[np.arange(len(d)), near] <= core[near], labels[near], -1))
-            yield b[["chain_id", "seg"]].assign(round=np.int32(0), label=np.concatenate(out).astype("int32") if out else [])
-
-    rest = scaled.where("not drawn").drop("drawn").mapInPandas(assign, "chain_id bigint, seg bigint, round int, label int")
-    return found.unionByName(rest)
+    spread = features.agg(*[f(c).alias(f"{c}_{s}") for c in VECTOR for s, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scale = {c: spread[f"{c}_s"] if spread[f"{c}_s"] and spread[f"{c}_s"] >= 1e-10 else 1.0 for c in VECTOR}
+    id = (F.col("chain_id") * SEGMENTS_A_CHAIN + F.col("seg")).alias("id")
+    scaled = kept(features.select("chain_id", "seg", id, *[F.coalesce((F.col(c) - F.lit(spread[f"{c}_m"])) / F.lit(scale[c]), F.lit(0.0)).alias(c) for c in VECTOR]), "vectors")
+    turns = scaled.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
+    draw = F.pmod(F.xxhash64(F.lit("L09"), "g", "chain_id", "seg"), F.lit(1 << 20))
+    turns = turns.where((F.col("g") == 0) | (draw < int(share * (1 << 20))))
+    found = density.clustered(turns.select("g", "id", *VECTOR), list(VECTOR), least, k)
+    return found.select(F.floor(F.col("id") / SEGMENTS_A_CHAIN).cast("bigint").alias("chain_id"), F.pmod("id", F.lit(SEGMENTS_A_CHAIN)).cast("bigint").alias("seg"), F.col("g").alias("round"), "label")
+
+
+def stability(found: DataFrame) -> DataFrame:
+    """A, b (rounds, 0 is the whole table), shared, ari and jaccard over the rows that both rounds hold."""
+    side = lambda c: found.select("chain_id", "seg", F.col("round").alias(c), F.col("label").alias(f"label_{c}"))
+    found = agreement(side("a").join(side("b"), ["chain_id", "seg"]).where("a < b"), "label_a", "label_b", ("a", "b"), -1)
+    return found.fillna(0.0, ["jaccard"])
 
 
 def loop_features(members: DataFrame) -> DataFrame:

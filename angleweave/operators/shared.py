@@ -6,17 +6,27 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a local session gets a folder of its own, a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="angleweave-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/angleweave/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    path = f"{shared_dir(df.sparkSession)}/angleweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Removes the tables that kept() wrote; to be called when no result is to be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/angleweave")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -75,13 +75,7 @@ def l08_density_clusters(spark, d):
 
 @query()
 def l09_subsample_stability(spark, d):
-    found = kept(families.density_clusters(loops.features(scored(spark, d))), "density")
-    whole = found.where("round = 0").select("chain_id", "seg", F.col("label").alias("whole"))
-    out = None
-    for k in range(1, 6):
-        one = families.agreement(found.where(F.col("round") == k).join(whole, ["chain_id", "seg"]), "label", "whole").select(F.lit(k).alias("round"), "ari", "jaccard")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return families.stability(kept(families.density_clusters(loops.features(scored(spark, d))), "density"))
 
 
 @query(f"""WITH {RES}, h AS (SELECT chain_id, avg(CASE WHEN basin = 'alpha' THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN basin = 'beta' THEN 1.0 ELSE 0 END) AS b FROM res GROUP BY 1), x AS (SELECT CASE WHEN a >= 0.35 AND b < 0.10 THEN 'all-alpha' WHEN b >= 0.25 AND a < 0.15 THEN 'all-beta' WHEN a >= 0.20 AND b >= 0.15 THEN 'alpha/beta' WHEN a >= 0.10 AND b >= 0.10 THEN 'alpha+beta' ELSE 'other' END AS p, CASE WHEN 100 * a > 15 AND 100 * b > 15 THEN 'mixed' WHEN 100 * a > 40 AND 100 * b <= 15 THEN 'alpha-rich' WHEN 100 * b > 25 AND 100 * a <= 15 THEN 'beta-rich' ELSE 'Other' END AS q FROM h), n AS (SELECT p, q, count(*)::DOUBLE AS n FROM x GROUP BY 1, 2), z AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM n) AS bo, (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM n GROUP BY p)) AS ra, (SELECT sum(s * (s - 1) / 2) FROM (SELECT sum(n) AS s FROM n GROUP BY q)) AS rb, (SELECT sum(n) FROM n) AS t) SELECT round(coalesce((bo - ra * rb / (t * (t - 1) / 2)) / nullif((ra + rb) / 2 - ra * rb / (t * (t - 1) / 2), 0), 1.0), 6) AS ari, round(bo / nullif(ra + rb - bo, 0), 6) AS jaccard FROM z""")

@@ -111,7 +111,7 @@ def test_density_labels_every_row(spark):
     x = np.concatenate([c + rng.normal(0, 0.2, (400, 8)) for c in centres])
     rows = [(k, 1, *map(float, v)) for k, v in enumerate(x)]
     df = spark.createDataFrame(rows, "chain_id bigint, seg bigint, " + ", ".join(f"{c} double" for c in families.VECTOR)).repartition(3)
-    found = {r.chain_id: r.label for r in families.density_clusters(df, rounds=0, sample=700).collect()}
+    found = {r.chain_id: r.label for r in families.density_clusters(df, rounds=0).collect()}
     assert len(found) == 1200
     for k in range(3):
         labels = [found[i] for i in range(400 * k, 400 * k + 400)]
