@@ -18,19 +18,24 @@ def order():
 ORGANISMS = ("ecoli", "human", "yeast", "arabidopsis", "malaria")
 
 
-def bind_events(events: DataFrame) -> DataFrame:
-    """residues(chain_id, organism, pos, plddt, resname, phi, psi) from the event table."""
+def event_angles() -> list:
+    """The columns chain_id, organism, plddt, resname, phi, psi of a residue, from an event row alone."""
     k = F.get_json_object("props", "$.k").cast("double")
     names = F.array(*map(F.lit, ORGANISMS))
-    return events.select(
+    return [
         F.col("user_id").alias("chain_id"),
         F.get(names, F.pmod(F.col("user_id"), F.lit(5)).cast("int")).alias("organism"),
-        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"),
         F.pmod(F.col("event_id") * 37, F.lit(101)).cast("double").alias("plddt"),
         F.col("event_type").alias("resname"),
         F.radians((F.col("value") * 29.0) % 360.0 - 180.0).alias("phi"),
         F.radians((k * 7.0) % 360.0 - 180.0).alias("psi"),
-    )
+    ]
+
+
+def bind_events(events: DataFrame) -> DataFrame:
+    """residues(chain_id, organism, pos, plddt, resname, phi, psi) from the event table."""
+    chain, organism, *rest = event_angles()
+    return events.select(chain, organism, F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"), *rest)
 
 
 def stepped(res: DataFrame) -> DataFrame:

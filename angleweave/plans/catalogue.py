@@ -377,12 +377,12 @@ for _name, _text in (reports.REPORTS | organism_reports.every()).items():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import extended  # noqa: F401 - registers its own; it imports this module
+    from . import extended, later  # noqa: F401 - they register their own; they import this module
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import extended  # noqa: F401
+    from . import extended, later  # noqa: F401
 
     return dict(SQL)
