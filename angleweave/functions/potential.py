@@ -99,6 +99,18 @@ def histogram(res: DataFrame, n: int = 360) -> DataFrame:
     return res.where("phi is not null and psi is not null").groupBy(grid_index(F.col("phi"), n).alias("gi"), grid_index(F.col("psi"), n).alias("gj")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def from_counts(hist: DataFrame, n: int = 360, sigma: float = 1.5):
+    """The W grid of observed angles, from gi, gj, n of the occupied cells (at most n * n rows); None where nothing was observed."""
+    import numpy as np
+
+    rows = hist.select("gi", "gj", "n").toPandas()
+    if rows.empty:
+        return None
+    p = np.zeros((n, n))
+    p[rows["gi"], rows["gj"]] = rows["n"]
+    return from_density(p, sigma)
+
+
 def log_potential(hist: DataFrame, eps: float, n: int = 360) -> DataFrame:
     """-ln(count / (total d d) + eps) of the occupied cells."""
     import math

@@ -112,12 +112,15 @@ def kinks(steps: DataFrame) -> DataFrame:
     return steps.select("chain_id", "pos", "dw").groupBy("chain_id").applyInPandas(run, "chain_id bigint, n_kinks bigint")
 
 
-def proteins(res: DataFrame) -> DataFrame:
-    """One row per chain for the report queries; res carries w. Rg, contact order and version are bound to the id where no coordinates exist."""
+def proteins(res: DataFrame, shape: DataFrame | None = None) -> DataFrame:
+    """One row per chain for the report queries; res carries w. shape: chain_id, rg, contact_order from coordinates (kinematics.shape);
+    without it they are bound to the id, as the version always is."""
     res = res.withColumn("basin", basin(F.col("phi"), F.col("psi")))
     base = roughness(stepped(res))
     share = lambda b: (100.0 * F.avg((F.col("basin") == b).cast("double")))
     ss = res.groupBy("chain_id").agg(share("alpha").alias("pct_helix"), share("beta").alias("pct_sheet"), share("other").alias("pct_coil"), F.avg("plddt").alias("plddt_mean"), F.percentile("plddt", F.lit(0.5)).alias("plddt_median"), F.avg((F.col("plddt") < 50).cast("double")).alias("plddt_below50"))
     out = base.join(ss, "chain_id").join(helix_sheet_transitions(res), "chain_id", "left").withColumn("n_transitions", F.coalesce("n_transitions", F.lit(0)))
     c = F.col("chain_id")
+    if shape is not None:
+        return out.join(shape, "chain_id", "left").withColumn("af_version", F.pmod(c, F.lit(2)) + 3)
     return out.withColumns({"rg": 2.2 * F.pow(F.col("length").cast("double"), F.lit(0.38)) * (1 + F.pmod(c, F.lit(7)) / 50), "contact_order": 0.05 + F.pmod(c, F.lit(13)) / 100, "af_version": F.pmod(c, F.lit(2)) + 3})

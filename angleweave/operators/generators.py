@@ -1,7 +1,6 @@
 """Synthetic chains: independent draws as expressions, sequential ones chain by chain with generators seeded by the chain.
 
-What a sequential generator learns from the data is broadcast, so it is bounded: pools and pairs are hash-drawn samples of at most
-MOST_PAIRS rows a group, transition tables have at most (72 * 72)^2 cells.
+What a sequential generator learns from the data is broadcast, so it is bounded: transition tables have at most (72 * 72)^2 cells.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from .chains import successor_pairs, transition_counts
 from .nulls import draw
 from .shared import kept
 
-MOST_PAIRS = 20_000
-MOST_GROUPS = 500
 BLOCK = 10_000
 #: Share, centre phi and psi, spread (degrees) of the two basins; the rest is uniform.
 MIXTURE = ((0.60, -63.0, -43.0, 12.0), (0.25, -120.0, 130.0, 15.0))
@@ -64,6 +61,49 @@ def from_table(rows: DataFrame, w) -> DataFrame:
     return asked.mapInPandas(run, "chain_id bigint, pos int, gi int, gj int, phi double, psi double")
 
 
+def observed_cells(res: DataFrame, n: int = 360) -> DataFrame:
+    """gi, gj, times: how often the cells of an n x n grid were observed; at most n * n rows."""
+    whole = res.where("phi is not null and psi is not null")
+    return whole.groupBy(grid_index(F.col("phi"), n, "floor").alias("gi"), grid_index(F.col("psi"), n, "floor").alias("gj")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def alias_table(spark: SparkSession, cells: DataFrame) -> DataFrame:
+    """k, share, gi, gj, other_gi, other_gj: one of k rows is taken evenly, then its own cell with probability share, else the other.
+
+    Every row holds one cell's remaining weight and fills up from one that has too much, so each draw is one lookup.
+    """
+    import numpy as np
+
+    found = cells.orderBy("gi", "gj").toPandas()
+    m = len(found)
+    weight = found["times"].to_numpy(np.float64) * m / max(found["times"].sum(), 1)
+    share, other = np.ones(m), np.arange(m)
+    few, many = [k for k in range(m) if weight[k] < 1], [k for k in range(m) if weight[k] >= 1]
+    while few and many:
+        a, b = few.pop(), many[-1]
+        share[a], other[a] = weight[a], b
+        weight[b] -= 1 - weight[a]
+        if weight[b] < 1:
+            few.append(many.pop())
+    gi, gj = found["gi"].to_numpy(), found["gj"].to_numpy()
+    rows = [(k, float(share[k]), int(gi[k]), int(gj[k]), int(gi[other[k]]), int(gj[other[k]])) for k in range(m)]
+    return spark.createDataFrame(rows, "k int, share double, gi int, gj int, other_gi int, other_gj int")
+
+
+def from_observed(rows: DataFrame, res: DataFrame, n: int = 360) -> DataFrame:
+    """M11 with a histogram: every row of (chain_id, pos) draws a cell as often as it was observed in res, and a place in it. No row if nothing was observed."""
+    table = alias_table(rows.sparkSession, observed_cells(res, n))
+    m = table.count()
+    if not m:
+        return rows.select("chain_id", "pos", *[F.lit(None).cast(t).alias(c) for c, t in (("gi", "int"), ("gj", "int"), ("phi", "double"), ("psi", "double"))]).limit(0)
+    asked = rows.select("chain_id", "pos", F.floor(_unit("M11h", "chain_id", "pos") * m).cast("int").alias("k"), *[_unit(f"M11{c}", "chain_id", "pos").alias(c) for c in ("u", "x", "y")])
+    own = F.col("u") < F.col("share")
+    # At most n * n rows.
+    met = asked.join(F.broadcast(table), "k").withColumn("gi", F.when(own, F.col("gi")).otherwise(F.col("other_gi"))).withColumn("gj", F.when(own, F.col("gj")).otherwise(F.col("other_gj")))
+    angle = lambda g, x: F.radians((F.col(g) + F.col(x)) * (360.0 / n) - 180.0)
+    return met.select("chain_id", "pos", "gi", "gj", angle("gi", "x").alias("phi"), angle("gj", "y").alias("psi"))
+
+
 def mixture(rows: DataFrame) -> DataFrame:
     """M11, and model 1 of M12: two Gaussian basins and a uniform rest, by three hashes a row."""
     u = (draw("M11a", "chain_id", "pos") + 1) / F.lit(float((1 << 32) + 1))
@@ -93,24 +133,6 @@ def _chains(chains: DataFrame, columns: list[str], one: Callable) -> DataFrame:
     return chains.select("chain_id", *columns).mapInPandas(run, "chain_id bigint, pos int, phi double, psi double")
 
 
-def drawn(df: DataFrame, group: str, order: list[str], most: int = MOST_PAIRS) -> DataFrame:
-    """At most `most` rows a group, the least by hash: a documented sample for what must be broadcast."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    # Thinning by hash first: the ranking below sees twice the bound a group at most, nearly always.
-    place = F.pmod(F.xxhash64(F.lit("draw"), *order), F.lit(1 << 40))
-    thin = df.withColumn("__h", place).join(sizes, group).where(F.col("__h") / (1 << 40) <= 2.0 * most / F.col("__n"))
-    return thin.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy("__h", *order))).where(F.col("__r") <= most).drop("__h", "__r", "__n")
-
-
-def _pools(df: DataFrame, group: str, columns: list[str], order: list[str]) -> dict:
-    """group -> array of the drawn rows, in a fixed order. Groups are counted first."""
-    groups = df.select(group).distinct().count()
-    if groups > MOST_GROUPS:
-        raise ValueError(f"{groups} groups, more than {MOST_GROUPS}")
-    rows = drawn(df, group, order).orderBy(group, *order).select(group, *columns).toPandas()
-    return {k: x[columns].to_numpy() for k, x in rows.groupby(group)}
-
-
 def pooled_markov(res: DataFrame, chains: DataFrame, buckets: int = 256) -> DataFrame:
     """One Markov chain of basins for all, started from their occupancy; pairs come from pools of all chains. res carries basin.
 
@@ -154,30 +176,6 @@ def pooled_markov(res: DataFrame, chains: DataFrame, buckets: int = 256) -> Data
     return walk.join(pool, ["basin", "bucket", "at"]).select("chain_id", "pos", "phi", "psi")
 
 
-def neighbour_markov(res: DataFrame, chains: DataFrame, k: int = 50) -> DataFrame:
-    """Every step takes the successor of one of the k nearest pairs of the chain's organism, in R4."""
-    pools = _pools(successor_pairs(res), "organism", ["phi", "psi", "next_phi", "next_psi"], ["chain_id", "pos"])
-    shared = res.sparkSession.sparkContext.broadcast(pools)
-
-    def one(row, rng):
-        import numpy as np
-
-        pool = shared.value.get(row.organism)
-        if pool is None:
-            return np.zeros(0), np.zeros(0)
-        at = np.column_stack([np.cos(pool[:, 0]), np.sin(pool[:, 0]), np.cos(pool[:, 1]), np.sin(pool[:, 1])])
-        few, now = min(k, len(pool)), pool[rng.integers(len(pool)), :2]
-        out = [now]
-        for _ in range(row.length - 1):
-            near = at @ np.array([np.cos(now[0]), np.sin(now[0]), np.cos(now[1]), np.sin(now[1])])
-            now = pool[rng.choice(np.argpartition(-near, few - 1)[:few]), 2:]
-            out.append(now)
-        out = np.array(out)
-        return out[:, 0], out[:, 1]
-
-    return _chains(chains, ["organism", "length"], one)
-
-
 def nearest(queries: DataFrame, index: DataFrame, k: int, group: str = "organism") -> DataFrame:
     """query_id, rank, distance, chain_id, pos of the k nearest index rows of the query's group in R4, exactly.
 

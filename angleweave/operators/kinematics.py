@@ -39,16 +39,36 @@ def gyration(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("chain_id").agg(F.when(F.count(F.lit(1)) >= 3, spread).alias("rg"))
 
 
+def contacts(atoms: DataFrame, cutoff: float = 8.0, least: int = 4) -> DataFrame:
+    """chain_id, a, b (places, a < b), distance of CA atoms at least `least` places apart and nearer than the cutoff.
+
+    Atoms fall into cells as wide as the cutoff; an atom meets its own cell and half of the 26 around it, by an equi-join, so the
+    work grows with the chain's length.
+    """
+    cell = [F.floor(F.col(f"ca{d}") / F.lit(cutoff)).cast("int").alias(f"c{d}") for d in "xyz"]
+    rows = atoms.where(F.col("cax").isNotNull()).select("chain_id", "pos", "cax", "cay", "caz", *cell)
+    half = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    steps = F.array(*[F.struct(*[F.lit(v).alias(f"o{d}") for d, v in zip("xyz", o)]) for o in half])
+    moved = rows.select("chain_id", F.col("pos").alias("other"), *[F.col(f"ca{d}").alias(f"o{d}") for d in "xyz"], *[F.col(f"c{d}").alias(f"own{d}") for d in "xyz"], F.explode(steps).alias("o"))
+    moved = moved.select("chain_id", "other", "ox", "oy", "oz", *[(F.col(f"own{d}") + F.col(f"o.o{d}")).alias(f"c{d}") for d in "xyz"], *[(F.col(f"o.o{d}") == 0).alias(f"same{d}") for d in "xyz"])
+    same = F.col("samex") & F.col("samey") & F.col("samez")
+    gap = sum((F.pow(F.col(f"ca{d}") - F.col(f"o{d}"), 2) for d in "xyz"), F.lit(0.0))
+    met = rows.join(moved, ["chain_id", "cx", "cy", "cz"]).where(~same | (F.col("pos") < F.col("other"))).where((F.abs(F.col("pos") - F.col("other")) >= least) & (gap < cutoff * cutoff))
+    return met.select("chain_id", F.least("pos", "other").alias("a"), F.greatest("pos", "other").alias("b"), F.sqrt(gap).alias("distance"))
+
+
 def contact_order(atoms: DataFrame, cutoff: float = 8.0, least: int = 4) -> DataFrame:
-    """P10: CA pairs of a chain at least four places apart and nearer than the cutoff; null without contacts or below five residues."""
-    a, b = atoms.alias("a"), atoms.alias("b")
-    d2 = sum((F.pow(F.col(f"a.ca{d}") - F.col(f"b.ca{d}"), 2) for d in "xyz"), F.lit(0.0))
-    pairs = a.join(b, (F.col("a.chain_id") == F.col("b.chain_id")) & (F.col("b.pos") - F.col("a.pos") >= least) & (d2 < cutoff * cutoff))
-    found = pairs.groupBy(F.col("a.chain_id").alias("chain_id")).agg(F.sum(F.col("b.pos") - F.col("a.pos")).alias("sep"), F.count(F.lit(1)).alias("contacts"))
+    """P10: mean separation of the contacts over the chain's length; null without contacts or below five residues."""
+    found = contacts(atoms, cutoff, least).groupBy("chain_id").agg(F.sum(F.col("b") - F.col("a")).alias("sep"), F.count(F.lit(1)).alias("contacts"))
     n = atoms.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
     return n.join(found, "chain_id", "left").select("chain_id", F.when(F.col("n") >= 5, F.col("sep") / (F.col("n") * F.col("contacts"))).alias("contact_order"))
 
 
+def shape(atoms: DataFrame) -> DataFrame:
+    """chain_id, rg, contact_order."""
+    return gyration(atoms).join(contact_order(atoms), "chain_id", "left")
+
+
 #: Angles (degrees) that stand for a basin in canonical reconstruction.
 CENTRES = {"alpha": (-63.0, -43.0), "beta": (-120.0, 130.0), "ppII": (-75.0, 150.0), "alphaL": (57.0, 47.0)}
 #: Families are compared with every loop, so their table is broadcast; more than this many are refused.

@@ -99,22 +99,56 @@ def least_squares(df: DataFrame, y: str, xs: list[str]) -> dict:
     return {"n": int(n), "coefficients": dict(zip(["intercept", *xs], beta.tolist())), "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / (n - k) if n > k else r2, "rmse": math.sqrt(max(rest, 0) / max(n, 1))}
 
 
-def bootstrap_mean(df: DataFrame, group: str, value: str, rounds: int = 10_000, seed: int = 42) -> DataFrame:
-    """Percentile interval of a group's mean; one Arrow group a seeded generator of its own. Rounds run in blocks."""
+def poisson_weights(keys, rounds: int, seed: int):
+    """How often each row counts in each round, Poisson with mean 1: a function of the row's key, the round and the seed alone. keys: int64; (rows, rounds)."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(rounds, dtype=np.uint64)[None, :] + np.uint64(seed) * np.uint64(1 << 32)) * np.uint64(0xD1B54A32D192ED03)
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+        x ^= x >> np.uint64(31)
+    u = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    chance = math.exp(-1) / np.cumprod([1, *range(1, 20)])
+    return np.searchsorted(np.cumsum(chance), u, side="right")
+
+
+def bootstrap_rounds(df: DataFrame, group: str, value: str, key: str, rounds: int, seed: int) -> DataFrame:
+    """group, round, n, total: number and sum of the rows of every resampling round.
 
-    def run(pdf):
-        import zlib
+    Each row counts a Poisson number of times in each round, so a partition adds up its own rows, all rounds at once, and Spark merges
+    one row a group, round and partition. No task holds a group. Keys tell rows apart.
+    """
+    name = df.schema[group].dataType.simpleString()
 
+    def run(batches):
         import numpy as np
         import pandas as pd
 
-        x = np.sort(pdf[value].dropna().to_numpy())
-        rng = np.random.default_rng([seed, zlib.crc32(str(pdf[group].iloc[0]).encode())])
-        block = max(1, 2_000_000 // max(1, len(x)))
-        means = np.concatenate([x[rng.integers(0, len(x), (min(block, rounds - k), len(x)))].mean(axis=1) for k in range(0, rounds, block)]) if len(x) else np.zeros(1)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [len(x)], "mean": [x.mean() if len(x) else None], "lo": [np.percentile(means, 2.5)], "hi": [np.percentile(means, 97.5)]})
+        sums: dict = {}
+        for b in batches:
+            for g, x in b.groupby("g", dropna=False):
+                n, total = sums.setdefault(g, (np.zeros(rounds), np.zeros(rounds)))
+                keys, values = x["k"].to_numpy(np.int64), x["v"].to_numpy(np.float64)
+                for s in range(0, len(x), 256):
+                    w = poisson_weights(keys[s : s + 256], rounds, seed)
+                    n += w.sum(axis=0)
+                    total += values[s : s + 256] @ w
+        for g, (n, total) in sums.items():
+            yield pd.DataFrame({"g": pd.Series([None if pd.isna(g) else g] * rounds, dtype=object), "round": np.arange(rounds, dtype="int32"), "n": n, "total": total})
 
-    return df.select(group, value).groupBy(group).applyInPandas(run, f"{group} string, n bigint, mean double, lo double, hi double")
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.xxhash64(key).alias("k"), F.col(value).cast("double").alias("v"))
+    parts = rows.mapInPandas(run, f"g {name}, round int, n double, total double")
+    return parts.groupBy(F.col("g").alias(group), "round").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def bootstrap_mean(df: DataFrame, group: str, value: str, rounds: int = 10_000, seed: int = 42, key: str = "chain_id") -> DataFrame:
+    """Percentile interval of a group's mean over resampling rounds."""
+    means = bootstrap_rounds(df, group, value, key, rounds, seed).where("n > 0").select(group, (F.col("total") / F.col("n")).alias("m"))
+    # rounds rows a group, whatever the group's size.
+    limits = means.groupBy(group).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
+    own = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    return own.join(limits, own[group].eqNullSafe(limits[group]), "left").select(own[group], "n", "mean", "lo", "hi")
 
 
 def principal(df: DataFrame, columns: list[str]) -> dict:
@@ -136,26 +170,14 @@ def principal(df: DataFrame, columns: list[str]) -> dict:
     return {"eigenvalues": values[::-1], "loadings": vectors * np.where(signs == 0, 1, signs)[:, None]}
 
 
-def bootstrap_ratio(df: DataFrame, kind: str, value: str, rounds: int = 1000, seed: int = 99, cells: int = 2000) -> DataFrame:
-    """Interval of mean(null) / mean(real), both sides resampled independently. A resample of many values is drawn as counts of
-    equal-frequency cells' rows, so what reaches the driver are at most 2 * cells sums whatever the data."""
-    import numpy as np
-
-    rows = df.where(F.col(value).isNotNull()).select(kind, value)
-    limits = rows.groupBy(kind).agg(F.percentile_approx(value, [k / cells for k in range(1, cells)], 10 * cells).alias("limits"), F.count(F.lit(1)).alias("n"))
-    # At most two rows of limits: a constant-size side.
-    cell = F.size(F.filter("limits", lambda x: x < F.col(value)))
-    parts = rows.join(F.broadcast(limits), kind).groupBy(kind, cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var")).orderBy(kind, "cell").toPandas()
-    rng, drawn, means = np.random.default_rng(seed), {}, {}
-    for name in ("real", "null"):
-        x = parts[parts[kind] == name]
-        n, mean, var = x["n"].to_numpy(), x["mean"].to_numpy(), x["var"].to_numpy()
-        total = n.sum()
-        times = rng.multinomial(total, n / total, rounds)
-        noise = rng.normal(size=(rounds, len(n))) * np.sqrt(np.maximum(times * var, 0))
-        drawn[name], means[name] = ((times * mean + noise).sum(axis=1)) / total, (n * mean).sum() / total
-    ratio = drawn["null"] / drawn["real"]
-    return df.sparkSession.createDataFrame([(float(means["null"] / means["real"]), float(np.percentile(ratio, 2.5)), float(np.percentile(ratio, 97.5)))], "ratio double, lo double, hi double")
+def bootstrap_ratio(df: DataFrame, kind: str, value: str, rounds: int = 1000, seed: int = 99, key: str = "chain_id") -> DataFrame:
+    """mean(null) / mean(real) and its interval; the values of both sides are resampled independently."""
+    rows = df.where(F.col(value).isNotNull() & F.col(kind).isin("real", "null")).withColumn("__key", F.concat_ws("|", kind, F.col(key).cast("string")))
+    means = bootstrap_rounds(rows, kind, value, "__key", rounds, seed).where("n > 0").groupBy("round").pivot(kind, ["real", "null"]).agg(F.first(F.col("total") / F.col("n")))
+    ratio = means.select((F.col("null") / F.nullif(F.col("real"), F.lit(0.0))).alias("ratio")).agg(F.percentile("ratio", F.lit(0.025)).alias("lo"), F.percentile("ratio", F.lit(0.975)).alias("hi"))
+    own = rows.agg(F.avg(F.when(F.col(kind) == "null", F.col(value))).alias("a"), F.avg(F.when(F.col(kind) == "real", F.col(value))).alias("b"))
+    # Two tables of one row each.
+    return own.crossJoin(ratio).select((F.col("a") / F.nullif(F.col("b"), F.lit(0.0))).alias("ratio"), "lo", "hi")
 
 
 def sweep_variation(df: DataFrame, group: str, value: str) -> DataFrame:

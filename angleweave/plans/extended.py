@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import basins, potential
-from ..operators import chains, families, generators, kinematics, loops, nulls, quality, significance, stats
+from ..operators import chains, families, generators, kinematics, loops, nulls, quality, significance, stats, walks
 from ..operators.shared import kept
 from .catalogue import _SHUFFLE, FULL, GRID, RES, WRES, query, protein_table, residues, scored
 
@@ -123,7 +123,7 @@ def m08_pooled_markov(spark, d):
 
 @query()
 def m09_neighbour_markov(spark, d):
-    return generators.neighbour_markov(residues(spark, d), _lengths(spark, d))
+    return walks.neighbour_walks(residues(spark, d), _lengths(spark, d)).select("chain_id", "pos", "phi", "psi")
 
 
 @query()

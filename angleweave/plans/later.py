@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import basins, potential
-from ..operators import chains
-from ..operators.shared import shared_dir
+from ..operators import chains, generators, kinematics, walks
+from ..operators.shared import kept, shared_dir
 from ..streaming import chain_metrics
-from .catalogue import FULL, query
+from .catalogue import FULL, RES, query, residues, scored
 
 
 @query(f"{FULL} SELECT chain_id, organism, length, round(bps, 6) AS bps, round(bps_norm, 6) AS bps_norm, round(mean_dw, 6) AS mean_dw, round(torus_l1, 6) AS torus_l1, round(torus_l2, 6) AS torus_l2, round(q_phi, 6) AS q_phi, round(q_psi, 6) AS q_psi, n_transitions FROM proteins")
@@ -35,3 +36,72 @@ def x07_chain_stream(spark, d):
     run()
     rows = spark.read.schema(chain_metrics.METRICS).parquet(f"{root}/rows")
     return rows.where("chain_id is not null").drop("first_at")
+
+
+def _sweep(spark, d):
+    """BPS/L of every chain and of its walks at every k, by organism."""
+    res = residues(spark, d)
+    grid = potential.grid_table(spark, potential.build())
+    lengths = res.groupBy("chain_id", "organism").agg(F.count(F.lit(1)).alias("length"))
+
+    def value(rows, *by):
+        scored = potential.with_bilinear(rows.where("phi is not null and psi is not null"), grid)
+        step = F.abs(F.col("w") - F.lag("w").over(Window.partitionBy(*by, "chain_id").orderBy("pos")))
+        return scored.withColumn("step", step).groupBy(*by, "chain_id", "organism").agg((F.coalesce(F.sum("step"), F.lit(0.0)) / F.count(F.lit(1))).alias("value"))
+
+    walked = walks.neighbour_walks(res, lengths, walks.SWEEP)
+    return kept(walks.k_sweep(value(res), value(walked, "k")), "sweep")
+
+
+@query()
+def m09_neighbour_sweep(spark, d):
+    return _sweep(spark, d)
+
+
+@query()
+def t24_neighbour_verdict(spark, d):
+    return walks.sweep_verdict(_sweep(spark, d))
+
+
+_OBSERVED = """cnt AS (SELECT CAST(round_even((degrees(phi) + 180.0) * 360 / 360.0, 0) AS INT) % 360 AS gi, CAST(round_even((degrees(psi) + 180.0) * 360 / 360.0, 0) AS INT) % 360 AS gj, count(*) AS n FROM res WHERE phi IS NOT NULL AND psi IS NOT NULL GROUP BY 1, 2),
+nod AS (SELECT i.range AS gi, j.range AS gj, coalesce(n, 0) / (sum(n) OVER () * (2 * pi() / 360) * (2 * pi() / 360)) AS d FROM range(360) i CROSS JOIN range(360) j LEFT JOIN cnt ON cnt.gi = i.range AND cnt.gj = j.range),
+roo AS (SELECT gi, gj, -sqrt(greatest(d, 1e-6 * max(d) OVER ())) AS w FROM nod),
+ker AS (SELECT range - 6 AS k, exp(-0.5 * ((range - 6) / 1.5) * ((range - 6) / 1.5)) AS e FROM range(13)),
+kno AS (SELECT k, e / sum(e) OVER () AS e FROM ker),
+sm1 AS (SELECT (gi + k + 360) % 360 AS gi, gj, sum(w * e) AS w FROM roo, kno GROUP BY 1, 2),
+wg AS (SELECT gi, (gj + k + 360) % 360 AS gj, sum(w * e) AS w FROM sm1, kno GROUP BY 1, 2)"""
+
+
+@query(f"WITH {RES}, {_OBSERVED} SELECT CAST(gi AS INT) AS gi, CAST(gj AS INT) AS gj, round(w, 6) AS w FROM wg")
+def w05_observed(spark, d):
+    """W from the table's own angles."""
+    w = potential.from_counts(potential.histogram(residues(spark, d)))
+    return potential.grid_table(spark, w).select("gi", "gj", F.col("w00").alias("w"))
+
+
+@query()
+def m11_observed(spark, d):
+    res = residues(spark, d)
+    return generators.from_observed(res, res)
+
+
+def _shape(spark, d):
+    return kinematics.shape(kept(kinematics.reconstructed(residues(spark, d)), "rebuilt"))
+
+
+@query()
+def p09_p10_shape(spark, d):
+    """Radius of gyration and contact order of the chains rebuilt from their angles."""
+    return _shape(spark, d)
+
+
+@query()
+def j07_contacts(spark, d):
+    return kinematics.contacts(kinematics.reconstructed(residues(spark, d)))
+
+
+@query()
+def g13_shape_correlations(spark, d):
+    """What the shape reports measure, over coordinates instead of the id: correlations with BPS/L, by organism."""
+    p = chains.proteins(scored(spark, d), _shape(spark, d))
+    return p.groupBy("organism").agg(F.count("rg").alias("n_rg"), F.corr("bps_norm", "rg").alias("r_rg"), F.count("contact_order").alias("n_contact_order"), F.corr("bps_norm", "contact_order").alias("r_contact_order"), F.avg("rg").alias("rg"), F.avg("contact_order").alias("contact_order"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from angleweave.functions.density import hdbscan
-from angleweave.operators import families, generators, kinematics, loops
+from angleweave.operators import families, generators, kinematics, loops, walks
 
 
 def torus(p, q):
@@ -118,7 +118,7 @@ def test_nearest_against_brute_force(spark):
 def test_sequential_generators_do_not_depend_on_partitions(spark):
     res = generators.protein_like(spark, 6).withColumn("organism", F.when(F.col("chain_id") < 3, "x").otherwise("y")).withColumn("basin", F.when(F.col("phi") < -1.5, "beta").otherwise("alpha"))
     few = res.groupBy("chain_id", "organism").agg(F.least(F.count(F.lit(1)), F.lit(30)).cast("int").alias("length"))
-    for f in (generators.pooled_markov, generators.neighbour_markov, generators.conditional, lambda r, c: generators.steric(c, 5)):
+    for f in (generators.pooled_markov, lambda r, c: walks.neighbour_walks(r, c, (7,)), generators.conditional, lambda r, c: generators.steric(c, 5)):
         one = sorted(map(tuple, f(res, few).collect()))
         assert len(one) == 180 and one == sorted(map(tuple, f(res.repartition(3), few.repartition(4)).collect()))
 
