@@ -120,14 +120,12 @@ def _chains(chains: DataFrame, columns: list[str], one: Callable) -> DataFrame:
     """Runs one(row, generator) -> (phi, psi) for every row of chains, many chains a task; the generator is seeded by the chain."""
 
     def run(batches):
-        import zlib
-
         import numpy as np
         import pandas as pd
 
         for b in batches:
             for row in b.itertuples(index=False):
-                phi, psi = one(row, np.random.default_rng([42, zlib.crc32(str(row.chain_id).encode())]))
+                phi, psi = one(row, np.random.default_rng(chain_seed(row.chain_id)))
                 yield pd.DataFrame({"chain_id": row.chain_id, "pos": np.arange(1, len(phi) + 1, dtype="int32"), "phi": phi, "psi": psi})
 
     return chains.select("chain_id", *columns).mapInPandas(run, "chain_id bigint, pos int, phi double, psi double")
@@ -210,42 +208,78 @@ def nearest(queries: DataFrame, index: DataFrame, k: int, group: str = "organism
     return out.select("query_id", "rank", "distance", "chain_id", "pos")
 
 
+def steric_walk(length: int, rng, tries: int = 50, radius: float = 2.0, lookback: int = 6, bonded: bool = False):
+    """Angles (length, 2) of one chain of model 2, and for every residue after the first the number of proposals and of rejections.
+
+    A proposal is rejected if one of its atoms is nearer than radius to one of the lookback residues before; the bond to the residue
+    before counts only if bonded. The last of `tries` proposals is taken as it is, and counts as no rejection.
+    """
+    import numpy as np
+
+    from angleweave.functions.geometry import ANGLES, LENGTHS, build, place
+
+    def pair():
+        u = rng.random()
+        for share, p, s, sd in MIXTURE:
+            if u < share:
+                return np.radians(rng.normal(p, sd)), np.radians(rng.normal(s, sd))
+            u -= share
+        return tuple(np.radians(rng.uniform(-180, 180, 2)))
+
+    a1, a2, a3 = np.radians(ANGLES)
+    pairs, atoms, counts = [pair()], [build(np.zeros(1), np.zeros(1))[0]], []
+    for _ in range(1, length):
+        last = atoms[-1]
+        n = place(*last, LENGTHS[2], a2, pairs[-1][1])
+        ca = place(last[1], last[2], n, LENGTHS[0], a3, np.pi)
+        before = np.concatenate(atoms[-lookback:])
+        for k in range(tries):
+            new = pair()
+            c = place(last[2], n, ca, LENGTHS[1], a1, new[0])
+            d = ((np.array([n, ca, c])[:, None, :] - before[None, :, :]) ** 2).sum(axis=2)
+            if not bonded:
+                d[0, -1] = np.inf
+            if d.min() >= radius * radius:
+                break
+        counts.append((k + 1, k))
+        pairs.append(new)
+        atoms.append(np.array([n, ca, c]))
+    return np.array(pairs), counts
+
+
+def chain_seed(chain_id) -> list[int]:
+    """What a chain's generator starts from, wherever it runs."""
+    import zlib
+
+    return [42, zlib.crc32(str(chain_id).encode())]
+
+
 def steric(chains: DataFrame, tries: int = 50, radius: float = 2.0, lookback: int = 6, bonded: bool = False) -> DataFrame:
     """M12, model 2: draws of the mixture that are repeated while the new residue clashes; after `tries` the last is accepted.
     bonded=True also tests the bond to the residue before, which every proposal fails."""
 
     def one(row, rng):
+        return steric_walk(row.length, rng, tries, radius, lookback, bonded)[0].T
+
+    return _chains(chains, ["length"], one)
+
+
+ATTEMPTS = "chain_id bigint, pos int, attempts int, rejected int"
+
+
+def steric_attempts(chains: DataFrame, tries: int = 50, radius: float = 2.0, lookback: int = 6, bonded: bool = False) -> DataFrame:
+    """chain_id, pos, attempts, rejected of every residue after a chain's first, as steric() makes them."""
+
+    def run(batches):
         import numpy as np
+        import pandas as pd
 
-        from angleweave.functions.geometry import ANGLES, LENGTHS, build, place
-
-        def pair():
-            u = rng.random()
-            for share, p, s, sd in MIXTURE:
-                if u < share:
-                    return np.radians(rng.normal(p, sd)), np.radians(rng.normal(s, sd))
-                u -= share
-            return tuple(np.radians(rng.uniform(-180, 180, 2)))
-
-        a1, a2, a3 = np.radians(ANGLES)
-        pairs, atoms = [pair()], [build(np.zeros(1), np.zeros(1))[0]]
-        for _ in range(1, row.length):
-            for _try in range(tries):
-                new, last = pair(), atoms[-1]
-                n = place(*last, LENGTHS[2], a2, pairs[-1][1])
-                ca = place(last[1], last[2], n, LENGTHS[0], a3, np.pi)
-                c = place(last[2], n, ca, LENGTHS[1], a1, new[0])
-                d = ((np.array([n, ca, c])[:, None, :] - np.concatenate(atoms[-lookback:])[None, :, :]) ** 2).sum(axis=2)
-                if not bonded:
-                    d[0, -1] = np.inf
-                if d.min() >= radius * radius:
-                    break
-            pairs.append(new)
-            atoms.append(np.array([n, ca, c]))
-        out = np.array(pairs)
-        return out[:, 0], out[:, 1]
+        for b in batches:
+            for row in b.itertuples(index=False):
+                counts = np.array(steric_walk(row.length, np.random.default_rng(chain_seed(row.chain_id)), tries, radius, lookback, bonded)[1], "int32").reshape(-1, 2)
+                yield pd.DataFrame({"chain_id": row.chain_id, "pos": np.arange(2, len(counts) + 2, dtype="int32"), "attempts": counts[:, 0], "rejected": counts[:, 1]})
 
-    return _chains(chains, ["length"], one)
+    return chains.select("chain_id", "length").mapInPandas(run, ATTEMPTS)
 
 
 def conditional(res: DataFrame, chains: DataFrame, n: int = 72) -> DataFrame:
@@ -272,25 +306,30 @@ def conditional(res: DataFrame, chains: DataFrame, n: int = 72) -> DataFrame:
     return _chains(chains, ["length"], one)
 
 
+def protein_like_walk(rng):
+    """Angles (length, 2) of one chain of M13, NaN where undefined."""
+    import numpy as np
+
+    length = int(rng.integers(80, 351))
+    names, shares = [*SEGMENTS], np.array([x[0] for x in SEGMENTS.values()])
+    parts, at = [], 0
+    while at < length:
+        _, p, s, sd, lo, hi = SEGMENTS[names[rng.choice(len(names), p=shares)]]
+        size = min(int(rng.integers(lo, hi + 1)), length - at)
+        steps = rng.normal(0, sd * 0.3, (size, 2))
+        steps[0] = rng.normal(0, sd, 2)
+        parts.append(np.array([p, s]) + np.cumsum(steps, axis=0))
+        at += size
+    out = np.radians(np.concatenate(parts))
+    out[0, 0], out[-1, 1] = np.nan, np.nan
+    return out
+
+
 def protein_like(spark: SparkSession, n: int) -> DataFrame:
     """N chains of 80 to 350 residues made of helix, sheet and coil segments that drift; the first phi and last psi are undefined."""
 
     def one(row, rng):
-        import numpy as np
-
-        length = int(rng.integers(80, 351))
-        names, shares = [*SEGMENTS], np.array([x[0] for x in SEGMENTS.values()])
-        parts, at = [], 0
-        while at < length:
-            _, p, s, sd, lo, hi = SEGMENTS[names[rng.choice(len(names), p=shares)]]
-            size = min(int(rng.integers(lo, hi + 1)), length - at)
-            steps = rng.normal(0, sd * 0.3, (size, 2))
-            steps[0] = rng.normal(0, sd, 2)
-            parts.append(np.array([p, s]) + np.cumsum(steps, axis=0))
-            at += size
-        out = np.radians(np.concatenate(parts))
-        out[0, 0], out[-1, 1] = np.nan, np.nan
-        return out[:, 0], out[:, 1]
+        return protein_like_walk(rng).T
 
     made = _chains(spark.range(1, n + 1).withColumnRenamed("id", "chain_id"), [], one)
     return made.withColumn("phi", F.nanvl("phi", F.lit(None).cast("double"))).withColumn("psi", F.nanvl("psi", F.lit(None).cast("double")))

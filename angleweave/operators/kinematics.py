@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,10 +73,6 @@ def shape(atoms: DataFrame) -> DataFrame:
 
 #: Angles (degrees) that stand for a basin in canonical reconstruction.
 CENTRES = {"alpha": (-63.0, -43.0), "beta": (-120.0, 130.0), "ppII": (-75.0, 150.0), "alphaL": (57.0, 47.0)}
-#: Families are compared with every loop, so their table is broadcast; more than this many are refused.
-MOST_FAMILIES = 100_000
-
-
 def clashes(atoms: DataFrame, lookback: int = 6, radius: float = 2.0, bonded: bool = False) -> DataFrame:
     """chain_id, clashing (residues with an atom nearer than radius to one of the lookback residues before). bonded=True also
     counts the bond between neighbours, which is always shorter than the radius."""
@@ -88,17 +86,52 @@ def clashes(atoms: DataFrame, lookback: int = 6, radius: float = 2.0, bonded: bo
     return atoms.select("chain_id").distinct().join(hit, "chain_id", "left").select("chain_id", F.coalesce("clashing", F.lit(0)).alias("clashing"))
 
 
+#: Widths of the rings in which a nearest path is searched; the last one holds every pair, as no two paths are farther apart than pi times the root of 2.
+RINGS = (0.1, 0.2, 0.4, 0.8, 1.6, 4.5)
+#: Two fixed paths (degrees) whose distances place a path in the index.
+PIVOTS = ((-63.0, -43.0), (-120.0, 130.0))
+
+
+def nearest_paths(asked: DataFrame, keys: list[str], library: DataFrame) -> DataFrame:
+    """Adds family, other (its path) and distance: the nearest library path, ties by name. asked: keys and pts; library: family, pts; both of one number of points.
+
+    The mean torus distance is a metric, so two paths within a ring's width differ by no more than it in their distances to any
+    fixed path. Paths meet in cells of that width over two such distances, by an equi-join; who found none within the ring goes on
+    to the next, wider one. Only paths that are far from all of the library come to the last.
+    """
+    from .shared import kept
+
+    def placed(df: DataFrame) -> DataFrame:
+        fixed = lambda phi, psi: F.transform("pts", lambda _: F.struct(F.lit(math.radians(phi)).alias("phi"), F.lit(math.radians(psi)).alias("psi")))
+        return df.withColumns({f"d{k}": path_distance(F.col("pts"), fixed(*p)) for k, p in enumerate(PIVOTS)})
+
+    named = kept(placed(library.select("family", "pts")).withColumnRenamed("pts", "other"), "library")
+    rest, out = kept(placed(asked), "asked"), None
+    for ring in RINGS:
+        cell = lambda c: F.floor(F.col(c) / F.lit(ring * (1 + 1e-9))).cast("int")  # noqa: B023, E731
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        index = named.withColumn("o", F.explode(around)).select("family", "other", (cell("d0") + F.col("o.i")).alias("x"), (cell("d1") + F.col("o.j")).alias("y"))
+        met = rest.withColumns({"x": cell("d0"), "y": cell("d1")}).join(index, ["x", "y"]).withColumn("distance", path_distance(F.col("pts"), F.col("other")))
+        best = met.where(F.col("distance") <= ring).groupBy(*keys).agg(F.min(F.struct("distance", "family", "other")).alias("best"))
+        found = kept(best.select(*keys, "best.*"), "ring")
+        out = found if out is None else out.unionByName(found)
+        rest = kept(rest.join(found.select(*keys), keys, "left_anti"), "asked")
+        if rest.isEmpty():
+            break
+    return asked.join(out, keys).select(*asked.columns, "family", "other", "distance")
+
+
+#: Mean loss (Angstrom) below which canonical paths capture the loops, and capture them moderately.
+CAPTURED, LOST = 1.0, 3.0
+
+
 def canonical(res: DataFrame, loops: DataFrame, families: DataFrame) -> DataFrame:
     """Residues of a loop take the nearest family's centroid at the loop's length, other residues their basin's centre; the rest stay.
 
     res carries basin; loops has chain_id, start, length, pts; families has centroid. Adds kind: loop, basin or kept.
     """
-    n = families.count()
-    if n > MOST_FAMILIES:
-        raise ValueError(f"{n} families, more than {MOST_FAMILIES}")
-    library = families.select(F.concat_ws("|", "g", F.col("cluster").cast("string")).alias("family"), "centroid")
-    pairs = loops.select("chain_id", "start", "length", "pts").crossJoin(F.broadcast(library))
-    nearest = pairs.groupBy("chain_id", "start", "length").agg(F.min_by("centroid", F.struct(path_distance(F.col("pts"), F.col("centroid")), F.col("family"))).alias("centroid"))
+    library = families.select(F.concat_ws("|", "g", F.col("cluster").cast("string")).alias("family"), F.col("centroid").alias("pts"))
+    nearest = nearest_paths(loops, ["chain_id", "start", "length"], library).select("chain_id", "start", "length", F.col("other").alias("centroid"))
     points = nearest.select("chain_id", "start", F.posexplode(resampled(F.col("centroid"), F.col("length").cast("int"))).alias("k", "p"))
     # Where loops overlap, the later one is written last.
     new = points.select("chain_id", (F.col("start") + F.col("k")).cast("int").alias("pos"), "start", "p").groupBy("chain_id", "pos").agg(F.max_by("p", "start").alias("p"))
@@ -130,3 +163,10 @@ def compared(truth: DataFrame, observed: DataFrame, replaced: DataFrame) -> Data
     """chain_id, rmsd of the rebuilt chain from observed angles, of the one from canonical angles, and their difference."""
     of = lambda df, name: deviations(truth, df).select("chain_id", F.col("rmsd").alias(name))
     return of(observed, "observed").join(of(replaced, "canonical"), "chain_id").withColumn("delta", F.col("canonical") - F.col("observed"))
+
+
+def reconstruction_verdict(found: DataFrame) -> DataFrame:
+    """Chains, mean rmsd of both reconstructions, their mean difference and the verdict on it. found: as compared() gives it."""
+    out = found.agg(F.count("delta").alias("chains"), F.avg("observed").alias("observed"), F.avg("canonical").alias("canonical"), F.avg("delta").alias("delta"))
+    size = F.abs(F.col("delta"))
+    return out.withColumn("verdict", F.when(size < CAPTURED, "captured").when(size < LOST, "moderate loss").when(size.isNotNull(), "significant loss"))

@@ -186,7 +186,8 @@ def sweep_variation(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def rejections(log: DataFrame) -> DataFrame:
-    """By position, the share of rejected attempts overall and in the first and second half of the chain."""
-    rows = log.withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("chain_id")))
+    """By position, proposals, the share of them that were rejected, and that share in chains whose first or second half the position is in. log: chain_id, pos, attempts, rejected."""
+    rows = log.withColumn("len", F.max("pos").over(Window.partitionBy("chain_id")))
     early = 2 * F.col("pos") <= F.col("len")
-    return rows.groupBy("pos").agg(F.count(F.lit(1)).alias("attempts"), F.avg("rejected").alias("rate"), F.avg(F.when(early, F.col("rejected"))).alias("early"), F.avg(F.when(~early, F.col("rejected"))).alias("late"))
+    rate = lambda when: F.sum(F.when(when, F.col("rejected"))) / F.sum(F.when(when, F.col("attempts")))
+    return rows.groupBy("pos").agg(F.sum("attempts").alias("attempts"), F.sum("rejected").alias("rejected"), rate(F.lit(True)).alias("rate"), rate(early).alias("early"), rate(~early).alias("late"))

@@ -202,11 +202,10 @@ def r08_canonical_deviation(spark, d):
     return kinematics.compared(atoms, kinematics.reconstructed(kinematics.angles(atoms)), kinematics.reconstructed(new))
 
 
-@query(f"WITH {RES}, t AS (SELECT chain_id, pos, CASE WHEN {_HEX.format(m='M11')} % 100 < 15 + pos % 7 THEN 1 ELSE 0 END AS rejected FROM res), n AS (SELECT *, count(*) OVER (PARTITION BY chain_id) AS len FROM t) SELECT pos, count(*) AS attempts, round(avg(rejected), 6) AS rate, round(avg(CASE WHEN 2 * pos <= len THEN rejected END), 6) AS early, round(avg(CASE WHEN 2 * pos > len THEN rejected END), 6) AS late FROM n GROUP BY 1")
+@query()
 def g32_rejections(spark, d):
-    """Over a stand-in for a log of attempts: a hash decides which are rejected."""
-    log = residues(spark, d).select("chain_id", "pos", (F.pmod(nulls.draw("M11", "chain_id", "pos"), F.lit(100)) < 15 + F.col("pos") % 7).cast("int").alias("rejected"))
-    return stats.rejections(log)
+    """The proposals that the steric generator made and rejected for chains of the table's lengths."""
+    return stats.rejections(generators.steric_attempts(_lengths(spark, d)))
 
 
 @query(f"{FULL}, s AS (SELECT (bps_norm - avg(bps_norm) OVER ()) / stddev_pop(bps_norm) OVER () AS a, (torus_l1 - avg(torus_l1) OVER ()) / stddev_pop(torus_l1) OVER () AS b, (rg - avg(rg) OVER ()) / stddev_pop(rg) OVER () AS c FROM proteins) SELECT 'total' AS item, round(var_samp(a) + var_samp(b) + var_samp(c), 6) AS value FROM s")
