@@ -16,7 +16,9 @@ where h is the word before or the start of the text, and what p(w | h) lacks to
 Nothing of the models is broadcast or gathered. Texts become chunks of about CHUNK bytes, one row each,
 which hold their words as numbers. A chunk asks for its distinct words and bigrams, dealt into shards by their
 64-bit hashes; a shard adds up what the chunks bring and answers each of them in its own order, so that a common word is
-one entry a chunk, answers need no keys, and texts never move. Shards follow the number of words, SHARD entries each.
+one entry a chunk, answers need no keys, and texts never move. Shards follow the number of words; chunks grow with the shards, and from MOST_CHUNK on
+shards grow instead, so that the rows asked stay in proportion to the text: one for BYTES_A_SHARD bytes at most, up to about 100 GB.
+Beyond that they grow faster, up to one row an entry.
 
 Defined cases: null and empty texts have no words, losses and score 0; documents without
 a label are background; without labelled documents the target is uniform over the
@@ -34,11 +36,15 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, utf8
 
 MU = 20.0
-#: Bytes of text of a chunk; a longer text has a chunk of its own.
+#: Bytes of text of a chunk, at least and at most; a longer text has a chunk of its own.
 CHUNK = 4 << 20
-#: Entries of a shard, about: 8 bytes each.
+MOST_CHUNK = 16 << 20
+#: Entries of a shard, about, at least and at most: 8 bytes each.
 SHARD = 1 << 19
+MOST_SHARD = 1 << 22
 LEAST_SHARDS = 64
+#: Bytes of a chunk for each shard that it asks, so that an answer holds some hundred entries whatever the number of shards.
+BYTES_A_SHARD = 3072
 START = 1
 #: Labels up to this many rows are broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -85,8 +91,20 @@ def _unpacked(data):
     return own, *(c.to_numpy() for c in rest)
 
 
+def shard_bits(words: float) -> int:
+    """Bits by which bigrams are dealt into shards: SHARD entries each, more of them once a chunk of MOST_CHUNK bytes asks enough shards."""
+    most = max(1 << int(math.log2(MOST_CHUNK / BYTES_A_SHARD)), words / MOST_SHARD)
+    return math.ceil(math.log2(max(LEAST_SHARDS, min(words / SHARD, most))))
+
+
+def chunk_bytes(size: float) -> int:
+    """Bytes of a chunk for texts of so many bytes; their words are at least two bytes each, mostly about six."""
+    return min(MOST_CHUNK, max(CHUNK, BYTES_A_SHARD << shard_bits(size / 6)))
+
+
 def _chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """chunk, words, packed: the documents of a task in their order, CHUNK bytes a row."""
+    """chunk, words, packed: the documents of a task in their order, chunk_bytes a row."""
+    most = chunk_bytes(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
 
     def run(batches):
         import numpy as np
@@ -111,7 +129,7 @@ def _chunks(docs: DataFrame, labels: DataFrame) -> DataFrame:
                         local[w] = len(local)
                 ids.append(np.fromiter(map(local.__getitem__, found), np.int32, len(found)))
                 size += len(text) + 8
-                if size >= CHUNK:
+                if size >= most:
                     yield row()
                     at, size = at + 1, 0
                     doc_ids, targets, sizes, ids, local = [], [], [], [], {b"": 0}
@@ -164,6 +182,7 @@ def _asker(word_bits: int, pair_bits: int):
     """Rows shard, chunk, hashes, counts of a chunk's words (shards from 0) and bigrams (behind them)."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
@@ -175,9 +194,9 @@ def _asker(word_bits: int, pair_bits: int):
                 for own, both, bits, base in ((hashes, counts[0], word_bits, 0), (pairs, counts[1], pair_bits, 1 << word_bits)):
                     order, edges = _dealt(own, bits)
                     own, both = own[order], [c[order] for c in both]
-                    for s, (a, z) in enumerate(zip(edges, edges[1:])):
-                        if z > a:
-                            rows.append((base + s, own[a:z].tobytes(), pa.compress(both[0][a:z].tobytes() + both[1][a:z].tobytes(), "zstd", asbytes=True)))
+                    for s in np.flatnonzero(np.diff(edges)).tolist():
+                        a, z = edges[s], edges[s + 1]
+                        rows.append((base + s, own[a:z].tobytes(), pa.compress(both[0][a:z].tobytes() + both[1][a:z].tobytes(), "zstd", asbytes=True)))
                 shard, h, n = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array(h, pa.binary()), pa.array(n, pa.binary())], names=["shard", "chunk", "hashes", "counts"])
 
@@ -218,9 +237,9 @@ def _scorer(word_bits: int, pair_bits: int, vocabulary: int, totals: tuple[int,
         for own, bits, base in ((hashes, word_bits, 0), (pairs, pair_bits, 1 << word_bits)):
             order, edges = _dealt(own, bits)
             both = np.empty((2, len(own)), np.int64)
-            for s, (a, z) in enumerate(zip(edges, edges[1:])):
-                if z > a:
-                    both[:, order[a:z]] = np.frombuffer(pa.decompress(sent[base + s], 16 * (z - a), "zstd"), "i8").reshape(2, -1)
+            for s in np.flatnonzero(np.diff(edges)).tolist():
+                a, z = edges[s], edges[s + 1]
+                both[:, order[a:z]] = np.frombuffer(pa.decompress(sent[base + s], 16 * (z - a), "zstd"), "i8").reshape(2, -1)
             found.append(both)
 
         def within(ids, n):
@@ -248,7 +267,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chunks = _chunks(docs, labels)
     words = chunks.agg(F.sum("words")).first()[0] or 0
     # Nearly every word makes a new bigram in its chunk; distinct words are fewer by a magnitude.
-    pair_bits = math.ceil(math.log2(max(LEAST_SHARDS, words / SHARD)))
+    pair_bits = shard_bits(words)
     word_bits = max(0, pair_bits - 3)
     asked = chunks.select("chunk", "packed").mapInArrow(_asker(word_bits, pair_bits), "shard bigint, chunk bigint, hashes binary, counts binary")
     answers = stored(asked.groupBy("shard").applyInArrow(_answered, "chunk bigint, shard bigint, counts binary, distinct bigint, n bigint, target bigint"), "lm-answers")

@@ -10,9 +10,9 @@ no correction within a stratum). CONFIDENCE is divided by the strata tested, the
 correction. The order of the sequence comes from the documents labelled bad, which
 the tests do not use: what rejects most of them a step comes first.
 
-The risk is RISK; a stratum whose labels are too few to certify that is tested at the
-least risk they can certify without a rejection, which follows from their number alone. Beyond
-MOST_RISK nothing is certified.
+The risk is RISK for every stratum. A stratum whose labels are too few to certify it without a
+rejection (298 for the defaults) has no rules of the method, and is not counted in the correction. Every document carries its stratum's
+cutoffs and the exact upper bound of their false rejection, null where there are none.
 
 Defined cases: null text has no words and fails the base rules; a null language is a
 stratum of its own; a stratum without labels certifies nothing; repeated rows are
@@ -36,7 +36,6 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20
 
 RISK = 0.01
-MOST_RISK = 0.05
 CONFIDENCE = 0.05
 #: Shares and their cutoffs from the loosest to the strictest.
 CUTOFFS = {
@@ -154,7 +153,7 @@ def sequence(caught: dict[str, list[int]]) -> list[tuple[str, int]]:
 
 
 def choose(rows: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> list[tuple[str, dict[str, float], int, int, float]]:
-    """(stratum, cutoffs by rule, rejected, n, risk) of the certified joint sets. Two aggregations over the labelled rows."""
+    """(stratum, cutoffs by rule, rejected, n, upper bound of the false rejection) of the certified joint sets. Two aggregations over the labelled rows."""
     label = labels.filter("quality is not null and toxic = 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__aw_id")).agg(F.max("quality").alias("best"))
     held = stored(rows.filter(~base_failed()).join(label, F.col("doc_id") == F.col("__aw_id")), "rules-labelled")
     values = shares()
@@ -164,29 +163,32 @@ def choose(rows: DataFrame, labels: DataFrame, risk: float = RISK, confidence: f
     # The first set of the sequence that rejects a row; a least over all steps, as sets only get stricter.
     first = F.coalesce(*[F.when(values[r] > CUTOFFS[r][k], F.lit(i)) for i, (r, k) in enumerate(order)], F.lit(len(order)))
     good = held.filter("best = 1").select("stratum", first.alias("first")).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("first") <= i).alias(f"s{i}") for i in range(len(order))])
-    # A stratum of fewer rows cannot certify even MOST_RISK: at most n / least strata come back.
-    strata = good.filter(F.col("n") >= math.log(confidence) / math.log1p(-max(risk, MOST_RISK))).collect()
+    # At most n / least strata come back.
+    strata = good.filter(F.col("n") >= math.log(confidence) / math.log1p(-risk)).collect()
     level = confidence / max(1, len(strata))
     out = []
     for s in strata:
-        # A hair above the least certifiable risk, against rounding.
-        own = max(risk, (1 - level ** (1 / s["n"])) * (1 + 1e-9))
-        place = certified([s[f"s{i}"] for i in range(len(order))], s["n"], own, level) if own <= max(risk, MOST_RISK) else None
+        place = certified([s[f"s{i}"] for i in range(len(order))], s["n"], risk, level)
         if place is not None:
-            out.append((s["stratum"], {r: CUTOFFS[r][k] for r, k in order[: place + 1]}, s[f"s{place}"], s["n"], own))
+            k = s[f"s{place}"]
+            out.append((s["stratum"], {r: CUTOFFS[r][j] for r, j in order[: place + 1]}, k, s["n"], upper_bound(k, s["n"], level)))
     return out
 
 
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """One row per document: doc_id, the counts, base_failed, failed_rules, kept."""
+    """One row per document: doc_id, the counts, base_failed, failed_rules, kept, cutoffs and risk_bound of its stratum."""
     rows = stored(measured(docs), "rules-measures")
     chosen = choose(rows, labels, risk, confidence)
     values = shares()
     rejects = {}
-    for stratum, cutoffs, _, _, _ in chosen:
+    named, bound = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for stratum, cutoffs, _, _, risk_bound in chosen:
+        mine = F.col("stratum") == stratum
+        named = F.when(mine, F.lit(",".join(f"{r}>{c}" for r, c in sorted(cutoffs.items())))).otherwise(named)
+        bound = F.when(mine, F.lit(risk_bound)).otherwise(bound)
         for rule, cutoff in cutoffs.items():
             hit = (F.col("stratum") == stratum) & (values[rule] > F.lit(cutoff))
             rejects[rule] = rejects[rule] | hit if rule in rejects else hit
     names = F.filter(F.array(*[F.when(hit, F.lit(rule)) for rule, hit in sorted(rejects.items())]).cast("array<string>"), lambda x: x.isNotNull())
     rows = rows.withColumn("base_failed", base_failed()).withColumn("failed_rules", names)
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).withColumn("cutoffs", named).withColumn("risk_bound", bound)

@@ -48,10 +48,11 @@ def _name(depth: Column, p1: Column, p2: Column) -> Column:
     return F.concat(high, low)
 
 
-def keyed_rows(df: DataFrame, key: str, size: Column) -> DataFrame:
-    """key, its hash, its bytes. The row number is drawn once, in a written table."""
+def keyed_rows(df: DataFrame, key: str, size: Column, row: str | None = None) -> DataFrame:
+    """key (or the row's own number, where a column holds one), its hash, its bytes. Without such a column the number is drawn once, in a written table."""
     k = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    rows = df.select(F.col(key).alias("key"), hash_bits(k).alias("h1"), size.cast("bigint").alias("bytes"), F.monotonically_increasing_id().alias("rid"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = df.select(F.col(row or key).alias("key"), hash_bits(k).alias("h1"), size.cast("bigint").alias("bytes"), number.alias("rid"))
     rows = rows.withColumn("h2", hash_bits(F.col("rid").cast("string"))).drop("rid")
     return stored(rows, "sharding-keys")
 
@@ -77,10 +78,11 @@ def _round(rows: DataFrame, base: int, bits: int, limit: int) -> DataFrame:
     return leaves.join(nodes.hint("merge"), ["depth", "p1", "p2"])
 
 
-def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None, limit: int = 1 << 20) -> DataFrame:
-    """One row per input row: the key, shard (the bits of its bucket), depth, bytes, shard_bytes, shard_rows."""
+def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None, limit: int = 1 << 20, row: str | None = None) -> DataFrame:
+    """One row per input row: the key (or row, a column of unique numbers), shard (the bits of its bucket), depth, bytes, shard_bytes, shard_rows.
+    Rows of one key stay together until the key's own bits are used up; then their numbers part them."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)) if size is None else F.coalesce(size, F.lit(0))
-    rows = keyed_rows(df, key, size)
+    rows = keyed_rows(df, key, size, row)
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     base, bits, done = 0, max(4, math.ceil(math.log2(max(1, total / limit))) + 4), None
     while True:
@@ -95,17 +97,18 @@ def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None
         ended = ended.select("key", _name(F.col("depth"), F.col("p1"), F.col("p2")).alias("shard"), F.col("depth").cast("int").alias("depth"), "bytes", "shard_bytes", "shard_rows")
         done = ended if done is None else done.unionByName(ended)
         if last:
-            return done.withColumnRenamed("key", key)
+            return done.withColumnRenamed("key", row or key)
         rows = stored(placed.filter("open").select("key", "h1", "h2", "bytes"), "sharding-open")
         base, bits = base + bits, 8
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", limit: int = 1 << 20) -> DataFrame:
-    """Writes the rows into one folder per shard (__shard=b<bits>) and returns the assignment.
+    """Writes every row once, into its shard's folder (__shard=b<bits>), and returns the assignment.
 
-    The key must be unique here; rows without one are not written. A user column named shard is kept.
+    Rows are numbered in a written table and go by these numbers, so that ids that repeat or are null neither multiply nor lose rows. A user column named shard is kept.
     """
-    placed = assign_shards(df, key, limit=limit)
-    to = placed.select(F.col(key).alias("__aw_key"), F.concat(F.lit("b"), F.col("shard")).alias("__shard"))
-    df.join(to, F.col(key) == F.col("__aw_key")).drop("__aw_key").repartition("__shard").write.partitionBy("__shard").parquet(path)
-    return placed
+    rows = stored(df.withColumn("__aw_row", F.monotonically_increasing_id()), "sharding-rows")
+    placed = stored(assign_shards(rows, key, limit=limit, row="__aw_row"), "sharding-placed")
+    to = placed.select("__aw_row", F.concat(F.lit("b"), F.col("shard")).alias("__shard"))
+    rows.join(to, "__aw_row").drop("__aw_row").repartition("__shard").write.partitionBy("__shard").parquet(path)
+    return placed.join(rows.select("__aw_row", key), "__aw_row").drop("__aw_row")

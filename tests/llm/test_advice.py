@@ -20,6 +20,18 @@ def test_op10_small_languages_get_rules(spark):
     assert all(kept[k] for k in range(300)) and not any(kept[1000 + k] for k in range(30)) and all(kept[2000 + k] for k in range(40))
 
 
+def test_op10_states_each_stratum_s_cutoffs_and_bound(spark):
+    """One risk for all strata: 300 good documents certify it without a rejection, 290 do not; the bound is below the risk."""
+    text, junk = " ".join(f"word{k}" for k in range(40)), " ".join(f"w{k} ###" for k in range(40))
+    rows = [(k, "xx" if k < 300 else "yy", text) for k in range(590)] + [(1000 + k, "xy"[k % 2] * 2, junk) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    labels = spark.createDataFrame([(k, int(k < 1000), 0) for k, _, _ in rows], "doc_id bigint, quality int, toxic int")
+    found = {r.doc_id: r for r in quality_rules.judged(docs, labels).collect()}
+    assert found[0].risk_bound < quality_rules.RISK and "symbol_share>" in found[0].cutoffs and found[1000].kept is False
+    assert found[400].risk_bound is None and found[400].cutoffs is None and found[1001].kept is True
+    assert quality_rules.binomial_cdf(3, 900, quality_rules.upper_bound(3, 900, 0.05)) == pytest.approx(0.05)
+
+
 def test_op10_false_rejection_stays_below_the_risk():
     order = quality_rules.sequence({r: [0] * len(c) for r, c in quality_rules.CUTOFFS.items()})
     assert sorted(order) == sorted((r, k) for r, c in quality_rules.CUTOFFS.items() for k in range(len(c)))
@@ -50,6 +62,7 @@ def test_op2_by_hand(spark, monkeypatch):
     labels = spark.createDataFrame([(k, 1, 0) for k in good] + [(0, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     monkeypatch.setattr(lm_scoring, "CHUNK", 3000)
     monkeypatch.setattr(lm_scoring, "SHARD", 500)
+    monkeypatch.setattr(lm_scoring, "BYTES_A_SHARD", 16)
     have = {r.doc_id: r for r in lm_scoring.scored(docs, labels).collect()}
     texts.append("alpha")
     words = [(t or "").lower().split() for t in texts]
@@ -75,6 +88,16 @@ def test_op2_by_hand(spark, monkeypatch):
     assert have[400].background_loss < min(r.background_loss for k, r in have.items() if k is not None and k < 400 and r.n_words > 3)
 
 
+def test_op2_asks_in_proportion_to_the_text():
+    """Rows asked (chunks by shards) and a chunk's steps grow no faster than the text, up to the bound that the module states."""
+    asked = lambda size: size / lm_scoring.chunk_bytes(size) * (9 / 8) * 2 ** lm_scoring.shard_bits(size / 6)
+    assert asked(0.5e9) < 40_000
+    for size in (4e9, 8e9, 15e9, 20e9):
+        assert asked(5 * size) <= 5.5 * asked(size)
+    assert all(asked(size) <= size / lm_scoring.BYTES_A_SHARD * 2.5 for size in (1e9, 30e9, 60e9, 100e9))
+    assert lm_scoring.chunk_bytes(1e15) == lm_scoring.MOST_CHUNK
+
+
 def test_op2_without_target(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a c")], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
@@ -195,3 +196,13 @@ def test_pipeline_by_stages(spark):
         if n:
             want[k, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()] += n
     assert Counter(map(tuple, corpus_pipeline.run(spark, d).collect())) == want
+
+
+def test_write_shards_keeps_every_row(spark, tmp_path):
+    """Repeated ids and ids that are null: as many rows out as in."""
+    rows = [(1, "a", "u"), (1, "a", "u"), (1, "b", "v"), (None, "c", "w"), (None, "c", "w"), (2, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, shard string")
+    sharding.write_shards(df, f"{tmp_path}/shards", limit=1)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(tuple, back.select("doc_id", "text", "shard").collect()), key=str) == sorted(rows, key=str)
+    assert back.select("__shard").distinct().count() == 6  # each row of its own, as none fits beside another
