@@ -73,6 +73,18 @@ def outlier(bps_norm: Column) -> Column:
     return ~((bps_norm > 0.02) & (bps_norm < 0.50))
 
 
-def tightness(n: Column, mean: Column, sd: Column) -> Column:
-    """Coefficient of variation below 30 %."""
-    return F.when((n < 3) | (mean < 1e-6), "degenerate").when(100 * sd / F.when(mean >= 1e-6, mean) < 30, "tight").otherwise("catch-all")
+def tightness(n: Column, mean: Column, sd: Column, path_mean: Column | None = None, path_sd: Column | None = None, kind: str = "change") -> Column:
+    """C12, from a family's |dW| (mean, sd) and path lengths: coefficients of variation below 30 %.
+
+    "change": of |dW| alone, degenerate below three members or without a change. "both": of both, each 0 where its mean is. "largest":
+    the larger of both; fewer than three members are tight.
+    """
+    if kind == "change":
+        return F.when((n < 3) | (mean < 1e-6), "degenerate").when(100 * sd / F.when(mean >= 1e-6, mean) < 30, "tight").otherwise("catch-all")
+    if kind == "both":
+        cv = lambda m, s: F.when(m > 0, 100 * s / F.when(m > 0, m)).otherwise(0.0)
+        return F.when((cv(mean, sd) < 30) & (cv(path_mean, path_sd) < 30), "tight").otherwise("catch-all")
+    if kind == "largest":
+        cv = lambda m, s: s / F.greatest(m, F.lit(1e-6))
+        return F.when((n < 3) | (F.greatest(cv(mean, sd), cv(path_mean, path_sd)) < 0.30), "tight").otherwise("catch-all")
+    raise ValueError(kind)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.basins import tightness
 from . import density
 from .loops import path_distance, resampled, stratum
 from .shared import kept
@@ -65,12 +66,14 @@ def components(edges: DataFrame, most: int = 200) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def dbscan(pairs: DataFrame, eps: tuple[float, ...], least: int = 3) -> DataFrame:
-    """g, eps, id, component of the clustered points for every radius at once; a border point takes its least core's cluster."""
+def dbscan(pairs: DataFrame, eps: tuple[float, ...], least: int | DataFrame = 3) -> DataFrame:
+    """g, eps, id, component of the clustered points for every radius at once; a border point takes its least core's cluster. least: of all groups, or a table of g and least."""
     radii = F.array(*[F.lit(float(e)) for e in eps])
     near = kept(pairs.withColumn("eps", F.explode(F.filter(radii, lambda e: e >= F.col("distance")))).select("g", "eps", "a", "b"), "near")
     both = near.unionByName(near.select("g", "eps", F.col("b").alias("a"), F.col("a").alias("b")))
-    core = kept(both.groupBy("g", "eps", F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= least).drop("n"), "core")
+    around = both.groupBy("g", "eps", F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    around = around.withColumn("least", F.lit(least)) if isinstance(least, int) else around.join(least, "g")
+    core = kept(around.where(F.col("n") + 1 >= F.col("least")).drop("n", "least"), "core")
     key = lambda c: F.concat_ws("|", "g", "eps", c)
     inner = near.join(core.withColumnRenamed("id", "a"), ["g", "eps", "a"], "left_semi").join(core.withColumnRenamed("id", "b"), ["g", "eps", "b"], "left_semi")
     found = components(inner.select(key("a").alias("a"), key("b").alias("b")))
@@ -79,7 +82,7 @@ def dbscan(pairs: DataFrame, eps: tuple[float, ...], least: int = 3) -> DataFram
     return own.unionByName(border.join(core, ["g", "eps", "id"], "left_anti"))
 
 
-def search(points: DataFrame, pairs: DataFrame, eps: tuple[float, ...] = EPS, least: int = 3, most_noise: float = 0.5, fallback: str = "most") -> DataFrame:
+def search(points: DataFrame, pairs: DataFrame, eps: tuple[float, ...] = EPS, least: int | DataFrame = 3, most_noise: float = 0.5, fallback: str = "most") -> DataFrame:
     """G, id, eps, clusters, cluster (-1 is noise). A group takes its first radius of two clusters or more and less noise than
     most_noise; else the radius of most clusters ("most"), the last one tried ("last"), or none ("noise")."""
     labels = kept(dbscan(pairs, eps, least), "clusters")
@@ -131,6 +134,48 @@ def refined(members: DataFrame, pairs: DataFrame, depth: int = 2, least_size: in
     return members
 
 
+#: Fixed values of the second refinement: rows below which a group is small and noise is left alone, rows of a catch-all that is split again, levels, and the share of a group that makes a core.
+SMALL, NOISE_SPLIT, LOOSE_SPLIT, LEVELS, CORE_SHARE = 5, 8, 10, 3, 0.05
+
+
+def refined_again(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """L05, second form: g, id, family, kind (tight, catch-all, noise, small), depth of every loop. found: g, id, inner_dw, path_len; pairs: g, a, b, distance.
+
+    A group of loops is searched with a core size that follows the group. Of what it splits into, noise of NOISE_SPLIT or more and loose
+    families of LOOSE_SPLIT or more are searched again as groups of their own, to LEVELS levels. A group that does not split is one family.
+    """
+    rows = kept(found.select("g", "id", "inner_dw", "path_len", F.col("g").alias("family")), "again")
+    size = Window.partitionBy("family")
+    out = rows.withColumn("n", F.count(F.lit(1)).over(size)).where(F.col("n") < SMALL).select("g", "id", "family", F.lit("small").alias("kind"), F.lit(0).alias("depth"))
+    open_ = kept(rows.withColumn("n", F.count(F.lit(1)).over(size)).where(F.col("n") >= SMALL).drop("n"), "again")
+
+    def judged(df: DataFrame, depth: int) -> DataFrame:
+        each = df.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.avg("inner_dw").alias("m"), F.stddev_pop("inner_dw").alias("s"), F.avg("path_len").alias("pm"), F.stddev_pop("path_len").alias("ps"))
+        kind = tightness(F.col("n"), F.col("m"), F.col("s"), F.col("pm"), F.col("ps"), "largest")
+        return df.join(kept(each.select("family", "n", kind.alias("kind")), "judged"), "family").withColumn("depth", F.lit(depth))
+
+    final = ["g", "id", "family", "kind", "depth"]
+    for depth in range(LEVELS + 1):
+        sized = judged(open_, depth)
+        out = out.unionByName(sized.where(F.col("n") < SMALL).select(final))
+        groups = kept(sized.where(F.col("n") >= SMALL).drop("kind", "depth"), "again")
+        side = lambda c: groups.select("g", F.col("id").alias(c), F.col("family").alias(f"f{c}"))  # noqa: B023, E731
+        near = pairs.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]).where("fa = fb").select(F.col("fa").alias("g"), "a", "b", "distance")
+        least = groups.groupBy(F.col("family").alias("g")).agg(F.greatest(F.lit(2), F.floor(F.count(F.lit(1)) * CORE_SHARE)).cast("int").alias("least"))
+        labels = search(groups.select(F.col("family").alias("g"), "id"), near, EPS, kept(least, "least"), fallback="noise")
+        named = kept(groups.join(labels.select(F.col("g").alias("family"), "id", "clusters", "cluster"), ["family", "id"]), "again")
+        out = out.unionByName(judged(named.where("clusters < 2").drop("n", "clusters", "cluster"), depth).select(final))
+        parts = named.where("clusters >= 2").withColumn("family", F.concat_ws(".", "family", F.when(F.col("cluster") < 0, F.lit("noise")).otherwise(F.col("cluster").cast("string"))))
+        parts = kept(judged(parts.drop("n", "clusters"), depth), "parts")
+        noise = F.col("cluster") < 0
+        again = F.when(noise, F.col("n") >= NOISE_SPLIT).otherwise((F.col("kind") == "catch-all") & (F.col("n") >= LOOSE_SPLIT) & F.lit(depth < LEVELS))
+        out = out.unionByName(parts.where(~again).withColumn("kind", F.when(noise, F.lit("noise")).otherwise(F.col("kind"))).select(final))
+        open_ = parts.where(again).drop("cluster", "n", "kind", "depth")
+        if open_.isEmpty():
+            return out
+    return out.unionByName(judged(open_, LEVELS + 1).select(final))
+
+
 def scrambled(members: DataFrame) -> DataFrame:
     """The same loops with the angle pairs of their group in hash order; lengths stay, paths do not."""
     points = members.select("g", "id", F.posexplode("path").alias("k", "p"))
@@ -252,3 +297,18 @@ def forest(rows: DataFrame, label: str, inputs: list[str], folds: int = 3, trees
         found = model.transform(data.where(F.col("fold") == k)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == F.col("y")).alias("correct")).select(F.lit(k).alias("fold"), "n", "correct")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def importances(rows: DataFrame, label: str, inputs: list[str], trees: int = 100, seed: int = 42) -> DataFrame:
+    """Feature, importance of a forest over all rows, the most important first; none where fewer than two classes have two members."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    classes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("members")).where("members >= 2").select(label)
+    data = rows.join(classes, label)
+    schema = "feature string, importance double"
+    if classes.count() < 2:
+        return rows.sparkSession.createDataFrame([], schema)
+    data = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(data).transform(data)
+    model = RandomForestClassifier(labelCol="y", featuresCol="x", numTrees=trees, seed=seed).fit(VectorAssembler(inputCols=inputs, outputCol="x").transform(data).select("x", "y"))
+    return rows.sparkSession.createDataFrame([(c, float(w)) for c, w in zip(inputs, model.featureImportances.toArray())], schema).orderBy(F.col("importance").desc(), "feature")

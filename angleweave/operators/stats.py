@@ -99,6 +99,14 @@ def least_squares(df: DataFrame, y: str, xs: list[str]) -> dict:
     return {"n": int(n), "coefficients": dict(zip(["intercept", *xs], beta.tolist())), "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / (n - k) if n > k else r2, "rmse": math.sqrt(max(rest, 0) / max(n, 1))}
 
 
+def dominant_component(found: dict, columns: list[str], column: str, first: int = 3) -> tuple[int, float]:
+    """Which of the first components (from 1) a variable loads most strongly on, and its loading there. found: as principal() gives it."""
+    at = columns.index(column)
+    loadings = [float(found["loadings"][k][at]) for k in range(min(first, len(columns)))]
+    best = max(range(len(loadings)), key=lambda k: (abs(loadings[k]), -k))
+    return best + 1, loadings[best]
+
+
 def poisson_weights(keys, rounds: int, seed: int):
     """How often each row counts in each round, Poisson with mean 1: a function of the row's key, the round and the seed alone. keys: int64; (rows, rounds)."""
     import numpy as np

@@ -8,10 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import basins, potential
-from ..operators import chains, generators, kinematics, walks
+from ..operators import chains, families, generators, kinematics, loops, nulls, stats, verdicts, walks
 from ..operators.shared import kept, shared_dir
 from ..streaming import chain_metrics
-from .catalogue import FULL, RES, query, residues, scored
+from .catalogue import _LOOP, _SHUFFLE, FULL, GRID, RES, WRES, protein_table, query, residues, scored
+from .extended import _CHAIN_STEP, members
 
 
 @query(f"{FULL} SELECT chain_id, organism, length, round(bps, 6) AS bps, round(bps_norm, 6) AS bps_norm, round(mean_dw, 6) AS mean_dw, round(torus_l1, 6) AS torus_l1, round(torus_l2, 6) AS torus_l2, round(q_phi, 6) AS q_phi, round(q_psi, 6) AS q_psi, n_transitions FROM proteins")
@@ -105,3 +106,78 @@ def g13_shape_correlations(spark, d):
     """What the shape reports measure, over coordinates instead of the id: correlations with BPS/L, by organism."""
     p = chains.proteins(scored(spark, d), _shape(spark, d))
     return p.groupBy("organism").agg(F.count("rg").alias("n_rg"), F.corr("bps_norm", "rg").alias("r_rg"), F.count("contact_order").alias("n_contact_order"), F.corr("bps_norm", "contact_order").alias("r_contact_order"), F.avg("rg").alias("rg"), F.avg("contact_order").alias("contact_order"))
+
+
+_STRATUM = "CASE WHEN lp.length <= 7 THEN 'short' WHEN lp.length <= 10 THEN 'medium' WHEN lp.length <= 15 THEN 'long' ELSE 'very long' END"
+
+
+@query(f"""WITH {RES}, {GRID}, {WRES}, {_LOOP}, one AS (SELECT lp.chain_id, lp.start, lp.direction, {_STRATUM} AS stratum, abs(max(CASE WHEN pos > lp."end" THEN w END) - max(CASE WHEN pos < lp.start THEN w END)) AS dw, coalesce(sum(CASE WHEN pos > lp.start AND pos <= lp."end" THEN sqrt(dphi * dphi + dpsi * dpsi) END), 0) AS pl FROM lp JOIN wres ON wres.chain_id = lp.chain_id AND pos BETWEEN lp.start - 1 AND lp."end" + 1 GROUP BY ALL),
+g AS (SELECT direction, stratum, count(*) AS n, avg(dw) AS m, stddev_pop(dw) AS s, avg(pl) AS pm, stddev_pop(pl) AS ps FROM one GROUP BY ALL) SELECT direction, stratum, n, round(m, 6) AS dw_mean, CASE WHEN n < 3 OR m < 1e-6 THEN 'degenerate' WHEN 100 * s / m < 30 THEN 'tight' ELSE 'catch-all' END AS change, CASE WHEN CASE WHEN m > 0 THEN 100 * s / m ELSE 0 END < 30 AND CASE WHEN pm > 0 THEN 100 * ps / pm ELSE 0 END < 30 THEN 'tight' ELSE 'catch-all' END AS both, CASE WHEN n < 3 OR greatest(s / greatest(m, 1e-6), ps / greatest(pm, 1e-6)) < 0.3 THEN 'tight' ELSE 'catch-all' END AS largest FROM g""")
+def c12_tightness(spark, d):
+    """The three rules of tightness over the loops of a direction and length."""
+    rows = loops.extract(scored(spark, d)).withColumn("stratum", loops.stratum(F.col("length")))
+    g = rows.groupBy("direction", "stratum").agg(F.count(F.lit(1)).alias("n"), F.avg("delta_w").alias("dw_mean"), F.stddev_pop("delta_w").alias("s"), F.avg("path_len").alias("pm"), F.stddev_pop("path_len").alias("ps"))
+    rule = lambda k: basins.tightness(F.col("n"), F.col("dw_mean"), F.col("s"), F.col("pm"), F.col("ps"), k).alias(k)
+    return g.select("direction", "stratum", "n", "dw_mean", *map(rule, ("change", "both", "largest")))
+
+
+_C15_LEAST = 60
+
+
+@query(f"{FULL}, x AS (SELECT chain_id, CASE WHEN length < {_C15_LEAST} THEN 'short' END AS e FROM proteins) SELECT coalesce(e, 'done') AS kind, count(*) AS n, min(chain_id) AS first_id, max(chain_id) AS last_id FROM x GROUP BY 1")
+def c15_outcomes(spark, d):
+    """Both outputs of the split, counted; the least length is one that parts the test tables' chains."""
+    done, failed = verdicts.split(protein_table(spark, d).withColumn("residues", F.col("length")), _C15_LEAST)
+    rows = done.select("chain_id", F.lit("done").alias("kind")).unionByName(failed.select("chain_id", F.col("error_type").alias("kind")))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("chain_id").alias("first_id"), F.max("chain_id").alias("last_id"))
+
+
+@query(f"{FULL} SELECT organism, count(*) AS n, round(avg(bps_norm), 6) AS mean FROM proteins WHERE bps_norm IS NOT NULL AND plddt_mean IS NOT NULL AND rg IS NOT NULL AND contact_order IS NOT NULL AND plddt_mean >= 50 AND length >= 50 GROUP BY 1")
+def c10_complete(spark, d):
+    return verdicts.complete(protein_table(spark, d), least_plddt=50.0, least_length=50).groupBy("organism").agg(F.count(F.lit(1)).alias("n"), F.avg("bps_norm").alias("mean"))
+
+
+_CLASS = "CASE WHEN 100 * a > 15 AND 100 * b > 15 THEN 'mixed' WHEN 100 * a > 40 AND 100 * b <= 15 THEN 'alpha-rich' WHEN 100 * b > 25 AND 100 * a <= 15 THEN 'beta-rich' ELSE 'Other' END"
+_GAPS = f"""cls AS (SELECT chain_id, {_CLASS} AS class FROM (SELECT chain_id, avg(CASE WHEN basin = 'alpha' THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN basin = 'beta' THEN 1.0 ELSE 0 END) AS b FROM res GROUP BY 1)), pair AS (SELECT class, r.s AS a, n.s AS b FROM cls JOIN {_CHAIN_STEP.format(t='res')} r USING (chain_id) JOIN {_CHAIN_STEP.format(t='pm')} n USING (chain_id)),
+gap AS (SELECT class, count(*) AS n, avg(a) AS real_mean, avg(b) AS model_mean, 100 * (avg(b) - avg(a)) / nullif(avg(a), 0) AS agg_gap, avg(100 * (b - a) / nullif(a, 0)) AS chain_gap, corr(a, b) AS r FROM pair GROUP BY 1)"""
+
+
+def _class_chains(spark, d):
+    r = residues(spark, d)
+    step = lambda rows, name: chains.stepped(rows).groupBy("chain_id").agg(F.avg(F.abs("dphi") + F.abs("dpsi")).alias(name))
+    share = lambda b: F.avg((F.col("basin") == b).cast("double"))
+    classes = r.groupBy("chain_id").agg(basins.fold(100 * share("alpha"), 100 * share("beta"), "percent").alias("class"))
+    return classes.join(step(r, "real"), "chain_id").join(step(nulls.shuffled(r), "model"), "chain_id")
+
+
+@query(f"WITH {RES}, {_SHUFFLE}, {_GAPS} SELECT class, n, round(real_mean, 6) AS real_mean, round(model_mean, 6) AS model_mean, round(agg_gap, 6) AS agg_gap, round(chain_gap, 6) AS chain_gap, round(r, 6) AS r FROM gap")
+def t22_class_gaps(spark, d):
+    """Shuffled chains against real ones, by fold class."""
+    return verdicts.class_gaps(_class_chains(spark, d))
+
+
+@query(f"WITH {RES}, {_SHUFFLE}, {_GAPS} SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS classes, round(sum(agg_gap * n) / sum(n), 6) AS agg_gap, round(sum(chain_gap * n) / sum(n), 6) AS chain_gap FROM gap")
+def t22_overall_gap(spark, d):
+    return verdicts.overall_gap(verdicts.class_gaps(_class_chains(spark, d)))
+
+
+@query()
+def t04_dominant_components(spark, d):
+    """Which of the first three components roughness, pLDDT and size load on most strongly."""
+    names = ["bps_norm", "length", "plddt_mean", "torus_l1", "rg", "contact_order", "pct_helix", "pct_sheet"]
+    found = stats.principal(protein_table(spark, d), names)
+    rows = [(c, *stats.dominant_component(found, names, c)) for c in ("bps_norm", "plddt_mean", "length")]
+    own = rows[0][1]
+    return spark.createDataFrame([(c, k, v, k == own) for c, k, v in rows], "variable string, component int, loading double, shared boolean")
+
+
+@query()
+def l05_refined_again(spark, d):
+    found, pairs = members(spark, d)
+    return families.refined_again(found, pairs)
+
+
+@query()
+def l09_stability_verdict(spark, d):
+    pairs = families.stability(kept(families.density_clusters(loops.features(scored(spark, d))), "density")).where("a > 0")
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.avg("ari").alias("ari"), F.avg("jaccard").alias("jaccard")).withColumn("verdict", verdicts.stability(F.col("ari")))

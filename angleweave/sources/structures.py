@@ -68,8 +68,15 @@ def backbone(atoms: DataFrame, chain: str | None = None) -> DataFrame:
     return out.withColumn("chain_id", F.concat_ws("|", "path", "chain")).withColumn("pos", F.col("resnum"))
 
 
-def discover(spark: SparkSession, path: str, most_bytes: int = 5_000_000, least_bytes: int = 100) -> DataFrame:
-    """Files by organism folder, with size limits, from metadata alone."""
+def discover(spark: SparkSession, path: str, most_bytes: int = 5_000_000, least_bytes: int = 100, least_age: float = 0.0) -> DataFrame:
+    """Files by organism folder, from metadata alone: path, modificationTime, length, organism. Files outside the size limits, or changed less than
+    least_age seconds ago, are left out; files right in the folder are of "unknown"; of a file and its .gz the plain one counts."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
     files = files.where(F.col("path").rlike(r"\.cif(\.gz)?$") & F.col("length").between(least_bytes, most_bytes))
-    return files.withColumn("organism", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    if least_age > 0:
+        files = files.where(F.unix_millis("modificationTime") <= F.unix_millis(F.current_timestamp()) - F.lit(int(least_age * 1000)))
+    root = path.rstrip("/").rsplit("/", 1)[-1]
+    folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    plain = F.regexp_replace("path", r"\.gz$", "")
+    one = files.groupBy(plain.alias("__plain")).agg(F.min_by(F.struct("path", "modificationTime", "length"), F.length("path")).alias("f")).select("f.*")
+    return one.withColumn("organism", F.when(folder == root, "unknown").otherwise(folder))
