@@ -22,6 +22,50 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
     return parts.join(F.broadcast(before), "part").select(value, "n", (F.col("before") + inside + (F.col("n") + 1) / 2).alias("rank"))
 
 
+def distances(df: DataFrame, group: str, value: str) -> DataFrame:
+    """A, b (groups, a < b), wasserstein (the integral of |F_a - F_b|) and ks (its maximum), of all pairs of groups.
+
+    A pair's values are dealt by range and summed within a range; what lies before a range comes from one row a range.
+    """
+    rows = kept(df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n")), "masses")
+    names = rows.groupBy("g").agg(F.sum("n").alias("size"))
+    pairs = names.select(F.col("g").alias("a"), F.col("size").alias("na")).join(names.select(F.col("g").alias("b"), F.col("size").alias("nb")), F.col("a") < F.col("b"))
+    sides = kept(pairs, "sides")
+    both = rows.join(sides.select("*", F.explode(F.array("a", "b")).alias("g")), "g")
+    masses = both.groupBy("a", "b", "na", "nb", "x").agg(F.sum(F.when(F.col("g") == F.col("a"), F.col("n")).otherwise(0)).alias("ca"), F.sum(F.when(F.col("g") == F.col("b"), F.col("n")).otherwise(0)).alias("cb"))
+    parts = kept(masses.repartitionByRange("a", "b", "x").withColumn("part", F.spark_partition_id()), "parts")
+    of_pair = Window.partitionBy("a", "b").orderBy("part")
+    sums = parts.groupBy("a", "b", "part").agg(F.sum("ca").alias("own_a"), F.sum("cb").alias("own_b"), F.min("x").alias("first"))
+    before = sums.select("a", "b", "part", *[(F.sum(f"own_{k}").over(of_pair) - F.col(f"own_{k}")).alias(f"before_{k}") for k in "ab"], F.lead("first").over(of_pair).alias("next"))
+    inside = Window.partitionBy("a", "b", "part").orderBy("x")
+    level = lambda k: (F.col(f"before_{k}") + F.sum(f"c{k}").over(inside)) / F.col(f"n{k}")
+    steps = parts.join(F.broadcast(kept(before, "before")), ["a", "b", "part"]).select("a", "b", F.abs(level("a") - level("b")).alias("gap"), (F.coalesce(F.lead("x").over(inside), "next") - F.col("x")).alias("width"))
+    return steps.groupBy("a", "b").agg(F.sum(F.col("gap") * F.col("width")).alias("wasserstein"), F.max("gap").alias("ks"))
+
+
+def signed_ranks(df: DataFrame, difference: str) -> DataFrame:
+    """w_plus and w_minus, the rank sums of the positive and the negative differences; zeros are left out."""
+    d = df.select(F.col(difference).alias("d")).where("d <> 0").withColumn("size", F.abs("d"))
+    ranked = d.join(average_ranks(d, "size").select("size", "rank"), "size")
+    return ranked.agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"))
+
+
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Interpolated percentiles of a column from its ranges' ranks: two neighbouring values a share reach the driver."""
+    ranks = kept(average_ranks(df, value), "ranks").select(F.col(value).alias("x"), (F.col("rank") - (F.col("n") + 1) / 2).alias("first"), (F.col("rank") + (F.col("n") + 1) / 2 - 1).alias("last"))
+    n = ranks.agg(F.max("last")).first()[0]
+    if n is None:
+        return [None] * len(shares)
+    out = []
+    for q in shares:
+        at = q * (n - 1)
+        low, high = math.floor(at), math.ceil(at)
+        # The value that holds place k (from 0) has first <= k < last.
+        a, b = (ranks.where((F.col("first") <= k) & (F.col("last") > k)).first().x for k in (low, high))
+        out.append(a + (b - a) * (at - low))
+    return out
+
+
 def _ties(ranks: DataFrame) -> float:
     return float(ranks.agg(F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n"))).first()[0] or 0.0)
 

@@ -377,7 +377,7 @@ for _name, _text in (reports.REPORTS | organism_reports.every()).items():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import extended, later  # noqa: F401 - they register their own; they import this module
+    from . import extended, later, measured  # noqa: F401 - they register their own; they import this module
 
     return dict(QUERIES)
 
