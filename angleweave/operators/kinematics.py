@@ -76,12 +76,14 @@ CENTRES = {"alpha": (-63.0, -43.0), "beta": (-120.0, 130.0), "ppII": (-75.0, 150
 def clashes(atoms: DataFrame, lookback: int = 6, radius: float = 2.0, bonded: bool = False) -> DataFrame:
     """chain_id, clashing (residues with an atom nearer than radius to one of the lookback residues before). bonded=True also
     counts the bond between neighbours, which is always shorter than the radius."""
-    a, b = atoms.alias("a"), atoms.alias("b")
+    b = atoms.alias("b")
     kinds = ("n", "ca", "c")
     gap = lambda p, q: sum((F.pow(F.col(f"a.{p}{d}") - F.col(f"b.{q}{d}"), 2) for d in "xyz"), F.lit(0.0))
     bond = F.col("b.pos") - F.col("a.pos") == 1
     close = [gap(p, q) if bonded or (p, q) != ("c", "n") else F.when(~bond, gap(p, q)) for p in kinds for q in kinds]
-    pairs = a.join(b, (F.col("a.chain_id") == F.col("b.chain_id")) & (F.col("b.pos") - F.col("a.pos")).between(1, lookback))
+    # Each residue meets the lookback residues after it by an equi-join on places.
+    reach = atoms.withColumn("after", F.explode(F.array(*[F.lit(k) for k in range(1, lookback + 1)]))).alias("a")
+    pairs = reach.join(b, (F.col("a.chain_id") == F.col("b.chain_id")) & (F.col("a.pos") + F.col("a.after") == F.col("b.pos")))
     hit = pairs.where(F.least(*close) < radius * radius).groupBy(F.col("b.chain_id").alias("chain_id")).agg(F.count_distinct("b.pos").alias("clashing"))
     return atoms.select("chain_id").distinct().join(hit, "chain_id", "left").select("chain_id", F.coalesce("clashing", F.lit(0)).alias("clashing"))
 

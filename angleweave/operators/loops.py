@@ -26,8 +26,9 @@ def extract(res: DataFrame, least_run: int = 2, most: int = 20) -> DataFrame:
     gaps = gaps.where((F.col("label") != F.col("next_label")) & (F.col("after") - F.col("before") - 1).between(1, most))
     gaps = gaps.select("chain_id", (F.col("before") + 1).alias("start"), (F.col("after") - 1).alias("end"), F.concat("label", F.lit("->"), "next_label").alias("direction"))
     steps = res.select("chain_id", "pos", "resname", "phi", "psi", "w", F.sqrt(F.pow(wrap(F.col("phi") - F.lag("phi").over(order())), 2) + F.pow(wrap(F.col("psi") - F.lag("psi").over(order())), 2)).alias("step"))
-    # A loop and its flanks: an equi-join by chain with a range of positions; a chain has few loops.
-    hit = steps.alias("r").join(gaps.alias("g"), (F.col("r.chain_id") == F.col("g.chain_id")) & F.col("r.pos").between(F.col("g.start") - 1, F.col("g.end") + 1)).select("g.*", "pos", "resname", "phi", "psi", "w", "step")
+    # A loop's places and its flanks, at most `most` + 2, meet their residues by an equi-join.
+    places = gaps.withColumn("pos", F.explode(F.sequence(F.col("start") - 1, F.col("end") + 1)))
+    hit = steps.join(places, ["chain_id", "pos"]).select(*gaps.columns, "pos", "resname", "phi", "psi", "w", "step")
     inside = F.col("pos").between(F.col("start"), F.col("end"))
     out = hit.groupBy("chain_id", "start", "end", "direction").agg(
         F.abs(F.max(F.when(F.col("pos") > F.col("end"), F.col("w"))) - F.max(F.when(F.col("pos") < F.col("start"), F.col("w")))).alias("delta_w"),
@@ -57,7 +58,7 @@ def extract_flanked(res: DataFrame, flank: int = 3, most: int = 20, ahead: int =
     picked = runs.withColumn("to", F.get(F.filter("later", fits), 0)).where("to is not null")
     spans = picked.select("chain_id", first.alias("start"), last(F.col("to")).alias("end"), F.concat("label", F.lit("->"), F.col("to.label")).alias("direction"))
     rows = res.where("phi is not null and psi is not null").select("chain_id", "pos", "phi", "psi", "w")
-    inside = rows.alias("r").join(spans.alias("g"), (F.col("r.chain_id") == F.col("g.chain_id")) & F.col("r.pos").between(F.col("g.start"), F.col("g.end"))).select("g.*", "pos", "phi", "psi", "w")
+    inside = rows.join(spans.withColumn("pos", F.explode(F.sequence("start", "end"))), ["chain_id", "pos"]).select(*spans.columns, "pos", "phi", "psi", "w")
     along = Window.partitionBy("chain_id", "start", "end").orderBy("pos")
     step = lambda c: wrap(F.col(c) - F.lag(c).over(along))
     inside = inside.withColumn("step", F.sqrt(F.pow(step("phi"), 2) + F.pow(step("psi"), 2))).withColumn("dw", F.abs(F.col("w") - F.lag("w").over(along)))
@@ -68,7 +69,8 @@ def extract_flanked(res: DataFrame, flank: int = 3, most: int = 20, ahead: int =
 def features(res: DataFrame, least: int = 3) -> DataFrame:
     """Eight features of runs of "other" of at least least residues."""
     runs = segments(res).where((F.col("label") == "other") & (F.col("length") >= least)).select("chain_id", "seg", "start", "end", "length")
-    inner = res.alias("r").join(runs.alias("s"), (F.col("r.chain_id") == F.col("s.chain_id")) & F.col("r.pos").between(F.col("s.start"), F.col("s.end"))).select("s.*", "pos", "phi", "psi", "w")
+    # Runs do not overlap: as many places as residues.
+    inner = res.join(runs.withColumn("pos", F.explode(F.sequence("start", "end"))), ["chain_id", "pos"]).select(*runs.columns, "pos", "phi", "psi", "w")
     by = Window.partitionBy("chain_id", "seg").orderBy("pos")
     inner = inner.withColumn("adw", F.abs(F.col("w") - F.lag("w").over(by)))
     return inner.groupBy("chain_id", "seg", "start", "length").agg(

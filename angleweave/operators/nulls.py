@@ -37,7 +37,8 @@ def shuffled(res: DataFrame, trials: int = 1) -> DataFrame:
 def segment_shuffled(res: DataFrame, trials: int = 1) -> DataFrame:
     """Pairs change places inside their segment. res carries basin."""
     runs = segments(res).select("chain_id", "seg", "start", "end")
-    inner = res.alias("r").join(runs.alias("s"), (F.col("r.chain_id") == F.col("s.chain_id")) & F.col("r.pos").between(F.col("s.start"), F.col("s.end"))).select("r.*", "seg")
+    places = runs.select("chain_id", "seg", F.explode(F.sequence("start", "end")).alias("pos"))
+    inner = res.join(places, ["chain_id", "pos"]).select(*res.columns, "seg")
     return _reordered(with_trials(inner, trials), ["chain_id", "trial", "seg"], "M03")
 
 
@@ -51,9 +52,10 @@ def basin_pools(res: DataFrame, trials: int = 1) -> DataFrame:
 
 def local_windows(res: DataFrame, k: int = 5, trials: int = 1) -> DataFrame:
     """A pair of the same basin within k places; with fewer than two candidates the chain's pool."""
+    # Every residue asks for the 2 k + 1 places around it.
     near = res.select("chain_id", "basin", F.col("pos").alias("p"), F.col("phi").alias("f"), F.col("psi").alias("s"))
-    cand = res.alias("r").join(near.alias("n"), (F.col("r.chain_id") == F.col("n.chain_id")) & (F.col("r.basin") == F.col("n.basin")) & (F.abs(F.col("r.pos") - F.col("n.p")) <= k))
-    local = cand.groupBy("r.chain_id", "r.pos").agg(F.array_sort(F.collect_list(F.struct("n.p", "n.f", "n.s"))).alias("near"))
+    asked = res.select("chain_id", "basin", "pos", F.explode(F.sequence(F.col("pos") - k, F.col("pos") + k)).alias("p"))
+    local = asked.join(near, ["chain_id", "basin", "p"]).groupBy("chain_id", "pos").agg(F.array_sort(F.collect_list(F.struct("p", "f", "s"))).alias("near"))
     whole = basin_pools(res, trials).select("chain_id", "trial", "pos", F.col("phi").alias("pool_phi"), F.col("psi").alias("pool_psi"))
     rows = with_trials(res.join(local, ["chain_id", "pos"]), trials).withColumn("one", F.get("near", F.pmod(draw("M05", "chain_id", "trial", "pos"), F.size("near")).cast("int")))
     rows = rows.join(whole, ["chain_id", "trial", "pos"])
