@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import wrap
 from ..functions.basins import basin
+from .shared import chainwise
 
 
 def order():
@@ -44,22 +45,32 @@ def stepped(res: DataFrame) -> DataFrame:
     return out.withColumn("dw", F.col("w") - F.lag("w").over(order())) if "w" in res.columns else out
 
 
-def roughness(steps: DataFrame) -> DataFrame:
-    """N01-N05 by chain: BPS, BPS/L, mean |dW|, torus L1 and L2, winding numbers."""
-    turns = lambda c: F.coalesce(F.sum(c) / (2 * F.pi()), F.lit(0.0))
-    out = steps.groupBy("chain_id", "organism").agg(
+def _turns(c: str):
+    return F.coalesce(F.sum(c) / (2 * F.pi()), F.lit(0.0))
+
+
+def _sums() -> list:
+    return [
         F.count(F.lit(1)).alias("length"),
         F.coalesce(F.sum(F.abs("dw")), F.lit(0.0)).alias("bps"),
         F.avg(F.abs("dw")).alias("mean_dw"),
         F.avg(F.abs("dphi") + F.abs("dpsi")).alias("torus_l1"),
         F.avg(F.sqrt(F.col("dphi") * F.col("dphi") + F.col("dpsi") * F.col("dpsi"))).alias("torus_l2"),
-        turns("dphi").alias("q_phi"),
-        turns("dpsi").alias("q_psi"),
-    )
+        _turns("dphi").alias("q_phi"),
+        _turns("dpsi").alias("q_psi"),
+    ]
+
+
+def _normalised(out: DataFrame) -> DataFrame:
     out = out.withColumn("bps_norm", F.col("bps") / F.col("length")).withColumn("q_mag", F.hypot("q_phi", "q_psi"))
     return out.withColumn("q_norm", F.col("q_mag") / F.sqrt("length"))
 
 
+def roughness(steps: DataFrame) -> DataFrame:
+    """N01-N05 by chain: BPS, BPS/L, mean |dW|, torus L1 and L2, winding numbers."""
+    return _normalised(steps.groupBy("chain_id", "organism").agg(*_sums()))
+
+
 def segments(res: DataFrame, label: str = "basin") -> DataFrame:
     """Runs of equal labels; seg, start, end (inclusive), length."""
     change = F.when(F.lag(label).over(order()) == F.col(label), 0).otherwise(1)
@@ -97,7 +108,7 @@ def kinks_simple(steps: DataFrame) -> DataFrame:
 
 
 def kinks(steps: DataFrame) -> DataFrame:
-    """Chains of over 8 steps by peaks, others by mean + 2 sd. One Arrow group is one chain."""
+    """Chains of over 8 steps by peaks, others by mean + 2 sd."""
 
     def run(pdf):
         import numpy as np
@@ -105,21 +116,27 @@ def kinks(steps: DataFrame) -> DataFrame:
 
         from angleweave.functions.peaks import peaks
 
-        x = np.abs(pdf.sort_values("pos")["dw"].dropna().to_numpy())
+        x = np.abs(pdf["dw"].dropna().to_numpy())
         n = peaks(x) if len(x) > 8 else int((x > x.mean() + 2 * x.std()).sum()) if len(x) else 0
         return pd.DataFrame({"chain_id": [pdf["chain_id"].iloc[0]], "n_kinks": [n]})
 
-    return steps.select("chain_id", "pos", "dw").groupBy("chain_id").applyInPandas(run, "chain_id bigint, n_kinks bigint")
+    return chainwise(steps.select("chain_id", "pos", "dw"), run, "chain_id bigint, n_kinks bigint")
 
 
 def proteins(res: DataFrame, shape: DataFrame | None = None) -> DataFrame:
     """One row per chain for the report queries; res carries w. shape: chain_id, rg, contact_order from coordinates (kinematics.shape);
     without it they are bound to the id, as the version always is."""
-    res = res.withColumn("basin", basin(F.col("phi"), F.col("psi")))
-    base = roughness(stepped(res))
+    # One pass of windows and one aggregation: the basin before is the last major one among all earlier residues.
+    steps = stepped(res.withColumn("basin", basin(F.col("phi"), F.col("psi"))))
+    major = F.when(F.col("basin").isin("alpha", "beta"), F.col("basin"))
+    before = F.last(major, ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumn("changed", (major != before).cast("int"))
     share = lambda b: (100.0 * F.avg((F.col("basin") == b).cast("double")))
-    ss = res.groupBy("chain_id").agg(share("alpha").alias("pct_helix"), share("beta").alias("pct_sheet"), share("other").alias("pct_coil"), F.avg("plddt").alias("plddt_mean"), F.percentile("plddt", F.lit(0.5)).alias("plddt_median"), F.avg((F.col("plddt") < 50).cast("double")).alias("plddt_below50"))
-    out = base.join(ss, "chain_id").join(helix_sheet_transitions(res), "chain_id", "left").withColumn("n_transitions", F.coalesce("n_transitions", F.lit(0)))
+    more = [
+        share("alpha").alias("pct_helix"), share("beta").alias("pct_sheet"), share("other").alias("pct_coil"), F.avg("plddt").alias("plddt_mean"), F.percentile("plddt", F.lit(0.5)).alias("plddt_median"),
+        F.avg((F.col("plddt") < 50).cast("double")).alias("plddt_below50"), F.coalesce(F.sum("changed"), F.lit(0)).alias("n_transitions"),
+    ]
+    out = _normalised(steps.groupBy("chain_id", "organism").agg(*_sums(), *more))
     c = F.col("chain_id")
     if shape is not None:
         return out.join(shape, "chain_id", "left").withColumn("af_version", F.pmod(c, F.lit(2)) + 3)

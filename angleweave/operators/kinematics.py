@@ -1,4 +1,4 @@
-"""Backbone geometry. Placement is sequential, so a chain is one Arrow group; angles from coordinates are window expressions."""
+"""Backbone geometry. Placement is sequential within a chain; angles from coordinates are window expressions."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from ..functions.angles import dihedral
 from ..functions.geometry import build, place, superposed_rmsd  # noqa: F401
 from .chains import order
 from .loops import path_distance, resampled
+from .shared import chainwise, kept
 
 
 def reconstructed(res: DataFrame) -> DataFrame:
@@ -20,11 +21,10 @@ def reconstructed(res: DataFrame) -> DataFrame:
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("pos")
         x = build(pdf["phi"].fillna(0).to_numpy(), pdf["psi"].fillna(0).to_numpy()).reshape(-1, 9)
         return pd.DataFrame({"chain_id": pdf["chain_id"].to_numpy(), "pos": pdf["pos"].to_numpy(), **{c: x[:, k] for k, c in enumerate(names)}})
 
-    return res.select("chain_id", "pos", "phi", "psi").groupBy("chain_id").applyInPandas(run, "chain_id bigint, pos int, " + ", ".join(f"{c} double" for c in names))
+    return chainwise(res.select("chain_id", "pos", "phi", "psi"), run, "chain_id bigint, pos int, " + ", ".join(f"{c} double" for c in names))
 
 
 def angles(atoms: DataFrame, sign: int = -1) -> DataFrame:
@@ -101,8 +101,6 @@ def nearest_paths(asked: DataFrame, keys: list[str], library: DataFrame) -> Data
     fixed path. Paths meet in cells of that width over two such distances, by an equi-join; who found none within the ring goes on
     to the next, wider one. Only paths that are far from all of the library come to the last.
     """
-    from .shared import kept
-
     def placed(df: DataFrame) -> DataFrame:
         fixed = lambda phi, psi: F.transform("pts", lambda _: F.struct(F.lit(math.radians(phi)).alias("phi"), F.lit(math.radians(psi)).alias("psi")))
         return df.withColumns({f"d{k}": path_distance(F.col("pts"), fixed(*p)) for k, p in enumerate(PIVOTS)})
@@ -145,19 +143,19 @@ def canonical(res: DataFrame, loops: DataFrame, families: DataFrame) -> DataFram
 
 
 def deviations(a: DataFrame, b: DataFrame, most: float = 0.5) -> DataFrame:
-    """chain_id, n, rmsd of the CA atoms that both tables have, passed (below `most`). A chain is one Arrow group."""
+    """chain_id, n, rmsd of the CA atoms that both tables have, passed (below `most`). Many chains are superposed a call."""
 
     def run(pdf):
         import pandas as pd
 
         from angleweave.functions.geometry import superposed_rmsd
 
-        x = pdf.sort_values("pos")
+        x = pdf
         r = superposed_rmsd(x[["ax", "ay", "az"]].to_numpy(), x[["bx", "by", "bz"]].to_numpy()) if len(x) >= 3 else None
         return pd.DataFrame({"chain_id": [x["chain_id"].iloc[0]], "n": [len(x)], "rmsd": [r]})
 
     one = lambda df, k: df.select("chain_id", "pos", *[F.col(f"ca{d}").alias(f"{k}{d}") for d in "xyz"])
-    out = one(a, "a").join(one(b, "b"), ["chain_id", "pos"]).groupBy("chain_id").applyInPandas(run, "chain_id bigint, n bigint, rmsd double")
+    out = chainwise(one(a, "a").join(one(b, "b"), ["chain_id", "pos"]), run, "chain_id bigint, n bigint, rmsd double")
     return out.withColumn("passed", F.col("rmsd") < most)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .chains import segments
+from .shared import chainwise
 
 
 def key(model: str, *parts: str) -> Column:
@@ -73,7 +74,7 @@ def markov(res: DataFrame, trials: int = 1, order: int = 1, seed: int = 42) -> D
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values("pos")
+        pdf = pdf.reset_index(drop=True)
         labels, n = pdf["basin"].tolist(), len(pdf)
         names = sorted({*labels})
         follow = defaultdict(Counter)
@@ -91,4 +92,4 @@ def markov(res: DataFrame, trials: int = 1, order: int = 1, seed: int = 42) -> D
             out.append(pd.DataFrame({"chain_id": pdf["chain_id"].to_numpy(), "organism": pdf["organism"].to_numpy(), "trial": t, "pos": pdf["pos"].to_numpy(), "basin": path, "phi": rows["phi"].to_numpy(), "psi": rows["psi"].to_numpy()}))
         return pd.concat(out)
 
-    return res.select("chain_id", "organism", "pos", "basin", "phi", "psi").groupBy("chain_id").applyInPandas(run, "chain_id bigint, organism string, trial int, pos int, basin string, phi double, psi double")
+    return chainwise(res.select("chain_id", "organism", "pos", "basin", "phi", "psi"), run, "chain_id bigint, organism string, trial int, pos int, basin string, phi double, psi double")

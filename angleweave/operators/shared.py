@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,24 @@ def cleanup(spark: SparkSession) -> None:
     """Removes the tables that kept() wrote; to be called when no result is to be read any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/angleweave")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def chainwise(df: DataFrame, run: Callable, schema: str, key: str = "chain_id", order: str = "pos") -> DataFrame:
+    """Runs run(frame) -> frame for the rows of every key, in their order, many keys a call of Python. What a task holds at once is a batch and one key's rows."""
+
+    def batches(frames):
+        import pandas as pd
+
+        rest = None
+        for b in frames:
+            b = b if rest is None else pd.concat([rest, b])
+            if not len(b):
+                continue
+            same = b[key].eq(b[key].iloc[-1]) | (b[key].isna() & pd.isna(b[key].iloc[-1]))
+            ready, rest = b[~same], b[same]
+            if len(ready):
+                yield pd.concat([run(x) for _, x in ready.groupby(key, sort=False, dropna=False)])
+        if rest is not None and len(rest):
+            yield run(rest)
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(batches, schema)

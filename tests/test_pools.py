@@ -157,3 +157,29 @@ def test_observed_cells_are_drawn_as_often_as_seen(spark):
     assert sum(drawn.values()) == 60_000 and drawn.keys() <= times.keys()
     assert all(abs(drawn.get(k, 0) - 15 * n) < 5 * (15 * n) ** 0.5 + 1 for k, n in times.items())
     assert generators.from_observed(asked, res.limit(0)).count() == 0
+
+
+def test_chainwise_equals_one_group_a_chain(spark):
+    """Chains cut over Arrow batches, a null chain, one longer than a batch, an empty table."""
+    from angleweave.operators.shared import chainwise
+
+    rng = np.random.default_rng(3)
+    rows = [(c, p, float(rng.normal())) for c, n in ((1, 3), (2, 57), (3, 1), (None, 9), (5, 25)) for p in rng.permutation(n).tolist()]
+    df = spark.createDataFrame(rows, "chain_id bigint, pos int, x double")
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("pos")
+        return pd.DataFrame({"chain_id": [pdf["chain_id"].iloc[0]], "first": [pdf["pos"].iloc[0]], "n": [len(pdf)], "sum": [float((pdf["x"] * np.arange(len(pdf))).sum())]})
+
+    schema, key = "chain_id bigint, first int, n bigint, sum double", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    want = sorted(map(str, df.groupBy("chain_id").applyInPandas(run, schema).collect()))
+    was = spark.conf.get(key)
+    try:
+        for size in ("1", "4", "10000"):
+            spark.conf.set(key, size)
+            assert sorted(map(str, chainwise(df, run, schema).collect())) == want
+        assert chainwise(df.limit(0), run, schema).count() == 0
+    finally:
+        spark.conf.set(key, was)
