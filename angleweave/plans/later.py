@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import basins, potential
-from ..operators import chains, families, generators, kinematics, loops, nulls, stats, verdicts, walks
+from ..operators import chains, families, generators, kinematics, levels, loops, nulls, stats, verdicts, walks
 from ..operators.shared import kept, shared_dir
 from ..streaming import chain_metrics
 from .catalogue import _LOOP, _SHUFFLE, FULL, GRID, RES, WRES, protein_table, query, residues, scored
@@ -181,3 +181,25 @@ def l05_refined_again(spark, d):
 def l09_stability_verdict(spark, d):
     pairs = families.stability(kept(families.density_clusters(loops.features(scored(spark, d))), "density")).where("a > 0")
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.avg("ari").alias("ari"), F.avg("jaccard").alias("jaccard")).withColumn("verdict", verdicts.stability(F.col("ari")))
+
+
+@query()
+def m14_five_levels(spark, d):
+    res = residues(spark, d)
+    return levels.decomposed(res, potential.grid_table(spark, potential.build()))
+
+
+@query()
+def m14_level_shares(spark, d):
+    return levels.shares(levels.decomposed(residues(spark, d), potential.grid_table(spark, potential.build())))
+
+
+_DEGREES = "CAST(floor(degrees({a}) + 0.5 + 1e-9) AS INT)"
+
+
+@query(f"WITH {RES} SELECT chain_id, CAST(to_json(list([{_DEGREES.format(a='phi')}, {_DEGREES.format(a='psi')}] ORDER BY pos)) AS VARCHAR) AS path FROM res GROUP BY chain_id")
+def p19_paths(spark, d):
+    """A chain's path as JSON, in whole degrees."""
+    whole = lambda a: F.floor(F.degrees(a) + 0.5 + 1e-9).cast("int")
+    points = F.array_sort(F.collect_list(F.struct("pos", F.array(whole("phi"), whole("psi")).alias("at"))))
+    return residues(spark, d).groupBy("chain_id").agg(F.to_json(F.transform(points, lambda x: x["at"])).alias("path"))

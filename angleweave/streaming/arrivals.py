@@ -19,7 +19,7 @@ LEAST_RESIDUES = 3
 
 
 def computed(files: DataFrame, sign: int = -1) -> DataFrame:
-    """uniprot_id, version, path, error, and the chain's metrics where error is null. files: uniprot_id, version, path, text."""
+    """uniprot_id, version, path, error, the chain's metrics where error is null, and processed_at (P18). files: uniprot_id, version, path, text."""
     spark = files.sparkSession
     rows = reader.residues_of(files, chain="merged", seqId="label").withColumn("chain_id", F.col("path")).withColumn("pos", F.col("resnum")).withColumn("organism", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     res = kinematics.angles(rows, sign).where("phi is not null and psi is not null")
@@ -28,7 +28,7 @@ def computed(files: DataFrame, sign: int = -1) -> DataFrame:
     size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("residues"))
     out = files.select("uniprot_id", "version", "path").join(size, "path", "left").join(rough, "path", "left")
     error = F.when(F.col("residues").isNull(), "no backbone").when(F.col("residues") < LEAST_RESIDUES, "too few residues")
-    return out.select("uniprot_id", "version", "path", error.alias("error"), "organism", "residues", "length", "bps", "bps_norm", F.coalesce("n_transitions", F.lit(0)).alias("n_transitions"))
+    return out.select("uniprot_id", "version", "path", error.alias("error"), "organism", "residues", "length", "bps", "bps_norm", F.coalesce("n_transitions", F.lit(0)).alias("n_transitions"), F.current_timestamp().alias("processed_at"))
 
 
 def _told(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
