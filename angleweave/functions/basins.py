@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,6 +68,17 @@ def kingdom(organism: Column) -> Column:
     return out
 
 
+def kingdom_table(spark) -> DataFrame:
+    """organism, kingdom: the dimension by which organisms are looked up (J02); a row an organism named here."""
+    return spark.createDataFrame([(o, k) for k, members in KINGDOMS.items() for o in members], "organism string, kingdom string")
+
+
+def with_kingdom(df: DataFrame) -> DataFrame:
+    """Adds kingdom by a left join with the dimension; "?" where it has none."""
+    found = df.join(F.broadcast(kingdom_table(df.sparkSession)), "organism", "left")
+    return found.withColumn("kingdom", F.coalesce("kingdom", F.lit("?")))
+
+
 def outlier(bps_norm: Column) -> Column:
     """A flag, never a filter (C11)."""
     return ~((bps_norm > 0.02) & (bps_norm < 0.50))

@@ -123,3 +123,19 @@ def log_potential(hist: DataFrame, eps: float, n: int = 360) -> DataFrame:
 def flat(basin: Column) -> Column:
     """W08."""
     return F.when(basin == "alpha", 0.0).when(basin == "beta", 1.0).otherwise(2.0)
+
+
+#: Grid rows and columns (degrees from -180) of the two basins' rectangles, their centres, and the line on which the saddle is sought.
+RECTANGLES = {"alpha": ((80, 140), (120, 180)), "beta": ((30, 100), (280, 350))}
+CENTRES, SADDLE = {"alpha": (117, 137), "beta": (60, 310)}, 90
+
+
+def landscape(grid: DataFrame) -> DataFrame:
+    """Extremes, mean, saddle (least on its line) and its place, both basins' centres, their depth below the saddle, the means over
+    their rectangles and the depth of these below the mean. grid: gi, gj, w of 360 x 360 nodes."""
+    at = lambda i, j: F.max(F.when((F.col("gi") == i) & (F.col("gj") == j), F.col("w")))
+    line = F.when(F.col("gi") == SADDLE, F.col("w"))
+    mean = lambda i, j: F.avg(F.when(F.col("gi").between(i[0], i[1] - 1) & F.col("gj").between(j[0], j[1] - 1), F.col("w")))
+    out = grid.agg(F.min("w").alias("w_min"), F.max("w").alias("w_max"), F.avg("w").alias("w_mean"), F.min(line).alias("w_saddle"), F.min(F.when(F.col("gi") == SADDLE, F.struct("w", "gj")))["gj"].alias("saddle_gj"),
+        *[at(*c).alias(f"w_{k}") for k, c in CENTRES.items()], *[mean(*r).alias(f"mean_{k}") for k, r in RECTANGLES.items()])
+    return out.select("*", *[(F.col("w_saddle") - F.col(f"w_{k}")).alias(f"depth_{k}") for k in CENTRES], *[(F.col("w_mean") - F.col(f"mean_{k}")).alias(f"below_{k}") for k in RECTANGLES])

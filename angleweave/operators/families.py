@@ -241,6 +241,15 @@ def sampled_jaccard(df: DataFrame, key: str, a: str, b: str, pairs: int = 500_00
     return found.withColumn("jaccard", F.col("both") / F.nullif(F.col("either"), F.lit(0)))
 
 
+def coverage(members: DataFrame) -> DataFrame:
+    """By g, loops, families, the largest, the median size, and the percentage of loops in families of two and of three or more. members: g, cluster (-1 is noise)."""
+    sizes = members.groupBy("g", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    inside = F.col("cluster").cast("string") != "-1"
+    share = lambda k: (100.0 * F.sum(F.when(inside & (F.col("n") >= k), F.col("n")).otherwise(0)) / F.sum("n"))
+    own = F.when(inside, F.col("n"))
+    return sizes.groupBy("g").agg(F.sum("n").alias("loops"), F.count(own).alias("families"), F.max(own).alias("largest"), F.percentile(own, F.lit(0.5)).alias("median"), share(2).alias("pct_in_2"), share(3).alias("pct_in_3"))
+
+
 VECTOR = ("bps_mean", "bps_std", "norm_len", "sin_phi", "cos_phi", "sin_psi", "cos_psi", "w_range")
 #: Segments of a chain have numbers below this.
 SEGMENTS_A_CHAIN = 1_000_000

@@ -92,3 +92,16 @@ def composition_quartiles(res: DataFrame, rough: DataFrame, name: str, least: in
     quartile = F.when(F.col("pct") <= F.col("q")[0], 1).when(F.col("pct") <= F.col("q")[1], 2).when(F.col("pct") <= F.col("q")[2], 3).otherwise(4)
     rows = share.crossJoin(F.broadcast(limits)).withColumn("quartile", quartile)
     return rows.groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), F.avg("bps_norm").alias("mean"), F.coalesce(F.stddev_samp("bps_norm"), F.lit(0.0)).alias("sd")).select(F.lit(name).alias("resname"), "*")
+
+
+#: Confidence limits of the published sweep, and the residues that a chain keeps at least.
+SWEEP, SWEEP_LEAST = (70.0, 80.0, 85.0, 90.0), 50
+
+
+def plddt_sweep(scored: DataFrame, limits: tuple[float, ...] = SWEEP, least: int = SWEEP_LEAST) -> DataFrame:
+    """least_plddt, chains, mean, sd (by n - 1) and cv_pct of BPS/L when residues below a limit are dropped before the steps are taken.
+    scored: chain_id, pos, plddt, w."""
+    rows = scored.withColumn("least_plddt", F.explode(F.array(*map(F.lit, limits)))).where("plddt >= least_plddt")
+    step = F.abs(F.col("w") - F.lag("w").over(Window.partitionBy("least_plddt", "chain_id").orderBy("pos")))
+    per = rows.withColumn("step", step).groupBy("least_plddt", "chain_id").agg((F.coalesce(F.sum("step"), F.lit(0.0)) / F.count(F.lit(1))).alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return per.groupBy("least_plddt").agg(F.count(F.lit(1)).alias("chains"), F.avg("b").alias("mean"), F.stddev_samp("b").alias("sd"), (100 * F.stddev_samp("b") / F.nullif(F.avg("b"), F.lit(0.0))).alias("cv_pct"))

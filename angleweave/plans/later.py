@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import basins, potential
-from ..operators import chains, families, generators, kinematics, levels, loops, nulls, stats, verdicts, walks
+from ..operators import chains, families, generators, kinematics, levels, loops, nulls, quality, stats, verdicts, walks
 from ..operators.shared import kept, shared_dir
 from ..streaming import chain_metrics
 from .catalogue import _LOOP, _SHUFFLE, FULL, GRID, RES, WRES, protein_table, query, residues, scored
@@ -203,3 +203,32 @@ def p19_paths(spark, d):
     whole = lambda a: F.floor(F.degrees(a) + 0.5 + 1e-9).cast("int")
     points = F.array_sort(F.collect_list(F.struct("pos", F.array(whole("phi"), whole("psi")).alias("at"))))
     return residues(spark, d).groupBy("chain_id").agg(F.to_json(F.transform(points, lambda x: x["at"])).alias("path"))
+
+
+_SWEEP_LEAST = 5
+
+
+@query(f"{FULL}, sw AS (SELECT t.least_plddt, chain_id, abs(w - lag(w) OVER (PARTITION BY t.least_plddt, chain_id ORDER BY pos)) AS a FROM wres JOIN (SELECT unnest({list(quality.SWEEP)}::DOUBLE[]) AS least_plddt) t ON plddt >= t.least_plddt), c AS (SELECT least_plddt, chain_id, coalesce(sum(a), 0) / count(*) AS b FROM sw GROUP BY 1, 2 HAVING count(*) >= {_SWEEP_LEAST}) SELECT least_plddt, count(*) AS chains, round(avg(b), 6) AS mean, round(stddev_samp(b), 6) AS sd, round(100 * stddev_samp(b) / avg(b), 6) AS cv_pct FROM c GROUP BY 1")
+def g21_published_sweep(spark, d):
+    """The published limits; chains of the test tables keep fewer residues than the published least number."""
+    return quality.plddt_sweep(scored(spark, d), least=_SWEEP_LEAST)
+
+
+@query(f"WITH {RES}, {_OBSERVED}, s AS (SELECT min(w) AS w_min, max(w) AS w_max, avg(w) AS w_mean, min(CASE WHEN gi = 90 THEN w END) AS w_saddle, arg_min(gj, w) FILTER (WHERE gi = 90) AS saddle_gj, max(CASE WHEN gi = 117 AND gj = 137 THEN w END) AS w_alpha, max(CASE WHEN gi = 60 AND gj = 310 THEN w END) AS w_beta, avg(CASE WHEN gi >= 80 AND gi < 140 AND gj >= 120 AND gj < 180 THEN w END) AS mean_alpha, avg(CASE WHEN gi >= 30 AND gi < 100 AND gj >= 280 AND gj < 350 THEN w END) AS mean_beta FROM wg) SELECT round(w_min, 6) AS w_min, round(w_max, 6) AS w_max, round(w_mean, 6) AS w_mean, round(w_saddle, 6) AS w_saddle, CAST(saddle_gj AS INT) AS saddle_gj, round(w_alpha, 6) AS w_alpha, round(w_beta, 6) AS w_beta, round(mean_alpha, 6) AS mean_alpha, round(mean_beta, 6) AS mean_beta, round(w_saddle - w_alpha, 6) AS depth_alpha, round(w_saddle - w_beta, 6) AS depth_beta, round(w_mean - mean_alpha, 6) AS below_alpha, round(w_mean - mean_beta, 6) AS below_beta FROM s")
+def w09_observed_landscape(spark, d):
+    """The landscape of the table's own angles."""
+    w = potential.from_counts(potential.histogram(residues(spark, d)))
+    return potential.landscape(potential.grid_table(spark, w).select("gi", "gj", F.col("w00").alias("w")))
+
+
+_DIMENSION = "dim(organism, kingdom) AS (VALUES " + ", ".join(f"('{o}', '{k}')" for k, names in basins.KINGDOMS.items() for o in names) + ")"
+
+
+@query(f"{FULL}, {_DIMENSION} SELECT coalesce(kingdom, '?') AS kingdom, count(DISTINCT p.organism) AS organisms, count(*) AS chains, round(avg(bps_norm), 6) AS mean FROM proteins p LEFT JOIN dim ON dim.organism = p.organism GROUP BY 1")
+def j02_kingdoms(spark, d):
+    return basins.with_kingdom(protein_table(spark, d)).groupBy("kingdom").agg(F.count_distinct("organism").alias("organisms"), F.count(F.lit(1)).alias("chains"), F.avg("bps_norm").alias("mean"))
+
+
+@query()
+def g36_cluster_coverage(spark, d):
+    return families.coverage(members(spark, d)[0])

@@ -101,10 +101,14 @@ def test_stream_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(k % 4, "o", float(k)) for k in range(20)], "chain_id int, organism string, bps_norm double")
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = watch.new_rows(spark, str(tmp_path / "in"), rows.schema, 1)
-    sink = watch.upsert(str(tmp_path / "out"), ["chain_id"], "bps_norm")
+    sink = watch.upsert(str(tmp_path / "out"))
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(spark.read.text(str(tmp_path / "out" / "current")).first()[0])
+    out = watch.latest(spark, str(tmp_path / "out"), ["chain_id"], "bps_norm")
     assert sorted((r.chain_id, r.bps_norm) for r in out.collect()) == [(k, 16.0 + k) for k in range(4)]
+    # A batch that is told again changes nothing; what was done is not new; the summary follows the rows.
+    sink(spark.read.parquet(str(tmp_path / "in")).limit(0), 99)
+    assert watch.unseen(rows, out, "chain_id").count() == 0 and watch.unseen(rows, out.where("chain_id > 0"), "chain_id").count() == 5
+    assert watch.running_summary(out).first().mean == 17.5
 
 
 @pytest.mark.parametrize("name", ["c01_wide_basins", "n08_segments", "n10_loops", "m01_shuffle", "g18_organism_spread", "g05_length_regression"])

@@ -155,3 +155,14 @@ def test_discovery(spark, tmp_path):
     found = structures.discover(spark, str(tmp_path / "flat"), least_age=30)
     assert sorted((os.path.basename(r.path), r.organism) for r in found.collect()) == [("a.cif", "unknown"), ("b.cif", "unknown"), ("e.cif.gz", "ecoli")]
     assert structures.discover(spark, str(tmp_path / "flat")).count() == 4
+
+
+def test_coverage(spark):
+    rows = [("a", 0)] * 4 + [("a", 1)] * 2 + [("a", 2)] + [("a", -1)] * 3 + [("b", -1)] * 2
+    found = {r.g: tuple(r)[1:] for r in families.coverage(spark.createDataFrame(rows, "g string, cluster int")).collect()}
+    assert found == {"a": (10, 3, 4, 2.0, 60.0, 40.0), "b": (2, 0, None, None, 0.0, 0.0)}
+
+
+def test_kingdoms_by_join(spark):
+    df = spark.createDataFrame([("human",), ("nobody",), (None,), ("ecoli",)], "organism string")
+    assert sorted((r.organism or "", r.kingdom) for r in basins.with_kingdom(df).collect()) == [("", "?"), ("ecoli", "Bacteria"), ("human", "Metazoa"), ("nobody", "?")]
