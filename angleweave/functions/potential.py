@@ -111,6 +111,24 @@ def from_counts(hist: DataFrame, n: int = 360, sigma: float = 1.5):
     return from_density(p, sigma)
 
 
+def grids_by(res: DataFrame, by: str, n: int = 360, sigma: float = 1.5) -> DataFrame:
+    """W05 for every group: train (the group), gi, gj, w of all nodes. A task holds one group's occupied cells, n * n at most."""
+    kind = res.schema[by].dataType.simpleString()
+    whole = res.where("phi is not null and psi is not null")
+    cells = whole.groupBy(F.col(by).alias("train"), grid_index(F.col("phi"), n).alias("gi"), grid_index(F.col("psi"), n).alias("gj")).agg(F.count(F.lit(1)).alias("n"))
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        p = np.zeros((n, n))
+        p[pdf["gi"], pdf["gj"]] = pdf["n"]
+        gi, gj = np.divmod(np.arange(n * n), n)
+        return pd.DataFrame({"train": pd.Series([pdf["train"].iloc[0]] * (n * n), dtype=object), "gi": gi.astype("int32"), "gj": gj.astype("int32"), "w": from_density(p, sigma).ravel()})
+
+    return cells.groupBy("train").applyInPandas(run, f"train {kind}, gi int, gj int, w double")
+
+
 def log_potential(hist: DataFrame, eps: float, n: int = 360) -> DataFrame:
     """-ln(count / (total d d) + eps) of the occupied cells."""
     import math

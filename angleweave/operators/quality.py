@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import potential
+from ..functions.angles import grid_index
 from . import nulls
 
 #: Degrees between which helices lie, and the share of residues that a vote needs there.
@@ -105,3 +106,12 @@ def plddt_sweep(scored: DataFrame, limits: tuple[float, ...] = SWEEP, least: int
     step = F.abs(F.col("w") - F.lag("w").over(Window.partitionBy("least_plddt", "chain_id").orderBy("pos")))
     per = rows.withColumn("step", step).groupBy("least_plddt", "chain_id").agg((F.coalesce(F.sum("step"), F.lit(0.0)) / F.count(F.lit(1))).alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return per.groupBy("least_plddt").agg(F.count(F.lit(1)).alias("chains"), F.avg("b").alias("mean"), F.stddev_samp("b").alias("sd"), (100 * F.stddev_samp("b") / F.nullif(F.avg("b"), F.lit(0.0))).alias("cv_pct"))
+
+
+def transferred(res: DataFrame, grids: DataFrame, by: str = "organism", n: int = 360) -> DataFrame:
+    """Train, chains, mean, sd (by n - 1) and cv_pct of BPS/L of all other groups' chains under the W of one group. grids: as potential.grids_by gives them."""
+    placed = res.where("phi is not null and psi is not null").select(by, "chain_id", "pos", grid_index(F.col("phi"), n).alias("gi"), grid_index(F.col("psi"), n).alias("gj"))
+    rows = placed.join(grids, ["gi", "gj"]).where(F.col("train") != F.col(by))
+    step = F.abs(F.col("w") - F.lag("w").over(Window.partitionBy("train", "chain_id").orderBy("pos")))
+    per = rows.withColumn("step", step).groupBy("train", "chain_id").agg((F.coalesce(F.sum("step"), F.lit(0.0)) / F.count(F.lit(1))).alias("b"))
+    return per.groupBy("train").agg(F.count(F.lit(1)).alias("chains"), F.avg("b").alias("mean"), F.stddev_samp("b").alias("sd"), (100 * F.stddev_samp("b") / F.nullif(F.avg("b"), F.lit(0.0))).alias("cv_pct"))

@@ -232,3 +232,19 @@ def j02_kingdoms(spark, d):
 @query()
 def g36_cluster_coverage(spark, d):
     return families.coverage(members(spark, d)[0])
+
+
+_GI, _GJ = (f"CAST(round_even((degrees({a}) + 180.0) * 360 / 360.0, 0) AS INT) % 360" for a in ("phi", "psi"))
+_TRAINED = f"""cnt AS (SELECT organism AS train, {_GI} AS gi, {_GJ} AS gj, count(*) AS n FROM res WHERE phi IS NOT NULL AND psi IS NOT NULL GROUP BY ALL), tot AS (SELECT train, sum(n) AS total FROM cnt GROUP BY 1),
+nod AS (SELECT tot.train, i.range AS gi, j.range AS gj, coalesce(n, 0) / (total * (2 * pi() / 360) * (2 * pi() / 360)) AS d FROM tot CROSS JOIN range(360) i CROSS JOIN range(360) j LEFT JOIN cnt ON cnt.train = tot.train AND cnt.gi = i.range AND cnt.gj = j.range),
+roo AS (SELECT train, gi, gj, -sqrt(greatest(d, 1e-6 * max(d) OVER (PARTITION BY train))) AS w FROM nod),
+ker AS (SELECT range - 6 AS k, exp(-0.5 * ((range - 6) / 1.5) * ((range - 6) / 1.5)) AS e FROM range(13)), kno AS (SELECT k, e / sum(e) OVER () AS e FROM ker),
+sm1 AS (SELECT train, (gi + k + 360) % 360 AS gi, gj, sum(w * e) AS w FROM roo, kno GROUP BY 1, 2, 3), wg AS (SELECT train, gi, (gj + k + 360) % 360 AS gj, sum(w * e) AS w FROM sm1, kno GROUP BY 1, 2, 3),
+stp AS (SELECT train, chain_id, abs(w - lag(w) OVER (PARTITION BY train, chain_id ORDER BY pos)) AS a FROM res JOIN wg ON wg.gi = {_GI} AND wg.gj = {_GJ} AND train <> organism), per AS (SELECT train, chain_id, coalesce(sum(a), 0) / count(*) AS b FROM stp GROUP BY 1, 2)"""
+
+
+@query(f"WITH {RES}, {_TRAINED} SELECT train, count(*) AS chains, round(avg(b), 6) AS mean, round(stddev_samp(b), 6) AS sd, round(100 * stddev_samp(b) / avg(b), 6) AS cv_pct FROM per GROUP BY 1")
+def o11_transfer(spark, d):
+    """W of one organism, measured on the chains of all others."""
+    res = residues(spark, d)
+    return quality.transferred(res, kept(potential.grids_by(res, "organism"), "grids"))
