@@ -36,10 +36,10 @@ def cumulative(w):
 def sampling_table(spark: SparkSession, w) -> DataFrame:
     """Gi, gj, cdf; n * n rows whatever the data."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     gi, gj = np.divmod(np.arange(w.size), w.shape[0])
-    return spark.createDataFrame(pd.DataFrame({"gi": gi.astype("int32"), "gj": gj.astype("int32"), "cdf": cumulative(w)}))
+    return spark.createDataFrame(pa.table({"gi": gi.astype("int32"), "gj": gj.astype("int32"), "cdf": cumulative(w)}))
 
 
 def _unit(model: str, *parts: str) -> Column:

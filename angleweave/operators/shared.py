@@ -51,4 +51,5 @@ def chainwise(df: DataFrame, run: Callable, schema: str, key: str = "chain_id",
         if rest is not None and len(rest):
             yield run(rest)
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(batches, schema)
+    # A stated number of partitions, as small tables would else be merged into one task of slow work.
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, order).mapInPandas(batches, schema)
