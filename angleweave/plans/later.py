@@ -98,7 +98,7 @@ def p09_p10_shape(spark, d):
 
 @query()
 def j07_contacts(spark, d):
-    return kinematics.contacts(kinematics.reconstructed(residues(spark, d)))
+    return kinematics.contacts(kept(kinematics.reconstructed(residues(spark, d)), "rebuilt"))
 
 
 @query()

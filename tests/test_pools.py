@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from angleweave.operators import chains, generators, kinematics, stats, walks
+from angleweave.operators import chains, generators, kinematics, nulls, stats, walks
+from angleweave.operators.shared import kept
 
 
 @pytest.fixture(scope="module")
@@ -183,3 +184,13 @@ def test_chainwise_equals_one_group_a_chain(spark):
         assert chainwise(df.limit(0), run, schema).count() == 0
     finally:
         spark.conf.set(key, was)
+
+
+def test_row_sized_joins_are_not_broadcast(spark, res):
+    """Trials and cells multiply rows unseen by Spark's estimate; at 6 times sf0.1 the broadcast of them ended the driver."""
+    # A written table has a size that Spark knows.
+    rows = kept(res.withColumn("basin", F.lit("alpha")), "rows")
+    atoms = rows.select("chain_id", "pos", *[F.col("phi").alias(f"ca{d}") for d in "xyz"])
+    for df in (nulls.shuffled(rows, 3), nulls.basin_pools(rows, 3), nulls.segment_shuffled(rows, 3), nulls.local_windows(rows, 2, 3), kinematics.contacts(atoms)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
