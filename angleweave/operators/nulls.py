@@ -1,4 +1,7 @@
-"""Null models whose draws are hashes of (chain, model, trial, pos): no result depends on partitioning."""
+"""Null models whose draws are hashes of (chain, model, trial, pos): no result depends on partitioning.
+
+Joins of rows with rows are merge joins by hint: trials multiply the rows, which Spark's estimate does not see, so that it would broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +30,7 @@ def _reordered(rows: DataFrame, group: list[str], model: str) -> DataFrame:
     by = Window.partitionBy(*group)
     ranked = rows.withColumn("slot", F.row_number().over(by.orderBy("pos"))).withColumn("rank", F.row_number().over(by.orderBy(key(model, "chain_id", "trial", "pos"), "pos")))
     values = ranked.select(*group, F.col("rank").alias("slot"), F.col("phi").alias("new_phi"), F.col("psi").alias("new_psi"))
-    return ranked.drop("rank").join(values, [*group, "slot"]).drop("slot", "phi", "psi").withColumnRenamed("new_phi", "phi").withColumnRenamed("new_psi", "psi")
+    return ranked.drop("rank").join(values.hint("merge"), [*group, "slot"]).drop("slot", "phi", "psi").withColumnRenamed("new_phi", "phi").withColumnRenamed("new_psi", "psi")
 
 
 def shuffled(res: DataFrame, trials: int = 1) -> DataFrame:
@@ -39,7 +42,7 @@ def segment_shuffled(res: DataFrame, trials: int = 1) -> DataFrame:
     """Pairs change places inside their segment. res carries basin."""
     runs = segments(res).select("chain_id", "seg", "start", "end")
     places = runs.select("chain_id", "seg", F.explode(F.sequence("start", "end")).alias("pos"))
-    inner = res.join(places, ["chain_id", "pos"]).select(*res.columns, "seg")
+    inner = res.join(places.hint("merge"), ["chain_id", "pos"]).select(*res.columns, "seg")
     return _reordered(with_trials(inner, trials), ["chain_id", "trial", "seg"], "M03")
 
 
@@ -48,7 +51,7 @@ def basin_pools(res: DataFrame, trials: int = 1) -> DataFrame:
     by = Window.partitionBy("chain_id", "basin")
     pool = res.select("chain_id", "basin", (F.row_number().over(by.orderBy("pos")) - 1).alias("pick"), F.col("phi").alias("new_phi"), F.col("psi").alias("new_psi"))
     asked = with_trials(res.withColumn("size", F.count(F.lit(1)).over(by)), trials).withColumn("pick", F.pmod(draw("M02", "chain_id", "trial", "pos"), F.col("size")).cast("int"))
-    return asked.drop("phi", "psi", "size").join(pool, ["chain_id", "basin", "pick"]).drop("pick").withColumnRenamed("new_phi", "phi").withColumnRenamed("new_psi", "psi")
+    return asked.drop("phi", "psi", "size").join(pool.hint("merge"), ["chain_id", "basin", "pick"]).drop("pick").withColumnRenamed("new_phi", "phi").withColumnRenamed("new_psi", "psi")
 
 
 def local_windows(res: DataFrame, k: int = 5, trials: int = 1) -> DataFrame:
@@ -56,10 +59,10 @@ def local_windows(res: DataFrame, k: int = 5, trials: int = 1) -> DataFrame:
     # Every residue asks for the 2 k + 1 places around it.
     near = res.select("chain_id", "basin", F.col("pos").alias("p"), F.col("phi").alias("f"), F.col("psi").alias("s"))
     asked = res.select("chain_id", "basin", "pos", F.explode(F.sequence(F.col("pos") - k, F.col("pos") + k)).alias("p"))
-    local = asked.join(near, ["chain_id", "basin", "p"]).groupBy("chain_id", "pos").agg(F.array_sort(F.collect_list(F.struct("p", "f", "s"))).alias("near"))
+    local = asked.join(near.hint("merge"), ["chain_id", "basin", "p"]).groupBy("chain_id", "pos").agg(F.array_sort(F.collect_list(F.struct("p", "f", "s"))).alias("near"))
     whole = basin_pools(res, trials).select("chain_id", "trial", "pos", F.col("phi").alias("pool_phi"), F.col("psi").alias("pool_psi"))
-    rows = with_trials(res.join(local, ["chain_id", "pos"]), trials).withColumn("one", F.get("near", F.pmod(draw("M05", "chain_id", "trial", "pos"), F.size("near")).cast("int")))
-    rows = rows.join(whole, ["chain_id", "trial", "pos"])
+    rows = with_trials(res.join(local.hint("merge"), ["chain_id", "pos"]), trials).withColumn("one", F.get("near", F.pmod(draw("M05", "chain_id", "trial", "pos"), F.size("near")).cast("int")))
+    rows = rows.join(whole.hint("merge"), ["chain_id", "trial", "pos"])
     few = F.size("near") < 2
     return rows.withColumn("phi", F.when(few, F.col("pool_phi")).otherwise(F.col("one.f"))).withColumn("psi", F.when(few, F.col("pool_psi")).otherwise(F.col("one.s"))).drop("near", "one", "pool_phi", "pool_psi")
 
