@@ -72,6 +72,7 @@ def markov(res: DataFrame, trials: int = 1, order: int = 1, seed: int = 42) -> D
 
     def run(pdf):
         import zlib
+        from bisect import bisect_right
         from collections import Counter, defaultdict
 
         import numpy as np
@@ -83,16 +84,22 @@ def markov(res: DataFrame, trials: int = 1, order: int = 1, seed: int = 42) -> D
         follow = defaultdict(Counter)
         for k in range(order, n):
             follow[tuple(labels[k - order : k])][labels[k]] += 1
-        pools = {b: pdf.index[pdf["basin"] == b].to_numpy() for b in names}
-        out = []
+        pools, out = {b: pdf.index[pdf["basin"] == b].to_numpy() for b in names}, []
+        # What Generator.choice() does for every draw, with the running shares made once a context.
+        edges = {}
+        for context, c in follow.items():
+            shares = (np.array([*c.values()]) / sum(c.values())).cumsum()
+            edges[context] = ([*c], (shares / shares[-1]).tolist())
+        phi, psi = pdf["phi"].to_numpy(), pdf["psi"].to_numpy()
         for t in range(trials):
             rng = np.random.default_rng([seed, order, t, zlib.crc32(str(pdf["chain_id"].iloc[0]).encode())])
             path = labels[:order]
             while len(path) < n:
-                c = follow.get(tuple(path[-order:]))
-                path.append(names[rng.integers(len(names))] if not c else rng.choice([*c], p=np.array([*c.values()]) / sum(c.values())))
-            rows = pdf.loc[[rng.choice(pools[b]) for b in path]]
-            out.append(pd.DataFrame({"chain_id": pdf["chain_id"].to_numpy(), "organism": pdf["organism"].to_numpy(), "trial": t, "pos": pdf["pos"].to_numpy(), "basin": path, "phi": rows["phi"].to_numpy(), "psi": rows["psi"].to_numpy()}))
+                to = edges.get(tuple(path[-order:]))
+                path.append(names[rng.integers(len(names))] if to is None else to[0][bisect_right(to[1], rng.random())])
+            place = rng.integers(0, np.array([len(pools[b]) for b in path]))
+            at = np.array([pools[b][k] for b, k in zip(path, place)])
+            out.append(pd.DataFrame({"chain_id": pdf["chain_id"].to_numpy(), "organism": pdf["organism"].to_numpy(), "trial": t, "pos": pdf["pos"].to_numpy(), "basin": path, "phi": phi[at], "psi": psi[at]}))
         return pd.concat(out)
 
     return chainwise(res.select("chain_id", "organism", "pos", "basin", "phi", "psi"), run, "chain_id bigint, organism string, trial int, pos int, basin string, phi double, psi double")
