@@ -174,38 +174,76 @@ def pooled_markov(res: DataFrame, chains: DataFrame, buckets: int = 256) -> Data
     return walk.join(pool, ["basin", "bucket", "at"]).select("chain_id", "pos", "phi", "psi")
 
 
+#: Places that ask one cell in one task.
+SLICE = 2_000
+
+
+def _nearest_in_cell(k: int):
+    """All held rows that may be among the k nearest of every place asked; the allowance covers other rounding of the sine."""
+
+    def run(held, asks):
+        import numpy as np
+        import pandas as pd
+
+        a, b = held["phi"].to_numpy(), held["psi"].to_numpy()
+        f, s = asks["f"].to_numpy(), asks["s"].to_numpy()
+        few, rows, cols = min(k, len(held)), [], []
+        step = max(1, 2_000_000 // max(len(held), 1))
+        for z in range(0, len(asks) if few else 0, step):
+            d = np.sin((a[None, :] - f[z : z + step, None]) / 2) ** 2 + np.sin((b[None, :] - s[z : z + step, None]) / 2) ** 2
+            last = np.partition(d, few - 1, axis=1)[:, few - 1 : few]
+            r, c = np.nonzero(d <= last * (1 + 1e-12))
+            rows.append(r + z), cols.append(c)
+        r, c = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, cols))
+        return pd.DataFrame({"id": asks["id"].to_numpy()[r], "f": f[r], "s": s[r], **{x: held[x].to_numpy()[c] for x in ("chain_id", "pos", "phi", "psi")}})
+
+    return run
+
+
 def nearest(queries: DataFrame, index: DataFrame, k: int, group: str = "organism") -> DataFrame:
     """query_id, rank, distance, chain_id, pos of the k nearest index rows of the query's group in R4, exactly.
 
-    Pairs meet in cells of a grid on the torus, by equi-joins of a query's cell and those around it. Rows outside differ by a cell's
-    width or more in one angle, so a query whose k-th neighbour is nearer than that is done; the others go on to cells
-    of twice the width, until four cells hold everything. The first grid has about one row a cell, so dense places end early.
+    Places (equal angles of a group) are asked once. Of equal index rows only the first k can be among the nearest. Index rows go to
+    their cell of a grid on the torus and to those around it, so that a place meets all of its candidates in its own cell and only the nearest
+    leave it. Rows outside differ by a cell's width or more in one angle, so a place whose k-th neighbour is nearer than that is done; the
+    others go on to cells of twice the width, until four cells hold everything. The first grid has about k rows a cell or a few times that.
     """
-    points = kept(index.where("phi is not null and psi is not null").select(group, "chain_id", "pos", "phi", "psi"), "points")
-    asked = kept(queries.where("phi is not null and psi is not null").select("query_id", group, F.col("phi").alias("f"), F.col("psi").alias("s")), "asked")
-    largest = points.groupBy(group).count().agg(F.max("count")).first()[0] or 1
-    out = None
-    for level in range(max(1, math.ceil(math.log2(largest) / 2)), 0, -1):
+    whole = F.col(group).isNotNull() & F.col("phi").isNotNull() & F.col("psi").isNotNull()
+    first = Window.partitionBy(group, "phi", "psi").orderBy("chain_id", "pos")
+    points = kept(index.where(whole).select(group, "chain_id", "pos", "phi", "psi").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r"), "points")
+    every = kept(queries.where(whole).select("query_id", group, F.col("phi").alias("f"), F.col("psi").alias("s")), "asked")
+    places = kept(every.groupBy(group, "f", "s").agg(F.min("query_id").alias("id")), "places")
+    asked, largest = places, points.groupBy(group).count().agg(F.max("count")).first()[0] or 1
+    types = {f.name: f.dataType.simpleString() for f in (*points.schema, *places.schema)}
+    schema = ", ".join(f"{c} {types[c]}" for c in ("id", "f", "s", "chain_id", "pos", "phi", "psi"))
+    out, cells = None, [group, "x", "y"]
+    for level in range(max(1, int(math.log2(max(largest / k, 1)) / 2)), 0, -1):
         n = 1 << level
         cell = lambda c: F.pmod(F.floor((F.col(c) + math.pi) * (n / (2 * math.pi))), F.lit(n)).cast("int")  # noqa: B023, E731
         steps = (0, 1) if n == 2 else (-1, 0, 1)
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in steps for j in steps])
-        left = asked.withColumn("o", F.explode(around)).select("query_id", group, "f", "s", F.pmod(cell("f") + F.col("o.i"), F.lit(n)).alias("x"), F.pmod(cell("s") + F.col("o.j"), F.lit(n)).alias("y"))
+        asks = asked.withColumns({"x": cell("f"), "y": cell("s")})
+        slices = kept(asks.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices")), "slices")
+        asks = asks.join(slices, cells).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).drop("slices")
+        held = points.withColumn("o", F.explode(around)).withColumns({"x": F.pmod(cell("phi") + F.col("o.i"), F.lit(n)), "y": F.pmod(cell("psi") + F.col("o.j"), F.lit(n))}).drop("o")
+        held = held.join(slices, cells).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+        met = held.groupBy(*cells, "slice").cogroup(asks.groupBy(*cells, "slice")).applyInPandas(_nearest_in_cell(k), schema)
         half = lambda a, b: F.sin((F.col(a) - F.col(b)) / 2)
-        met = left.join(points.withColumns({"x": cell("phi"), "y": cell("psi")}), [group, "x", "y"]).withColumn("distance", 2 * F.sqrt(half("phi", "f") * half("phi", "f") + half("psi", "s") * half("psi", "s")))
-        by = Window.partitionBy("query_id").orderBy("distance", "chain_id", "pos")
-        best = kept(met.select("query_id", "distance", "chain_id", "pos").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), "nearest")
+        met = met.withColumn("distance", 2 * F.sqrt(half("phi", "f") * half("phi", "f") + half("psi", "s") * half("psi", "s")))
+        by = Window.partitionBy("id").orderBy("distance", "chain_id", "pos")
+        best = kept(met.select("id", "distance", "chain_id", "pos").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), "nearest")
         if n > 2:
             safe = 2 * math.sin(math.pi / n) * (1 - 1e-9)
-            ended = best.where((F.col("rank") == k) & (F.col("distance") <= safe)).select("query_id")
-            done = best.join(ended, "query_id", "left_semi")
-            asked = kept(asked.join(ended, "query_id", "left_anti"), "asked")
+            ended = best.where((F.col("rank") == k) & (F.col("distance") <= safe)).select("id")
+            done = best.join(ended, "id", "left_semi")
+            asked = kept(asked.join(ended, "id", "left_anti"), "asked")
         else:
             done = best
         out = done if out is None else out.unionByName(done)
         if n > 2 and asked.isEmpty():
             break
-    return out.select("query_id", "rank", "distance", "chain_id", "pos")
+    named = every.join(places.hint("merge"), [group, "f", "s"]).select("query_id", "id")
+    return out.join(named.hint("merge"), "id").select("query_id", "rank", "distance", "chain_id", "pos")
 
 
 def steric_walk(length: int, rng, tries: int = 50, radius: float = 2.0, lookback: int = 6, bonded: bool = False):

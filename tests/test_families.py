@@ -163,3 +163,39 @@ def test_flanked_loops(spark):
     # The second sheet run sees only a short helix run, then a sheet run, which ends the search.
     assert out == [(2, 10, "alpha->beta", 9)]
     assert abs(loops.extract_flanked(df).first().delta_w - 4.0) < 1e-9
+
+
+def test_nearest_of_many_copies_moves_few_rows(spark):
+    """A hot place: 3,000 equal rows and 3,000 equal queries gave 9 million pairs; only the first k rows can be among the nearest."""
+    rng = np.random.default_rng(8)
+    rows = [(c, 1, "x", 0.5, 0.5) for c in range(3000)] + [(5000 + c, 1, "x", float(a), float(b)) for c, (a, b) in enumerate(rng.uniform(-3, 3, (200, 2)))] + [(9000, 1, None, 0.1, 0.1)]
+    index = spark.createDataFrame(rows, "chain_id bigint, pos int, organism string, phi double, psi double")
+    found = generators.nearest(index.withColumn("query_id", F.col("chain_id")), index, 4)
+    have = {}
+    for r in found.collect():
+        have.setdefault(r.query_id, {})[r["rank"]] = (r.chain_id, r.distance)
+    assert have.keys() == {r[0] for r in rows[:-1]}
+    at = {r[0]: np.array([np.cos(r[3]), np.sin(r[3]), np.cos(r[4]), np.sin(r[4])]) for r in rows[:-1]}
+    for q in (0, 2999, *range(5000, 5200, 20)):
+        want = sorted(at, key=lambda c: (round(np.linalg.norm(at[c] - at[q]), 12), c))[:4]
+        assert [have[q][k][0] for k in (1, 2, 3, 4)] == want
+    # No task is handed more than k of the equal rows.
+    assert held_rows(index, 4) <= 4 + 200
+
+
+def held_rows(index, k):
+    """The index rows that the search keeps."""
+    seen, was = {}, generators.kept
+
+    def spy(df, name):
+        out = was(df, name)
+        if name == "points":
+            seen[name] = out.count()
+        return out
+
+    generators.kept = spy
+    try:
+        generators.nearest(index.withColumn("query_id", F.col("chain_id")), index, k)
+    finally:
+        generators.kept = was
+    return seen["points"]
