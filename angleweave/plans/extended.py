@@ -173,7 +173,7 @@ def r02_backbone(spark, d):
 
 @query()
 def r04_clashes(spark, d):
-    return kinematics.clashes(kinematics.reconstructed(residues(spark, d)))
+    return kinematics.clashes(kept(kinematics.reconstructed(residues(spark, d)), "atoms"))
 
 
 def _canonical(spark, d):

@@ -194,3 +194,11 @@ def test_row_sized_joins_are_not_broadcast(spark, res):
     for df in (nulls.shuffled(rows, 3), nulls.basin_pools(rows, 3), nulls.segment_shuffled(rows, 3), nulls.local_windows(rows, 2, 3), kinematics.contacts(atoms)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_clashes_build_the_chains_once(spark):
+    """r04 reads its atoms three times; they were rebuilt in Python each time."""
+    from angleweave.plans import catalogue, extended  # noqa: F401
+
+    plan = catalogue.QUERIES["r04_clashes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan
