@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.angles import grid_index
 from .chains import successor_pairs, transition_counts
 from .nulls import draw
-from .shared import kept
+from .shared import kept, spread
 
 BLOCK = 10_000
 #: Share, centre phi and psi, spread (degrees) of the two basins; the rest is uniform.
@@ -116,19 +116,41 @@ def mixture(rows: DataFrame) -> DataFrame:
     return out.select("chain_id", "pos", F.radians(place(1, r * F.cos(turn), F.col("__u"))).alias("phi"), F.radians(place(2, r * F.sin(turn), F.col("__v"))).alias("psi"))
 
 
+#: Chains of one call of a generator.
+TOGETHER = 512
+
+
+def _together(chains: DataFrame, columns: list[str], many: Callable, schema: str) -> DataFrame:
+    """Runs many(rows) -> frame for lists of TOGETHER chains or fewer, in a stated number of tasks."""
+
+    def run(batches):
+        for b in batches:
+            for s in range(0, len(b), TOGETHER):
+                yield many(list(b.iloc[s : s + TOGETHER].itertuples(index=False)))
+
+    return spread(chains.select("chain_id", *columns), "chain_id").mapInPandas(run, schema)
+
+
+def _placed_frame(rows: list, sizes: list[int], first: int, **columns):
+    """chain_id and pos (from first on) of every chain's rows, and the columns."""
+    import numpy as np
+    import pandas as pd
+
+    ids = pd.Series([r.chain_id for r in rows]).repeat(sizes).reset_index(drop=True)
+    pos = np.concatenate([np.arange(first, first + n, dtype="int32") for n in sizes]) if len(sizes) else np.zeros(0, "int32")
+    return pd.DataFrame({"chain_id": ids, "pos": pos, **columns})
+
+
 def _chains(chains: DataFrame, columns: list[str], one: Callable) -> DataFrame:
     """Runs one(row, generator) -> (phi, psi) for every row of chains, many chains a task; the generator is seeded by the chain."""
 
-    def run(batches):
+    def many(rows):
         import numpy as np
-        import pandas as pd
 
-        for b in batches:
-            for row in b.itertuples(index=False):
-                phi, psi = one(row, np.random.default_rng(chain_seed(row.chain_id)))
-                yield pd.DataFrame({"chain_id": row.chain_id, "pos": np.arange(1, len(phi) + 1, dtype="int32"), "phi": phi, "psi": psi})
+        made = [one(row, np.random.default_rng(chain_seed(row.chain_id))) for row in rows]
+        return _placed_frame(rows, [len(p) for p, _ in made], 1, phi=np.concatenate([p for p, _ in made]), psi=np.concatenate([s for _, s in made]))
 
-    return chains.select("chain_id", *columns).mapInPandas(run, "chain_id bigint, pos int, phi double, psi double")
+    return _together(chains, columns, many, "chain_id bigint, pos int, phi double, psi double")
 
 
 def pooled_markov(res: DataFrame, chains: DataFrame, buckets: int = 256) -> DataFrame:
@@ -170,7 +192,7 @@ def pooled_markov(res: DataFrame, chains: DataFrame, buckets: int = 256) -> Data
                 which = [int(np.searchsorted(places[s][1], a, side="right")) for s, a in zip(path, at)]
                 yield pd.DataFrame({"chain_id": row.chain_id, "pos": np.arange(1, len(path) + 1, dtype="int32"), "basin": [names[s] for s in path], "bucket": np.array([places[s][0][w] for s, w in zip(path, which)], "int32"), "at": np.array([a - (places[s][1][w - 1] if w else 0) for s, a, w in zip(path, at, which)], "int32")})
 
-    walk = chains.select("chain_id", "length").mapInPandas(run, "chain_id bigint, pos int, basin string, bucket int, at int")
+    walk = spread(chains.select("chain_id", "length"), "chain_id").mapInPandas(run, "chain_id bigint, pos int, basin string, bucket int, at int")
     return walk.join(pool, ["basin", "bucket", "at"]).select("chain_id", "pos", "phi", "psi")
 
 
@@ -285,6 +307,68 @@ def steric_walk(length: int, rng, tries: int = 50, radius: float = 2.0, lookback
     return np.array(pairs), counts
 
 
+def _proposals(rng):
+    """The angles that a chain's generator proposes, one after another, as steric_walk() draws them."""
+    from math import radians
+
+    (s1, p1, q1, d1), (s2, p2, q2, d2) = MIXTURE
+    flat, normal = rng.random, rng.standard_normal
+    while True:
+        u = flat()
+        if u < s1:
+            yield radians(p1 + d1 * normal()), radians(q1 + d1 * normal())
+        elif u - s1 < s2:
+            yield radians(p2 + d2 * normal()), radians(q2 + d2 * normal())
+        else:
+            yield radians(-180 + 360 * flat()), radians(-180 + 360 * flat())
+
+
+def steric_walks(lengths: list[int], rngs: list, tries: int = 50, radius: float = 2.0, lookback: int = 6, bonded: bool = False):
+    """steric_walk() of many chains side by side: each draws from its own generator as it would alone, the atoms of all are placed together.
+    Angles (length, 2) and counts (length - 1, 2) of every chain."""
+    import numpy as np
+
+    from angleweave.functions.geometry import ANGLES, LENGTHS, build, placed
+
+    a1, a2, a3 = np.radians(ANGLES)
+    order = sorted(range(len(lengths)), key=lambda k: -lengths[k])
+    size = np.array([lengths[k] for k in order])
+    streams = [_proposals(rngs[k]) for k in order]
+    m, most = len(order), max(int(size.max(initial=0)), 1)
+    pairs, counts = np.zeros((most, m, 2)), np.zeros((most, m, 2), "int32")
+    pairs[0] = np.array([next(s) for s in streams]).reshape(m, 2)
+    atoms = np.zeros((most, m, 3, 3))
+    atoms[0] = build(np.zeros(1), np.zeros(1))[0]
+    for i in range(1, most):
+        k = int((size > i).sum())
+        last = atoms[i - 1, :k]
+        n = placed(last[:, 0], last[:, 1], last[:, 2], LENGTHS[2], a2, pairs[i - 1, :k, 1])
+        ca = placed(last[:, 1], last[:, 2], n, LENGTHS[0], a3, np.full(k, np.pi))
+        atoms[i, :k, 0], atoms[i, :k, 1] = n, ca
+        before = atoms[max(0, i - lookback) : i, :k].transpose(1, 0, 2, 3).reshape(k, -1, 3)
+
+        def gaps(x, y):
+            return ((x[:, None, :] - y) ** 2).sum(axis=2)
+
+        # The new N and CA are the same in every proposal.
+        d = gaps(n, before)
+        if not bonded:
+            d[:, -1] = np.inf
+        fixed = np.minimum(d.min(axis=1), gaps(ca, before).min(axis=1))
+        left = np.arange(k)
+        for t in range(tries):
+            new = np.array([next(streams[c]) for c in left]).reshape(-1, 2)
+            c = placed(last[left, 2], n[left], ca[left], LENGTHS[1], a1, new[:, 0])
+            near = np.minimum(fixed[left], gaps(c, before[left]).min(axis=1)) < radius * radius
+            pairs[i, left], atoms[i, left, 2] = new, c
+            counts[i, left] = t + 1, t
+            left = left[near]
+            if not len(left):
+                break
+    back = np.argsort(order)
+    return [pairs[: lengths[k], back[k]] for k in range(m)], [counts[1 : lengths[k], back[k]] for k in range(m)]
+
+
 def chain_seed(chain_id) -> list[int]:
     """What a chain's generator starts from, wherever it runs."""
     import zlib
@@ -292,14 +376,26 @@ def chain_seed(chain_id) -> list[int]:
     return [42, zlib.crc32(str(chain_id).encode())]
 
 
+def _steric(chains: DataFrame, schema: str, frame: Callable, *how) -> DataFrame:
+    def many(rows):
+        import numpy as np
+
+        return frame(rows, *steric_walks([max(r.length, 1) for r in rows], [np.random.default_rng(chain_seed(r.chain_id)) for r in rows], *how))
+
+    return _together(chains, ["length"], many, schema)
+
+
 def steric(chains: DataFrame, tries: int = 50, radius: float = 2.0, lookback: int = 6, bonded: bool = False) -> DataFrame:
     """M12, model 2: draws of the mixture that are repeated while the new residue clashes; after `tries` the last is accepted.
     bonded=True also tests the bond to the residue before, which every proposal fails."""
 
-    def one(row, rng):
-        return steric_walk(row.length, rng, tries, radius, lookback, bonded)[0].T
+    def frame(rows, pairs, _):
+        import numpy as np
 
-    return _chains(chains, ["length"], one)
+        every = np.concatenate(pairs)
+        return _placed_frame(rows, [len(x) for x in pairs], 1, phi=every[:, 0], psi=every[:, 1])
+
+    return _steric(chains, "chain_id bigint, pos int, phi double, psi double", frame, tries, radius, lookback, bonded)
 
 
 ATTEMPTS = "chain_id bigint, pos int, attempts int, rejected int"
@@ -308,36 +404,40 @@ ATTEMPTS = "chain_id bigint, pos int, attempts int, rejected int"
 def steric_attempts(chains: DataFrame, tries: int = 50, radius: float = 2.0, lookback: int = 6, bonded: bool = False) -> DataFrame:
     """chain_id, pos, attempts, rejected of every residue after a chain's first, as steric() makes them."""
 
-    def run(batches):
+    def frame(rows, _, counts):
         import numpy as np
-        import pandas as pd
 
-        for b in batches:
-            for row in b.itertuples(index=False):
-                counts = np.array(steric_walk(row.length, np.random.default_rng(chain_seed(row.chain_id)), tries, radius, lookback, bonded)[1], "int32").reshape(-1, 2)
-                yield pd.DataFrame({"chain_id": row.chain_id, "pos": np.arange(2, len(counts) + 2, dtype="int32"), "attempts": counts[:, 0], "rejected": counts[:, 1]})
+        every = np.concatenate(counts)
+        return _placed_frame(rows, [len(x) for x in counts], 2, attempts=every[:, 0], rejected=every[:, 1])
 
-    return chains.select("chain_id", "length").mapInPandas(run, ATTEMPTS)
+    return _steric(chains, ATTEMPTS, frame, tries, radius, lookback, bonded)
 
 
 def conditional(res: DataFrame, chains: DataFrame, n: int = 72) -> DataFrame:
     """M12, model 3: cells of an n x n grid follow each other as observed; a cell never left draws from all cells."""
+    import numpy as np
+
     cell = lambda p, s: grid_index(F.col(p), n, "floor") * n + grid_index(F.col(s), n, "floor")
     rows = successor_pairs(res).groupBy(cell("phi", "psi").alias("a"), cell("next_phi", "next_psi").alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("a", "b").toArrow()
     marginal = res.where("phi is not null and psi is not null").groupBy(cell("phi", "psi").alias("a")).agg(F.count(F.lit(1)).alias("n")).orderBy("a").toArrow()
-    shared = res.sparkSession.sparkContext.broadcast(tuple(t.column(c).to_numpy() for t, c in ((rows, "a"), (rows, "b"), (rows, "n"), (marginal, "a"), (marginal, "n"))))
+    a, b, times, cells, size = (t.column(c).to_numpy() for t, c in ((rows, "a"), (rows, "b"), (rows, "n"), (marginal, "a"), (marginal, "n")))
+    lo, total = np.searchsorted(a, np.arange(n * n)), np.bincount(a.astype(int), times, n * n).astype(np.int64) if len(a) else np.zeros(n * n, np.int64)
+    shared = res.sparkSession.sparkContext.broadcast((lo, total, b, np.cumsum(times), cells, np.cumsum(size)))
 
     def one(row, rng):
         import numpy as np
 
-        a, b, times, cells, size = shared.value
+        lo, total, b, ends, cells, size = shared.value
         if not len(cells):
             return np.zeros(0), np.zeros(0)
-        take = lambda values, counts: int(values[np.searchsorted(np.cumsum(counts), rng.integers(counts.sum()), side="right")])
-        path = [take(cells, size)]
-        while len(path) < row.length:
-            lo, hi = np.searchsorted(a, path[-1]), np.searchsorted(a, path[-1], side="right")
-            path.append(take(b[lo:hi], times[lo:hi]) if hi > lo else take(cells, size))
+        every, path = int(size[-1]), []
+        for _ in range(row.length):
+            k = path[-1] if path else -1
+            # Running counts: those before a cell's first pair are added, so that one search serves all cells.
+            if k >= 0 and total[k]:
+                path.append(int(b[np.searchsorted(ends, (ends[lo[k] - 1] if lo[k] else 0) + rng.integers(total[k]), side="right")]))
+            else:
+                path.append(int(cells[np.searchsorted(size, rng.integers(every), side="right")]))
         path = np.array(path)
         return tuple(-np.pi + (x + rng.random(len(path))) * 2 * np.pi / n for x in (path // n, path % n))
 

@@ -33,8 +33,23 @@ def cleanup(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def chainwise(df: DataFrame, run: Callable, schema: str, key: str = "chain_id", order: str = "pos") -> DataFrame:
-    """Runs run(frame) -> frame for the rows of every key, in their order, many keys a call of Python. What a task holds at once is a batch and one key's rows."""
+def sizes_of(key):
+    """How many rows each run of equal keys has; undefined keys are equal."""
+    import numpy as np
+    import pandas as pd
+
+    codes = pd.factorize(key, use_na_sentinel=False)[0]
+    return np.diff(np.concatenate([np.flatnonzero(np.diff(codes, prepend=-1)), [len(codes)]]))
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """A stated number of partitions, as small tables would else be merged into one task of slow work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def chainwise(df: DataFrame, run: Callable, schema: str, key: str = "chain_id", order: str = "pos", whole: bool = False) -> DataFrame:
+    """Runs run(frame) -> frame for the rows of every key, in their order, many keys a call of Python. What a task holds at once is a batch and one key's rows.
+    whole=True gives run many keys' rows at once, key after key."""
 
     def batches(frames):
         import pandas as pd
@@ -47,9 +62,8 @@ def chainwise(df: DataFrame, run: Callable, schema: str, key: str = "chain_id",
             same = b[key].eq(b[key].iloc[-1]) | (b[key].isna() & pd.isna(b[key].iloc[-1]))
             ready, rest = b[~same], b[same]
             if len(ready):
-                yield pd.concat([run(x) for _, x in ready.groupby(key, sort=False, dropna=False)])
+                yield run(ready) if whole else pd.concat([run(x) for _, x in ready.groupby(key, sort=False, dropna=False)])
         if rest is not None and len(rest):
             yield run(rest)
 
-    # A stated number of partitions, as small tables would else be merged into one task of slow work.
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key, order).mapInPandas(batches, schema)
+    return spread(df, key).sortWithinPartitions(key, order).mapInPandas(batches, schema)
