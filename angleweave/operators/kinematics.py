@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.angles import dihedral
-from ..functions.geometry import build, place, superposed_rmsd  # noqa: F401
+from ..functions.geometry import build, build_many, place, superposed_many, superposed_rmsd  # noqa: F401
 from .chains import order
 from .loops import path_distance, resampled
-from .shared import chainwise, kept
+from .shared import chainwise, kept, sizes_of
 
 
 def reconstructed(res: DataFrame) -> DataFrame:
@@ -21,10 +21,10 @@ def reconstructed(res: DataFrame) -> DataFrame:
     def run(pdf):
         import pandas as pd
 
-        x = build(pdf["phi"].fillna(0).to_numpy(), pdf["psi"].fillna(0).to_numpy()).reshape(-1, 9)
+        x = build_many(pdf["phi"].fillna(0).to_numpy(float), pdf["psi"].fillna(0).to_numpy(float), sizes_of(pdf["chain_id"])).reshape(-1, 9)
         return pd.DataFrame({"chain_id": pdf["chain_id"].to_numpy(), "pos": pdf["pos"].to_numpy(), **{c: x[:, k] for k, c in enumerate(names)}})
 
-    return chainwise(res.select("chain_id", "pos", "phi", "psi"), run, "chain_id bigint, pos int, " + ", ".join(f"{c} double" for c in names))
+    return chainwise(res.select("chain_id", "pos", "phi", "psi"), run, "chain_id bigint, pos int, " + ", ".join(f"{c} double" for c in names), whole=True)
 
 
 def angles(atoms: DataFrame, sign: int = -1) -> DataFrame:
@@ -131,7 +131,11 @@ def canonical(res: DataFrame, loops: DataFrame, families: DataFrame) -> DataFram
     res carries basin; loops has chain_id, start, length, pts; families has centroid. Adds kind: loop, basin or kept.
     """
     library = families.select(F.concat_ws("|", "g", F.col("cluster").cast("string")).alias("family"), F.col("centroid").alias("pts"))
-    nearest = nearest_paths(loops, ["chain_id", "start", "length"], library).select("chain_id", "start", "length", F.col("other").alias("centroid"))
+    # Loops of one path (rep) ask once.
+    loops = loops if "rep" in loops.columns else loops.withColumns({"g": F.lit(""), "rep": F.concat_ws(":", "chain_id", "start")})
+    asked = loops.groupBy("g", "rep").agg(F.first("pts").alias("pts"))
+    nearest = nearest_paths(asked, ["g", "rep"], library).select("g", "rep", F.col("other").alias("centroid"))
+    nearest = loops.select("chain_id", "start", "length", "g", "rep").join(kept(nearest, "nearest"), ["g", "rep"])
     points = nearest.select("chain_id", "start", F.posexplode(resampled(F.col("centroid"), F.col("length").cast("int"))).alias("k", "p"))
     # Where loops overlap, the later one is written last.
     new = points.select("chain_id", (F.col("start") + F.col("k")).cast("int").alias("pos"), "start", "p").groupBy("chain_id", "pos").agg(F.max_by("p", "start").alias("p"))
@@ -146,16 +150,15 @@ def deviations(a: DataFrame, b: DataFrame, most: float = 0.5) -> DataFrame:
     """chain_id, n, rmsd of the CA atoms that both tables have, passed (below `most`). Many chains are superposed a call."""
 
     def run(pdf):
+        import numpy as np
         import pandas as pd
 
-        from angleweave.functions.geometry import superposed_rmsd
-
-        x = pdf
-        r = superposed_rmsd(x[["ax", "ay", "az"]].to_numpy(), x[["bx", "by", "bz"]].to_numpy()) if len(x) >= 3 else None
-        return pd.DataFrame({"chain_id": [x["chain_id"].iloc[0]], "n": [len(x)], "rmsd": [r]})
+        n = sizes_of(pdf["chain_id"])
+        r = superposed_many(pdf[["ax", "ay", "az"]].to_numpy(float), pdf[["bx", "by", "bz"]].to_numpy(float), n)
+        return pd.DataFrame({"chain_id": pdf["chain_id"].to_numpy()[np.cumsum(n) - 1], "n": n, "rmsd": pd.Series(r).astype(object).where(~np.isnan(r), None)})
 
     one = lambda df, k: df.select("chain_id", "pos", *[F.col(f"ca{d}").alias(f"{k}{d}") for d in "xyz"])
-    out = chainwise(one(a, "a").join(one(b, "b"), ["chain_id", "pos"]), run, "chain_id bigint, n bigint, rmsd double")
+    out = chainwise(one(a, "a").join(one(b, "b"), ["chain_id", "pos"]), run, "chain_id bigint, n bigint, rmsd double", whole=True)
     return out.withColumn("passed", F.col("rmsd") < most)
 
 
