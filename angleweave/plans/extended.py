@@ -26,10 +26,11 @@ def narrow_loops(spark, d):
 
 
 def members(spark, d):
-    """Loops with their family (L03), stored. The wide basins' loops, as the test tables' angles hold no narrow ones."""
-    found = kept(families.bound_loops(loops.extract(scored(spark, d))), "loops")
-    pairs = kept(families.near_pairs(found, max(families.EPS)), "pairs")
-    return kept(found.join(families.search(found, pairs), ["g", "id"]), "members"), pairs
+    """Loops with their family (L03), stored, and the near pairs of different paths, by their reps. The wide basins' loops, as the test tables' angles hold no narrow ones."""
+    found = kept(families.classes(kept(families.bound_loops(loops.extract(scored(spark, d))), "paths")), "loops")
+    one = kept(families.folded(found, "pts"), "classes")
+    pairs = kept(families.near_pairs(one, max(families.EPS)), "pairs")
+    return kept(found.join(families.search(one, pairs).withColumnRenamed("id", "rep"), ["g", "rep"]), "members"), pairs
 
 
 @query(f"""WITH {RES}, {GRID}, {WRES}, {_LOOP_B} SELECT chain_id, start, "end", direction, length, round(path_len, 6) AS path_len, round(inner_dw, 6) AS inner_dw FROM lb""")
@@ -65,7 +66,7 @@ def l05_refined_families(spark, d):
 
 @query()
 def l06_null_families(spark, d):
-    return families.control(members(spark, d)[0].drop("eps", "clusters", "cluster"))
+    return families.control(kept(families.bound_loops(loops.extract(scored(spark, d))), "paths"))
 
 
 @query()
@@ -190,7 +191,7 @@ def r05_canonical_angles(spark, d):
 @query()
 def r07_rebuilt(spark, d):
     """Chains rebuilt from the angles of their own coordinates."""
-    atoms = kinematics.reconstructed(residues(spark, d))
+    atoms = kept(kinematics.reconstructed(residues(spark, d)), "atoms")
     return kinematics.deviations(atoms, kinematics.reconstructed(kinematics.angles(atoms)))
 
 
