@@ -14,8 +14,8 @@ language-specific quantiles of this score over the trusted documents that the mo
 language of n such documents has its own quantile with weight n / (n + LANGUAGE_PRIOR) and that of all languages with
 the rest, but never less than its own, at every size.
 
-Bound (documented parameter): the model is fitted on TRAIN_DOCS labelled rows at most, drawn by a hash of their
-id; their ids are broadcast, so texts are not shuffled. All else covers all documents.
+The model is fitted on every trusted document of one half, drawn by a hash of the id, and the thresholds come from
+every one of the other; train_docs, where it is given, bounds the fit. Ids are broadcast while they are few, so that texts are not shuffled.
 
 Defined cases: null and empty texts have perplexity null, the mean trusted score, and are kept;
 without trusted rows nothing is rejected; a null language is a language of its own, the empty one;
@@ -41,8 +41,6 @@ QUANTILE = 0.998
 LANGUAGE_PRIOR = 200
 #: Of percentile_approx: ranks are right to a millionth of the rows.
 ACCURACY = 1_000_000
-#: 8 bytes an id.
-TRAIN_DOCS = 200_000
 #: 16 bytes each: 64 MB.
 BROADCAST_CODES = 4_000_000
 CHUNK_ROWS = 256
@@ -259,15 +257,16 @@ def _measurer(docs: DataFrame, model: Model, shared, most: int):
     return lambda kept: found.select(*[F.col(f"`{c}`") for c in (*kept, "__aw_chars", "__aw_loss")])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, most: int = BROADCAST_CODES, whole: bool = False):
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int | None = None, most: int = BROADCAST_CODES, whole: bool = False):
     """(doc_id and lang of docs, or whole: all columns, with __aw_score, __aw_chars, __aw_loss; thresholds by language (lang, n, own, threshold); the threshold of all), or None without trusted documents."""
     spark = docs.sparkSession
     small_batches(spark)
     ids = _trusted(labels)
-    # The half of even draws is thinned to its bound for the fit; all other trusted documents are held out.
-    even = ids.filter(F.col("draw") % 2 == 0).count()
-    drawn = (F.col("draw") % 2 == 0) & (F.col("draw") < int((1 << 40) * min(1.0, 0.95 * train_docs / max(1, even))) + 2)
-    train = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids.filter(drawn).select("__aw_id")), F.col("doc_id") == F.col("__aw_id")).select("text")
+    # The half of even draws is for the fit, thinned only to a bound that is given; all other trusted documents are held out.
+    drawn, even = F.col("draw") % 2 == 0, ids.filter(F.col("draw") % 2 == 0).count()
+    if train_docs is not None:
+        drawn &= F.col("draw") < int((1 << 40) * min(1.0, 0.95 * train_docs / max(1, even))) + 2
+    train = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(broadcast_if_small(ids.filter(drawn).select("__aw_id"), even), F.col("doc_id") == F.col("__aw_id")).select("text")
     train = stored(train, "classifier-sample")
     # One row a character: at most the size of Unicode.
     counts = [(r[0], r[1]) for r in train.mapInArrow(_char_counts, "point bigint, n bigint").groupBy("point").agg(F.sum("n")).collect()]
@@ -311,7 +310,7 @@ def _kept() -> Column:
     return F.coalesce(F.col("__aw_score") <= F.col("__aw_limit"), F.lit(True))
 
 
-def classified(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, most: int = BROADCAST_CODES) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, train_docs: int | None = None, most: int = BROADCAST_CODES) -> DataFrame:
     """One row per document: doc_id, lang, chars, perplexity, score and threshold (as perplexities), kept."""
     docs = docs.select(F.col("text").cast("string"), F.col("doc_id").cast("bigint"), F.col("lang").cast("string"))
     fitted = fit(docs, labels, train_docs, most)
