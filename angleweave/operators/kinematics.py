@@ -29,10 +29,12 @@ def reconstructed(res: DataFrame) -> DataFrame:
 
 def angles(atoms: DataFrame, sign: int = -1) -> DataFrame:
     """Phi and psi over present residues, from nx .. cz; sign -1 gives IUPAC."""
-    at = lambda a, f=None: tuple((F.col(a + d) if f is None else f(a + d).over(order())) for d in "xyz")
-    phi = dihedral([at("c", F.lag), at("n"), at("ca"), at("c")], sign)
-    psi = dihedral([at("n"), at("ca"), at("c"), at("n", F.lead)], sign)
-    return atoms.withColumn("phi", phi).withColumn("psi", psi)
+    # Neighbours' atoms become columns first: inside the formula every mention would be a window function of its own.
+    around = {f"__{a}{d}": f(a + d).over(order()) for a, f in (("c", F.lag), ("n", F.lead)) for d in "xyz"}
+    at = lambda a: tuple(F.col(a + d) for d in "xyz")
+    phi = dihedral([at("__c"), at("n"), at("ca"), at("c")], sign)
+    psi = dihedral([at("n"), at("ca"), at("c"), at("__n")], sign)
+    return atoms.withColumns(around).withColumns({"phi": phi, "psi": psi}).drop(*around)
 
 
 def gyration(atoms: DataFrame) -> DataFrame:
@@ -163,9 +165,25 @@ def deviations(a: DataFrame, b: DataFrame, most: float = 0.5) -> DataFrame:
 
 
 def compared(truth: DataFrame, observed: DataFrame, replaced: DataFrame) -> DataFrame:
-    """chain_id, rmsd of the rebuilt chain from observed angles, of the one from canonical angles, and their difference."""
-    of = lambda df, name: deviations(truth, df).select("chain_id", F.col("rmsd").alias(name))
-    return of(observed, "observed").join(of(replaced, "canonical"), "chain_id").withColumn("delta", F.col("canonical") - F.col("observed"))
+    """chain_id, rmsd of the rebuilt chain from observed angles, of the one from canonical angles, and their difference, as deviations()
+    gives them. Both meet the truth in one join and go to their chain together; a table has a place once."""
+    sides = {"observed": "a", "canonical": "b"}
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        for name, k in sides.items():
+            both = pdf[pdf[f"in_{k}"].notna()]
+            n = sizes_of(both["chain_id"])
+            r = superposed_many(both[["tx", "ty", "tz"]].to_numpy(float), both[[f"{k}x", f"{k}y", f"{k}z"]].to_numpy(float), n) if len(n) else np.zeros(0)
+            out.append(pd.DataFrame({"chain_id": both["chain_id"].to_numpy()[np.cumsum(n) - 1], name: pd.Series(r).astype(object).where(~np.isnan(r), None)}))
+        return out[0].merge(out[1], on="chain_id")
+
+    one = lambda df, k: df.select("chain_id", "pos", *[F.col(f"ca{d}").alias(f"{k}{d}") for d in "xyz"], *([F.lit(True).alias(f"in_{k}")] if k != "t" else []))
+    rows = one(truth, "t").join(one(observed, "a"), ["chain_id", "pos"], "left").join(one(replaced, "b"), ["chain_id", "pos"], "left").where("in_a or in_b")
+    return chainwise(rows, run, "chain_id bigint, observed double, canonical double", whole=True).withColumn("delta", F.col("canonical") - F.col("observed"))
 
 
 def reconstruction_verdict(found: DataFrame) -> DataFrame:

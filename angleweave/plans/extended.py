@@ -25,9 +25,10 @@ def narrow_loops(spark, d):
     return loops.extract_narrow(scored(spark, d).withColumn("basin", basins.basin(F.col("phi"), F.col("psi"), "narrow")))
 
 
-def members(spark, d):
-    """Loops with their family (L03), stored, and the near pairs of different paths, by their reps. The wide basins' loops, as the test tables' angles hold no narrow ones."""
-    found = kept(families.classes(kept(families.bound_loops(loops.extract(scored(spark, d))), "paths")), "loops")
+def members(spark, d, rows=None):
+    """Loops with their family (L03), stored, and the near pairs of different paths, by their reps. The wide basins' loops, as the test tables' angles hold no narrow ones.
+    rows: scored residues where they are at hand."""
+    found = kept(families.classes(kept(families.bound_loops(loops.extract(scored(spark, d) if rows is None else rows)), "paths")), "loops")
     one = kept(families.folded(found, "pts"), "classes")
     pairs = kept(families.near_pairs(one, max(families.EPS)), "pairs")
     return kept(found.join(families.search(one, pairs).withColumnRenamed("id", "rep"), ["g", "rep"]), "members"), pairs
@@ -178,8 +179,10 @@ def r04_clashes(spark, d):
 
 
 def _canonical(spark, d):
-    res = residues(spark, d).withColumn("basin", basins.basin(F.col("phi"), F.col("psi"), "narrow"))
-    found, _ = members(spark, d)
+    # Read four times below: written once.
+    wide = kept(residues(spark, d).select("chain_id", "pos", "resname", "phi", "psi", "basin"), "residues")
+    found, _ = members(spark, d, potential.with_nearest(wide, potential.grid_table(spark, potential.build())))
+    res = wide.withColumn("basin", basins.basin(F.col("phi"), F.col("psi"), "narrow"))
     return res, kinematics.canonical(res, found, kept(families.centroids(found), "centroids"))
 
 
