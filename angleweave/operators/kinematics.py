@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import dihedral
 from ..functions.geometry import build, build_many, place, superposed_many, superposed_rmsd  # noqa: F401
+from . import families
 from .chains import order
 from .loops import path_distance, resampled
 from .shared import chainwise, kept, sizes_of
@@ -100,27 +101,32 @@ def nearest_paths(asked: DataFrame, keys: list[str], library: DataFrame) -> Data
     """Adds family, other (its path) and distance: the nearest library path, ties by name. asked: keys and pts; library: family, pts; both of one number of points.
 
     The mean torus distance is a metric, so two paths within a ring's width differ by no more than it in their distances to any
-    fixed path. Paths meet in cells of that width over two such distances, by an equi-join; who found none within the ring goes on
-    to the next, wider one. Only paths that are far from all of the library come to the last.
+    fixed path. Paths meet in cells of that width over two such distances, block by block in a stated number of tasks; a task gives
+    the nearest of its block only. Who found none within the ring goes on to the next, wider one; only paths that are far from all
+    of the library come to the last.
     """
     def placed(df: DataFrame) -> DataFrame:
         fixed = lambda phi, psi: F.transform("pts", lambda _: F.struct(F.lit(math.radians(phi)).alias("phi"), F.lit(math.radians(psi)).alias("psi")))
-        return df.withColumns({f"d{k}": path_distance(F.col("pts"), fixed(*p)) for k, p in enumerate(PIVOTS)})
+        return df.withColumns({f"d{k}": path_distance(F.col("pts"), fixed(*p)) for k, p in enumerate(PIVOTS)}).withColumn("id", F.monotonically_increasing_id())
 
-    named = kept(placed(library.select("family", "pts")).withColumnRenamed("pts", "other"), "library")
-    rest, out = kept(placed(asked), "asked"), None
+    # A path with an undefined point is near none.
+    whole = (F.col("d0") < math.inf) & (F.col("d1") < math.inf)
+    named, every = kept(placed(library.select("family", "pts")), "library"), kept(placed(asked), "asked")
+    shelf = named.where(whole).select("id", "family", families.flat("pts"), "d0", "d1")
+    rest, out = every.where(whole).select("id", families.flat("pts"), "d0", "d1"), None
     for ring in RINGS:
         cell = lambda c: F.floor(F.col(c) / F.lit(ring * (1 + 1e-9))).cast("int")  # noqa: B023, E731
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        index = named.withColumn("o", F.explode(around)).select("family", "other", (cell("d0") + F.col("o.i")).alias("x"), (cell("d1") + F.col("o.j")).alias("y"))
-        met = rest.withColumns({"x": cell("d0"), "y": cell("d1")}).join(index, ["x", "y"]).withColumn("distance", path_distance(F.col("pts"), F.col("other")))
-        best = met.where(F.col("distance") <= ring).groupBy(*keys).agg(F.min(F.struct("distance", "family", "other")).alias("best"))
-        found = kept(best.select(*keys, "best.*"), "ring")
+        index = shelf.withColumn("o", F.explode(around)).select("id", "family", "at", (cell("d0") + F.col("o.i")).alias("x"), (cell("d1") + F.col("o.j")).alias("y"))
+        near = families.met(index, rest.select("id", "at", cell("d0").alias("x"), cell("d1").alias("y")), ["x", "y"], ring, families.nearest_of(ring), "id bigint, distance double, family string, other bigint")
+        # Blocks of one cell may each name a path.
+        found = kept(near.groupBy("id").agg(F.min(F.struct("distance", "family", "other")).alias("best")).select("id", "best.*"), "ring")
         out = found if out is None else out.unionByName(found)
-        rest = kept(rest.join(found.select(*keys), keys, "left_anti"), "asked")
+        rest = kept(rest.join(found.select("id"), "id", "left_anti"), "asked")
         if rest.isEmpty():
             break
-    return asked.join(out, keys).select(*asked.columns, "family", "other", "distance")
+    path = named.select(F.col("id").alias("other"), F.col("pts").alias("path"))
+    return every.join(out.join(path, "other").drop("other"), "id").select(*asked.columns, "family", F.col("path").alias("other"), "distance")
 
 
 #: Mean loss (Angstrom) below which canonical paths capture the loops, and capture them moderately.
